@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import uuid
 from collections.abc import Sequence
 
 from pyspark.sql import Column, DataFrame, SparkSession
@@ -387,46 +388,74 @@ def array_problems(frames: DataFrame) -> DataFrame:
     return checked.filter(F.col("problem").isNotNull()).select("run_id", "field", "problem")
 
 
+COMMITTED = "id string, batch string"
+
+
 def publish_runs(catalog_rows: DataFrame, frames: DataFrame | None, root: str) -> DataFrame:
-    """Append new runs: field arrays first, catalog rows next, committed ids last.
+    """Append new runs: field arrays first, catalog rows next, the commit rows last.
 
-    Runs whose id is already committed are left out, so a repeated or interrupted publication
-    can simply run again; readers join the committed ids and never see half a run. Returns
-    the rows that were new.
+    Every attempt writes its own batch and only the last step names that batch as committed,
+    so an interrupted attempt stays invisible and can simply run again. Ids that are already
+    committed are left out; nothing is overwritten. Returns the committed ids.
     """
     spark = catalog_rows.sparkSession
-    valid = catalog_rows.filter(is_safe_id("id"))
-    done = committed_runs(spark, root)
-    new = valid.join(done, "id", "left_anti").dropDuplicates(["id"])
+    batch = uuid.uuid4().hex
+    new = (
+        catalog_rows.filter(is_safe_id("id"))
+        .join(committed_runs(spark, root), "id", "left_anti")
+        .dropDuplicates(["id"])
+    )
     if frames is not None:
         bad = array_problems(frames).select(F.col("run_id").alias("id")).distinct()
         new = new.join(bad, "id", "left_anti")
-        fields = frames.join(new.select(F.col("id").alias("run_id"), "equation"), "run_id")
+        owners = new.select(F.col("id").alias("run_id"), "equation")
         (
-            fields.repartitionByRange("equation", "run_id", "frame")
+            frames.join(owners, "run_id")
+            .withColumn("batch", F.lit(batch))
+            .repartitionByRange("equation", "run_id", "frame")
             .sortWithinPartitions("equation", "run_id", "field", "frame")
             .write.mode("append")
-            .partitionBy("equation")
+            .partitionBy("batch", "equation")
             .parquet(f"{root}/frames")
         )
-    new.write.mode("append").partitionBy("status").parquet(f"{root}/catalog")
-    written = spark.read.parquet(f"{root}/catalog").select("id").distinct()
-    commit = written.join(committed_runs(spark, root), "id", "left_anti")
-    commit.write.mode("append").parquet(f"{root}/committed")
+    (
+        new.withColumn("batch", F.lit(batch))
+        .write.mode("append")
+        .partitionBy("batch", "status")
+        .parquet(f"{root}/catalog")
+    )
+    written = f"{root}/catalog/batch={batch}"
+    if path_exists(spark, f"{written}/*"):
+        commit = spark.read.parquet(written).select("id", F.lit(batch).alias("batch"))
+        commit.write.mode("append").parquet(f"{root}/committed")
     return committed_runs(spark, root)
 
 
 def committed_runs(spark: SparkSession, root: str) -> DataFrame:
+    """Committed ids and the batch that holds them; the first of two racing batches wins."""
     path = f"{root}/committed"
     if not path_exists(spark, path):
-        return spark.createDataFrame([], "id string")
-    return spark.read.schema("id string").parquet(path)
+        return spark.createDataFrame([], COMMITTED)
+    rows = spark.read.schema(COMMITTED).parquet(path)
+    return rows.groupBy("id").agg(F.min("batch").alias("batch"))
 
 
 def published_catalog(spark: SparkSession, root: str) -> DataFrame:
-    """Catalog rows of committed runs. An interrupted attempt may have left a second copy."""
+    """Catalog rows of committed runs."""
     rows = scan_catalog(spark, f"{root}/catalog")
-    return rows.join(committed_runs(spark, root), "id", "left_semi").dropDuplicates(["id"])
+    if "batch" not in rows.columns:
+        return rows
+    return rows.join(committed_runs(spark, root), ["id", "batch"], "left_semi").drop("batch")
+
+
+def published_frames(spark: SparkSession, root: str) -> DataFrame:
+    """Field rows of committed runs."""
+    commits = committed_runs(spark, root).withColumnRenamed("id", "run_id")
+    return (
+        spark.read.parquet(f"{root}/frames")
+        .join(commits, ["run_id", "batch"], "left_semi")
+        .drop("batch")
+    )
 
 
 def write_report(report: DataFrame, path: str) -> None:
