@@ -1,39 +1,22 @@
-"""Joins and counts that stay balanced when one key holds a large share of the rows."""
+"""Joins that stay balanced when one key holds a large share of the rows."""
 
 from __future__ import annotations
 
 from collections.abc import Sequence
 
 from pyspark.sql import DataFrame
-from pyspark.sql import functions as F
 
-# A key is hot when it holds more than one row in HOT_PARTS; there can be at most
-# HOT_PARTS such keys, which bounds what is broadcast.
+# A node, key or group is hot when it holds more than one row in HOT_PARTS; there can be at
+# most HOT_PARTS such keys, which bounds what may be broadcast for them.
 HOT_PARTS = 256
 
 
-def hot_keys(df: DataFrame, keys: Sequence[str], parts: int = HOT_PARTS) -> DataFrame:
-    """Keys that hold more than 1/parts of all rows: never more than ``parts`` rows."""
-    counts = df.groupBy(*keys).agg(F.count("*").alias("_n"))
-    total = df.agg(F.count("*").alias("_total"))
-    return (
-        counts.join(F.broadcast(total))  # one row
-        .filter(F.col("_n") * parts > F.col("_total"))
-        .select(*keys)
-    )
-
-
 def lookup(left: DataFrame, right: DataFrame, keys: Sequence[str], how: str = "left") -> DataFrame:
     """Join ``left`` to ``right`` where ``right`` has one row per key.
 
-    Rows of hot keys meet a broadcast copy of the few matching ``right`` rows; all other rows
-    take the ordinary shuffled join.
+    The join is left to adaptive execution, which splits an oversized ``left`` partition and
+    sends the matching ``right`` partition to each part. That holds a hot key as long as
+    nothing directly above needs the join's own partitioning, so callers aggregate by other
+    keys or not at all. ``right`` must be unique: a hot key then never multiplies rows.
     """
-    keys = list(keys)
-    hot = hot_keys(left, keys)
-    flag = F.broadcast(hot.withColumn("_hot", F.lit(True)))
-    marked = left.join(flag, keys, "left")
-    hot_right = F.broadcast(right.join(F.broadcast(hot), keys, "left_semi"))
-    hot_part = marked.filter(F.col("_hot")).drop("_hot").join(hot_right, keys, how)
-    cold_part = marked.filter(F.col("_hot").isNull()).drop("_hot").join(right, keys, how)
-    return cold_part.unionByName(hot_part)
+    return left.join(right, list(keys), how)
