@@ -1 +1,340 @@
-"""Placeholder."""
+"""Queries on lineage, the evidence graph and proposals."""
+
+from __future__ import annotations
+
+from pyspark.sql import functions as F
+
+from tidemark.functions.exprs import canonical
+from tidemark.operators import lineage
+from tidemark.sources import driver_tables as dt
+from tidemark.suite import query
+
+METRICS = ("initial_energy", "final_energy", "mass_drift", "needs_review")
+
+
+@query(
+    "lineage_edges",
+    dt.with_views("runs")
+    + " SELECT parent_id AS source, id AS target, 'parent_of' AS type FROM runs WHERE parent_id IS NOT NULL",
+)
+def lineage_edges(spark, sf_dir):
+    return lineage.lineage_edges(dt.runs(spark, sf_dir))
+
+
+@query(
+    "lineage_nodes",
+    dt.with_views("runs")
+    + """ SELECT id, status, equation, solver, FALSE AS missing FROM runs
+UNION ALL SELECT DISTINCT parent_id, NULL, NULL, NULL, TRUE FROM runs WHERE parent_id IS NOT NULL AND parent_id NOT IN (SELECT id FROM runs)""",
+)
+def lineage_nodes(spark, sf_dir):
+    return lineage.lineage_nodes(dt.runs(spark, sf_dir))
+
+
+@query(
+    "parent_child_metrics",
+    dt.with_views("runs")
+    + """, m AS (SELECT id, parent_id, unnest(['initial_energy', 'final_energy']) AS metric, unnest([initial_energy, final_energy]) AS v FROM runs)
+SELECT c.id, c.parent_id, c.metric, p.v AS before, c.v AS after, round(c.v - p.v, 4) AS change
+FROM m c JOIN m p ON c.parent_id = p.id AND c.metric = p.metric WHERE c.v IS NOT NULL AND p.v IS NOT NULL""",
+)
+def parent_child_metrics(spark, sf_dir):
+    out = lineage.parent_child_metrics(dt.runs(spark, sf_dir), ["initial_energy", "final_energy"])
+    return out.withColumn("change", F.round("change", 4))
+
+
+def records(spark, sf_dir):
+    return dt.runs(spark, sf_dir).select(
+        "*",
+        F.lit("periodic").alias("boundary"),
+        F.sha2("solver", 256).alias("source_sha256"),
+        canonical(seed="seed", steps="steps").alias("config_json"),
+    )
+
+
+GRAPH_SQL = """, rec AS (SELECT *, sha256(solver) AS source_sha256 FROM runs),
+measured AS (SELECT id, unnest(['initial_energy', 'final_energy', 'mass_drift', 'needs_review']) AS name,
+  unnest([initial_energy IS NOT NULL, final_energy IS NOT NULL, mass_drift IS NOT NULL, needs_review IS NOT NULL]) AS present FROM rec),
+counts AS (
+  SELECT 'Experiment' AS type, count(*) AS nodes, CAST(0 AS BIGINT) AS edges, NULL AS link FROM rec
+  UNION ALL SELECT 'Equation', count(DISTINCT equation), count(*), 'solves' FROM rec
+  UNION ALL SELECT 'Solver', count(DISTINCT solver), count(*), 'uses' FROM rec
+  UNION ALL SELECT 'BoundaryCondition', 1, count(*), 'has_boundary' FROM rec
+  UNION ALL SELECT 'InitialCondition', count(DISTINCT (equation, grid_size, initial_condition, seed, source_sha256)), count(*), 'starts_from' FROM rec
+  UNION ALL SELECT 'Dataset', count(*), count(*), 'produces' FROM rec WHERE status = 'completed'
+  UNION ALL SELECT 'Metric', count(*), count(*), 'measures' FROM measured WHERE present
+  UNION ALL SELECT 'Anomaly', count(*), count(*), 'observed_in' FROM rec WHERE status = 'failed' OR needs_review
+  UNION ALL SELECT 'Unresolved', count(DISTINCT parent_id), 0, NULL FROM rec WHERE parent_id IS NOT NULL AND parent_id NOT IN (SELECT id FROM rec)
+  UNION ALL SELECT NULL, 0, count(*), 'parent_of' FROM rec WHERE parent_id IS NOT NULL)"""
+
+
+@query(
+    "evidence_graph_nodes",
+    dt.with_views("runs")
+    + GRAPH_SQL
+    + " SELECT type, nodes FROM counts WHERE type IS NOT NULL",
+)
+def evidence_graph_nodes(spark, sf_dir):
+    graph = lineage.build_graph(records(spark, sf_dir), None, METRICS)
+    return graph["nodes"].groupBy("type").agg(F.count_distinct("id").alias("nodes"))
+
+
+@query(
+    "evidence_graph_edges",
+    dt.with_views("runs")
+    + GRAPH_SQL
+    + " SELECT link AS type, edges FROM counts WHERE link IS NOT NULL",
+)
+def evidence_graph_edges(spark, sf_dir):
+    graph = lineage.build_graph(records(spark, sf_dir), None, METRICS)
+    return graph["edges"].groupBy("type").agg(F.count("*").alias("edges"))
+
+
+@query(
+    "equation_node_ids",
+    dt.with_views("runs")
+    + """ SELECT DISTINCT 'equation-' || substr(sha256('{"name":"' || equation || '"}'), 1, 24) AS id, 'Equation' AS type,
+  '{"name":"' || equation || '"}' AS properties FROM runs""",
+)
+def equation_node_ids(spark, sf_dir):
+    return lineage.derived_nodes(records(spark, sf_dir), METRICS).filter(F.col("type") == "Equation")
+
+
+@query(
+    "merged_nodes",
+    """SELECT 'n-' || o_orderkey AS id, CASE WHEN o_orderkey % 4 = 0 THEN 'Finding' ELSE 'Experiment' END AS type,
+  CASE WHEN o_orderkey % 4 = 0 THEN 'asserted' ELSE o_orderstatus END AS properties FROM orders""",
+)
+def merged_nodes(spark, sf_dir):
+    o = dt.table(spark, sf_dir, "orders")
+    key = F.concat(F.lit("n-"), "o_orderkey").alias("id")
+    derived = o.select(key, F.lit("Experiment").alias("type"), F.col("o_orderstatus").alias("properties"))
+    asserted = o.filter(F.col("o_orderkey") % 4 == 0).select(
+        key, F.lit("Finding").alias("type"), F.lit("asserted").alias("properties")
+    )
+    return lineage.merge_nodes(derived, asserted)
+
+
+@query(
+    "unresolved_nodes",
+    dt.with_views("runs")
+    + """ SELECT DISTINCT parent_id AS id, 'Unresolved' AS type, '{}' AS properties FROM runs
+WHERE parent_id IS NOT NULL AND parent_id NOT IN (SELECT id FROM runs)""",
+)
+def unresolved_nodes(spark, sf_dir):
+    runs = dt.runs(spark, sf_dir)
+    return lineage.unresolved_nodes(runs.select("id"), lineage.lineage_edges(runs))
+
+
+def entities(spark, sf_dir):
+    """One assertion per document: hypotheses, findings and unsupported kinds."""
+    d = dt.table(spark, sf_dir, "documents")
+    k = F.col("doc_id")
+    kind = F.when(k % 7 == 0, "Opinion").when(k % 2 == 0, "Finding").otherwise("Hypothesis")
+    statement = F.when(k % 11 != 0, F.concat(F.lit("from "), "source", F.lit(" "), k % 100))
+    link = lambda t, target: F.struct(t.alias("type"), target.alias("target"))
+    links = F.when(
+        k % 5 != 0,
+        F.array(
+            link(
+                F.when(k % 13 == 0, "likes").otherwise("cites"),
+                F.concat(F.lit("run-"), k % 100),
+            )
+        ),
+    )
+    return d.select(
+        k.alias("doc_id"), kind.alias("type"), canonical(statement=statement).alias("properties"), links.alias("links")
+    )
+
+
+ENTITY_SQL = """WITH e AS (SELECT doc_id, source, CASE WHEN doc_id % 7 = 0 THEN 'Opinion' WHEN doc_id % 2 = 0 THEN 'Finding' ELSE 'Hypothesis' END AS type FROM documents),
+tagged AS (SELECT *, array_to_string(list_filter([CASE WHEN doc_id % 7 = 0 THEN 'unknown type' END,
+  CASE WHEN doc_id % 5 <> 0 AND doc_id % 13 = 0 THEN 'unsupported link' END,
+  CASE WHEN type <> 'Opinion' AND doc_id % 11 = 0 THEN 'statement required' END,
+  CASE WHEN type = 'Finding' AND (doc_id % 5 = 0 OR doc_id % 13 = 0) THEN 'finding must cite evidence' END], lambda r: r IS NOT NULL), ',') AS reasons FROM e)"""
+
+
+@query("entity_checks", ENTITY_SQL + " SELECT doc_id, type, reasons FROM tagged")
+def entity_checks(spark, sf_dir):
+    out = lineage.check_entities(entities(spark, sf_dir))
+    return out.select("doc_id", "type", F.concat_ws(",", "reasons").alias("reasons"))
+
+
+@query(
+    "entity_registration",
+    ENTITY_SQL
+    + """ SELECT type, count(*) AS registered FROM (SELECT DISTINCT type, source, doc_id % 100 AS s, doc_id % 5 = 0 AS bare FROM tagged WHERE reasons = ''
+  EXCEPT SELECT DISTINCT type, source, doc_id % 100, doc_id % 5 = 0 FROM tagged WHERE reasons = '' AND doc_id % 4 = 1) GROUP BY type""",
+)
+def entity_registration(spark, sf_dir):
+    given = entities(spark, sf_dir)
+    existing = lineage.check_entities(given.filter(F.col("doc_id") % 4 == 1)).filter(
+        F.size("reasons") == 0
+    )
+    new = lineage.register_entities(given, existing)
+    return new.groupBy("type").agg(F.count("*").alias("registered"))
+
+
+@query(
+    "entity_checksums",
+    "SELECT doc_id AS id, 'checksum mismatch' AS problem FROM documents WHERE doc_id % 9 = 0",
+)
+def entity_checksums(spark, sf_dir):
+    stored = dt.table(spark, sf_dir, "documents").select(
+        F.col("doc_id").alias("id"),
+        F.col("text"),
+        F.sha2(
+            F.concat("text", F.when(F.col("doc_id") % 9 == 0, F.lit("!")).otherwise(F.lit(""))), 256
+        ).alias("sha256"),
+    )
+    return lineage.entity_checksums(stored)
+
+
+@query(
+    "model_links",
+    """SELECT 'model-' || o_orderkey AS source, 'trained_on' AS type, 'dataset-' || o_custkey AS target FROM orders WHERE o_custkey % 5 <> 0
+UNION ALL SELECT 'checkpoint-' || o_orderkey, 'belongs_to', 'model-' || o_orderkey FROM orders WHERE o_orderkey % 3 = 0""",
+)
+def model_links(spark, sf_dir):
+    o = dt.table(spark, sf_dir, "orders")
+    digest = lambda c: F.sha2(F.col(c).cast("string"), 256)
+    models = o.select(
+        F.concat(F.lit("model-"), "o_orderkey").alias("model_id"),
+        digest("o_custkey").alias("dataset_sha256"),
+        digest("o_orderkey").alias("checkpoint_sha256"),
+    )
+    customers = dt.table(spark, sf_dir, "customer").filter(F.col("c_custkey") % 5 != 0)
+    datasets = customers.select(
+        F.concat(F.lit("dataset-"), "c_custkey").alias("dataset_id"),
+        digest("c_custkey").alias("dataset_sha256"),
+    )
+    checkpoints = o.filter(F.col("o_orderkey") % 3 == 0).select(
+        F.concat(F.lit("checkpoint-"), "o_orderkey").alias("checkpoint_id"),
+        digest("o_orderkey").alias("checkpoint_sha256"),
+    )
+    return lineage.model_links(models, datasets, checkpoints)
+
+
+@query(
+    "evidence_priority",
+    dt.with_views("runs")
+    + """ SELECT id, status, needs_review FROM runs ORDER BY status <> 'failed', NOT coalesce(needs_review, FALSE), id LIMIT 100""",
+)
+def evidence_priority(spark, sf_dir):
+    runs = dt.runs(spark, sf_dir).select("id", "status", "needs_review")
+    return lineage.evidence_priority(runs, 100)
+
+
+@query(
+    "refinement_candidates",
+    dt.with_views("runs")
+    + """ SELECT id, CASE WHEN equation = 'darcy2d' THEN 2 * (grid_size - 1) + 1 ELSE grid_size END AS new_grid_size,
+  CASE WHEN equation <> 'darcy2d' THEN dt / 2 END AS new_dt, CASE WHEN equation <> 'darcy2d' THEN steps * 2 END AS new_steps,
+  CASE WHEN equation <> 'darcy2d' THEN save_every * 2 END AS new_save_every, CASE WHEN equation = 'darcy2d' THEN 1 ELSE 2 * steps END AS cost FROM runs""",
+)
+def refinement_candidates(spark, sf_dir):
+    return lineage.refine(dt.runs(spark, sf_dir)).select(
+        "id", "new_grid_size", "new_dt", "new_steps", "new_save_every", "cost"
+    )
+
+
+def candidates(spark, sf_dir):
+    """Finished runs; some refinements are invalid and some exist already."""
+    runs = dt.runs(spark, sf_dir).filter(F.col("status") != "queued")
+    refined = lineage.refine(runs).select(
+        "id",
+        "run_id",
+        "status",
+        "needs_review",
+        "cost",
+        "rationale",
+        (F.col("seed") % 4).alias("config_key"),
+        F.when(F.col("run_id") % 19 == 0, "dt").alias("invalid"),
+    )
+    catalog = dt.runs(spark, sf_dir).select("parent_id", (F.col("seed") % 4).alias("config_key"))
+    return lineage.already_refined(refined, catalog)
+
+
+CANDIDATE_SQL = """, cand AS (SELECT id, status, needs_review, CASE WHEN equation = 'darcy2d' THEN 1 ELSE 2 * steps END AS cost,
+    CASE WHEN run_id % 19 = 0 THEN 'dt' END AS invalid,
+    EXISTS (SELECT 1 FROM runs c WHERE c.parent_id = r.id AND c.seed % 4 = r.seed % 4) AS has_child FROM runs r WHERE status <> 'queued'),
+placed AS (SELECT *, row_number() OVER (ORDER BY status <> 'failed', NOT coalesce(needs_review, FALSE), id) AS pos FROM cand),
+picks AS (SELECT CAST(-1 AS BIGINT) AS n, CAST(0 AS BIGINT) AS pos, CAST(0 AS BIGINT) AS used
+  UNION ALL SELECT n + 1, nxt.pos, used + nxt.cost FROM picks, LATERAL (SELECT p.pos, p.cost FROM placed p
+    WHERE p.pos > picks.pos AND p.invalid IS NULL AND NOT p.has_child AND picks.used + p.cost <= 1500 ORDER BY p.pos LIMIT 1) nxt WHERE n + 1 < 12)"""
+
+
+@query(
+    "existing_children",
+    dt.with_views("runs", recursive=True) + CANDIDATE_SQL + " SELECT id, has_child FROM cand",
+)
+def existing_children(spark, sf_dir):
+    return candidates(spark, sf_dir).select("id", "has_child")
+
+
+@query(
+    "budgeted_proposals",
+    dt.with_views("runs", recursive=True)
+    + CANDIDATE_SQL
+    + " SELECT k.n AS position, p.id, p.cost, k.used AS planned_steps FROM picks k JOIN placed p ON k.pos = p.pos WHERE k.n >= 0",
+)
+def budgeted_proposals(spark, sf_dir):
+    return lineage.select_proposals(candidates(spark, sf_dir), max_runs=12, max_total_steps=1500)[
+        "proposals"
+    ]
+
+
+@query(
+    "skipped_proposals",
+    dt.with_views("runs", recursive=True)
+    + CANDIDATE_SQL
+    + """, state AS (SELECT p.*, (SELECT max(k.used) FROM picks k WHERE k.pos < p.pos) AS used FROM placed p
+  WHERE p.pos NOT IN (SELECT pos FROM picks) AND ((SELECT max(n) FROM picks) < 11 OR p.pos < (SELECT max(pos) FROM picks)))
+SELECT id AS parent_id, coalesce(invalid, 'total step budget') AS reason FROM state
+WHERE invalid IS NOT NULL OR (NOT has_child AND used + cost > 1500)""",
+)
+def skipped_proposals(spark, sf_dir):
+    return lineage.select_proposals(candidates(spark, sf_dir), max_runs=12, max_total_steps=1500)[
+        "skipped"
+    ]
+
+
+@query(
+    "proposal_entities",
+    dt.with_views("runs", recursive=True)
+    + CANDIDATE_SQL
+    + """ SELECT t.type, count(*) AS entities, count(*) AS valid FROM picks k, (SELECT unnest(['Hypothesis', 'Proposal']) AS type) t WHERE k.n >= 0 GROUP BY t.type""",
+)
+def proposal_entities(spark, sf_dir):
+    given = candidates(spark, sf_dir)
+    chosen = lineage.select_proposals(given, max_runs=12, max_total_steps=1500)["proposals"]
+    rows = given.join(F.broadcast(chosen.select("id")), "id")  # at most 12 ids
+    rows = rows.select("id", "rationale", "cost", F.lit("{}").alias("changes"))
+    return (
+        lineage.proposal_entities(rows)
+        .groupBy("type")
+        .agg(F.count("*").alias("entities"), F.count_if(F.size("reasons") == 0).alias("valid"))
+    )
+
+
+@query(
+    "finding_entities",
+    dt.with_views("runs")
+    + """ SELECT status, count(*) AS findings FROM runs WHERE parent_id IS NOT NULL GROUP BY status""",
+)
+def finding_entities(spark, sf_dir):
+    outcomes = dt.runs(spark, sf_dir).filter(F.col("parent_id").isNotNull())
+    out = lineage.finding_entities(
+        outcomes.select(
+            "id",
+            "status",
+            F.concat(F.lit("proposal-"), "run_id").alias("proposal_id"),
+            F.concat(F.lit("hypothesis-"), "run_id").alias("hypothesis_id"),
+        )
+    )
+    status = F.regexp_extract(F.get_json_object("properties", "$.statement"), r"ended as (\w+)$", 1)
+    return (
+        out.filter(F.size("reasons") == 0)
+        .groupBy(status.alias("status"))
+        .agg(F.count("*").alias("findings"))
+    )
