@@ -199,3 +199,65 @@ def exact_medians(
             for m in measures
         ]
     )
+
+
+def carry_forward(
+    df: DataFrame, keys: Sequence[str], order: str, value: Column, name: str, *, width: int
+) -> DataFrame:
+    """Last non-NULL ``value`` among the rows strictly before each row of a key."""
+    keys = list(keys)
+    blocked = df.withColumns({"_block": _block(order, width), "_v": value})
+    local = Window.partitionBy(*keys, "_block").orderBy(order).rowsBetween(
+        Window.unboundedPreceding, -1
+    )
+    across = Window.partitionBy(*keys).orderBy("_block").rowsBetween(Window.unboundedPreceding, -1)
+    at = F.when(F.col("_v").isNotNull(), F.col(order))
+    edges = (
+        blocked.groupBy(*keys, "_block")
+        .agg(F.max_by("_v", at).alias("_last"))
+        .select(*keys, "_block", F.last("_last", ignorenulls=True).over(across).alias("_carried"))
+    )
+    windowed = blocked.withColumn("_local", F.last("_v", ignorenulls=True).over(local))
+    return windowed.join(edges, [*keys, "_block"], "left").select(
+        *df.columns, F.coalesce("_local", "_carried").alias(name)
+    )
+
+
+def first_at_or_after(
+    probes: DataFrame,
+    points: DataFrame,
+    key: str,
+    time: str,
+    value: str,
+    name: str,
+    *,
+    width: int,
+) -> DataFrame:
+    """For every probe, ``value`` of the key's first point with ``time`` >= the probe's.
+
+    A forward as-of join: probes and points are put in one time order, in blocks of ``width``
+    time units. Only the first point of a block is carried to earlier blocks.
+    """
+    columns = probes.columns
+    both = probes.select(*columns, F.lit(None).cast("long").alias("_v"), F.lit(0).alias("_point"))
+    both = both.unionByName(
+        points.select(key, time, F.col(value).cast("long").alias("_v"), F.lit(1).alias("_point")),
+        allowMissingColumns=True,
+    ).withColumn("_block", _block(time, width))
+    local = (
+        Window.partitionBy(key, "_block")
+        .orderBy(time, "_point", "_v")
+        .rowsBetween(0, Window.unboundedFollowing)
+    )
+    across = Window.partitionBy(key).orderBy("_block").rowsBetween(1, Window.unboundedFollowing)
+    edges = (
+        both.groupBy(key, "_block")
+        .agg(F.min_by("_v", F.when(F.col("_point") == 1, F.struct(time, "_v"))).alias("_first"))
+        .select(key, "_block", F.first("_first", ignorenulls=True).over(across).alias("_later"))
+    )
+    found = both.withColumn("_here", F.first("_v", ignorenulls=True).over(local))
+    return (
+        found.filter(F.col("_point") == 0)
+        .join(edges, [key, "_block"], "left")
+        .select(*columns, F.coalesce("_here", "_later").alias(name))
+    )

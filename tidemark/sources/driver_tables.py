@@ -274,7 +274,7 @@ VIEWS: dict[str, str] = {
   SELECT user_id AS job_id, event_id AS sequence,
     CASE event_type WHEN 'signup' THEN 'submitted' WHEN 'view' THEN 'claimed' WHEN 'click' THEN 'renewed'
       WHEN 'purchase' THEN 'completed' ELSE 'failed' END AS kind,
-    epoch_us(ts) AS at, event_id % 7 = 0 AS stale FROM events)""",
+    epoch_us(ts) AS moment, event_id % 7 = 0 AS stale FROM events)""",
     "trials": """trials AS (
   SELECT ascii(l_returnflag) AS grid_size, CASE WHEN l_linestatus = 'O' THEN 'streamed' ELSE 'buffered' END AS mode,
     1 + l_linenumber % 4 AS workers, l_suppkey % 3 AS repeat, l_orderkey * 8 + l_linenumber AS trial_key,

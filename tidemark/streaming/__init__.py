@@ -1,0 +1,114 @@
+"""Structured Streaming: sources, idempotent sinks and stateful operators."""
+
+from __future__ import annotations
+
+import uuid
+from collections.abc import Callable, Sequence
+from contextlib import contextmanager
+
+from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
+from pyspark.sql.streaming import StreamingQuery
+
+from tidemark.session import checkpoint_dir
+
+ROCKSDB = "org.apache.spark.sql.execution.streaming.state.RocksDBStateStoreProvider"
+
+
+def stream_table(spark: SparkSession, sf_dir: str, name: str, files_per_trigger: int | None = None) -> DataFrame:
+    """A Parquet table as a file stream; new files are picked up as they appear."""
+    schema = spark.read.parquet(f"{sf_dir}/{name}.parquet").schema
+    reader = spark.readStream.schema(schema).option("pathGlobFilter", f"{name}.parquet")
+    if files_per_trigger:
+        reader = reader.option("maxFilesPerTrigger", files_per_trigger)
+    return reader.parquet(sf_dir)
+
+
+def scratch(spark: SparkSession, name: str) -> str:
+    """A new folder in the shared checkpoint folder."""
+    return f"{checkpoint_dir(spark)}/{name}-{uuid.uuid4().hex}"
+
+
+@contextmanager
+def state_settings(spark: SparkSession):
+    """State store settings while a stateful query starts.
+
+    The number of state partitions is fixed by the first batch, so it follows the cores of
+    the cluster instead of a large batch default.
+    """
+    names = ("spark.sql.streaming.stateStore.providerClass", "spark.sql.shuffle.partitions")
+    before = {n: spark.conf.get(n, None) for n in names}
+    cores = max(spark.sparkContext.defaultParallelism, 1)
+    spark.conf.set(names[0], ROCKSDB)
+    spark.conf.set(names[1], str(min(int(before[names[1]] or 200), cores)))
+    try:
+        yield
+    finally:
+        for name, value in before.items():
+            if value is None:
+                spark.conf.unset(name)
+            else:
+                spark.conf.set(name, value)
+
+
+def write_batches(
+    stream: DataFrame,
+    path: str,
+    checkpoint: str,
+    *,
+    mode: str = "append",
+    prepare: Callable[[DataFrame, int], DataFrame] | None = None,
+) -> StreamingQuery:
+    """Write every micro-batch to its own ``batch_id`` folder.
+
+    A batch that is replayed after a failure overwrites its own folder and nothing else, so
+    the table holds each batch once.
+    """
+
+    def write(batch: DataFrame, batch_id: int) -> None:
+        rows = prepare(batch, batch_id) if prepare else batch
+        rows.write.mode("overwrite").parquet(f"{path}/batch_id={batch_id}")
+
+    with state_settings(stream.sparkSession):
+        return (
+            stream.writeStream.foreachBatch(write)
+            .outputMode(mode)
+            .option("checkpointLocation", checkpoint)
+            .trigger(availableNow=True)
+            .start()
+        )
+
+
+def drain(query: StreamingQuery) -> None:
+    """Wait until everything available is processed; a failed query raises."""
+    query.awaitTermination()
+
+
+def run_to_table(stream: DataFrame, name: str, *, mode: str = "append", prepare=None) -> DataFrame:
+    """Process what is available now and return the written table."""
+    spark = stream.sparkSession
+    base = scratch(spark, name)
+    drain(write_batches(stream, f"{base}/table", f"{base}/checkpoint", mode=mode, prepare=prepare))
+    return read_batches(spark, f"{base}/table")
+
+
+def read_batches(spark: SparkSession, path: str) -> DataFrame:
+    return spark.read.parquet(path)
+
+
+def latest(table: DataFrame, keys: Sequence[str]) -> DataFrame:
+    """The newest version of every key of an update-mode table."""
+    values = [c for c in table.columns if c not in (*keys, "batch_id")]
+    newest = F.max_by(F.struct(*values), "batch_id")
+    return table.groupBy(*keys).agg(newest.alias("_r")).select(*keys, "_r.*")
+
+
+def for_each_batch(stream: DataFrame, callback: Callable[[DataFrame, int], None], checkpoint: str) -> StreamingQuery:
+    """Call ``callback(rows, batch_id)`` for every micro-batch of saved frames."""
+    with state_settings(stream.sparkSession):
+        return (
+            stream.writeStream.foreachBatch(callback)
+            .option("checkpointLocation", checkpoint)
+            .trigger(availableNow=True)
+            .start()
+        )

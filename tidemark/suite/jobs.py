@@ -1 +1,97 @@
-"""Placeholder."""
+"""Queries on job states folded from queue events."""
+
+from __future__ import annotations
+
+from pyspark.sql import functions as F
+
+from tidemark.functions.ordered import carry_forward
+from tidemark.operators import jobs
+from tidemark.sources import driver_tables as dt
+from tidemark.suite import query
+
+LEASE = 6 * 3600 * 1_000_000
+NOW = 1_706_700_000_000_000
+
+JOB_SQL = f""", ev AS (SELECT job_id, sequence, kind, moment, CASE WHEN kind = 'claimed' THEN CAST(sequence AS VARCHAR)
+    WHEN kind = 'submitted' THEN NULL WHEN stale THEN 'stale'
+    ELSE CAST(last_value(CASE WHEN kind = 'claimed' THEN sequence END IGNORE NULLS) OVER (PARTITION BY job_id ORDER BY sequence
+      ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING) AS VARCHAR) END AS token FROM job_events),
+ordered AS (SELECT *, row_number() OVER (PARTITION BY job_id ORDER BY sequence) AS n FROM ev),
+fold AS (SELECT DISTINCT job_id, CAST(0 AS BIGINT) AS n, CAST(NULL AS VARCHAR) AS status, CAST(NULL AS VARCHAR) AS token, CAST(NULL AS BIGINT) AS lease_until,
+    0 AS claim_count, 0 AS renewals, 0 AS lease_expirations, 0 AS lost_acknowledgements, 0 AS refused_claims, 0 AS duplicate_submissions FROM ev
+  UNION ALL
+  SELECT job_id, n, CASE WHEN kind = 'submitted' AND status IS NULL THEN 'queued' WHEN claim THEN 'running' WHEN held AND kind <> 'renewed' THEN kind ELSE status END,
+    CASE WHEN claim THEN new_token WHEN held AND kind <> 'renewed' THEN NULL ELSE token END,
+    CASE WHEN claim OR (held AND kind = 'renewed') THEN moment + {LEASE} WHEN held THEN NULL ELSE lease_until END,
+    claim_count + claim::INT, renewals + (held AND kind = 'renewed')::INT, lease_expirations + (claim AND coalesce(status = 'running', FALSE))::INT,
+    lost_acknowledgements + (kind IN ('renewed', 'completed', 'failed') AND NOT held)::INT, refused_claims + (kind = 'claimed' AND NOT claim)::INT,
+    duplicate_submissions + (kind = 'submitted' AND status IS NOT NULL)::INT
+  FROM (SELECT f.*, o.n AS next_n, o.kind, o.moment, o.token AS new_token,
+      o.kind = 'claimed' AND coalesce(f.status = 'queued' OR (f.status = 'running' AND f.lease_until <= o.moment), FALSE) AS claim,
+      o.kind IN ('renewed', 'completed', 'failed') AND coalesce(f.status = 'running' AND f.lease_until > o.moment AND f.token = o.token, FALSE) AS held
+    FROM fold f JOIN ordered o ON f.job_id = o.job_id AND o.n = f.n + 1) AS step(job_id, old_n, status, token, lease_until, claim_count, renewals, lease_expirations,
+      lost_acknowledgements, refused_claims, duplicate_submissions, n, kind, moment, new_token, claim, held)),
+states AS (SELECT job_id, arg_max(status, n) AS status, max(claim_count) AS claim_count, max(renewals) AS renewals, max(lease_expirations) AS lease_expirations,
+    max(lost_acknowledgements) AS lost_acknowledgements, max(refused_claims) AS refused_claims, max(duplicate_submissions) AS duplicate_submissions,
+    max(lease_until) FILTER (last) AS lease_until FROM (SELECT *, n = max(n) OVER (PARTITION BY job_id) AS last FROM fold) GROUP BY job_id)"""
+
+
+def tokens(events):
+    """An acknowledgement presents the latest claim before it, unless it is stale."""
+    with_claim = carry_forward(
+        events,
+        ["job_id"],
+        "sequence",
+        F.when(F.col("kind") == "claimed", F.col("sequence")),
+        "_claim",
+        width=1 << 20,
+    )
+    token = (
+        F.when(F.col("kind") == "claimed", F.col("sequence").cast("string"))
+        .when(F.col("kind") == "submitted", F.lit(None))
+        .when(F.col("stale"), F.lit("stale"))
+        .otherwise(F.col("_claim").cast("string"))
+    )
+    return with_claim.select("job_id", "sequence", "kind", "at", token.alias("token"))
+
+
+def job_events(spark, sf_dir):
+    return tokens(dt.job_events(spark, sf_dir))
+
+
+@query(
+    "job_states",
+    dt.with_views("job_events", recursive=True) + JOB_SQL + f" SELECT {', '.join(jobs.SUMMARY)} FROM states",
+)
+def job_states(spark, sf_dir):
+    return jobs.job_states(job_events(spark, sf_dir), LEASE)
+
+
+@query(
+    "job_states_by_pointers",
+    dt.with_views("job_events", recursive=True) + JOB_SQL + f" SELECT {', '.join(jobs.SUMMARY)} FROM states",
+)
+def job_states_by_pointers(spark, sf_dir):
+    """The same states by the path that long jobs take."""
+    return jobs.job_states(job_events(spark, sf_dir), LEASE, fold_limit=0)
+
+
+@query(
+    "job_state_counts",
+    dt.with_views("job_events", recursive=True)
+    + JOB_SQL
+    + f""" SELECT s.status, count(j.job_id) AS jobs, count(*) FILTER (j.status = 'running' AND j.lease_until <= {NOW}) AS expired_leases
+FROM (SELECT unnest(['queued', 'running', 'completed', 'failed']) AS status) s LEFT JOIN states j ON s.status = j.status GROUP BY s.status""",
+)
+def job_state_counts(spark, sf_dir):
+    return jobs.state_counts(jobs.job_states(job_events(spark, sf_dir), LEASE), F.lit(NOW))
+
+
+@query(
+    "claimable_jobs",
+    dt.with_views("runs")
+    + " SELECT run_id AS job_id, created_at FROM runs WHERE status = 'queued' ORDER BY created_at, run_id LIMIT 20",
+)
+def claimable_jobs(spark, sf_dir):
+    queue = dt.runs(spark, sf_dir).select(F.col("run_id").alias("job_id"), "status", "created_at")
+    return jobs.claimable(queue, 20).select("job_id", "created_at")
