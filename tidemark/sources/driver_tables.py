@@ -38,7 +38,10 @@ def _solver(equation):
 
 def runs(spark: SparkSession, sf_dir: str) -> DataFrame:
     """One flat catalog row per order."""
-    o = table(spark, sf_dir, "orders")
+    return runs_of(table(spark, sf_dir, "orders"))
+
+
+def runs_of(o: DataFrame) -> DataFrame:
     k, c = F.col("o_orderkey"), F.col("o_custkey")
     eq = _equation()
     done = F.col("o_orderstatus") == "F"
@@ -100,7 +103,10 @@ def diagnostics(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def frames(spark: SparkSession, sf_dir: str) -> DataFrame:
     """One-dimensional fields: 25 consecutive vectors are the saved frames of one run."""
-    e = table(spark, sf_dir, "embeddings")
+    return frames_of(table(spark, sf_dir, "embeddings"))
+
+
+def frames_of(e: DataFrame) -> DataFrame:
     return e.select(
         F.expr("vec_id div 25").alias("run_id"),
         F.lit("velocity").alias("field"),
@@ -157,7 +163,10 @@ def trajectories(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def job_events(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Queue events of jobs; every seventh acknowledgement carries a stale token."""
-    e = table(spark, sf_dir, "events")
+    return job_events_of(table(spark, sf_dir, "events"))
+
+
+def job_events_of(e: DataFrame) -> DataFrame:
     kind = (
         F.when(F.col("event_type") == "signup", "submitted")
         .when(F.col("event_type") == "view", "claimed")
@@ -197,7 +206,10 @@ def trials(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def samples(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Resource samples: an hour of one event type is one sample of one trial."""
-    e = table(spark, sf_dir, "events")
+    return samples_of(table(spark, sf_dir, "events"))
+
+
+def samples_of(e: DataFrame) -> DataFrame:
     return e.select(
         F.col("event_type").alias("trial_id"),
         F.date_format("ts", "yyyy-MM-dd HH").alias("sample"),

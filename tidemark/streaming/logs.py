@@ -38,18 +38,18 @@ def tail_catalog(spark: SparkSession, path: str, schema) -> DataFrame:
     return spark.readStream.schema(schema).parquet(path)
 
 
-def new_submissions(batch: DataFrame, table: str) -> DataFrame:
+def new_submissions(batch: DataFrame, table: str, batch_id: int) -> DataFrame:
     """Jobs of a micro-batch that were never submitted before.
 
     Repeats inside the batch are dropped by id, repeats of earlier batches by anti-join with
-    the table written so far.
+    what they wrote. The batch's own folder is not looked at, so a replay gives the same rows.
     """
     first = batch.groupBy("job_id").agg(F.min(F.struct("at", "sequence")).alias("_f"))
     rows = first.select("job_id", "_f.sequence", "_f.at")
-    if not path_exists(batch.sparkSession, f"{table}/*"):
+    if not path_exists(batch.sparkSession, f"{table}/batch_id=*"):
         return rows
-    known = batch.sparkSession.read.parquet(table).select("job_id")
-    return rows.join(known, "job_id", "left_anti")
+    known = batch.sparkSession.read.parquet(table).filter(F.col("batch_id") < batch_id)
+    return rows.join(known.select("job_id"), "job_id", "left_anti")
 
 
 def distinct_submissions(events: DataFrame, time: str, delay: str) -> DataFrame:

@@ -38,14 +38,11 @@ class FrameArrival(StatefulProcessor):
                     if count == expected:
                         out.append((frame, "complete", count))
         self.accepted.update((count,))
-        yield pd.DataFrame(
-            {
-                "run_id": [key[0]] * len(out),
-                "frame": [o[0] for o in out],
-                "outcome": [o[1] for o in out],
-                "accepted": [o[2] for o in out],
-            }
-        )
+        if out:
+            yield pd.DataFrame(
+                [(key[0], *row) for row in out],
+                columns=["run_id", "frame", "outcome", "accepted"],
+            )
 
     def close(self) -> None:
         pass
