@@ -9,7 +9,7 @@ import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from tidemark.functions.exprs import all_finite, max_abs, mean_of, sum_sq
+from tidemark.functions.exprs import all_finite, is_finite, max_abs, mean_of, sum_sq
 from tidemark.functions.ordered import with_dense_neighbors
 
 # Rows scored per model call and accepted distance from an expected order.
@@ -18,7 +18,6 @@ ORDER_TOLERANCE = 0.3
 
 Step = Callable[[np.ndarray], np.ndarray]
 KEYS = ("run_id", "frame")
-PREDICTIONS = "run_id long, frame int, kind string, values array<float>"
 
 
 def persistence_step(state: np.ndarray) -> np.ndarray:
@@ -213,7 +212,8 @@ def mean_drifts(predictions: DataFrame, reference: DataFrame) -> DataFrame:
 
 def drift_metrics(drifts: DataFrame, by: Sequence[str] = ("quantity",)) -> DataFrame:
     """RMS and largest absolute drift; NULL where a drift was not finite."""
-    finite = F.bool_and(~F.isnan("drift") & (F.abs("drift") < float("inf")))
+    # A NaN that came back from Python is NULL inside its array, and so is that frame's mean.
+    finite = F.bool_and(F.coalesce(is_finite("drift"), F.lit(False)))
     return drifts.groupBy(*by).agg(
         finite.alias("finite"),
         F.when(finite, F.sqrt(F.avg(F.col("drift") * F.col("drift")))).alias("rms"),

@@ -6,6 +6,7 @@ import numpy as np
 import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.types import DoubleType
 
 from tidemark.functions import grids
 from tidemark.functions.exprs import max_abs, mean_of, sum_sq, total
@@ -28,7 +29,7 @@ def burgers_diagnostics(frames: DataFrame, length: Column) -> DataFrame:
     )
 
 
-@F.pandas_udf("double")
+@F.pandas_udf(DoubleType())
 def spectral_divergence(
     u: pd.Series, v: pd.Series, n: pd.Series, length: pd.Series
 ) -> pd.Series:
