@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from collections.abc import Sequence
+from collections.abc import Callable, Sequence
 
 from pyspark.sql import Column
 from pyspark.sql import functions as F
@@ -21,6 +21,15 @@ def col(value: str | Column) -> Column:
     return F.col(value) if isinstance(value, str) else value
 
 
+def let(value: Column, body: Callable[[Column], Column]) -> Column:
+    """Evaluate ``value`` once per row and use it in ``body``.
+
+    Spark evaluates whatever a lambda mentions once per element. A whole-array expression
+    inside a lambda would therefore be rebuilt for every cell; bound here it is a variable.
+    """
+    return F.get(F.transform(F.array(value), body), F.lit(0))
+
+
 # -- float tests ------------------------------------------------------------------
 
 
@@ -94,8 +103,14 @@ def diffs(values: str | Column) -> Column:
 def is_uniform_coordinate(values: str | Column, minimum: int) -> Column:
     """Finite, strictly increasing and evenly spaced with at least ``minimum`` entries."""
     v = col(values)
-    d = diffs(v)
-    spaced = F.forall(d, lambda x: (x > 0) & is_close(x, F.get(d, 0), COORDINATE_RTOL, COORDINATE_ATOL))
+    spaced = let(
+        diffs(v),
+        lambda d: F.forall(
+            d,
+            lambda x: (x > 0)
+            & is_close(x, F.get(d, F.lit(0)), COORDINATE_RTOL, COORDINATE_ATOL),
+        ),
+    )
     return (F.size(v) >= minimum) & all_finite(v) & spaced
 
 

@@ -11,7 +11,7 @@ import math
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
-from tidemark.functions.exprs import as_double, col, max_abs, mean_of, neighbor, sum_sq
+from tidemark.functions.exprs import as_double, col, let, max_abs, mean_of, neighbor, sum_sq
 
 
 def _cells(count: Column) -> Column:
@@ -33,27 +33,58 @@ def taylor_green_vorticity(
     k = F.lit(2 * math.pi) / length
     scale = 2 * amplitude * k * F.exp(-2 * viscosity * k * k * time)
     step = F.lit(2 * math.pi) / n
-    return F.transform(
-        _cells(n * n),
-        lambda i: scale * F.sin(step * F.pmod(i, n)) * F.sin(step * F.floor(i / n)),
+    # The field is a product of one wave per axis.
+    bound = F.struct(
+        n.cast("int").alias("n"),
+        scale.alias("scale"),
+        F.transform(_cells(n), lambda i: F.sin(step * i)).alias("wave"),
+    )
+    return let(
+        bound,
+        lambda b: F.transform(
+            _cells(b["n"] * b["n"]),
+            lambda i: b["scale"]
+            * F.get(b["wave"], F.pmod(i, b["n"]))
+            * F.get(b["wave"], F.floor(i / b["n"]).cast("int")),
+        ),
     )
 
 
-def _plate(n: Column, i: Column):
-    """Column and row phase of cell ``i`` on a grid with both endpoints, and its border flag."""
-    ix, iy = F.pmod(i, n), F.floor(i / n)
-    border = (ix == 0) | (ix == n - 1) | (iy == 0) | (iy == n - 1)
-    return F.lit(math.pi) * ix / (n - 1), F.lit(math.pi) * iy / (n - 1), border
+def _axis(n: Column, wave) -> Column:
+    """``wave`` of the phase pi * i / (n - 1) at every index of one axis."""
+    return F.transform(_cells(n), lambda i: wave(F.lit(math.pi) * i / (n - 1)))
 
 
-def plate_pressure(n: Column) -> Column:
-    """sin(pi x/L) sin(pi y/L) with exact zeros on the border."""
+def _plate_axes(n: Column) -> Column:
+    """Sines with exact zeros at both ends, plain sines, and cosines along one axis."""
+    n = n.cast("int")
+    return F.struct(
+        n.alias("n"),
+        F.transform(
+            _axis(n, F.sin), lambda s, i: F.when((i == 0) | (i == n - 1), 0.0).otherwise(s)
+        ).alias("exact"),
+        _axis(n, F.sin).alias("sin"),
+        _axis(n, F.cos).alias("cos"),
+    )
+
 
-    def cell(i):
-        px, py, border = _plate(n, i)
-        return F.when(border, F.lit(0.0)).otherwise(F.sin(px) * F.sin(py))
+def _ix(b: Column, i: Column) -> Column:
+    return F.pmod(i, b["n"])
 
-    return F.transform(_cells(n * n), cell)
+
+def _iy(b: Column, i: Column) -> Column:
+    return F.floor(i / b["n"]).cast("int")
+
+
+def plate_pressure(n: Column) -> Column:
+    """sin(pi x/L) sin(pi y/L) with exact zeros on the border."""
+    return let(
+        _plate_axes(n),
+        lambda b: F.transform(
+            _cells(b["n"] * b["n"]),
+            lambda i: F.get(b["exact"], _ix(b, i)) * F.get(b["exact"], _iy(b, i)),
+        ),
+    )
 
 
 def plate_permeability(pressure: Column, contrast: Column) -> Column:
@@ -64,15 +95,17 @@ def plate_forcing(n: Column, length: Column, contrast: Column) -> Column:
     """-div(a grad p) of the closed-form pressure and permeability."""
     k2 = (F.lit(math.pi) / length) * (F.lit(math.pi) / length)
 
-    def cell(i):
-        px, py, border = _plate(n, i)
-        p = F.when(border, F.lit(0.0)).otherwise(F.sin(px) * F.sin(py))
-        mixed = F.cos(px) * F.cos(px) * F.sin(py) * F.sin(py) + F.sin(px) * F.sin(px) * F.cos(
-            py
-        ) * F.cos(py)
+    def cell(b, i):
+        ix, iy = _ix(b, i), _iy(b, i)
+        p = F.get(b["exact"], ix) * F.get(b["exact"], iy)
+        sx, sy = F.get(b["sin"], ix), F.get(b["sin"], iy)
+        cx, cy = F.get(b["cos"], ix), F.get(b["cos"], iy)
+        mixed = cx * cx * sy * sy + sx * sx * cy * cy
         return 2 * k2 * (1 + contrast * p) * p - contrast * k2 * mixed
 
-    return F.transform(_cells(n * n), cell)
+    return let(
+        _plate_axes(n), lambda b: F.transform(_cells(b["n"] * b["n"]), lambda i: cell(b, i))
+    )
 
 
 # -- moments ----------------------------------------------------------------------
@@ -93,8 +126,10 @@ def rms(values: str | Column) -> Column:
 
 def mean_preserving_update(state: str | Column, increment: str | Column) -> Column:
     """Add an increment after removing its spatial mean."""
-    mean = mean_of(increment)
-    return F.zip_with(col(state), col(increment), lambda u, d: u + (d - mean))
+    return let(
+        mean_of(increment),
+        lambda mean: F.zip_with(col(state), col(increment), lambda u, d: u + (d - mean)),
+    )
 
 
 # -- stencils ---------------------------------------------------------------------
@@ -102,14 +137,13 @@ def mean_preserving_update(state: str | Column, increment: str | Column) -> Colu
 
 def burgers_rhs(values: str | Column, dx: Column, viscosity: Column) -> Column:
     """Conservative central flux plus diffusion on a periodic grid."""
-    v = col(values)
 
-    def cell(u, i):
+    def cell(v, u, i):
         east, west = neighbor(v, i, 1), neighbor(v, i, -1)
         flux = (0.5 * east * east - 0.5 * west * west) / (2 * dx)
         return -flux + viscosity * (east - 2 * u + west) / (dx * dx)
 
-    return F.transform(v, cell)
+    return let(col(values), lambda v: F.transform(v, lambda u, i: cell(v, u, i)))
 
 
 def burgers_residual(
@@ -117,12 +151,13 @@ def burgers_residual(
 ) -> Column:
     """u_t + u u_x - nu u_xx at a saved frame, from its neighbours in time and space."""
 
-    def cell(u, i):
-        east, west = neighbor(now, i, 1), neighbor(now, i, -1)
-        ut = (F.get(after, i) - F.get(before, i)) / (2 * dt)
+    def cell(b, u, i):
+        east, west = neighbor(b["now"], i, 1), neighbor(b["now"], i, -1)
+        ut = (F.get(b["after"], i) - F.get(b["before"], i)) / (2 * dt)
         return ut + u * (east - west) / (2 * dx) - viscosity * (east - 2 * u + west) / (dx * dx)
 
-    return F.transform(now, cell)
+    bound = F.struct(before.alias("before"), now.alias("now"), after.alias("after"))
+    return let(bound, lambda b: F.transform(b["now"], lambda u, i: cell(b, u, i)))
 
 
 def darcy_residual(
@@ -130,24 +165,29 @@ def darcy_residual(
 ) -> Column:
     """-div(a grad p) - f on interior cells with harmonic faces; border pressure is zero."""
 
-    def interior_only(value, i):
-        ix, iy = F.pmod(i, n), F.floor(i / n)
-        inside = (ix > 0) & (ix < n - 1) & (iy > 0) & (iy < n - 1)
-        return F.when(inside, value)
-
-    def cell(p, i):
-        a = F.get(permeability, i)
+    def cell(b, p, i):
+        width = b["n"]
+        a = F.get(b["a"], i)
+        ix, iy = F.pmod(i, width), F.floor(i / width)
+        inside = (ix > 0) & (ix < width - 1) & (iy > 0) & (iy < width - 1)
 
         def flux(j):
-            b = F.get(permeability, j)
-            return 2 * a * b / (a + b) * (p - F.get(pressure, j))
-
-        k = i.cast("int")
-        width = n.cast("int")
-        out = (flux(k + 1) + flux(k - 1) + flux(k + width) + flux(k - width)) / (spacing * spacing)
-        return interior_only(out - F.get(forcing, k), i)
-
-    return F.array_compact(F.transform(pressure, cell))
+            other = F.get(b["a"], j)
+            return 2 * a * other / (a + other) * (p - F.get(b["p"], j))
+
+        out = flux(i + 1) + flux(i - 1) + flux(i + width) + flux(i - width)
+        return F.when(inside, out / b["h2"] - F.get(b["f"], i))
+
+    bound = F.struct(
+        pressure.alias("p"),
+        permeability.alias("a"),
+        forcing.alias("f"),
+        n.cast("int").alias("n"),
+        (spacing * spacing).alias("h2"),
+    )
+    return let(
+        bound, lambda b: F.array_compact(F.transform(b["p"], lambda p, i: cell(b, p, i)))
+    )
 
 
 def stability_rate_1d(values: str | Column, dx: Column, viscosity: Column) -> Column:
@@ -169,9 +209,16 @@ def stability_rate_2d(
 
 def subsample_error(reference: str | Column, solution: str | Column) -> Column:
     """RMS distance between a solution and every k-th cell of a finer reference."""
-    fine, coarse = col(reference), col(solution)
-    step = F.floor(F.size(fine) / F.size(coarse)).cast("int")
-    return rms(F.transform(coarse, lambda v, i: v - F.get(fine, i * step)))
+    bound = F.struct(
+        col(reference).alias("fine"),
+        col(solution).alias("coarse"),
+        F.floor(F.size(col(reference)) / F.size(col(solution))).cast("int").alias("step"),
+    )
+    gap = let(
+        bound,
+        lambda b: F.transform(b["coarse"], lambda v, i: v - F.get(b["fine"], i * b["step"])),
+    )
+    return let(gap, rms)
 
 
 def doubles(values: str | Column) -> Column:

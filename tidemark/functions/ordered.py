@@ -122,81 +122,91 @@ def with_dense_neighbors(
     return out.filter(~F.col("_ghost")).select(*df.columns, *prev, *next)
 
 
+def join_groups(left: DataFrame, right: DataFrame, keys: Sequence[str]) -> DataFrame:
+    """Inner join on group keys where NULL is a group like any other."""
+    renamed = right.select(
+        *[F.col(c).alias(f"_k_{c}" if c in keys else c) for c in right.columns]
+    )
+    same = [F.col(k).eqNullSafe(F.col(f"_k_{k}")) for k in keys]
+    return left.join(renamed, same).drop(*[f"_k_{k}" for k in keys])
+
+
 def exact_medians(
     df: DataFrame, keys: Sequence[str], measures: Sequence[str], *, buckets: int = 4096
 ) -> DataFrame:
     """Exact medians per group without holding a group in one task.
 
-    One pass finds each measure's range, a second its histogram, and only the one or two
-    histogram buckets that contain the middle ranks are sorted. Equal values are counted
-    before they move, so a value shared by a third of all rows is one row.
-    Returns one row per group with ``<measure>_median``, NULLs ignored.
+    A first scan finds every measure's range, a second its histogram, and a third picks up
+    only the values of the one or two histogram buckets that contain the middle ranks. Each
+    scan is combined before the shuffle, so what moves is ranges, histograms and a few
+    buckets, never all values; equal values are counted first, so a value shared by a third
+    of all rows is one row. Returns ``<measure>_median`` per group, NULLs ignored.
     """
     keys = list(keys)
-    long = df.select(
-        *keys,
-        F.explode(
-            F.array(
-                *[
-                    F.struct(F.lit(m).alias("measure"), F.col(m).cast("double").alias("value"))
-                    for m in measures
-                ]
-            )
-        ).alias("_m"),
-    ).select(*keys, "_m.measure", "_m.value").filter(F.col("value").isNotNull())
-    group = [*keys, "measure"]
-    counted = long.groupBy(*group, "value").agg(F.count("*").alias("n"))
-    ranges = counted.groupBy(*group).agg(
-        F.min("value").alias("lo"), F.max("value").alias("hi"), F.sum("n").alias("total")
+    narrow = df.select(*keys, *[F.col(m).cast("double").alias(m) for m in measures])
+    ranges = narrow.groupBy(*keys).agg(
+        *[F.struct(F.min(m).alias("lo"), F.max(m).alias("hi")).alias(f"_r_{m}") for m in measures]
     )
-    # Groups are as few as the report has rows; AQE broadcasts them when they are small.
-    bucket = F.when(F.col("hi") == F.col("lo"), F.lit(0)).otherwise(
-        F.least(
-            F.floor((F.col("value") - F.col("lo")) / (F.col("hi") - F.col("lo")) * buckets),
-            F.lit(buckets - 1),
+
+    def bucket(m: str) -> Column:
+        lo, hi = F.col(f"_r_{m}.lo"), F.col(f"_r_{m}.hi")
+        scaled = F.floor((F.col(m) - lo) / (hi - lo) * buckets)
+        return F.when(hi == lo, 0).otherwise(F.least(scaled, F.lit(buckets - 1))).cast("int")
+
+    entries = F.array_compact(
+        F.array(
+            *[
+                F.when(
+                    F.col(m).isNotNull(),
+                    F.struct(
+                        F.lit(i).alias("measure"),
+                        bucket(m).alias("bucket"),
+                        F.col(m).alias("value"),
+                    ),
+                )
+                for i, m in enumerate(measures)
+            ]
         )
-    ).cast("int")
-    placed = counted.join(ranges, group).withColumn("bucket", bucket)
-    hist = placed.groupBy(*group, "bucket").agg(
-        F.sum("n").alias("n"), F.first("total").alias("total")
     )
-    running = Window.partitionBy(*group).orderBy("bucket")
-    before = F.sum("n").over(running) - F.col("n")
-    low_rank = F.expr("(total - 1) div 2")
-    high_rank = F.expr("total div 2")
+    group = [*keys, "measure"]
+    placed = join_groups(narrow, ranges, keys).select(*keys, F.inline(entries))
+    hist = placed.groupBy(*group, "bucket").agg(F.count("*").alias("n"))
+    # Never more than ``buckets`` rows per window.
+    running, whole = Window.partitionBy(*group).orderBy("bucket"), Window.partitionBy(*group)
+    low_rank, high_rank = F.expr("(total - 1) div 2"), F.expr("total div 2")
+
+    def holds(rank: Column, start: str) -> Column:
+        return (F.col(start) <= rank) & (rank < F.col(start) + F.col("n"))
+
     targets = (
-        hist.withColumn("before", before)
-        .filter(
-            ((F.col("before") <= low_rank) & (low_rank < F.col("before") + F.col("n")))
-            | ((F.col("before") <= high_rank) & (high_rank < F.col("before") + F.col("n")))
+        hist.withColumns(
+            {
+                "before": F.sum("n").over(running) - F.col("n"),
+                "total": F.sum("n").over(whole),
+            }
         )
-        .select(*group, "bucket", "before")
+        .filter(holds(low_rank, "before") | holds(high_rank, "before"))
+        .drop("n")
+    )
+    values = join_groups(placed, targets, [*group, "bucket"])
+    counted = values.groupBy(*group, "bucket", "value", "before", "total").agg(
+        F.count("*").alias("n")
     )
     inner = Window.partitionBy(*group, "bucket").orderBy("value")
-    picked = (
-        placed.join(targets, [*group, "bucket"])
-        .withColumn("start", F.col("before") + F.sum("n").over(inner) - F.col("n"))
-        .groupBy(*group)
-        .agg(
-            F.max(
-                F.when(
-                    (F.col("start") <= low_rank) & (low_rank < F.col("start") + F.col("n")),
-                    F.col("value"),
-                )
-            ).alias("low"),
-            F.max(
-                F.when(
-                    (F.col("start") <= high_rank) & (high_rank < F.col("start") + F.col("n")),
-                    F.col("value"),
-                )
-            ).alias("high"),
-        )
-        .withColumn("median", (F.col("low") + F.col("high")) / 2)
+    start = counted.withColumn("start", F.col("before") + F.sum("n").over(inner) - F.col("n"))
+    picked = start.groupBy(*group).agg(
+        (
+            (
+                F.max(F.when(holds(low_rank, "start"), F.col("value")))
+                + F.max(F.when(holds(high_rank, "start"), F.col("value")))
+            )
+            / 2
+        ).alias("median")
     )
     return picked.groupBy(*keys).agg(
         *[
-            F.max(F.when(F.col("measure") == m, F.col("median"))).alias(f"{m}_median")
-            for m in measures
+            F.max(F.when(F.col("measure") == i, F.col("median"))).alias(f"{m}_median")
+            for i, m in enumerate(measures)
         ]
     )
 

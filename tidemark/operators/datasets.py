@@ -14,6 +14,7 @@ from tidemark.functions.exprs import (
     is_finite,
     is_uniform_coordinate,
     is_web_url,
+    let,
     mean_of,
     reasons,
 )
@@ -281,12 +282,11 @@ def training_normalization(frames: DataFrame) -> DataFrame:
     train = frames.filter(F.col("split") == "train").select(
         F.col("values").cast("array<float>").cast("array<double>").alias("_v")
     )
-    parts = train.select(v, mean_of(v).alias("m")).select(
-        F.size(v).alias("n"),
-        "m",
-        F.aggregate(
-            v, F.lit(0.0), lambda a, x: a + (x - F.col("m")) * (x - F.col("m"))
-        ).alias("m2"),
+    centred = lambda m: F.aggregate(
+        v, F.lit(0.0), lambda a, x: a + (x - m) * (x - m)
+    )
+    parts = train.select(
+        F.size(v).alias("n"), mean_of(v).alias("m"), let(mean_of(v), centred).alias("m2")
     )
     out = parts.agg(
         F.sum("n").alias("count"),

@@ -9,7 +9,7 @@ from pyspark.sql import functions as F
 from pyspark.sql.types import DoubleType
 
 from tidemark.functions import grids
-from tidemark.functions.exprs import max_abs, mean_of, sum_sq, total
+from tidemark.functions.exprs import let, max_abs, mean_of, sum_sq, total
 from tidemark.functions.ordered import with_dense_neighbors
 
 # Fixed value: largest accepted dt * rate of the stability screen.
@@ -74,7 +74,7 @@ def darcy_diagnostics(plates: DataFrame) -> DataFrame:
     return plates.select(
         "run_id",
         n,
-        grids.rms(residual).alias("residual_l2"),
+        let(residual, grids.rms).alias("residual_l2"),
         (h * F.sqrt(sum_sq(error))).alias("pressure_l2_error"),
     )
 
@@ -118,7 +118,7 @@ def saved_frame_residuals(
     residual = grids.burgers_residual(
         F.col("before"), F.col("values"), F.col("after"), dt, dx, viscosity
     )
-    return around.select("run_id", "frame", grids.rms(residual).alias("residual_rms"))
+    return around.select("run_id", "frame", let(residual, grids.rms).alias("residual_rms"))
 
 
 def frame_gaps(frames: DataFrame) -> DataFrame:

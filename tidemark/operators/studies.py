@@ -7,7 +7,7 @@ from collections.abc import Sequence
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from tidemark.functions.ordered import exact_medians, with_neighbors
+from tidemark.functions.ordered import exact_medians, join_groups, with_neighbors
 
 # Byte offsets are wide apart; blocks of one GiB hold many ranges each.
 OFFSET_WIDTH = 1 << 30
@@ -57,7 +57,7 @@ def summarize_trials(
         F.when(F.bool_and(F.col("peak_rss").isNotNull()), F.max("peak_rss")).alias("peak_rss_max"),
     )
     medians = exact_medians(rated, keys, MEASURES)
-    return with_speedup(plain.join(medians, keys), keys)
+    return with_speedup(join_groups(plain, medians, keys), keys)
 
 
 def with_speedup(summary: DataFrame, keys: Sequence[str]) -> DataFrame:

@@ -91,7 +91,10 @@ def plan_sweeps(specs: DataFrame) -> DataFrame:
     Duplicates after normalisation keep the smallest ordinal. All groups here are one
     spec's grid, which ``MAX_SWEEP_RUNS`` bounds.
     """
-    members = normalize_configs(expand_sweeps(specs))
+    # One spec becomes up to 10,000 rows: spread the small specs first. Everything after
+    # keeps this partitioning, so it is the only shuffle.
+    tasks = int(specs.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    members = normalize_configs(expand_sweeps(specs.repartition(tasks, "spec_id")))
     whole = Window.partitionBy("spec_id")
     return (
         members.withColumn("_invalid", F.max(F.size("reasons")).over(whole))

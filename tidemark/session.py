@@ -58,3 +58,12 @@ def settle(df: DataFrame) -> DataFrame:
     """
     checkpoint_dir(df.sparkSession)
     return df.checkpoint(eager=True)
+
+
+def widen(df: DataFrame) -> DataFrame:
+    """Spread rows that are expensive to compute on when their files give too few tasks.
+
+    Does nothing for tables of many files, where the scan is parallel already.
+    """
+    cores = df.sparkSession.sparkContext.defaultParallelism
+    return df if df.rdd.getNumPartitions() >= cores else df.repartition(cores)

@@ -10,6 +10,7 @@ from tidemark.functions import grids
 from tidemark.functions.exprs import html_safe_json, max_abs, total
 from tidemark.functions.ordered import with_dense_neighbors
 from tidemark.operators import fields, integrity, preview, summary
+from tidemark.session import widen
 from tidemark.sources import driver_tables as dt
 from tidemark.suite import query
 
@@ -154,7 +155,7 @@ def plates(spark, sf_dir):
         (1.0 + F.col("p_partkey") % 3).alias("length"),
         ((F.col("p_partkey") % 8) / 10.0).alias("contrast"),
     )
-    p = p.withColumn("exact", grids.plate_pressure(F.col("n")))
+    p = widen(p).withColumn("exact", grids.plate_pressure(F.col("n")))
     return p.withColumns(
         {
             "permeability": grids.plate_permeability(F.col("exact"), F.col("contrast")),
