@@ -9,6 +9,8 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from tidemark.session import widen
+
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
@@ -186,7 +188,7 @@ def job_events_of(e: DataFrame) -> DataFrame:
 def trials(spark: SparkSession, sf_dir: str) -> DataFrame:
     """One benchmark repetition per line item."""
     i = table(spark, sf_dir, "lineitem")
-    return i.select(
+    return widen(i.drop("l_shipdate", "l_tax", "l_discount")).select(
         F.ascii("l_returnflag").alias("grid_size"),
         F.when(F.col("l_linestatus") == "O", "streamed").otherwise("buffered").alias("mode"),
         (1 + F.col("l_linenumber") % 4).alias("workers"),

@@ -5,7 +5,9 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from tidemark.functions.exprs import is_uniform_coordinate, total
+from tidemark import streaming
 from tidemark.operators import datasets
+from tidemark.plans import export
 from tidemark.sources import driver_tables as dt
 from tidemark.suite import query
 
@@ -383,3 +385,109 @@ def cohort_overlap(spark, sf_dir):
     return datasets.cohort_overlap(new, earlier, "initial_field_sha256").select(
         "doc_id", "initial_field_sha256"
     )
+
+
+# -- end to end -------------------------------------------------------------------
+
+
+def export_tables(spark, sf_dir):
+    """Runs over the frames view; some need review, some have another viscosity."""
+    frames = dt.frames(spark, sf_dir).select("run_id", "frame", "time", "values")
+    steps = lambda n, h: F.transform(F.sequence(F.lit(0), F.lit(n - 1)), lambda i: i * h)
+    k = F.col("id")
+    runs = frames.filter("frame = 0").select(F.col("run_id").alias("id")).select(
+        "id",
+        F.lit("completed").alias("status"),
+        F.lit("burgers1d").alias("equation"),
+        (k % 7 == 3).alias("needs_review"),
+        F.lit("periodic").alias("boundary"),
+        F.lit(64.0).alias("domain_length"),
+        F.when(k % 10 == 4, 0.2).otherwise(0.1).alias("viscosity"),
+        steps(25, 0.01).alias("times"),
+        steps(64, 1.0).alias("x"),
+        F.lit(25).alias("frames"),
+        F.lit(0).alias("problems"),
+        F.when(k % 9 == 8, "sine").otherwise("random").alias("initial_condition"),
+        (k % 9).alias("seed"),
+    )
+    return export.plan_dataset(runs, frames, SEED)
+
+
+EXPORT_SQL = """, r AS (SELECT DISTINCT run_id AS id FROM frames WHERE run_id % 7 <> 3 AND run_id % 10 <> 4),
+k AS (SELECT id, CASE WHEN id % 9 = 8 THEN '{"initial_condition":"sine","seed":null}' ELSE '{"initial_condition":"random","seed":' || id % 9 || '}' END AS key FROM r),
+fam AS (SELECT id, sha256('1:' || CAST('0x' || substr(sha256(key), 1, 15) AS BIGINT) || ':' || CAST('0x' || substr(sha256(key), 16, 15) AS BIGINT) || ':'
+   || CAST('0x' || substr(sha256(key), 31, 15) AS BIGINT) || ':' || CAST('0x' || substr(sha256(key), 46, 15) AS BIGINT)) AS family_id FROM k),
+rk AS (SELECT family_id, row_number() OVER (ORDER BY sha256('17:' || family_id)) AS n, count(*) OVER () AS c FROM (SELECT DISTINCT family_id FROM fam)),
+sp AS (SELECT fam.id, fam.family_id, CASE WHEN n <= greatest(1, c // 5) THEN 'validation' WHEN n <= 2 * greatest(1, c // 5) THEN 'test' ELSE 'train' END AS split
+  FROM fam JOIN rk ON fam.family_id = rk.family_id)"""
+
+
+@query(
+    "dataset_export",
+    dt.with_views("frames") + EXPORT_SQL + " SELECT id, family_id, split FROM sp",
+)
+def dataset_export(spark, sf_dir):
+    return export_tables(spark, sf_dir)["trajectories"].select("id", "family_id", "split")
+
+
+@query(
+    "dataset_export_normalization",
+    dt.with_views("frames")
+    + EXPORT_SQL
+    + """ SELECT count(*) AS count, round(avg(v), 10) AS mean, round(stddev_pop(v), 10) AS std
+FROM (SELECT unnest(f.vals) AS v FROM frames f JOIN sp ON f.run_id = sp.id WHERE sp.split = 'train')""",
+)
+def dataset_export_normalization(spark, sf_dir):
+    n = export_tables(spark, sf_dir)["normalization"]
+    return n.select("count", F.round("mean", 10).alias("mean"), F.round("std", 10).alias("std"))
+
+
+@query(
+    "dataset_export_rejections",
+    dt.with_views("frames")
+    + """ SELECT DISTINCT run_id AS id, CASE WHEN run_id % 7 = 3 THEN 'needs review' ELSE 'different time, grid or viscosity' END AS reject_reason
+FROM frames WHERE run_id % 7 = 3 OR run_id % 10 = 4""",
+)
+def dataset_export_rejections(spark, sf_dir):
+    return export_tables(spark, sf_dir)["rejected"]
+
+
+@query(
+    "dataset_round_trip",
+    dt.with_views("frames")
+    + EXPORT_SQL
+    + """ SELECT sp.split, count(*) AS frames, round(sum(list_sum(f.vals)), 5) AS total, CAST(0 AS BIGINT) AS problems
+FROM frames f JOIN sp ON f.run_id = sp.id GROUP BY sp.split""",
+)
+def dataset_round_trip(spark, sf_dir):
+    """Publish a dataset into the shared scratch folder, verify it and read it back."""
+    path = streaming.scratch(spark, "dataset")
+    export.write_dataset(export_tables(spark, sf_dir), SEED, path)
+    problems = export.verify_bundle(spark, path, "dataset").agg(F.count("*").alias("problems"))
+    stored = spark.read.parquet(f"{path}/frames")
+    return (
+        stored.groupBy("split")
+        .agg(
+            F.count("*").alias("frames"),
+            F.round(F.sum(total(F.col("values").cast("array<double>"))), 5).alias("total"),
+        )
+        .join(F.broadcast(problems))  # one row
+    )
+
+
+@query(
+    "acquired_subset",
+    dt.with_views("frames")
+    + """, s AS (SELECT run_id FROM (SELECT DISTINCT run_id FROM frames) ORDER BY sha256('5:' || run_id), run_id LIMIT 6)
+SELECT run_id AS sample, frame, row_number() OVER (PARTITION BY frame ORDER BY run_id) - 1 AS ordinal, 'CC-BY' AS license_name
+FROM frames WHERE run_id IN (SELECT run_id FROM s) AND frame < 12""",
+)
+def acquired_subset(spark, sf_dir):
+    out = export.acquire_tensor(
+        tensor(spark, sf_dir),
+        samples=6,
+        sample_seed=5,
+        time_stop=12,
+        provenance={"license_name": "CC-BY"},
+    )
+    return out.select("sample", "frame", "ordinal", "license_name")

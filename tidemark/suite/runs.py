@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
-from tidemark import schemas
+from tidemark import schemas, streaming
 from tidemark.operators import integrity, summary
 from tidemark.sources import catalog as sources
 from tidemark.sources import driver_tables as dt
@@ -376,3 +376,21 @@ SELECT r.id, r.parent_id FROM runs r WHERE r.parent_id IS NULL
 def parents_ready(spark, sf_dir):
     runs = dt.runs(spark, sf_dir).select("id", "parent_id")
     return sources.parents_ready(runs, runs, artifact_problem_ids(spark, sf_dir))
+
+
+@query(
+    "publication_round_trip",
+    dt.with_views("runs")
+    + """ SELECT equation, status, count(*) AS runs, CAST(sum(steps) AS BIGINT) AS steps FROM runs GROUP BY equation, status""",
+)
+def publication_round_trip(spark, sf_dir):
+    """Publish the runs in two overlapping batches and read the committed catalog."""
+    root = streaming.scratch(spark, "lake")
+    runs = catalog(spark, sf_dir)
+    sources.publish_runs(runs.filter(F.col("steps") <= 150), None, root)
+    sources.publish_runs(runs.filter(F.col("steps") > 50), None, root)
+    return (
+        sources.published_catalog(spark, root)
+        .groupBy("equation", "status")
+        .agg(F.count("*").alias("runs"), F.sum("steps").alias("steps"))
+    )
