@@ -12,6 +12,8 @@ from collections.abc import Sequence
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from tidemark.functions.skew import by_size
+
 BLOCK_WIDTH = 4096
 
 
@@ -124,9 +126,7 @@ def with_dense_neighbors(
 
 def join_groups(left: DataFrame, right: DataFrame, keys: Sequence[str]) -> DataFrame:
     """Inner join on group keys where NULL is a group like any other."""
-    renamed = right.select(
-        *[F.col(c).alias(f"_k_{c}" if c in keys else c) for c in right.columns]
-    )
+    renamed = right.withColumnsRenamed({k: f"_k_{k}" for k in keys})
     same = [F.col(k).eqNullSafe(F.col(f"_k_{k}")) for k in keys]
     return left.join(renamed, same).drop(*[f"_k_{k}" for k in keys])
 
@@ -169,7 +169,7 @@ def exact_medians(
         )
     )
     group = [*keys, "measure"]
-    placed = join_groups(narrow, ranges, keys).select(*keys, F.inline(entries))
+    placed = join_groups(narrow, by_size(ranges), keys).select(*keys, F.inline(entries))
     hist = placed.groupBy(*group, "bucket").agg(F.count("*").alias("n"))
     # Never more than ``buckets`` rows per window.
     running, whole = Window.partitionBy(*group).orderBy("bucket"), Window.partitionBy(*group)
@@ -188,7 +188,7 @@ def exact_medians(
         .filter(holds(low_rank, "before") | holds(high_rank, "before"))
         .drop("n")
     )
-    values = join_groups(placed, targets, [*group, "bucket"])
+    values = join_groups(placed, by_size(targets), [*group, "bucket"])
     counted = values.groupBy(*group, "bucket", "value", "before", "total").agg(
         F.count("*").alias("n")
     )

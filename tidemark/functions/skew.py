@@ -5,11 +5,17 @@ from __future__ import annotations
 from collections.abc import Sequence
 
 from pyspark.sql import DataFrame
+from pyspark.sql import functions as F
+
+from tidemark.session import settle
 
 # A node, key or group is hot when it holds more than one row in HOT_PARTS; there can be at
 # most HOT_PARTS such keys, which bounds what may be broadcast for them.
 HOT_PARTS = 256
 
+# Largest number of narrow rows that is sent to every executor.
+BROADCAST_ROWS = 1_000_000
+
 
 def lookup(left: DataFrame, right: DataFrame, keys: Sequence[str], how: str = "left") -> DataFrame:
     """Join ``left`` to ``right`` where ``right`` has one row per key.
@@ -20,3 +26,14 @@ def lookup(left: DataFrame, right: DataFrame, keys: Sequence[str], how: str = "l
     keys or not at all. ``right`` must be unique: a hot key then never multiplies rows.
     """
     return left.join(right, list(keys), how)
+
+
+def by_size(small: DataFrame, rows: int = BROADCAST_ROWS) -> DataFrame:
+    """Mark a narrow table for broadcast if it has at most ``rows`` rows, else leave it.
+
+    Spark cannot tell the size of an aggregate beforehand and would shuffle the other side,
+    often whole field arrays, to meet it. The table is written first and counted, so the
+    decision rests on its real size; beyond the limit the join is an ordinary shuffled one.
+    """
+    settled = settle(small)
+    return F.broadcast(settled) if settled.limit(rows + 1).count() <= rows else settled

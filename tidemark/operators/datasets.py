@@ -71,9 +71,9 @@ def contract_digest(times: Column, x: Column, viscosity: Column) -> Column:
 def contract_outliers(runs: DataFrame, digest: str = "contract_sha256") -> DataFrame:
     """Runs whose time, grid or viscosity differs from the most common contract."""
     counts = runs.groupBy(digest).agg(F.count("*").alias("n"))
-    # Ties go to the smaller digest. One row.
-    mode = counts.agg(F.max_by(digest, F.struct("n", F.col(digest))).alias("_mode"))
-    return runs.join(F.broadcast(mode), F.col(digest) != F.col("_mode")).drop("_mode")
+    # Ties go to the larger digest.
+    mode = counts.agg(F.max_by(digest, F.struct("n", F.col(digest))))
+    return runs.filter(F.col(digest) != mode.scalar())
 
 
 def coordinate_problems(coords: DataFrame, minimum: dict[str, int]) -> DataFrame:
@@ -216,10 +216,10 @@ def split_families(family_ids: DataFrame, seed: int) -> DataFrame:
     distinct = family_ids.select("family_id").distinct()
     keyed = distinct.withColumn("_key", F.sha2(F.concat_ws(":", F.lit(seed), "family_id"), 256))
     ranked = hashed_rank(keyed, "_key", "_rank")
-    size = distinct.agg(F.count("*").alias("_families"))
+    size = distinct.agg(F.count("*")).scalar()
     holdout = F.greatest(F.lit(1), F.expr("_families div 5"))
     return (
-        ranked.join(F.broadcast(size))  # one row
+        ranked.withColumn("_families", size)
         .withColumn(
             "split",
             F.when(F.col("_families") < MIN_FAMILIES, F.lit(None).cast("string"))
@@ -305,15 +305,15 @@ def training_normalization(frames: DataFrame) -> DataFrame:
 def normalization_audit(frames: DataFrame, stored: DataFrame) -> DataFrame:
     """Whether a stored normaliser equals the training statistics."""
     fresh = training_normalization(frames).select(
-        F.col("count").alias("n"), F.col("mean").alias("m"), F.col("std").alias("s")
+        F.struct(F.col("count").alias("n"), F.col("mean").alias("m"), F.col("std").alias("s"))
     )
-    return stored.join(F.broadcast(fresh)).select(  # one row
+    return stored.withColumn("_f", fresh.scalar()).select(
         "mean",
         "std",
         (
-            (F.col("count") == F.col("n"))
-            & is_close("mean", "m", 1e-6, 1e-8)
-            & is_close("std", "s", 1e-6, 1e-8)
+            (F.col("count") == F.col("_f.n"))
+            & is_close("mean", "_f.m", 1e-6, 1e-8)
+            & is_close("std", "_f.s", 1e-6, 1e-8)
         ).alias("passed"),
     )
 
@@ -323,9 +323,9 @@ def normalized_pairs(frames: DataFrame, normalization: DataFrame) -> DataFrame:
     pairs = with_dense_neighbors(
         frames, ["run_id"], "frame", next={"target": "values"}
     ).filter(F.col("target").isNotNull())
-    scale = F.broadcast(normalization.select(F.col("mean").alias("_m"), F.col("std").alias("_s")))
-    norm = lambda a: F.transform(a, lambda v: (v - F.col("_m")) / F.col("_s"))
-    return pairs.join(scale).select(  # one row
+    fit = normalization.select(F.struct("mean", "std")).scalar()
+    norm = lambda a: F.transform(a, lambda v: (v - F.col("_f.mean")) / F.col("_f.std"))
+    return pairs.withColumn("_f", fit).select(
         *[c for c in frames.columns if c != "values"],
         norm("values").alias("input"),
         norm("target").alias("target"),

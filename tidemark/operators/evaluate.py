@@ -11,11 +11,15 @@ from pyspark.sql import functions as F
 
 from tidemark.functions.exprs import all_finite, is_finite, max_abs, mean_of, sum_sq
 from tidemark.functions.ordered import with_dense_neighbors
+from tidemark.functions.skew import by_size
 
 # Rows scored per model call and accepted distance from an expected order.
 SCORE_BATCH = 64
 ORDER_TOLERANCE = 0.3
 
+# First frames that may be broadcast. They are whole fields, so only a few are.
+FIRST_FRAMES = 1000
+
 Step = Callable[[np.ndarray], np.ndarray]
 KEYS = ("run_id", "frame")
 
@@ -112,6 +116,32 @@ def persistence_rollout(frames: DataFrame) -> DataFrame:
     )
 
 
+def baseline_pairs(frames: DataFrame) -> DataFrame:
+    """Both persistence baselines next to their reference arrays.
+
+    The previous frame arrives as a neighbour, so it needs no join with the reference. The
+    first frames, one per trajectory, are broadcast if they are few.
+    """
+    narrow = frames.select(*KEYS, "values")
+    previous = with_dense_neighbors(narrow, ["run_id"], "frame", prev={"_before": "values"})
+    one = previous.filter(F.col("_before").isNotNull()).select(
+        *KEYS,
+        F.lit("persistence_one_step").alias("kind"),
+        F.col("_before").alias("prediction"),
+        F.col("values").alias("reference"),
+    )
+    first = narrow.filter(F.col("frame") == 0).select("run_id", F.col("values").alias("_first"))
+    held = narrow.filter(F.col("frame") > 0).join(by_size(first, FIRST_FRAMES), "run_id")
+    return one.unionByName(
+        held.select(
+            *KEYS,
+            F.lit("persistence_rollout").alias("kind"),
+            F.col("_first").alias("prediction"),
+            F.col("values").alias("reference"),
+        )
+    )
+
+
 def match(predictions: DataFrame, reference: DataFrame) -> DataFrame:
     """Pairs of predicted and reference arrays by trajectory and frame."""
     truth = reference.select(*KEYS, F.col("values").alias("reference"))
@@ -226,10 +256,7 @@ def evaluate(frames: DataFrame, step: Step, *, mean: float = 0.0, std: float = 1
     predictions = score_one_step(frames, step, mean=mean, std=std).unionByName(
         score_rollout(frames, step, mean=mean, std=std)
     )
-    everything = predictions.unionByName(persistence_one_step(frames)).unionByName(
-        persistence_rollout(frames)
-    )
-    scores = frame_scores(match(everything, frames))
+    scores = frame_scores(match(predictions, frames).unionByName(baseline_pairs(frames)))
     drifts = mean_drifts(predictions, frames)
     return {
         "predictions": predictions,
@@ -294,17 +321,19 @@ def refinement_report(errors: DataFrame, expected: Column) -> DataFrame:
 
 def validation_report(studies: DataFrame, cases: DataFrame) -> DataFrame:
     """Overall pass flag with byte totals and the largest allocation, one row."""
-    s = studies.agg(
-        F.bool_and("passed").alias("passed"),
-        F.count("*").alias("studies"),
-        F.count_if(~F.col("passed")).alias("failed_studies"),
+    passed = studies.agg(
+        F.struct(
+            F.bool_and("passed").alias("passed"),
+            F.count("*").alias("studies"),
+            F.count_if(~F.col("passed")).alias("failed_studies"),
+        )
     )
-    c = cases.agg(
+    totals = cases.agg(
         F.count("*").alias("cases"),
         F.sum("stored_bytes").alias("stored_output_bytes"),
         F.max("peak_bytes").alias("peak_traced_allocation_bytes_max_case"),
     )
-    return s.join(F.broadcast(c))  # one row each
+    return totals.withColumn("_s", passed.scalar()).select("_s.*", *totals.columns)
 
 
 def best_checkpoints(losses: DataFrame) -> DataFrame:

@@ -111,7 +111,7 @@ def catalog_snapshot(
     chosen = first_runs(catalog, count)
     keys = F.broadcast(chosen.select("id"))  # at most 200 ids
     bad = problems.join(keys, problems["run_id"] == F.col("id"), "left_semi")
-    corrupt = bad.agg((F.count("*") > 0).alias("_corrupt"))
+    corrupt = bad.agg(F.count("*") > 0).scalar()
     energy = series_preview(
         series.join(keys, series["run_id"] == F.col("id"), "left_semi")
     ).withColumnRenamed("run_id", "id")
@@ -135,8 +135,7 @@ def catalog_snapshot(
         chosen.join(digests, "id", "left")
         .join(energy, "id", "left")
         .join(field, "id", "left")
-        .join(F.broadcast(corrupt))  # one row
-        .select("id", F.col("_corrupt"), html_safe_json(payload).alias("payload"))
+        .select("id", corrupt.alias("_corrupt"), html_safe_json(payload).alias("payload"))
     )
     too_big = F.octet_length("payload") > MAX_PAYLOAD_BYTES
     return rows.select(

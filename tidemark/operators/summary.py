@@ -9,6 +9,7 @@ from pyspark.sql import functions as F
 
 from tidemark.functions.exprs import is_finite
 from tidemark.functions.ordered import with_neighbors
+from tidemark.functions.skew import by_size
 
 # Review tolerances.
 ENERGY_RTOL = 1e-8
@@ -177,10 +178,10 @@ def widen_diagnostics(long: DataFrame, names: Sequence[str]) -> DataFrame:
 def final_frames(frames: DataFrame) -> DataFrame:
     """The last saved frame of every run and field.
 
-    The position is found from the narrow columns first; field arrays are only read for the
-    frames that qualify.
+    The positions are found from the narrow columns first and then filter the scan, so field
+    arrays are not shuffled unless there are too many runs to broadcast their positions.
     """
-    last = frames.groupBy("run_id", "field").agg(F.max("frame").alias("frame"))
+    last = by_size(frames.groupBy("run_id", "field").agg(F.max("frame").alias("frame")))
     return frames.join(last, ["run_id", "field", "frame"], "left_semi")
 
 

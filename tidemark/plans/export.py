@@ -6,6 +6,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from tidemark.functions.exprs import canonical
+from tidemark.functions.skew import by_size
 from tidemark.operators import datasets, integrity
 from tidemark.session import settle
 
@@ -46,7 +47,7 @@ def plan_dataset(runs: DataFrame, frames: DataFrame, seed: int) -> dict[str, Dat
     odd = datasets.contract_outliers(eligible).select(
         "id", F.lit("different time, grid or viscosity").alias("reject_reason")
     )
-    cells = eligible.select(F.col("id").alias("run_id"), F.size("x").alias("_cells"))
+    cells = by_size(eligible.select(F.col("id").alias("run_id"), F.size("x").alias("_cells")))
     bad = datasets.payload_problems(frames.join(cells, "run_id"), F.col("_cells"))
     damaged = bad.groupBy(F.col("run_id").alias("id")).agg(F.min("problem").alias("reject_reason"))
     rejected = (
@@ -58,7 +59,7 @@ def plan_dataset(runs: DataFrame, frames: DataFrame, seed: int) -> dict[str, Dat
     usable = eligible.join(odd.unionByName(damaged), "id", "left_anti")
     keyed = trajectory_keys(usable, frames)
     trajectories = settle(datasets.families_and_splits(keyed, seed))
-    owners = trajectories.select(F.col("id").alias("run_id"), "split")
+    owners = by_size(trajectories.select(F.col("id").alias("run_id"), "split"))
     stored = frames.join(owners, "run_id").select(
         "run_id",
         "frame",
@@ -77,25 +78,20 @@ def plan_dataset(runs: DataFrame, frames: DataFrame, seed: int) -> dict[str, Dat
 
 def dataset_metadata(tables: dict[str, DataFrame], seed: int) -> DataFrame:
     """The one-row description of a dataset."""
-    norm = tables["normalization"].select(
-        F.struct("mean", "std", "fit_split", "count", "constant_training_data").alias(
-            "normalization"
-        )
-    )
     audit = tables["audit"].select(
-        F.struct(
-            "families", "trajectories", *[f"{s}_trajectories" for s in datasets.SPLITS]
-        ).alias("splits")
+        F.struct("families", "trajectories", *[f"{s}_trajectories" for s in datasets.SPLITS])
     )
-    return norm.join(F.broadcast(audit)).select(  # one row each
+    return tables["normalization"].select(
         F.lit(1).alias("schema_version"),
         F.lit("burgers1d").alias("equation"),
         F.lit("periodic").alias("boundary"),
         F.lit("float32").alias("dtype"),
         F.lit("raw_physical").alias("stored_values"),
         F.lit(seed).alias("split_seed"),
-        "normalization",
-        "splits",
+        F.struct("mean", "std", "fit_split", "count", "constant_training_data").alias(
+            "normalization"
+        ),
+        audit.scalar().alias("splits"),
     )
 
 

@@ -11,6 +11,7 @@ from pyspark.sql import types as T
 
 from tidemark import schemas
 from tidemark.functions.exprs import SAFE_ID, is_finite, is_safe_id
+from tidemark.functions.skew import by_size
 
 # Page limits and SQL nodes that a read-only query may contain.
 MAX_LISTED_RUNS = 200
@@ -408,7 +409,7 @@ def publish_runs(catalog_rows: DataFrame, frames: DataFrame | None, root: str) -
     if frames is not None:
         bad = array_problems(frames).select(F.col("run_id").alias("id")).distinct()
         new = new.join(bad, "id", "left_anti")
-        owners = new.select(F.col("id").alias("run_id"), "equation")
+        owners = by_size(new.select(F.col("id").alias("run_id"), "equation"))
         (
             frames.join(owners, "run_id")
             .withColumn("batch", F.lit(batch))

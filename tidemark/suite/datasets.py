@@ -188,11 +188,11 @@ def contract_outliers(spark, sf_dir):
         ).alias("contract_sha256"),
     )
     sizes = keyed.groupBy("contract_sha256").agg(F.count("*").alias("group_size"))
-    biggest = sizes.agg(F.max("group_size").alias("top"))
+    biggest = sizes.agg(F.max("group_size")).scalar()
     out = datasets.contract_outliers(keyed).join(sizes, "contract_sha256")
     # Equally common contracts are outliers too, but which one wins is a matter of digests.
     return (
-        out.join(F.broadcast(biggest), F.col("group_size") < F.col("top"))
+        out.filter(F.col("group_size") < biggest)
         .groupBy("group_size")
         .agg(F.count("*").alias("runs"))
     )
@@ -463,7 +463,7 @@ def dataset_round_trip(spark, sf_dir):
     """Publish a dataset into the shared scratch folder, verify it and read it back."""
     path = streaming.scratch(spark, "dataset")
     export.write_dataset(export_tables(spark, sf_dir), SEED, path)
-    problems = export.verify_bundle(spark, path, "dataset").agg(F.count("*").alias("problems"))
+    problems = export.verify_bundle(spark, path, "dataset").agg(F.count("*")).scalar()
     stored = spark.read.parquet(f"{path}/frames")
     return (
         stored.groupBy("split")
@@ -471,7 +471,7 @@ def dataset_round_trip(spark, sf_dir):
             F.count("*").alias("frames"),
             F.round(F.sum(total(F.col("values").cast("array<double>"))), 5).alias("total"),
         )
-        .join(F.broadcast(problems))  # one row
+        .withColumn("problems", problems)
     )
 
 
