@@ -7,6 +7,7 @@ one task. Here a key's rows are split into blocks of consecutive positions, wind
 
 from __future__ import annotations
 
+import math
 from collections.abc import Sequence
 
 from pyspark.sql import Column, DataFrame, Window
@@ -132,7 +133,7 @@ def join_groups(left: DataFrame, right: DataFrame, keys: Sequence[str]) -> DataF
 
 
 def exact_medians(
-    df: DataFrame, keys: Sequence[str], measures: Sequence[str], *, buckets: int = 4096
+    df: DataFrame, keys: Sequence[str], measures: Sequence[str], *, buckets: int | None = None
 ) -> DataFrame:
     """Exact medians per group without holding a group in one task.
 
@@ -141,12 +142,22 @@ def exact_medians(
     scan is combined before the shuffle, so what moves is ranges, histograms and a few
     buckets, never all values; equal values are counted first, so a value shared by a third
     of all rows is one row. Returns ``<measure>_median`` per group, NULLs ignored.
+    ``buckets`` defaults to the square root of the largest group, at most 4096.
     """
     keys = list(keys)
     narrow = df.select(*keys, *[F.col(m).cast("double").alias(m) for m in measures])
-    ranges = narrow.groupBy(*keys).agg(
-        *[F.struct(F.min(m).alias("lo"), F.max(m).alias("hi")).alias(f"_r_{m}") for m in measures]
+    ranges = by_size(
+        narrow.groupBy(*keys).agg(
+            *[
+                F.struct(F.min(m).alias("lo"), F.max(m).alias("hi")).alias(f"_r_{m}")
+                for m in measures
+            ],
+            F.count("*").alias("_rows"),
+        )
     )
+    if buckets is None:
+        largest = ranges.agg(F.max("_rows")).first()[0] or 0
+        buckets = min(max(math.isqrt(largest), 64), 4096)
 
     def bucket(m: str) -> Column:
         lo, hi = F.col(f"_r_{m}.lo"), F.col(f"_r_{m}.hi")
@@ -169,7 +180,7 @@ def exact_medians(
         )
     )
     group = [*keys, "measure"]
-    placed = join_groups(narrow, by_size(ranges), keys).select(*keys, F.inline(entries))
+    placed = join_groups(narrow, ranges, keys).select(*keys, F.inline(entries))
     hist = placed.groupBy(*group, "bucket").agg(F.count("*").alias("n"))
     # Never more than ``buckets`` rows per window.
     running, whole = Window.partitionBy(*group).orderBy("bucket"), Window.partitionBy(*group)
