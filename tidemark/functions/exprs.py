@@ -211,6 +211,23 @@ def html_safe_json(text: str | Column) -> Column:
     return out
 
 
+# -- time -------------------------------------------------------------------------
+
+
+def iso_text(moment: str | Column) -> Column:
+    """UTC timestamp as ISO-8601 text with microseconds."""
+    return F.date_format(col(moment), "yyyy-MM-dd'T'HH:mm:ss.SSSSSS'+00:00'")
+
+
+def from_iso_text(text: str | Column) -> Column:
+    return F.to_timestamp(col(text))
+
+
+def epoch_seconds(moment: str | Column) -> Column:
+    """Seconds since the epoch with their fraction, as queue tables store times."""
+    return F.unix_micros(col(moment)) / F.lit(1e6)
+
+
 def reasons(*checks: tuple[Column, str]) -> Column:
     """Array of the names of failed checks (condition NULL counts as failed)."""
     return F.array_compact(

@@ -59,7 +59,7 @@ def score_one_step(
                     }
                 )
 
-    last = frames.groupBy("run_id").agg(F.max("frame").alias("_last"))
+    last = by_size(frames.groupBy("run_id").agg(F.max("frame").alias("_last")))
     inputs = frames.select(*KEYS, "values").join(last, "run_id").filter(F.col("frame") < F.col("_last"))
     return inputs.select(*KEYS, "values").mapInPandas(score, _schema_of(frames))
 

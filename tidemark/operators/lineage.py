@@ -10,7 +10,8 @@ from pyspark.sql import functions as F
 from tidemark.functions.exprs import canonical, content_id, reasons
 from tidemark.session import settle
 
-# Entity and link types of the evidence graph, and the proposal policy.
+# Entity and link types of the evidence graph, and texts and limits of the
+# proposal policy.
 ENTITY_TYPES = (
     "Equation",
     "Solver",
@@ -47,6 +48,8 @@ POLICY = "refinement-v1"
 CRITERION = "Compare matched diagnostics and reference error"
 RATIONALE_STEADY = "Refine Darcy spacing to check manufactured-solution error reduction"
 RATIONALE_UNSTEADY = "Halve timestep at the same physical duration and saved times"
+ANOMALY_NOTE = "Numerical evidence requiring review"
+FINDING_NOTE = "Observation only; no automatic scientific judgment"
 MAX_PROPOSALS = 32
 MAX_PROPOSED_STEPS = 100_000
 
@@ -175,7 +178,7 @@ def graph_shapes(records: DataFrame, metrics: Sequence[str]) -> dict[str, dict]:
                 experiment_id="id",
                 kind=F.when(failed, "computational_failure").otherwise("sampled_diagnostic_flag"),
                 error="error",
-                interpretation=F.lit("Numerical evidence requiring review"),
+                interpretation=F.lit(ANOMALY_NOTE),
             ),
             "link": "observed_in",
             "inward": True,
@@ -493,7 +496,7 @@ def finding_entities(outcomes: DataFrame) -> DataFrame:
                 statement=F.concat(
                     F.lit("Refinement "), "id", F.lit(" ended as "), "status"
                 ),
-                interpretation=F.lit("Observation only; no automatic scientific judgment"),
+                interpretation=F.lit(FINDING_NOTE),
                 proposal_id="proposal_id",
             ).alias("properties"),
             F.array(

@@ -6,6 +6,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from tidemark.functions.exprs import finite_or_null, html_safe_json
+from tidemark.functions.skew import by_size
 from tidemark.sources.catalog import first_runs
 
 # Preview limits and the field shown for each equation.
@@ -42,7 +43,7 @@ def is_sampled(position: Column, count: Column) -> Column:
 
 def series_preview(series: DataFrame, value: str = "energy") -> DataFrame:
     """Sampled ``(time, value)`` of each run's diagnostic series; at most 201 entries per run."""
-    counts = series.groupBy("run_id").agg(F.count("*").alias("source_samples"))
+    counts = by_size(series.groupBy("run_id").agg(F.count("*").alias("source_samples")))
     shown = series.join(counts, "run_id").filter(
         is_sampled(F.col("frame"), F.col("source_samples"))
     )

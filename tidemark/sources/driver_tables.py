@@ -159,7 +159,7 @@ def trajectories(spark: SparkSession, sf_dir: str) -> DataFrame:
     return d.select(
         F.col("doc_id").alias("trajectory_id"),
         F.concat_ws(":", "source", "lang", F.expr("n_chars div 50")).alias("family_key"),
-        F.sha2(F.substring("text", 1, 40), 256).alias("initial_field_sha256"),
+        F.sha2("text", 256).alias("initial_field_sha256"),
     )
 
 
@@ -283,7 +283,7 @@ VIEWS: dict[str, str] = {
     CAST(octet_length(encode(text)) AS BIGINT) AS length, sha256(text) AS sha256 FROM documents)""",
     "trajectories": """trajectories AS (
   SELECT doc_id AS trajectory_id, source || ':' || lang || ':' || (n_chars // 50) AS family_key,
-    sha256(substr(text, 1, 40)) AS initial_field_sha256 FROM documents)""",
+    sha256(text) AS initial_field_sha256 FROM documents)""",
     "job_events": """job_events AS (
   SELECT user_id AS job_id, event_id AS sequence,
     CASE event_type WHEN 'signup' THEN 'submitted' WHEN 'view' THEN 'claimed' WHEN 'click' THEN 'renewed'

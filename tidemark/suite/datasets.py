@@ -213,24 +213,22 @@ def coordinate_arrays(spark, sf_dir):
 
 @query(
     "coordinate_problems",
-    """WITH c AS (SELECT l_orderkey // 16 AS run_id, l_orderkey % 16 AS idx, l_orderkey % 16 + CASE WHEN l_orderkey % 97 = 0 THEN 0.25 ELSE 0 END AS value
-  FROM lineitem WHERE l_orderkey // 16 IN (SELECT l_orderkey // 16 FROM lineitem GROUP BY 1 HAVING count(DISTINCT l_orderkey) = 16) GROUP BY l_orderkey)
-SELECT run_id, 'x' AS axis, 'not uniform' AS problem FROM c GROUP BY run_id HAVING bool_or(value <> idx)""",
+    """WITH c AS (SELECT o_orderkey // 16 AS run_id, o_orderkey % 16 AS idx,
+    o_orderkey % 16 + CASE WHEN o_orderkey % 97 = 0 THEN 0.25 WHEN o_orderkey % 401 = 0 THEN -2 ELSE 0 END AS value FROM orders),
+s AS (SELECT *, value - lag(value) OVER (PARTITION BY run_id ORDER BY idx) AS step FROM c),
+g AS (SELECT run_id, count(*) AS n, min(step) AS low, max(step) AS high, arg_min(step, idx) FILTER (step IS NOT NULL) AS first FROM s GROUP BY run_id)
+SELECT run_id, 'x' AS axis, CASE WHEN n < 4 THEN 'too short' WHEN low <= 0 THEN 'not increasing' ELSE 'not uniform' END AS problem FROM g
+WHERE n < 4 OR low <= 0 OR abs(low - first) > 1e-10 + 1e-4 * abs(first) OR abs(high - first) > 1e-10 + 1e-4 * abs(first)""",
 )
 def coordinate_problems(spark, sf_dir):
-    k = F.col("l_orderkey")
-    orders = dt.table(spark, sf_dir, "lineitem").select(k).distinct()
-    full = (
-        orders.groupBy(F.expr("l_orderkey div 16").alias("run_id"))
-        .agg(F.count("*").alias("n"))
-        .filter("n = 16")
-    )
-    coords = orders.select(
-        F.expr("l_orderkey div 16").alias("run_id"),
+    k = F.col("o_orderkey")
+    shift = F.when(k % 97 == 0, 0.25).when(k % 401 == 0, -2.0).otherwise(0.0)
+    coords = dt.table(spark, sf_dir, "orders").select(
+        F.expr("o_orderkey div 16").alias("run_id"),
         F.lit("x").alias("axis"),
         (k % 16).alias("idx"),
-        (k % 16 + F.when(k % 97 == 0, 0.25).otherwise(0.0)).alias("value"),
-    ).join(full, "run_id", "left_semi")
+        (k % 16 + shift).alias("value"),
+    )
     return datasets.coordinate_problems(coords, {"x": 4, "time": 2})
 
 

@@ -4,6 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
+from tidemark.functions.exprs import epoch_seconds, from_iso_text, iso_text
 from tidemark.functions.ordered import carry_forward
 from tidemark.operators import jobs
 from tidemark.sources import driver_tables as dt
@@ -95,3 +96,18 @@ def job_state_counts(spark, sf_dir):
 def claimable_jobs(spark, sf_dir):
     queue = dt.runs(spark, sf_dir).select(F.col("run_id").alias("job_id"), "status", "created_at")
     return jobs.claimable(queue, 20).select("job_id", "created_at")
+
+
+@query(
+    "event_times",
+    """SELECT event_id, strftime(ts, '%Y-%m-%dT%H:%M:%S.%f+00:00') AS iso, epoch_us(ts) / 1e6::DOUBLE AS seconds, TRUE AS round_trip FROM events""",
+)
+def event_times(spark, sf_dir):
+    moment = F.col("ts").cast("timestamp")
+    iso = iso_text(moment)
+    return dt.table(spark, sf_dir, "events").select(
+        "event_id",
+        iso.alias("iso"),
+        epoch_seconds(moment).alias("seconds"),
+        (from_iso_text(iso) == moment).alias("round_trip"),
+    )
