@@ -7,7 +7,7 @@ from collections.abc import Sequence
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from tidemark.functions.exprs import canonical, content_id, reasons
+from tidemark.functions.exprs import canonical, reasons
 from tidemark.session import settle
 
 # Entity and link types of the evidence graph, and texts and limits of the
@@ -107,114 +107,123 @@ def parent_child_metrics(catalog: DataFrame, metrics: Sequence[str]) -> DataFram
 # -- evidence graph ---------------------------------------------------------------
 
 
-def node_id(kind: str, properties: Column) -> Column:
-    return content_id(properties, 24, f"{kind.lower()}-")
-
+def _entry(
+    kind: str, link: str, properties: Column, present: Column | None = None, inward: bool = False
+) -> Column:
+    """One node that a run record implies, with its link to the run; NULL when absent."""
+    entry = F.struct(
+        F.lit(kind).alias("kind"),
+        F.lit(link).alias("link"),
+        F.lit(inward).alias("inward"),
+        properties.alias("properties"),
+    )
+    return entry if present is None else F.when(present, entry)
 
-def _node(df: DataFrame, kind: str, properties: Column, identity: Column | None = None) -> DataFrame:
-    rows = df.select(properties.alias("properties"))
-    if identity is not None:
-        rows = df.select(identity.alias("id"), properties.alias("properties"))
-    else:
-        # Few distinct values stand behind many runs: combine before the id is computed.
-        rows = rows.distinct().select(
-            node_id(kind, F.col("properties")).alias("id"), "properties"
-        )
-    return rows.select("id", F.lit(kind).alias("type"), "properties")
 
+def implied_entries(records: DataFrame, metrics: Sequence[str]) -> DataFrame:
+    """``id, kind, link, inward, properties`` of everything the run records imply.
 
-def graph_shapes(records: DataFrame, metrics: Sequence[str]) -> dict[str, dict]:
-    """Per node kind: the rows it comes from, its properties and its link to the run."""
-    is_flagged = F.coalesce(F.col("needs_review"), F.lit(False))
+    All kinds come out of one scan: every record carries its own small array of entries.
+    ``records``: catalog columns with ``boundary, initial_condition, source_sha256``.
+    """
     failed = F.col("status") == "failed"
-    measured = records.select(
-        "id",
-        F.inline(
-            F.array(
-                *[
-                    F.struct(F.lit(m).alias("name"), F.col(m).cast("string").alias("value"))
-                    for m in metrics
-                ]
-            )
+    flagged = F.coalesce(F.col("needs_review"), F.lit(False))
+    entries = [
+        _entry("Equation", "solves", canonical(name="equation")),
+        _entry("Solver", "uses", canonical(name="solver")),
+        _entry(
+            "BoundaryCondition",
+            "has_boundary",
+            canonical(name=F.coalesce("boundary", F.lit("unknown"))),
         ),
-    ).filter(F.col("value").isNotNull())
-    return {
-        "Equation": {"rows": records, "props": canonical(name="equation"), "link": "solves"},
-        "Solver": {"rows": records, "props": canonical(name="solver"), "link": "uses"},
-        "BoundaryCondition": {
-            "rows": records,
-            "props": canonical(name=F.coalesce("boundary", F.lit("unknown"))),
-            "link": "has_boundary",
-        },
-        "InitialCondition": {
-            "rows": records.filter(F.col("initial_condition").isNotNull()),
-            "props": canonical(
+        _entry(
+            "InitialCondition",
+            "starts_from",
+            canonical(
                 equation="equation",
                 grid_size="grid_size",
                 initial_condition="initial_condition",
                 seed="seed",
                 generator_source_sha256="source_sha256",
             ),
-            "link": "starts_from",
-        },
-        "Dataset": {
-            "rows": records.filter(F.col("status") == "completed"),
-            "props": canonical(
+            F.col("initial_condition").isNotNull(),
+        ),
+        _entry(
+            "Dataset",
+            "produces",
+            canonical(
                 experiment_id="id",
                 format=F.lit("parquet"),
                 path=F.concat(F.lit("experiments/"), "id", F.lit("/fields")),
             ),
-            "link": "produces",
-        },
-        "Metric": {
-            "rows": measured,
-            "props": canonical(experiment_id="id", name="name", value="value"),
-            "link": "measures",
-            "inward": True,
-        },
-        "Anomaly": {
-            "rows": records.filter(failed | is_flagged),
-            "props": canonical(
+            F.col("status") == "completed",
+        ),
+        _entry(
+            "Anomaly",
+            "observed_in",
+            canonical(
                 experiment_id="id",
                 kind=F.when(failed, "computational_failure").otherwise("sampled_diagnostic_flag"),
                 error="error",
                 interpretation=F.lit(ANOMALY_NOTE),
             ),
-            "link": "observed_in",
-            "inward": True,
-        },
-    }
+            failed | flagged,
+            inward=True,
+        ),
+        *[
+            _entry(
+                "Metric",
+                "measures",
+                canonical(experiment_id="id", name=F.lit(m), value=F.col(m).cast("string")),
+                F.col(m).isNotNull(),
+                inward=True,
+            )
+            for m in metrics
+        ],
+    ]
+    return records.select("id", F.inline(F.array_compact(F.array(*entries))))
+
+
+def _entry_id() -> Column:
+    return F.concat(
+        F.lower("kind"), F.lit("-"), F.substring(F.sha2("properties", 256), 1, 24)
+    )
 
 
 def derived_nodes(records: DataFrame, metrics: Sequence[str]) -> DataFrame:
     """Nodes that follow from run records.
 
-    ``records``: catalog columns with ``boundary, initial_condition, source_sha256``.
+    Few distinct values stand behind many runs, so equal entries are combined before the
+    shuffle and before their ids are computed.
     """
-    out = _node(
-        records,
-        "Experiment",
-        canonical(status="status", created_at="created_at", config="config_json"),
-        F.col("id"),
+    runs = records.select(
+        "id",
+        F.lit("Experiment").alias("type"),
+        canonical(status="status", created_at="created_at", config="config_json").alias(
+            "properties"
+        ),
+    )
+    implied = implied_entries(records, metrics).select("kind", "properties").distinct()
+    return runs.unionByName(
+        implied.select(_entry_id().alias("id"), F.col("kind").alias("type"), "properties")
     )
-    for kind, shape in graph_shapes(records, metrics).items():
-        out = out.unionByName(_node(shape["rows"], kind, shape["props"]))
-    return out
 
 
 def derived_edges(records: DataFrame, metrics: Sequence[str]) -> DataFrame:
     """Edges that follow from run records; repeated edges are kept."""
-    out = lineage_edges(records).select("source", "type", "target")
-    for kind, shape in graph_shapes(records, metrics).items():
-        other = node_id(kind, shape["props"])
-        run = F.col("id")
-        source, target = (other, run) if shape.get("inward") else (run, other)
-        out = out.unionByName(
-            shape["rows"].select(
-                source.alias("source"), F.lit(shape["link"]).alias("type"), target.alias("target")
+    inward = F.col("inward")
+    implied = implied_entries(records, metrics).withColumn("_node", _entry_id())
+    return (
+        lineage_edges(records)
+        .select("source", "type", "target")
+        .unionByName(
+            implied.select(
+                F.when(inward, F.col("_node")).otherwise(F.col("id")).alias("source"),
+                F.col("link").alias("type"),
+                F.when(inward, F.col("id")).otherwise(F.col("_node")).alias("target"),
             )
         )
-    return out
+    )
 
 
 def merge_nodes(*layers: DataFrame) -> DataFrame:
@@ -238,12 +247,19 @@ def unresolved_nodes(nodes: DataFrame, edges: DataFrame) -> DataFrame:
 def build_graph(
     records: DataFrame, entities: DataFrame | None, metrics: Sequence[str]
 ) -> dict[str, DataFrame]:
-    """Nodes and edges of the evidence graph: derived, asserted, then unresolved."""
+    """Nodes and edges of the evidence graph: derived, asserted, then unresolved.
+
+    A derived edge ends in the node derived with it. Only parents and asserted links can point
+    at nothing, so only those are looked up.
+    """
     nodes, edges = derived_nodes(records, metrics), derived_edges(records, metrics)
+    open_edges, known = lineage_edges(records), records.select("id")
     if entities is not None:
         nodes = merge_nodes(nodes, entities)
-        edges = edges.unionByName(entity_edges(entities))
-    return {"nodes": nodes.unionByName(unresolved_nodes(nodes, edges)), "edges": edges}
+        asserted = entity_edges(entities)
+        edges = edges.unionByName(asserted)
+        open_edges, known = open_edges.select("source", "type", "target").unionByName(asserted), nodes
+    return {"nodes": nodes.unionByName(unresolved_nodes(known, open_edges)), "edges": edges}
 
 
 # -- entities ---------------------------------------------------------------------

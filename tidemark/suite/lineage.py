@@ -6,6 +6,7 @@ from pyspark.sql import functions as F
 
 from tidemark.functions.exprs import canonical
 from tidemark.operators import lineage
+from tidemark.session import widen
 from tidemark.sources import driver_tables as dt
 from tidemark.suite import query
 
@@ -44,7 +45,7 @@ def parent_child_metrics(spark, sf_dir):
 
 
 def records(spark, sf_dir):
-    return dt.runs(spark, sf_dir).select(
+    return widen(dt.runs(spark, sf_dir)).select(
         "*",
         F.lit("periodic").alias("boundary"),
         F.sha2("solver", 256).alias("source_sha256"),
