@@ -88,6 +88,17 @@ def test_empty_catalog_answers(spark, tmp_path):
         "DROP TABLE experiments",
         "SELECT TRANSFORM(id) USING 'cat' FROM experiments",
         "CACHE TABLE experiments",
+        "SELECT * FROM explode(TABLE(secret))",
+        "SELECT * FROM explode(TABLE(SELECT x FROM secret))",
+        "SELECT * FROM IDENTIFIER('secret')",
+        "SELECT IDENTIFIER('reflect')('java.lang.System', 'getenv', 'HOME') FROM experiments",
+        "EXECUTE IMMEDIATE 'SELECT 1'",
+        "BEGIN SELECT 1; END",
+        "SELECT * FROM experiments e, LATERAL (SELECT * FROM secret)",
+        "SELECT id FROM experiments ORDER BY (SELECT max(x) FROM secret)",
+        "SELECT CASE WHEN EXISTS (SELECT 1 FROM secret) THEN 1 END FROM experiments",
+        "INSERT OVERWRITE DIRECTORY '/tmp/x' SELECT * FROM experiments",
+        "DESCRIBE experiments",
         "not sql",
     ],
 )
@@ -103,6 +114,10 @@ def test_refused_sql(spark, sql):
         "WITH a AS (SELECT id FROM experiments) SELECT * FROM a JOIN experiments USING (id)",
         "SELECT *, row_number() OVER (PARTITION BY equation ORDER BY id) FROM experiments",
         "SELECT id FROM experiments UNION SELECT parent_id FROM experiments",
+        "SELECT e.id, m.n FROM experiments e, LATERAL (SELECT count(*) AS n FROM experiments x WHERE x.parent_id = e.id) m",
+        "SELECT equation, rank() OVER (PARTITION BY equation ORDER BY viscosity) FROM experiments",
+        "SELECT equation, status, count(*) FROM experiments GROUP BY ROLLUP (equation, status)",
+        "SELECT approx_count_distinct(id), percentile(dt, 0.5) FROM experiments",
         "SELECT DISTINCT status FROM experiments WHERE EXISTS (SELECT 1 FROM experiments)",
         "SELECT e.id, x FROM experiments e LATERAL VIEW explode(array(1, 2)) t AS x",
         "SELECT * FROM (VALUES (1), (2)) AS v(n)",

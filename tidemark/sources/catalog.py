@@ -5,6 +5,8 @@ from __future__ import annotations
 import uuid
 from collections.abc import Sequence
 
+from py4j.java_gateway import is_instance_of
+from pyspark import SparkContext
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
@@ -25,6 +27,9 @@ READ_ONLY_NODES = frozenset(
 )
 TABLE_FUNCTIONS = frozenset("explode inline posexplode range stack".split())
 REFUSED_FUNCTIONS = frozenset("java_method reflect try_reflect read_files".split())
+REFUSED_EXPRESSIONS = frozenset(
+    "ExpressionWithUnresolvedIdentifier FunctionTableSubqueryArgumentExpression".split()
+)
 
 
 class RefusedQuery(ValueError):
@@ -285,34 +290,32 @@ def reuse_plan(expected: DataFrame, catalog: DataFrame, problems: DataFrame) ->
 # -- read-only SQL ----------------------------------------------------------------
 
 
+PLAN_EXPRESSION = "org.apache.spark.sql.catalyst.expressions.PlanExpression"
+
+
 def _seq(items) -> list:
     return [items.apply(i) for i in range(items.size())]
 
 
-def _walk(node, nodes: list, names: set[str]) -> None:
-    """Collect all plan and expression nodes of a parsed statement, subqueries included."""
+def _walk_plan(node, nodes: list, names: set[str]) -> None:
+    """Collect all plan nodes of a parsed statement, those of subqueries included."""
     nodes.append(node)
-    kind = node.getClass().getSimpleName()
-    if kind == "UnresolvedWith":
+    if node.getClass().getSimpleName() == "UnresolvedWith":
         for pair in _seq(node.cteRelations()):
             names.add(pair._1())
-            _walk(pair._2(), nodes, names)
+            _walk_plan(pair._2(), nodes, names)
     for child in _seq(node.children()):
-        _walk(child, nodes, names)
-    if hasattr(node, "expressions"):
-        try:
-            expressions = _seq(node.expressions())
-        except Exception:  # expression nodes have no ``expressions``
-            expressions = []
-        for expression in expressions:
-            _walk_expression(expression, nodes, names)
+        _walk_plan(child, nodes, names)
+    for expression in _seq(node.expressions()):
+        _walk_expression(expression, nodes, names)
 
 
 def _walk_expression(expression, nodes: list, names: set[str]) -> None:
+    if is_instance_of(SparkContext._gateway, expression, PLAN_EXPRESSION):
+        _walk_plan(expression.plan(), nodes, names)
     kind = expression.getClass().getSimpleName()
-    if kind in ("ScalarSubquery", "Exists", "ListQuery", "LateralSubquery", "InSubquery"):
-        if kind != "InSubquery":
-            _walk(expression.plan(), nodes, names)
+    if kind in REFUSED_EXPRESSIONS:
+        raise RefusedQuery(f"Expression is not allowed: {kind}")
     if kind == "UnresolvedFunction":
         name = _seq(expression.nameParts())[-1].lower()
         if name in REFUSED_FUNCTIONS:
@@ -329,7 +332,7 @@ def check_select(spark: SparkSession, sql: str, table: str = "experiments") -> N
         raise RefusedQuery("Only a single read-only SELECT statement is allowed") from error
     nodes: list = []
     names = {table}
-    _walk(plan, nodes, names)
+    _walk_plan(plan, nodes, names)
     for node in nodes:
         kind = node.getClass().getSimpleName()
         if kind not in READ_ONLY_NODES:

@@ -320,7 +320,7 @@ def catalog_sql_grouping_sets(spark, sf_dir):
     dt.with_views("runs")
     + CATALOG_SQL
     + """ SELECT id, seed, rank() OVER w AS place, dense_rank() OVER w AS dense_place,
-  sum(steps) OVER (w ROWS BETWEEN 1 PRECEDING AND CURRENT ROW) AS pair_steps
+  CAST(sum(steps) OVER (w ROWS BETWEEN 1 PRECEDING AND CURRENT ROW) AS BIGINT) AS pair_steps
 FROM experiments WHERE status = 'completed' WINDOW w AS (PARTITION BY seed, equation ORDER BY steps, id)""",
 )
 def catalog_sql_ranking(spark, sf_dir):
