@@ -17,7 +17,7 @@ from tidemark.session import settle
 STATES = ("queued", "running", "completed", "failed")
 
 # Jobs with more events than this are folded by pointers instead of inside one row.
-FOLD_LIMIT = 50_000
+FOLD_LIMIT = 250_000
 
 SUMMARY = (
     "job_id",
