@@ -93,3 +93,12 @@ def test_hashed_rank(spark):
     df = spark.range(2000).withColumn("h", F.sha2(F.col("id").cast("string"), 256))
     got = [(r["h"], r["rank"]) for r in hashed_rank(df, "h").collect()]
     assert [r for _, r in sorted(got)] == list(range(1, 2001))
+
+
+def test_broadcast_only_below_the_limit(spark):
+    from tidemark.functions.skew import by_size
+
+    small = spark.range(10).withColumn("a", F.array_repeat(F.lit(1.0), 5))
+    hinted = lambda df: "ResolvedHint" in df._jdf.queryExecution().analyzed().toString()
+    assert hinted(by_size(small, 10)) and not hinted(by_size(small, 9))
+    assert hinted(by_size(small, 50, F.size("a"))) and not hinted(by_size(small, 49, F.size("a")))

@@ -141,7 +141,8 @@ def exact_medians(
     only the values of the one or two histogram buckets that contain the middle ranks. Each
     scan is combined before the shuffle, so what moves is ranges, histograms and a few
     buckets, never all values; equal values are counted first, so a value shared by a third
-    of all rows is one row. Returns ``<measure>_median`` per group, NULLs ignored.
+    of all rows is one row. Returns ``<measure>_median`` per group, NULLs ignored; values
+    have to be finite.
     ``buckets`` defaults to the square root of the largest group, at most 4096.
     """
     keys = list(keys)

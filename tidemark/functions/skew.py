@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from collections.abc import Sequence
 
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from tidemark.session import settle
@@ -28,12 +28,19 @@ def lookup(left: DataFrame, right: DataFrame, keys: Sequence[str], how: str = "l
     return left.join(right, list(keys), how)
 
 
-def by_size(small: DataFrame, rows: int = BROADCAST_ROWS) -> DataFrame:
-    """Mark a narrow table for broadcast if it has at most ``rows`` rows, else leave it.
+def by_size(
+    small: DataFrame, limit: int = BROADCAST_ROWS, weight: Column | None = None
+) -> DataFrame:
+    """Mark a table for broadcast if its size is at most ``limit``, else leave it.
 
-    Spark cannot tell the size of an aggregate beforehand and would shuffle the other side,
-    often whole field arrays, to meet it. The table is written first and counted, so the
-    decision rests on its real size; beyond the limit the join is an ordinary shuffled one.
+    The size is the number of rows, or the sum of ``weight`` where rows hold arrays. Spark
+    cannot tell the size of an aggregate beforehand and would shuffle the other side, often
+    whole field arrays, to meet it. The table is written first and measured, so the decision
+    rests on its real size; beyond the limit the join is an ordinary shuffled one.
     """
     settled = settle(small)
-    return F.broadcast(settled) if settled.limit(rows + 1).count() <= rows else settled
+    if weight is None:
+        size = settled.limit(limit + 1).count()
+    else:
+        size = settled.agg(F.sum(weight)).first()[0] or 0
+    return F.broadcast(settled) if size <= limit else settled

@@ -17,8 +17,8 @@ from tidemark.functions.skew import by_size
 SCORE_BATCH = 64
 ORDER_TOLERANCE = 0.3
 
-# First frames that may be broadcast. They are whole fields, so only a few are.
-FIRST_FRAMES = 1000
+# Cells of all first frames together up to which they are broadcast (32 MiB).
+FIRST_FRAME_CELLS = 4 * 1024 * 1024
 
 Step = Callable[[np.ndarray], np.ndarray]
 KEYS = ("run_id", "frame")
@@ -120,7 +120,7 @@ def baseline_pairs(frames: DataFrame) -> DataFrame:
     """Both persistence baselines next to their reference arrays.
 
     The previous frame arrives as a neighbour, so it needs no join with the reference. The
-    first frames, one per trajectory, are broadcast if they are few.
+    first frames, one per trajectory, are broadcast if they are small together.
     """
     narrow = frames.select(*KEYS, "values")
     previous = with_dense_neighbors(narrow, ["run_id"], "frame", prev={"_before": "values"})
@@ -131,7 +131,8 @@ def baseline_pairs(frames: DataFrame) -> DataFrame:
         F.col("values").alias("reference"),
     )
     first = narrow.filter(F.col("frame") == 0).select("run_id", F.col("values").alias("_first"))
-    held = narrow.filter(F.col("frame") > 0).join(by_size(first, FIRST_FRAMES), "run_id")
+    starts = by_size(first, FIRST_FRAME_CELLS, F.size("_first"))
+    held = narrow.filter(F.col("frame") > 0).join(starts, "run_id")
     return one.unionByName(
         held.select(
             *KEYS,
