@@ -87,6 +87,9 @@ def test_exact_medians(spark):
     df = spark.createDataFrame(rows, "g string, v double")
     got = {r["g"]: r["v_median"] for r in ordered.exact_medians(df, ["g"], ["v"], buckets=8).collect()}
     assert got == {g: statistics.median(vs) for g, vs in groups.items()}
+    more = spark.createDataFrame([(None, 1.0), (None, 3.0), ("x", None)], "g string, v double")
+    out = ordered.exact_medians(more, ["g"], ["v"], also=[F.count("*").alias("n")]).collect()
+    assert {(r["g"], r["v_median"], r["n"]) for r in out} == {(None, 2.0, 2), ("x", None, 1)}
 
 
 def test_hashed_rank(spark):

@@ -125,15 +125,22 @@ def with_dense_neighbors(
     return out.filter(~F.col("_ghost")).select(*df.columns, *prev, *next)
 
 
-def join_groups(left: DataFrame, right: DataFrame, keys: Sequence[str]) -> DataFrame:
-    """Inner join on group keys where NULL is a group like any other."""
+def join_groups(
+    left: DataFrame, right: DataFrame, keys: Sequence[str], how: str = "inner"
+) -> DataFrame:
+    """Join on group keys where NULL is a group like any other."""
     renamed = right.withColumnsRenamed({k: f"_k_{k}" for k in keys})
     same = [F.col(k).eqNullSafe(F.col(f"_k_{k}")) for k in keys]
-    return left.join(renamed, same).drop(*[f"_k_{k}" for k in keys])
+    return left.join(renamed, same, how).drop(*[f"_k_{k}" for k in keys])
 
 
 def exact_medians(
-    df: DataFrame, keys: Sequence[str], measures: Sequence[str], *, buckets: int | None = None
+    df: DataFrame,
+    keys: Sequence[str],
+    measures: Sequence[str],
+    *,
+    also: Sequence[Column] = (),
+    buckets: int | None = None,
 ) -> DataFrame:
     """Exact medians per group without holding a group in one task.
 
@@ -142,20 +149,26 @@ def exact_medians(
     scan is combined before the shuffle, so what moves is ranges, histograms and a few
     buckets, never all values; equal values are counted first, so a value shared by a third
     of all rows is one row. Returns ``<measure>_median`` per group, NULLs ignored; values
-    have to be finite.
+    have to be finite. ``also`` are further named aggregates, taken in the first scan.
     ``buckets`` defaults to the square root of the largest group, at most 4096.
     """
     keys = list(keys)
     narrow = df.select(*keys, *[F.col(m).cast("double").alias(m) for m in measures])
     ranges = by_size(
-        narrow.groupBy(*keys).agg(
+        df.groupBy(*keys).agg(
             *[
-                F.struct(F.min(m).alias("lo"), F.max(m).alias("hi")).alias(f"_r_{m}")
+                F.struct(
+                    F.min(F.col(m).cast("double")).alias("lo"),
+                    F.max(F.col(m).cast("double")).alias("hi"),
+                ).alias(f"_r_{m}")
                 for m in measures
             ],
             F.count("*").alias("_rows"),
+            *also,
         )
     )
+    internal = [f"_r_{m}" for m in measures]
+    kept = [c for c in ranges.columns if c not in (*keys, *internal, "_rows")]
     if buckets is None:
         largest = ranges.agg(F.max("_rows")).first()[0] or 0
         buckets = min(max(math.isqrt(largest), 64), 4096)
@@ -165,23 +178,19 @@ def exact_medians(
         scaled = F.floor((F.col(m) - lo) / (hi - lo) * buckets)
         return F.when(hi == lo, 0).otherwise(F.least(scaled, F.lit(buckets - 1))).cast("int")
 
-    entries = F.array_compact(
-        F.array(
-            *[
-                F.when(
-                    F.col(m).isNotNull(),
-                    F.struct(
-                        F.lit(i).alias("measure"),
-                        bucket(m).alias("bucket"),
-                        F.col(m).alias("value"),
-                    ),
-                )
-                for i, m in enumerate(measures)
-            ]
-        )
+    entries = F.array(
+        *[
+            F.struct(
+                F.lit(i).alias("measure"), bucket(m).alias("bucket"), F.col(m).alias("value")
+            )
+            for i, m in enumerate(measures)
+        ]
     )
     group = [*keys, "measure"]
-    placed = join_groups(narrow, ranges, keys).select(*keys, F.inline(entries))
+    placed = join_groups(narrow, ranges.drop(*kept, "_rows"), keys).select(
+        *keys, F.inline(entries)
+    )
+    placed = placed.filter(F.col("value").isNotNull())
     hist = placed.groupBy(*group, "bucket").agg(F.count("*").alias("n"))
     # Never more than ``buckets`` rows per window.
     running, whole = Window.partitionBy(*group).orderBy("bucket"), Window.partitionBy(*group)
@@ -215,12 +224,13 @@ def exact_medians(
             / 2
         ).alias("median")
     )
-    return picked.groupBy(*keys).agg(
+    medians = picked.groupBy(*keys).agg(
         *[
             F.max(F.when(F.col("measure") == i, F.col("median"))).alias(f"{m}_median")
             for i, m in enumerate(measures)
         ]
     )
+    return join_groups(ranges.drop(*internal, "_rows"), medians, keys, "left")
 
 
 def carry_forward(

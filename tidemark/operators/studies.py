@@ -7,7 +7,7 @@ from collections.abc import Sequence
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from tidemark.functions.ordered import exact_medians, join_groups, with_neighbors
+from tidemark.functions.ordered import exact_medians, with_neighbors
 
 # Byte offsets are wide apart; blocks of one GiB hold many ranges each.
 OFFSET_WIDTH = 1 << 30
@@ -43,7 +43,7 @@ def summarize_trials(
     """
     keys = list(keys)
     rated = throughput(trials)
-    plain = rated.groupBy(*keys).agg(
+    plain = [
         F.count("*").alias("trials"),
         F.min("wall_seconds").alias("wall_seconds_min"),
         F.max("wall_seconds").alias("wall_seconds_max"),
@@ -55,9 +55,8 @@ def summarize_trials(
         F.sum("failure_count").alias("failure_count"),
         F.sum("sampling_errors").alias("sampling_errors"),
         F.when(F.bool_and(F.col("peak_rss").isNotNull()), F.max("peak_rss")).alias("peak_rss_max"),
-    )
-    medians = exact_medians(rated, keys, MEASURES)
-    return with_speedup(join_groups(plain, medians, keys), keys)
+    ]
+    return with_speedup(exact_medians(rated, keys, MEASURES, also=plain), keys)
 
 
 def with_speedup(summary: DataFrame, keys: Sequence[str]) -> DataFrame:
