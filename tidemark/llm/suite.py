@@ -8,7 +8,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tidemark.llm import bpe, line_dedup, rules
+from tidemark.llm import bpe, line_dedup, mixing, parity_join, rules
 
 Query = Callable[[SparkSession, str], DataFrame]
 
@@ -77,3 +77,16 @@ def op5_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
 def op8_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Base figures and the verdict of the rule cascade for every document."""
     return rules.apply_rules(read(spark, sf_dir, "documents"))
+
+
+@query("op4_source_mix")
+def op4_source_mix(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Words that the mix takes of every document, with its source's size and target."""
+    mixed = mixing.mix(read(spark, sf_dir, "documents"))
+    return mixed.select("doc_id", "size", "source_size", "target", "taken")
+
+
+@query("op10_jaccard_join")
+def op10_jaccard_join(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Shingle count and link component of every document."""
+    return parity_join.link_documents(read(spark, sf_dir, "documents"))
