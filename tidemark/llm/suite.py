@@ -8,7 +8,8 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tidemark.llm import bpe, line_dedup, mixing, parity_join, rules
+from tidemark.llm import bpe, line_dedup, mixing, parity_join, quality, rules, warc
+from tidemark.llm.common import scratch
 
 Query = Callable[[SparkSession, str], DataFrame]
 
@@ -90,3 +91,36 @@ def op4_source_mix(spark: SparkSession, sf_dir: str) -> DataFrame:
 def op10_jaccard_join(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Shingle count and link component of every document."""
     return parity_join.link_documents(read(spark, sf_dir, "documents"))
+
+
+@query("op2_compression_quality")
+def op2_compression_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Quality score and prediction of every document, learned outside the held-out fold."""
+    documents = read(spark, sf_dir, "documents")
+    model = quality.fit(documents, read(spark, sf_dir, "labels"))
+    return quality.score_documents(documents, model)
+
+
+WARC_SQL = """
+WITH payloads AS (
+  SELECT page_id, encode(coalesce(html, '')) AS payload FROM pages
+),
+digests AS (
+  SELECT page_id, octet_length(payload) AS payload_bytes, sha256(payload) AS payload_digest FROM payloads
+),
+firsts AS (
+  SELECT payload_digest, min(page_id) AS first FROM digests WHERE payload_bytes >= 100 GROUP BY payload_digest
+)
+SELECT page_id, payload_bytes, d.payload_digest,
+  CASE WHEN first <> page_id THEN 'revisit' ELSE 'response' END AS record_type,
+  CASE WHEN first <> page_id THEN first END AS refers_to
+FROM digests d LEFT JOIN firsts f ON d.payload_digest = f.payload_digest AND payload_bytes >= 100
+"""
+
+
+@query("op3_warc_archives", WARC_SQL)
+def op3_warc_archives(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Pages written as WARC archives in the shared folder and read back from there."""
+    folder = scratch(spark, "archives")
+    warc.write_archives(read(spark, sf_dir, "pages"), folder)
+    return warc.read_archives(spark, folder, payloads=False).drop("target_uri")
