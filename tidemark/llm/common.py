@@ -3,8 +3,9 @@
 from __future__ import annotations
 
 import uuid
-from collections.abc import Sequence
-from functools import reduce
+from collections import OrderedDict
+from collections.abc import Callable, Iterable, Iterator, Sequence
+from typing import Any
 
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession, Window
@@ -78,10 +79,72 @@ def global_rank(df: DataFrame, order: Sequence[Column], name: str, parts: int =
     )
 
 
-def union_all(frames: Sequence[DataFrame]) -> DataFrame:
-    return reduce(DataFrame.unionByName, frames)
-
-
 def texts(batch: pa.RecordBatch, column: int | str) -> list[str]:
     """The texts of a batch, nulls as empty."""
     return [value or "" for value in batch.column(column).to_pylist()]
+
+
+def publish(folder: str, name: str, data: bytes) -> None:
+    """Write a small file below ``folder`` under a temporary name and move it to its own.
+
+    A repeated task replaces equal content, and readers never see half a file.
+    """
+    store, root = filesystem(folder)
+    store.create_dir(root, recursive=True)
+    temporary = f"{root}/{name}.{uuid.uuid4().hex}.tmp"
+    with store.open_output_stream(temporary, compression=None) as out:
+        out.write(data)
+    store.move(temporary, f"{root}/{name}")
+
+
+def fetch(folder: str, name: str) -> bytes | None:
+    """The content of a published file, None if there is none."""
+    store, root = filesystem(folder)
+    try:
+        with store.open_input_stream(f"{root}/{name}", compression=None) as source:
+            return source.read()
+    except FileNotFoundError:
+        return None
+
+
+class Held:
+    """Published files as objects with ``bytes``, the least recently used leaving first."""
+
+    def __init__(self, limit: int, load: Callable[[bytes], Any]):
+        self.limit, self.load, self.bytes, self.items = limit, load, 0, OrderedDict()
+
+    def get(self, folder: str, name: str) -> Any:
+        """The object of a file, None if the file does not exist."""
+        key = (folder, name)
+        if key in self.items:
+            self.items.move_to_end(key)
+            return self.items[key]
+        data = fetch(folder, name)
+        found = None if data is None else self.load(data)
+        self.items[key] = found
+        self.bytes += found.bytes if found else 0
+        while self.bytes > self.limit and len(self.items) > 1:
+            _, dropped = self.items.popitem(last=False)
+            self.bytes -= dropped.bytes if dropped else 0
+        return found
+
+
+def move_files(manifest: DataFrame, folder: str) -> None:
+    """Move every ``temporary`` file of ``manifest`` below ``folder`` to its ``name``.
+
+    May be repeated: a file that has its name already is left. Files of lost attempts are in no
+    manifest and keep their temporary names.
+    """
+
+    def move(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        store, root = filesystem(folder)
+        for batch in batches:
+            moved = 0
+            for temporary, name in zip(*(column.to_pylist() for column in batch.columns)):
+                if not store.get_file_info(f"{root}/{name}").is_file:
+                    store.move(f"{root}/{temporary}", f"{root}/{name}")
+                    moved += 1
+            yield pa.RecordBatch.from_arrays([pa.array([moved], pa.int64())], names=["moved"])
+
+    named = manifest.select("temporary", "name")
+    named.mapInArrow(move, "moved long").agg(F.sum("moved")).collect()

@@ -15,8 +15,6 @@ which no level uses, tells members from others.
 from __future__ import annotations
 
 import io
-import uuid
-from collections import OrderedDict
 from collections.abc import Iterable, Iterator
 
 import numpy as np
@@ -25,7 +23,7 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from tidemark.llm.common import SPACE, filesystem, scratch, texts, written
+from tidemark.llm.common import SPACE, Held, publish, scratch, texts, written
 
 LEAST_CHARS = 20
 LEAST_DOCUMENTS = 3
@@ -190,8 +188,8 @@ def repeated_lines(
     )
 
 
-def _shard_path(folder: str, shard: int) -> str:
-    return f"{folder}/shard-{shard:06d}.npz"
+def _shard_name(shard: int) -> str:
+    return f"shard-{shard:06d}.npz"
 
 
 def build_index(lines: DataFrame, folder: str, *, shard_keys: int = SHARD_KEYS) -> int:
@@ -209,13 +207,7 @@ def build_index(lines: DataFrame, folder: str, *, shard_keys: int = SHARD_KEYS)
         keepers = table.column("keeper").fill_null(int(NO_DOCUMENT)).to_numpy()
         counts = table.column("n_documents").to_numpy().astype(np.uint32)
         data = Shard.build(*halves, counts, keepers).dump()
-        store, root = filesystem(folder)
-        store.create_dir(root, recursive=True)
-        name = _shard_path(root, shard)
-        temporary = f"{name}.{uuid.uuid4().hex}.tmp"
-        with store.open_output_stream(temporary) as out:
-            out.write(data)
-        store.move(temporary, name)
+        publish(folder, _shard_name(shard), data)
         return pa.table({"shard": pa.array([shard], pa.int32()), "bytes": pa.array([len(data)], pa.int64())})
 
     dealt = settled.withColumn("shard", F.pmod(F.col("high"), F.lit(shards)).cast("int"))
@@ -224,32 +216,7 @@ def build_index(lines: DataFrame, folder: str, *, shard_keys: int = SHARD_KEYS)
     return shards
 
 
-class _Held:
-    """Shards this process has read, least recently used first, up to a number of bytes."""
-
-    def __init__(self, limit: int):
-        self.limit, self.bytes, self.shards = limit, 0, OrderedDict()
-
-    def get(self, folder: str, shard: int) -> Shard | None:
-        key = (folder, shard)
-        if key in self.shards:
-            self.shards.move_to_end(key)
-            return self.shards[key]
-        store, root = filesystem(folder)
-        try:
-            with store.open_input_stream(_shard_path(root, shard)) as source:
-                found = Shard.load(source.read())
-        except FileNotFoundError:  # a shard without keys is not written
-            found = None
-        self.shards[key] = found
-        self.bytes += found.bytes if found else 0
-        while self.bytes > self.limit and len(self.shards) > 1:
-            _, dropped = self.shards.popitem(last=False)
-            self.bytes -= dropped.bytes if dropped else 0
-        return found
-
-
-_HELD = _Held(HELD_BYTES)
+_HELD = Held(HELD_BYTES, Shard.load)
 
 
 def _drop(rows: list[str], ids: list[int | None], folder: str, shards: int):
@@ -268,8 +235,8 @@ def _drop(rows: list[str], ids: list[int | None], folder: str, shards: int):
     borders = np.flatnonzero(np.diff(shard[order])) + 1
     doomed: dict[int, set[int]] = {}
     for part in np.split(order, borders) if len(order) else []:
-        index = _HELD.get(folder, int(shard[part[0]]))
-        if index is None:
+        index = _HELD.get(folder, _shard_name(int(shard[part[0]])))
+        if index is None:  # a shard without keys is not written
             continue
         member, _, keepers = index.probe(high[part], low[part])
         for at, keeper in zip(part[member].tolist(), keepers[member].tolist()):

@@ -8,7 +8,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tidemark.llm import bpe, line_dedup, mixing, parity_join, quality, rules, warc
+from tidemark.llm import bpe, line_dedup, mixing, parity_join, quality, rules, topk, warc
 from tidemark.llm.common import scratch
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -124,3 +124,27 @@ def op3_warc_archives(spark: SparkSession, sf_dir: str) -> DataFrame:
     folder = scratch(spark, "archives")
     warc.write_archives(read(spark, sf_dir, "pages"), folder)
     return warc.read_archives(spark, folder, payloads=False).drop("target_uri")
+
+
+TOP_K_SQL = """
+WITH v AS (
+  SELECT vec_id, list_transform(embedding, x -> floor(1024 * x::DOUBLE)) AS e FROM embeddings
+  WHERE embedding IS NOT NULL AND len(list_filter(embedding, x -> x IS NULL OR NOT isfinite(x))) = 0
+),
+scored AS (
+  SELECT q.vec_id AS query_id, v.vec_id, list_inner_product(q.e, v.e)::BIGINT AS score
+  FROM v q JOIN v ON q.vec_id <> v.vec_id WHERE q.vec_id % 100 = 0
+),
+ranked AS (
+  SELECT query_id, row_number() OVER (PARTITION BY query_id ORDER BY score DESC, vec_id)::INTEGER AS rank,
+    vec_id, score
+  FROM scored
+)
+SELECT * FROM ranked WHERE rank <= 10
+"""
+
+
+@query("op6_exact_top_k", TOP_K_SQL)
+def op6_exact_top_k(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The ten best other vectors for every hundredth one."""
+    return topk.top_k(read(spark, sf_dir, "embeddings"))

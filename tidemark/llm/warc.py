@@ -28,7 +28,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tidemark.llm.common import filesystem, global_rank, written
+from tidemark.llm.common import fetch, filesystem, global_rank, move_files, publish, written
 
 # Payloads from this size are kept once.
 LEAST_REVISIT_BYTES = 100
@@ -271,30 +271,10 @@ def _arrow_schema() -> pa.Schema:
 
 
 def commit(manifest: DataFrame, folder: str) -> None:
-    """Move the files of ``manifest`` to their names, then publish the list of them.
-
-    May be repeated: a file that has its name already is left.
-    """
-
-    def move(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        store, root = filesystem(folder)
-        for batch in batches:
-            moved = 0
-            for temporary, name in zip(*(column.to_pylist() for column in batch.columns)):
-                target = store.get_file_info(f"{root}/{name}")
-                if not target.is_file:
-                    store.move(f"{root}/{temporary}", f"{root}/{name}")
-                    moved += 1
-            yield pa.RecordBatch.from_arrays([pa.array([moved], pa.int64())], names=["moved"])
-
-    manifest.select("temporary", "name").mapInArrow(move, "moved long").agg(F.sum("moved")).collect()
+    """Move the files of ``manifest`` to their names, then publish the list of them."""
+    move_files(manifest, folder)
     listed = manifest.drop("temporary").orderBy("shard", "part").toPandas()  # one row per file
-    store, root = filesystem(folder)
-    store.create_dir(root, recursive=True)
-    temporary = f"{root}/{MANIFEST}.{uuid.uuid4().hex}"
-    with store.open_output_stream(temporary) as out:
-        out.write(json.dumps(listed.to_dict("records"), indent=0).encode())
-    store.move(temporary, f"{root}/{MANIFEST}")
+    publish(folder, MANIFEST, json.dumps(listed.to_dict("records"), indent=0).encode())
 
 
 def _members(stream) -> Iterator[bytes]:
@@ -348,9 +328,7 @@ def read_archives(spark: SparkSession, folder: str, *, payloads: bool = True) ->
 
     Files are read one record at a time, each by one task.
     """
-    store, root = filesystem(folder)
-    with store.open_input_stream(f"{root}/{MANIFEST}") as source:
-        names = [(entry["name"],) for entry in json.loads(source.read())]
+    names = [(entry["name"],) for entry in json.loads(fetch(folder, MANIFEST))]
     listed = spark.createDataFrame(names, "name string")
     fields = [
         ("page_id", pa.int64()),
