@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import gc
 import uuid
 from collections import OrderedDict
 from collections.abc import Callable, Iterable, Iterator, Sequence
@@ -37,6 +38,24 @@ def written(df: DataFrame, name: str) -> DataFrame:
     return df.sparkSession.read.schema(df.schema).parquet(path)
 
 
+def discard(df: DataFrame) -> None:
+    """Delete the table that :func:`written` made, once nothing needs it any more.
+
+    Also lets the driver drop plans that nobody holds, and with them their shuffle files.
+    """
+    spark = df.sparkSession
+    for file in df.inputFiles()[:1]:
+        folder = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(file).getParent()
+        folder.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(folder, True)
+    release(spark)
+
+
+def release(spark: SparkSession) -> None:
+    """Let the driver find plans that nobody holds, so that their shuffle files are removed."""
+    gc.collect()
+    spark.sparkContext._jvm.System.gc()
+
+
 def filesystem(uri: str):
     """The Arrow file system of ``uri`` and the path in it, for tasks that read or write files.
 

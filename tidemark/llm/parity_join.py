@@ -12,8 +12,10 @@ Order of segments: any fixed order is right. Segments that many documents hold,
 that many share, come last, so that they are seldom needed.
 
 Candidates: a segment held by many nodes never makes all their pairs. Its nodes, sorted by size, are
-first chained and tied to the smallest; the links among those pairs give components. Only where one
-segment's nodes are still in different components are pairs across them formed, and verified.
+first chained and tied to the smallest, and every node keeps the partner it meets most often; the
+links among those pairs give components. Only where one segment's nodes are still in different
+components are pairs across them formed. Every pair is first held to the Hamming distance of its
+sketches, a few hundred bytes, and only what that leaves is verified on the texts.
 """
 
 from __future__ import annotations
@@ -21,12 +23,13 @@ from __future__ import annotations
 from collections.abc import Iterable, Iterator
 
 import numpy as np
+import pandas as pd
 import pyarrow as pa
 import xxhash
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from tidemark.llm.common import texts, written
+from tidemark.llm.common import discard, release, texts, written
 from tidemark.operators.components import connected_components
 
 # Fixed by the contract.
@@ -39,11 +42,14 @@ LEAST_SEGMENTS = 4096
 
 # Frequent segments: counted from so many times in one batch of rows and in all; so many of the
 # most frequent (16 bytes each) are sent to the tasks. The list only steers the order.
-FREQUENT_IN_BATCH = 3
-FREQUENT = 6
+FREQUENT_IN_BATCH = 5
+FREQUENT = 8
 FREQUENT_LISTED = 200_000
-# Nodes of one frequent segment that are chained in one group.
+# Nodes of one frequent segment that are chained in one group, and nodes verified against one
+# text in one group.
 GROUP_NODES = 2_000
+# Partners of a node that are held to their sketches before one is chosen.
+PARTNERS = 3
 
 _M64 = (1 << 64) - 1
 _FACTORS = np.array(
@@ -100,6 +106,24 @@ def segments(found: np.ndarray, band: int) -> np.ndarray:
     return _mixed(_mixed(parity[held] + name) ^ name)
 
 
+def compare_sketch(found: np.ndarray) -> bytes:
+    """A parity sketch of 2 to 4 bits a shingle, to compare two sets by.
+
+    Its width is a power of two, and a wider one folds onto a narrower one by XOR of its parts.
+    """
+    width = max(64, 1 << (2 * len(found) - 1).bit_length())
+    place = (_mixed(found ^ np.uint64(0xA0761D6478BD642F)) % np.uint64(width)).astype(np.int64)
+    return np.packbits(np.bincount(place, minlength=width).astype(np.uint8) & 1).tobytes()
+
+
+def differs_at_least(x: bytes, y: bytes) -> int:
+    """Hamming distance of two sketches: no more than the sets' different shingles."""
+    a, b = np.frombuffer(x, np.uint64), np.frombuffer(y, np.uint64)
+    width = min(len(a), len(b))
+    folded = [np.bitwise_xor.reduce(part.reshape(-1, width), axis=0) for part in (a, b)]
+    return int(np.bitwise_count(folded[0] ^ folded[1]).sum())
+
+
 def most_different(size: int) -> int:
     """Most shingles in which a set of ``size`` can differ from one that it links with."""
     return size // 3
@@ -136,15 +160,17 @@ def needed_segments(found: np.ndarray, band: int, frequent: Frequent):
 
 
 def signatures(documents: DataFrame) -> DataFrame:
-    """Two kinds of rows from one pass over ``(doc, text)``: documents ``(doc, node, size)`` and
-    segments frequent in a batch of rows ``(segment, seen)``."""
+    """Two kinds of rows from one pass over ``(doc, text)``: documents ``(doc, node, size, sketch)``
+    and segments frequent in a batch of rows ``(segment, seen)``."""
+    names_out = ["doc", "node", "size", "sketch", "segment", "seen"]
 
     def run(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            nodes, sizes, fresh, known = [], [], [], set()
+            nodes, sizes, sketches, fresh, known = [], [], [], [], set()
             for text in texts(batch, 1):
                 found = shingles(text)
                 sizes.append(len(found))
+                sketches.append(compare_sketch(found) if len(found) else None)
                 nodes.append(node_of(found) if len(found) else None)
                 if len(found) and nodes[-1] not in known:
                     known.add(nodes[-1])
@@ -155,22 +181,24 @@ def signatures(documents: DataFrame) -> DataFrame:
                     batch.column(0),
                     pa.array(nodes, pa.int64()),
                     pa.array(sizes, pa.int64()),
+                    pa.array(sketches, pa.binary()),
                     pa.array(none, pa.int64()),
                     pa.array(none, pa.int64()),
                 ],
-                names=["doc", "node", "size", "segment", "seen"],
+                names=names_out,
             )
             if fresh:
                 names, seen = np.unique(np.concatenate(fresh), return_counts=True)
                 often = seen >= FREQUENT_IN_BATCH
                 names, seen = names[often].view(np.int64), seen[often]
                 none = pa.nulls(len(names), pa.int64())
-                yield pa.RecordBatch.from_arrays(
-                    [none, none, none, pa.array(names), pa.array(seen.astype(np.int64))],
-                    names=["doc", "node", "size", "segment", "seen"],
-                )
+                blank = pa.nulls(len(names), pa.binary())
+                counted = [pa.array(names), pa.array(seen.astype(np.int64))]
+                yield pa.RecordBatch.from_arrays([none, none, none, blank, *counted], names=names_out)
 
-    return documents.mapInArrow(run, "doc long, node long, size long, segment long, seen long")
+    return documents.mapInArrow(
+        run, "doc long, node long, size long, sketch binary, segment long, seen long"
+    )
 
 
 def _frequent(rows: DataFrame) -> Frequent:
@@ -228,78 +256,86 @@ def _memberships(documents: DataFrame, frequent) -> DataFrame:
     )
 
 
-def _pair(a: str, b: str):
-    """Columns of a pair, smaller node first."""
-    swap = F.col(a) > F.col(b)
-    choose = lambda x, y: F.when(swap, F.col(y)).otherwise(F.col(x))
-    return [choose(a, b).alias("a"), choose(b, a).alias("b")]
-
-
 def _near_in_size(x: str, y: str):
     """Whether the smaller set is at least three quarters of the larger."""
     return 100 * F.least(x, y) >= LEAST_PERCENT * F.greatest(x, y)
 
 
-def _chained(members: DataFrame) -> DataFrame:
-    """Pairs of neighbours by size under a segment, and of each node with the smallest there."""
-    pairs = [
-        members.filter(F.col("before").isNotNull() & _near_in_size("size", "before_size")).select(
-            *_pair("node", "before")
-        ),
-        members.filter((F.col("least") != F.col("node")) & _near_in_size("size", "least_size")).select(
-            *_pair("node", "least")
-        ),
+def _partners(members: DataFrame) -> DataFrame:
+    """``(a, b, met)``: for every node the few others it meets most often, as the smallest under a
+    segment or as the next smaller one there."""
+    found = [
+        members.filter(F.col(other).isNotNull() & (F.col(other) != F.col("node")))
+        .filter(_near_in_size("size", f"{other}_size"))
+        .select(F.col("node").alias("a"), F.col(other).alias("b"))
+        for other in ("before", "least")
     ]
     # The smallest nodes of the parts of one segment are chained in their turn.
-    heads = members.filter("split AND least = node")
     order = Window.partitionBy("segment").orderBy("size", "node")
-    heads = heads.select(
-        "node",
-        "size",
-        F.lag("node").over(order).alias("head"),
-        F.lag("size").over(order).alias("head_size"),
+    heads = members.filter("split AND least = node").select(
+        F.col("node").alias("a"), F.lag("node").over(order).alias("b")
     )
-    pairs.append(
-        heads.filter(F.col("head").isNotNull() & _near_in_size("size", "head_size")).select(
-            *_pair("node", "head")
-        )
+    met = found[0].union(found[1]).groupBy("a", "b").agg(F.count("*").alias("met"))
+    heads = heads.filter("b IS NOT NULL").distinct().withColumn("met", F.lit(0).cast("long"))
+    best = Window.partitionBy("a").orderBy(F.desc("met"), "b")
+    few = met.withColumn("_n", F.row_number().over(best)).filter(F.col("_n") <= PARTNERS).drop("_n")
+    return few.union(heads)
+
+
+def _alike(pairs: DataFrame, nodes: DataFrame) -> DataFrame:
+    """The pairs whose sketches allow a link."""
+    side = lambda name: nodes.select(
+        F.col("node").alias(name), F.col("size").alias(f"{name}_size"), F.col("sketch").alias(f"{name}_sketch")
     )
-    return pairs[0].union(pairs[1]).union(pairs[2]).distinct()
+    both = pairs.join(side("a"), "a").join(side("b"), "b")
 
+    @F.pandas_udf("long")
+    def distance(x: pd.Series, y: pd.Series) -> pd.Series:
+        return pd.Series(list(map(differs_at_least, x, y)), dtype="int64")
 
-def _verified(pairs: DataFrame, documents: DataFrame, representatives: DataFrame) -> DataFrame:
-    """The pairs that link, decided on the shingles of the whole texts of their documents."""
-    wanted = pairs.select(F.col("a").alias("node")).union(pairs.select("b")).distinct()
-    chosen = representatives.join(wanted, "node").select("doc", "node")
-    held = written(documents.join(chosen, "doc").select("node", "text"), "candidate-texts")
-    both = pairs.join(held.select(F.col("node").alias("a"), F.col("text").alias("text_a")), "a").join(
-        held.select(F.col("node").alias("b"), F.col("text").alias("text_b")), "b"
+    allowed = 7 * distance("a_sketch", "b_sketch") <= F.col("a_size") + F.col("b_size")
+    return both.filter(allowed).select(*pairs.columns)
+
+
+def _verified(pairs: DataFrame, documents: DataFrame, nodes: DataFrame) -> DataFrame:
+    """The pairs that link, decided on the shingles of the whole texts of their documents.
+
+    Texts travel to the pairs' ``b``, whose own text comes first there, so a task holds one set and
+    streams the others past it; many pairs of one ``b`` are several groups.
+    """
+    crowd = pairs.groupBy("b").agg(F.ceil(F.count("*") / GROUP_NODES).alias("groups"))
+    dealt = pairs.join(crowd, "b").withColumn("group", F.pmod(F.xxhash64("a"), "groups").cast("int"))
+    head = dealt.select("b", "group", F.col("b").alias("node"), F.lit(False).alias("compared"))
+    roles = head.distinct().union(dealt.select("b", "group", "a", F.lit(True)))
+    wanted = roles.join(nodes.select("node", "doc"), "node")
+    stream = (
+        documents.join(wanted, "doc")
+        .select("b", "group", "compared", "node", "text")
+        .repartition("b", "group")
+        .sortWithinPartitions("b", "group", "compared")
     )
 
     def run(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        key, held = None, None
         for batch in batches:
-            a, b, first, second = (column.to_pylist() for column in batch.columns)
-            sets: dict[int, np.ndarray] = {}
-            links = []
-            for x, y, text_x, text_y in zip(a, b, first, second):
-                for node, text in ((x, text_x), (y, text_y)):
-                    if node not in sets:
-                        sets[node] = shingles(text or "")
+            links: list[tuple[int, int]] = []
+            for b, group, compared, node, text in zip(*(c.to_pylist() for c in batch.columns)):
+                found = shingles(text or "")
                 # An id may repeat with another text: only the node's own text counts.
-                if node_of(sets[x]) != x or node_of(sets[y]) != y:
-                    sets.pop(x)
-                    sets.pop(y, None)
-                    links.append(False)
+                if node_of(found) != node:
                     continue
-                common = len(np.intersect1d(sets[x], sets[y], assume_unique=True))
-                union = len(sets[x]) + len(sets[y]) - common
-                links.append(100 * common >= LEAST_PERCENT * union)
-            keep = pa.array(links, pa.bool_())
+                if not compared:
+                    key, held = (b, group), found
+                elif key == (b, group):
+                    common = len(np.intersect1d(held, found, assume_unique=True))
+                    if 100 * common >= LEAST_PERCENT * (len(held) + len(found) - common):
+                        links.append((node, b))
+            u, v = zip(*links) if links else ((), ())
             yield pa.RecordBatch.from_arrays(
-                [batch.column(0).filter(keep), batch.column(1).filter(keep)], names=["u", "v"]
+                [pa.array(u, pa.int64()), pa.array(v, pa.int64())], names=["u", "v"]
             )
 
-    return both.select("a", "b", "text_a", "text_b").mapInArrow(run, "u long, v long").distinct()
+    return stream.mapInArrow(run, "u long, v long").distinct()
 
 
 def link_documents(
@@ -319,8 +355,12 @@ def link_documents(
     )
     rows = written(signatures(source), "signatures")
     signed = rows.filter("segment IS NULL").select("doc", "node", "size")
-    representatives = signed.filter("node IS NOT NULL AND doc IS NOT NULL").groupBy("node").agg(
-        F.min("doc").alias("doc")
+    # One row per different set, with its smallest id.
+    nodes = written(
+        rows.filter("node IS NOT NULL AND doc IS NOT NULL")
+        .groupBy("node", "size")
+        .agg(F.min("doc").alias("doc"), F.first("sketch").alias("sketch")),
+        "nodes",
     )
     frequent = spark.sparkContext.broadcast(_frequent(rows))  # FREQUENT_LISTED bounds it
 
@@ -339,12 +379,18 @@ def link_documents(
         )
     )
     # A node alone under a segment meets nobody there, unless the segment has other parts.
-    members = written(
-        grouped.filter("before IS NOT NULL OR after IS NOT NULL OR split"), "members"
+    members = grouped.filter("before IS NOT NULL OR after IS NOT NULL OR split").drop("after")
+    members = written(members, "members")
+    del grouped
+    release(spark)
+
+    tried = written(_alike(_partners(members), nodes), "partners")
+    best = Window.partitionBy("a").orderBy(F.desc("met"), "b")
+    tried = written(
+        tried.withColumn("_n", F.row_number().over(best)).filter("_n = 1").select("a", "b"), "chosen"
     )
-
-    first = written(_chained(members), "first-pairs")
-    links = written(_verified(first, source, representatives), "first-links")
+    links = written(_verified(tried, source, nodes), "first-links")
+    release(spark)
     component = connected_components(links)
 
     # Pairs that one segment brings together and that are still apart.
@@ -352,6 +398,8 @@ def link_documents(
     placed = placed.withColumn("root", F.coalesce("root", "node"))
     apart = placed.groupBy("segment").agg(F.min("root").alias("x"), F.max("root").alias("y"))
     left = written(placed.join(apart.filter("x <> y").select("segment"), "segment"), "apart")
+    del placed, apart
+    discard(members)
     other = left.select("segment", *(F.col(c).alias(f"other_{c}") for c in ("node", "size", "root")))
     rest = (
         left.join(other, "segment")
@@ -359,15 +407,18 @@ def link_documents(
         .filter(_near_in_size("size", "other_size"))
         .select(F.col("node").alias("a"), F.col("other_node").alias("b"))
         .distinct()
-        .join(first, ["a", "b"], "left_anti")
+        .join(tried, ["a", "b"], "left_anti")
+        .join(tried.select(F.col("b").alias("a"), F.col("a").alias("b")), ["a", "b"], "left_anti")
     )
-    more = written(_verified(written(rest, "rest-pairs"), source, representatives), "rest-links")
+    rest = written(_alike(rest, nodes), "rest-pairs")
+    more = written(_verified(rest, source, nodes), "rest-links")
+    release(spark)
     component = connected_components(links.union(more))
 
-    rooted = representatives.join(component, "node")
+    rooted = nodes.join(component, "node")
     names = rooted.groupBy("root").agg(F.min("doc").alias("component_id"))
     labels = rooted.join(names, "root").select("node", "component_id")
-    of_node = representatives.join(labels, "node", "left").select(
+    of_node = nodes.join(labels, "node", "left").select(
         "node", F.coalesce("component_id", "doc").alias("component_id")
     )
     out = signed.join(of_node, "node", "left")
