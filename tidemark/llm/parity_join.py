@@ -2,9 +2,10 @@
 
 A document is the set of its shingles. A sketch of it is an array of bits of which every shingle
 toggles one, so two sketches differ in at most as many bits as the sets have different shingles. It
-is cut into segments of 64 bits. Sets that link at 3/4 differ in at most a third of either's
-shingles, ``d`` say, and so do their segments: of ``d + 1`` segments that are not empty, taken in an
-order that is the same for all sets, two such sets have one in common. Documents with equal sets
+is cut into segments, so wide that unrelated sets hardly ever set the same bit of one, and a segment
+is held as the XOR of the hashes of its bits that are set. Sets that link at 3/4 differ in at most a
+third of either's shingles, ``d`` say, and so in as many segments: of ``d + 1`` segments that are
+not empty, taken in an order that is the same for all sets, two such sets have one in common. Documents with equal sets
 are one node; nodes are joined on these segments, within bands of the set size because the number of
 segments follows the size, and every candidate is verified on its whole text.
 
@@ -96,7 +97,7 @@ def segments(found: np.ndarray, band: int) -> np.ndarray:
     count = max(LEAST_SEGMENTS, 2 * BAND ** (band + 1))
     place = _mixed(found + np.uint64(band + 1))
     segment = (place >> np.uint64(6)) % np.uint64(count)
-    bit = np.uint64(1) << (place & np.uint64(63))
+    bit = _mixed(place ^ np.uint64(0x8EBC6AF09C88C6E3))
     order = np.argsort(segment, kind="stable")
     segment, bit = segment[order], bit[order]
     starts = np.flatnonzero(np.concatenate([[True], segment[1:] != segment[:-1]]))
