@@ -20,6 +20,7 @@ from collections.abc import Sequence
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from tidemark.functions.skew import by_size
 from tidemark.llm.common import WORD, global_rank, written
 from tidemark.session import settle
 
@@ -30,6 +31,8 @@ SHARD_WORDS = 200_000
 BLOCK_WORDS = 256
 LEAST_BLOCKS = 200
 SEED = 4
+# Up to this many sources are broadcast; with more, rows are joined to theirs by a shuffle.
+SOURCES_SENT = 100_000
 
 
 def word_count(text: str | Column) -> Column:
@@ -184,8 +187,11 @@ def mix(
     shard_count = F.greatest(F.ceil(F.col("source_size") / shard_words), F.lit(1))
     place = F.xxhash64(F.col(id_col), F.lit(seed))
 
+    # Few sources are sent to the tasks, so that the rows of a large one stay where they are.
+    few_targets = by_size(targets.drop("source"), SOURCES_SENT)
+
     def dealt(rows: DataFrame) -> DataFrame:
-        known = rows.drop("_source").join(targets.drop("source"), "_key")
+        known = rows.drop("_source").join(few_targets, "_key")
         return known.withColumn("_shard", F.pmod(place, shard_count))
 
     shards = (
