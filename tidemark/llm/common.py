@@ -8,7 +8,9 @@ from collections import OrderedDict
 from collections.abc import Callable, Iterable, Iterator, Sequence
 from typing import Any
 
+import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
@@ -167,3 +169,12 @@ def move_files(manifest: DataFrame, folder: str) -> None:
 
     named = manifest.select("temporary", "name")
     named.mapInArrow(move, "moved long").agg(F.sum("moved")).collect()
+
+
+def slices(batch: pa.RecordBatch, column: int | str, limit: int) -> Iterator[pa.RecordBatch]:
+    """Runs of rows of ``batch`` with about ``limit`` bytes of text, one row at least."""
+    sizes = pc.fill_null(pc.binary_length(batch.column(column)), 0).to_numpy(zero_copy_only=False)
+    run = np.cumsum(sizes, dtype=np.int64) // limit
+    starts = np.flatnonzero(np.concatenate([[True], run[1:] != run[:-1]])) if len(run) else []
+    for a, b in zip(starts, [*starts[1:], batch.num_rows]):
+        yield batch.slice(a, b - a)

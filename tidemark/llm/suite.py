@@ -8,7 +8,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tidemark.llm import bpe, line_dedup, mixing, parity_join, quality, rules, topk, warc
+from tidemark.llm import bpe, line_dedup, lm, mixing, parity_join, quality, rules, token_output, topk, warc
 from tidemark.llm.common import scratch
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -128,8 +128,8 @@ def op3_warc_archives(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 TOP_K_SQL = """
 WITH v AS (
-  SELECT vec_id, list_transform(embedding, x -> floor(1024 * x::DOUBLE)) AS e FROM embeddings
-  WHERE embedding IS NOT NULL AND len(list_filter(embedding, x -> x IS NULL OR NOT isfinite(x))) = 0
+  SELECT vec_id, [floor(1024 * x::DOUBLE) FOR x IN embedding] AS e FROM embeddings
+  WHERE embedding IS NOT NULL AND len([x FOR x IN embedding IF x IS NULL OR NOT isfinite(x)]) = 0
 ),
 scored AS (
   SELECT q.vec_id AS query_id, v.vec_id, list_inner_product(q.e, v.e)::BIGINT AS score
@@ -148,3 +148,21 @@ SELECT * FROM ranked WHERE rank <= 10
 def op6_exact_top_k(spark: SparkSession, sf_dir: str) -> DataFrame:
     """The ten best other vectors for every hundredth one."""
     return topk.top_k(read(spark, sf_dir, "embeddings"))
+
+
+@query("op7_lm_score")
+def op7_lm_score(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Base figures and automaton score of every document, learned outside the held-out fold."""
+    return lm.score_documents(read(spark, sf_dir, "documents"))
+
+
+@query("op9_token_shards")
+def op9_token_shards(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Documents written as token shards in the shared folder, and every sequence read back."""
+    folder = scratch(spark, "token-shards")
+    path = public_tokenizers.path(VOCABULARY)
+    index = token_output.write_shards(
+        read(spark, sf_dir, "documents"), folder, path, public_tokenizers.PATTERN
+    )
+    stored = token_output.read_shards(spark, folder).select("slot", F.sha2("ids", 256).alias("ids_sha256"))
+    return index.join(stored, "slot")
