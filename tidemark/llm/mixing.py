@@ -54,7 +54,7 @@ def apportion(
     half = F.col("_rows") / 2
 
     def at(total_seats: Column) -> Column:
-        share = F.col(weight) * F.greatest(total_seats, F.lit(0.0)) / F.col("_total")
+        share = F.try_divide(F.col(weight) * F.greatest(total_seats, F.lit(0.0)), F.col("_total"))
         return F.floor(F.coalesce(share, F.lit(0.0)) + 0.5)
 
     bounded = settle(
@@ -209,7 +209,7 @@ def mix(
         shards.groupBy("_key")
         .agg(F.sum("_blocks").alias("_all_blocks"))
         .join(targets, "_key")
-        .withColumn("_worth", F.coalesce(F.col("target") * F.col("_all_blocks") / F.col("source_size"), F.lit(0.0)))
+        .withColumn("_worth", F.coalesce(F.try_divide(F.col("target") * F.col("_all_blocks"), F.col("source_size")), F.lit(0.0)))
         .withColumn("_mix", F.lit(0))
     )
     of_source = settle(of_source)

@@ -114,7 +114,7 @@ class Tree:
                 continue
             rows = slice(self.first[node], self.last[node])
             for score, vec_id in zip((view(self.vectors[rows]) @ query).tolist(), self.ids[rows].tolist()):
-                score = int(score)
+                score = min(max(int(score), LONG.min), LONG.max)
                 if vec_id == own_id or (floor is not None and score < floor):
                     continue
                 entry = (score, -vec_id)
@@ -169,7 +169,8 @@ def top_k(
     """``(query_id, rank, vec_id, score)``: the ``k`` best of all other rows for every query.
 
     Queries are the rows whose id is divisible by ``every``; components are
-    ``floor(1024 * x)`` and scores their integer inner products, held to 64 bits. Rows without id,
+    ``floor(1024 * x)`` and scores their integer inner products; what 64 bits cannot hold counts as
+    their largest or smallest number. Rows without id,
     with a null vector or with null or non-finite components take no part. A query only meets
     vectors of its own length, never a row with its own id; equal scores go to smaller ids.
     Repeated rows are each a candidate; of repeated queries with one id the vectors are searched
@@ -209,7 +210,7 @@ def top_k(
                 for score, vec_id in tree.search(query, query_id, k, bound):
                     found[0].append(query_id)
                     found[1].append(vec_id)
-                    found[2].append(min(max(score, LONG.min), LONG.max))
+                    found[2].append(score)
             yield pa.RecordBatch.from_arrays(
                 [pa.array(column, pa.int64()) for column in found], names=["query_id", "vec_id", "score"]
             )
