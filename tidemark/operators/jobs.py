@@ -10,15 +10,12 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from tidemark.functions.ordered import first_at_or_after, with_neighbors
+from tidemark.functions.ordered import carry_forward, first_at_or_after
 from tidemark.session import settle
 
 # Job states in reporting order.
 STATES = ("queued", "running", "completed", "failed")
 
-# Jobs with more events than this are folded by pointers instead of inside one row.
-FOLD_LIMIT = 250_000
-
 SUMMARY = (
     "job_id",
     "status",
@@ -31,83 +28,28 @@ SUMMARY = (
     "lease_until",
 )
 
-_STATE = (
-    "struct<status:string,token:string,lease_until:bigint,claim_count:bigint,renewals:bigint,"
-    "lease_expirations:bigint,lost_acknowledgements:bigint,refused_claims:bigint,"
-    "duplicate_submissions:bigint>"
-)
+# Width in sequence numbers of the blocks in which acknowledgements are looked up.
+BLOCK = 1 << 16
 
 
-def job_states(events: DataFrame, lease: int, *, fold_limit: int = FOLD_LIMIT) -> DataFrame:
+def job_states(events: DataFrame, lease: int) -> DataFrame:
     """One row per job: its state and what happened to its claims and acknowledgements.
 
-    A job of at most ``fold_limit`` events is folded inside one row; that limit is checked,
-    not assumed. Longer jobs take :func:`accepted_events`, which gives the same answer without
-    bringing a job together.
+    A claim takes effect on a queued job or after the lease of the one before is over; a claim
+    within the lease is refused, also if it repeats the token. An acknowledgement takes effect
+    within the lease if it presents the token of the claim that holds it; a NULL token never
+    does. Events before the first submission change nothing. A job may have any number of
+    events: none is ever brought together.
     """
-    sizes = events.groupBy("job_id").agg(F.count("*").alias("_n"))
-    long_jobs = settle(sizes.filter(F.col("_n") > fold_limit).select("job_id"))
-    if long_jobs.isEmpty():
-        return _fold(events, lease)
-    short = _fold(events.join(long_jobs, "job_id", "left_anti"), lease)
-    long = events.join(long_jobs, "job_id", "left_semi")
-    return short.unionByName(_summarize(long, accepted_events(long, lease), lease))
-
-
-def _fold(events: DataFrame, lease: int) -> DataFrame:
-    ordered = F.array_sort(F.collect_list(F.struct("sequence", "kind", "at", "token")))
-    zero = F.lit(0).cast("long")
-    start = F.struct(
-        F.lit(None).cast("string").alias("status"),
-        F.lit(None).cast("string").alias("token"),
-        F.lit(None).cast("long").alias("lease_until"),
-        *[zero.alias(c) for c in SUMMARY[2:8]],
-    ).cast(_STATE)
-    state = F.aggregate(ordered, start, lambda s, e: _transition(s, e, lease))
-    return (
-        events.groupBy("job_id")
-        .agg(state.alias("s"))
-        .select("job_id", *[F.col(f"s.{c}").alias(c) for c in SUMMARY[1:]])
-    )
-
-
-def _transition(s: Column, e: Column, lease: int) -> Column:
-    """State after one event."""
-    yes = lambda c: F.coalesce(c, F.lit(False))
-    add = lambda name, when: (s[name] + F.when(when, 1).otherwise(0)).alias(name)
-    running = yes(s["status"] == "running")
-    live = running & yes(s["lease_until"] > e["at"])
-    submit = (e["kind"] == "submitted") & s["status"].isNull()
-    is_claim = e["kind"] == "claimed"
-    claim = is_claim & (yes(s["status"] == "queued") | (running & ~live))
-    is_ack = e["kind"].isin("renewed", "completed", "failed")
-    held = is_ack & live & yes(s["token"] == e["token"])
-    renew = held & (e["kind"] == "renewed")
-    finish = held & (e["kind"] != "renewed")
-    until = (e["at"] + F.lit(lease)).cast("long")
-    return F.struct(
-        F.when(submit, "queued")
-        .when(claim, "running")
-        .when(finish, e["kind"])
-        .otherwise(s["status"])
-        .alias("status"),
-        F.when(claim, e["token"]).when(~finish, s["token"]).alias("token"),
-        F.when(claim | renew, until).when(~finish, s["lease_until"]).alias("lease_until"),
-        add("claim_count", claim),
-        add("renewals", renew),
-        add("lease_expirations", claim & running),
-        add("lost_acknowledgements", is_ack & ~held),
-        add("refused_claims", is_claim & ~claim),
-        add("duplicate_submissions", (e["kind"] == "submitted") & ~submit),
-    ).cast(_STATE)
+    return _summarize(events, accepted_events(events, lease), lease)
 
 
 def accepted_events(events: DataFrame, lease: int) -> DataFrame:
     """``(job_id, sequence)`` of the claims and acknowledgements that took effect.
 
     Which event takes effect after an accepted claim or renewal ``e`` does not depend on
-    anything earlier: it is the next acknowledgement with the same token if that comes before
-    ``e.at + lease``, otherwise the first claim at or after that time. These pointers are
+    anything earlier: it is the next acknowledgement with the same token, which is not NULL, if
+    that comes before ``e.at + lease``, otherwise the first claim at or after that time. These pointers are
     found without bringing a job together, and the path from each job's first claim is then
     marked by pointer doubling, in a logarithmic number of rounds.
     """
@@ -121,15 +63,22 @@ def accepted_events(events: DataFrame, lease: int) -> DataFrame:
         .filter((F.col("sequence") > F.col("_from")) & (F.col("kind") != "submitted"))
         .select("job_id", "sequence", "kind", "at", "token")
     )
-    linked = with_neighbors(
-        live,
+    ack = F.col("kind").isin("renewed", "completed", "failed")
+    # From back to front, the last acknowledgement before a row is the next one after it.
+    linked = carry_forward(
+        live.filter("token IS NOT NULL").withColumn("_back", -F.col("sequence")),
         ["job_id", "token"],
+        "_back",
+        F.when(ack, F.struct("sequence", "at")),
+        "_next",
+        width=BLOCK,
+    ).unionByName(live.filter("token IS NULL"), allowMissingColumns=True)
+    probes = linked.filter(F.col("kind").isin("claimed", "renewed")).select(
+        "job_id",
         "sequence",
-        next={"_ack": "sequence", "_ack_at": "at"},
-        width=1 << 24,
-    ).filter(F.col("kind").isin("claimed", "renewed"))
-    probes = linked.select(
-        "job_id", "sequence", "_ack", "_ack_at", (F.col("at") + lease).alias("at")
+        F.col("_next.sequence").alias("_ack"),
+        F.col("_next.at").alias("_ack_at"),
+        (F.col("at") + lease).alias("at"),
     )
     claims = live.filter(F.col("kind") == "claimed").select("job_id", "at", "sequence")
     timed = first_at_or_after(probes, claims, "job_id", "at", "sequence", "_claim", width=lease)

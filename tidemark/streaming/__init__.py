@@ -30,17 +30,18 @@ def scratch(spark: SparkSession, name: str) -> str:
 
 
 @contextmanager
-def state_settings(spark: SparkSession):
+def state_settings(spark: SparkSession, partitions: int | None = None):
     """State store settings while a stateful query starts.
 
-    The number of state partitions is fixed by the first batch, so it follows the cores of
-    the cluster instead of a large batch default.
+    The number of state partitions is fixed by the first batch for the life of the stream:
+    ``partitions``, or the session's shuffle partitions. It does not follow the cores that
+    happen to be there at the start.
     """
     names = ("spark.sql.streaming.stateStore.providerClass", "spark.sql.shuffle.partitions")
     before = {n: spark.conf.get(n, None) for n in names}
-    cores = max(spark.sparkContext.defaultParallelism, 1)
     spark.conf.set(names[0], ROCKSDB)
-    spark.conf.set(names[1], str(min(int(before[names[1]] or 200), cores)))
+    if partitions is not None:
+        spark.conf.set(names[1], str(partitions))
     try:
         yield
     finally:
@@ -58,6 +59,7 @@ def write_batches(
     *,
     mode: str = "append",
     prepare: Callable[[DataFrame, int], DataFrame] | None = None,
+    partitions: int | None = None,
 ) -> StreamingQuery:
     """Write every micro-batch to its own ``batch_id`` folder.
 
@@ -69,7 +71,7 @@ def write_batches(
         rows = prepare(batch, batch_id) if prepare else batch
         rows.write.mode("overwrite").parquet(f"{path}/batch_id={batch_id}")
 
-    with state_settings(stream.sparkSession):
+    with state_settings(stream.sparkSession, partitions):
         return (
             stream.writeStream.foreachBatch(write)
             .outputMode(mode)

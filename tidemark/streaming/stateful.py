@@ -2,15 +2,21 @@
 
 from __future__ import annotations
 
+import sys
 from collections.abc import Iterator
 
 import pandas as pd
+from pyspark import cloudpickle
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.streaming import StatefulProcessor, StatefulProcessorHandle
 
 from tidemark.functions.exprs import all_finite
 
+# The driver starts a worker for every stream that imports nothing shipped with addPyFile, so the
+# processors of this module travel by value.
+cloudpickle.register_pickle_by_value(sys.modules[__name__])
+
 ARRIVALS = "run_id long, frame int, outcome string, accepted long"
 OUTCOMES = (
     "job_id long, sequence long, kind string, outcome string, status string, "
@@ -97,7 +103,7 @@ class JobLease(StatefulProcessor):
                     outcome = "accepted"
                 else:
                     outcome = "refused"
-            elif live and token == presented:
+            elif live and isinstance(presented, str) and token == presented:
                 outcome = "accepted"
                 if kind == "renewed":
                     until = int(at) + self.lease

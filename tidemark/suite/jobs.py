@@ -13,10 +13,17 @@ from tidemark.suite import query
 LEASE = 6 * 3600 * 1_000_000
 NOW = 1_706_700_000_000_000
 
-JOB_SQL = f""", ev AS (SELECT job_id, sequence, kind, moment, CASE WHEN kind = 'claimed' THEN CAST(sequence AS VARCHAR)
+TOKEN_SQL = """, ev AS (SELECT job_id, sequence, kind, moment, CASE WHEN kind = 'claimed' THEN CAST(sequence AS VARCHAR)
     WHEN kind = 'submitted' THEN NULL WHEN stale THEN 'stale'
     ELSE CAST(last_value(CASE WHEN kind = 'claimed' THEN sequence END IGNORE NULLS) OVER (PARTITION BY job_id ORDER BY sequence
-      ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING) AS VARCHAR) END AS token FROM job_events),
+      ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING) AS VARCHAR) END AS token FROM job_events),"""
+
+# Few tokens that come again, some NULL, and one job with a third of all events.
+HARD_SQL = """, ev AS (SELECT CASE WHEN sequence % 3 = 0 THEN -1 ELSE job_id END AS job_id, sequence, kind, moment,
+    CASE WHEN sequence % 7 = 0 OR kind = 'submitted' THEN NULL WHEN stale THEN 'stale' ELSE CAST(sequence // 40 % 4 AS VARCHAR) END AS token
+  FROM job_events),"""
+
+FOLD_SQL = f"""
 ordered AS (SELECT *, row_number() OVER (PARTITION BY job_id ORDER BY sequence) AS n FROM ev),
 fold AS (SELECT DISTINCT job_id, CAST(0 AS BIGINT) AS n, CAST(NULL AS VARCHAR) AS status, CAST(NULL AS VARCHAR) AS token, CAST(NULL AS BIGINT) AS lease_until,
     0 AS claim_count, 0 AS renewals, 0 AS lease_expirations, 0 AS lost_acknowledgements, 0 AS refused_claims, 0 AS duplicate_submissions FROM ev
@@ -37,6 +44,9 @@ states AS (SELECT job_id, arg_max(status, n) AS status, max(claim_count) AS clai
     max(lease_until) FILTER (last) AS lease_until FROM (SELECT *, n = max(n) OVER (PARTITION BY job_id) AS last FROM fold) GROUP BY job_id)"""
 
 
+JOB_SQL = TOKEN_SQL + FOLD_SQL
+
+
 def tokens(events):
     """An acknowledgement presents the latest claim before it, unless it is stale."""
     with_claim = carry_forward(
@@ -73,8 +83,27 @@ def job_states(spark, sf_dir):
     dt.with_views("job_events", recursive=True) + JOB_SQL + f" SELECT {', '.join(jobs.SUMMARY)} FROM states",
 )
 def job_states_by_pointers(spark, sf_dir):
-    """The same states by the path that long jobs take."""
-    return jobs.job_states(job_events(spark, sf_dir), LEASE, fold_limit=0)
+    """The same states, counted from the events that took effect."""
+    events = job_events(spark, sf_dir)
+    return jobs.job_states(events.repartition("sequence"), LEASE)
+
+
+@query(
+    "job_states_hard_tokens",
+    dt.with_views("job_events", recursive=True) + HARD_SQL + FOLD_SQL + f" SELECT {', '.join(jobs.SUMMARY)} FROM states",
+)
+def job_states_hard_tokens(spark, sf_dir):
+    """Repeated, NULL and stale tokens, events before submission, a job with a third of all."""
+    events = dt.job_events(spark, sf_dir)
+    number = F.col("sequence")
+    token = (
+        F.when((number % 7 == 0) | (F.col("kind") == "submitted"), F.lit(None))
+        .when(F.col("stale"), "stale")
+        .otherwise((F.floor(number / 40) % 4).cast("string"))
+    )
+    job = F.when(number % 3 == 0, F.lit(-1)).otherwise(F.col("job_id"))
+    hard = events.select(job.alias("job_id"), "sequence", "kind", "at", token.alias("token"))
+    return jobs.job_states(hard, LEASE)
 
 
 @query(

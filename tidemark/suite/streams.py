@@ -26,19 +26,19 @@ def stream_job_states(spark, sf_dir):
     """Job leases followed over several micro-batches of the event table."""
     events = job_suite.job_events(spark, sf_dir)
     path = streaming.scratch(spark, "job-events")
+    base = streaming.scratch(spark, "job-outcomes")
     top = dt.table(spark, sf_dir, "events").agg(F.max("event_id")).first()[0]
-    # Slices are written one after the other, so files arrive in sequence order.
+    # Every slice is written, then followed by a query that resumes where the last one ended.
     for i in range(SLICES):
         low, high = top * i // SLICES, top * (i + 1) // SLICES
         part = events.filter(
             (F.col("sequence") > low if i else F.lit(True)) & (F.col("sequence") <= high)
         )
         part.repartition("job_id").write.mode("append").parquet(path)
-    stream = spark.readStream.schema(events.schema).parquet(path)
-    outcomes = streaming.run_to_table(
-        stateful.job_outcomes(stream, job_suite.LEASE), "job-outcomes"
-    )
-    return stateful.outcome_states(outcomes)
+        stream = spark.readStream.schema(events.schema).parquet(path)
+        outcomes = stateful.job_outcomes(stream, job_suite.LEASE)
+        streaming.drain(streaming.write_batches(outcomes, f"{base}/table", f"{base}/checkpoint"))
+    return stateful.outcome_states(streaming.read_batches(spark, f"{base}/table"))
 
 
 @query(
