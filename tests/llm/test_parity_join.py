@@ -64,8 +64,8 @@ def test_bands_meet_across_borders():
 def test_cancelled_sketches_share_a_segment():
     none = pj.Frequent(np.empty(0, np.uint64), np.empty(0, np.int64))
     doubled = np.array([5, 5], dtype=np.uint64)  # cancels wholly
-    first, _ = pj.needed_segments(doubled, 1, none)
-    second, _ = pj.needed_segments(np.array([9, 9], dtype=np.uint64), 1, none)
+    first, _, _ = pj.needed_segments(doubled, 1, none)
+    second, _, _ = pj.needed_segments(np.array([9, 9], dtype=np.uint64), 1, none)
     assert set(first.tolist()) & set(second.tolist())
 
 

@@ -12,11 +12,12 @@ segments follows the size, and every candidate is verified on its whole text.
 Order of segments: any fixed order is right. Segments that many documents hold, as from passages
 that many share, come last, so that they are seldom needed.
 
-Candidates: a segment held by many nodes never makes all their pairs. Its nodes, sorted by size, are
-first chained and tied to the smallest, and every node keeps the partner it meets most often; the
-links among those pairs give components. Only where one segment's nodes are still in different
-components are pairs across them formed. Every pair is first held to the Hamming distance of its
-sketches, a few hundred bytes, and only what that leaves is verified on the texts.
+Candidates: a segment held by many nodes never makes all their pairs. Its nodes are first chained and
+tied to the one with most frequent segments, which in a family of copies is near its origin, and every
+node keeps the partner that its sketch is nearest to; the verified links among those pairs give
+components. Where one segment's nodes are still in different components, tiles of bounded size hold
+the sketches of two parts of them against each other, and only pairs whose Hamming distance allows a
+link leave the task: first each node's nearest is verified, then all that are still apart.
 """
 
 from __future__ import annotations
@@ -46,8 +47,8 @@ LEAST_SEGMENTS = 4096
 FREQUENT_IN_BATCH = 5
 FREQUENT = 8
 FREQUENT_LISTED = 200_000
-# Nodes of one frequent segment that are chained in one group, and nodes verified against one
-# text in one group.
+# Nodes of one frequent segment that are chained in one group, nodes verified against one text in
+# one group, and nodes on each side of a tile.
 GROUP_NODES = 2_000
 # Partners of a node that are held to their sketches before one is chosen.
 PARTNERS = 3
@@ -145,7 +146,7 @@ class Frequent:
 
 
 def needed_segments(found: np.ndarray, band: int, frequent: Frequent):
-    """The segments to join on, and how often each was seen.
+    """The segments to join on, how often each was seen, and how many of all are frequent.
 
     A set whose sketch has too few segments that are not empty, because shingles cancelled, gives
     all it has and one that all such sets of the band share.
@@ -155,9 +156,9 @@ def needed_segments(found: np.ndarray, band: int, frequent: Frequent):
     need = most_different(len(found)) + 1
     if len(names) < need:
         spare = _mixed(np.array([band + 1], dtype=np.uint64))
-        return np.concatenate([names, spare]), np.concatenate([seen, [0]])
+        return np.concatenate([names, spare]), np.concatenate([seen, [0]]), int((seen > 0).sum())
     order = np.lexsort((names, seen))[:need]
-    return names[order], seen[order]
+    return names[order], seen[order], int((seen > 0).sum())
 
 
 def signatures(documents: DataFrame) -> DataFrame:
@@ -219,7 +220,8 @@ def _frequent(rows: DataFrame) -> Frequent:
 
 
 def _memberships(documents: DataFrame, frequent) -> DataFrame:
-    """``(segment, split, part, node, size)``: every node under each segment it joins on.
+    """``(segment, split, part, node, size, common)``: every node under each segment it joins on,
+    with the number of its frequent segments.
 
     ``part`` splits the nodes of very frequent segments, marked ``split``, into groups.
     """
@@ -227,14 +229,15 @@ def _memberships(documents: DataFrame, frequent) -> DataFrame:
     def run(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         listed = frequent.value
         for batch in batches:
-            names, groups, nodes, sizes, known = [], [], [], [], set()
+            names, groups, nodes, sizes, common, known = [], [], [], [], [], set()
             for text in texts(batch, 1):
                 found = shingles(text)
                 if not len(found) or (node := node_of(found)) in known:
                     continue
                 known.add(node)
                 for band in bands(len(found)):
-                    own, seen = needed_segments(found, band, listed)
+                    own, seen, frequent_ones = needed_segments(found, band, listed)
+                    common.append(np.full(len(own), frequent_ones))
                     names.append(own)
                     groups.append(seen // GROUP_NODES + 1)
                     nodes.append(np.full(len(own), node))
@@ -248,43 +251,48 @@ def _memberships(documents: DataFrame, frequent) -> DataFrame:
                         pa.array((node % group).astype(np.int32)),
                         pa.array(node),
                         pa.array(np.concatenate(sizes).astype(np.int32)),
+                        pa.array(np.concatenate(common).astype(np.int32)),
                     ],
-                    names=["segment", "split", "part", "node", "size"],
+                    names=["segment", "split", "part", "node", "size", "common"],
                 )
 
     return documents.mapInArrow(
-        run, "segment long, split boolean, part int, node long, size int"
+        run, "segment long, split boolean, part int, node long, size int, common int"
     )
 
 
+# Nodes with many frequent segments come first under a segment.
+ORDER = ("-common", "size", "node")
+
+
 def _near_in_size(x: str, y: str):
     """Whether the smaller set is at least three quarters of the larger."""
     return 100 * F.least(x, y) >= LEAST_PERCENT * F.greatest(x, y)
 
 
 def _partners(members: DataFrame) -> DataFrame:
-    """``(a, b, met)``: for every node the few others it meets most often, as the smallest under a
-    segment or as the next smaller one there."""
+    """``(a, b)``: for every node the few others it meets most often, as the first under a segment
+    or as the one before it there."""
     found = [
         members.filter(F.col(other).isNotNull() & (F.col(other) != F.col("node")))
         .filter(_near_in_size("size", f"{other}_size"))
         .select(F.col("node").alias("a"), F.col(other).alias("b"))
         for other in ("before", "least")
     ]
-    # The smallest nodes of the parts of one segment are chained in their turn.
-    order = Window.partitionBy("segment").orderBy("size", "node")
+    # The first nodes of the parts of one segment are chained in their turn.
+    order = Window.partitionBy("segment").orderBy(*map(F.expr, ORDER))
     heads = members.filter("split AND least = node").select(
         F.col("node").alias("a"), F.lag("node").over(order).alias("b")
     )
     met = found[0].union(found[1]).groupBy("a", "b").agg(F.count("*").alias("met"))
-    heads = heads.filter("b IS NOT NULL").distinct().withColumn("met", F.lit(0).cast("long"))
+    heads = heads.filter("b IS NOT NULL").distinct()
     best = Window.partitionBy("a").orderBy(F.desc("met"), "b")
-    few = met.withColumn("_n", F.row_number().over(best)).filter(F.col("_n") <= PARTNERS).drop("_n")
-    return few.union(heads)
+    few = met.withColumn("_n", F.row_number().over(best)).filter(F.col("_n") <= PARTNERS)
+    return few.select("a", "b").union(heads).distinct()
 
 
 def _alike(pairs: DataFrame, nodes: DataFrame) -> DataFrame:
-    """The pairs whose sketches allow a link."""
+    """The pairs whose sketches allow a link, with their ``distance``."""
     side = lambda name: nodes.select(
         F.col("node").alias(name), F.col("size").alias(f"{name}_size"), F.col("sketch").alias(f"{name}_sketch")
     )
@@ -294,8 +302,103 @@ def _alike(pairs: DataFrame, nodes: DataFrame) -> DataFrame:
     def distance(x: pd.Series, y: pd.Series) -> pd.Series:
         return pd.Series(list(map(differs_at_least, x, y)), dtype="int64")
 
-    allowed = 7 * distance("a_sketch", "b_sketch") <= F.col("a_size") + F.col("b_size")
-    return both.filter(allowed).select(*pairs.columns)
+    measured = both.withColumn("distance", distance("a_sketch", "b_sketch"))
+    allowed = 7 * F.col("distance") <= F.col("a_size") + F.col("b_size")
+    return measured.filter(allowed).select("a", "b", "distance")
+
+
+def _nearest(pairs: DataFrame) -> DataFrame:
+    """For every node the pair with its nearest partner."""
+    both = pairs.select("a", "b", "distance").union(pairs.select("b", "a", "distance"))
+    nearest = both.groupBy("a").agg(F.min(F.struct("distance", "b")).alias("_p"))
+    return nearest.select(F.least("a", "_p.b").alias("a"), F.greatest("a", "_p.b").alias("b")).distinct()
+
+
+def _words(sketches: list[bytes], width: int) -> np.ndarray:
+    """Sketches as rows of ``width`` words, folded where they are wider."""
+    rows = [np.frombuffer(x, np.uint64).reshape(-1, width) for x in sketches]
+    return np.stack([row[0] if len(row) == 1 else np.bitwise_xor.reduce(row, axis=0) for row in rows])
+
+
+def _tile_pairs(left: list[tuple], right: list[tuple] | None) -> Iterator[tuple[int, int, int]]:
+    """``(a, b, distance)`` of pairs of a tile that may link and are in different components.
+
+    Members are ``(node, size, root, sketch)``; without ``right`` the tile is a part against
+    itself. Sets that can link have sketches of one width, or one of twice the other's.
+    """
+    by_width: list[dict[int, list[tuple]]] = [{}, {}]
+    for side, members in enumerate((left, left if right is None else right)):
+        for member in members:
+            by_width[side].setdefault(len(member[3]) // 8, []).append(member)
+    for width, first in by_width[0].items():
+        for other, second in by_width[1].items():
+            if other not in (width, 2 * width, width // 2) or (right is None and other < width):
+                continue
+            narrow = min(width, other)
+            x, y = (_words([m[3] for m in side], narrow) for side in (first, second))
+            roots, sizes, nodes = (np.array([m[k] for m in second]) for k in (2, 1, 0))
+            for row, (node, size, root, _) in zip(x, first):
+                at = np.flatnonzero(
+                    (roots != root)
+                    & (nodes != node)
+                    & (100 * np.minimum(sizes, size) >= LEAST_PERCENT * np.maximum(sizes, size))
+                )
+                if right is None and other == width:
+                    at = at[nodes[at] > node]
+                if not len(at):
+                    continue
+                distance = np.bitwise_count(y[at] ^ row).sum(axis=1, dtype=np.int64)
+                for k in np.flatnonzero(7 * distance <= sizes[at] + size):
+                    a, b = sorted((node, int(nodes[at[k]])))
+                    yield a, b, int(distance[k])
+
+
+def _apart_pairs(left: DataFrame) -> DataFrame:
+    """``(a, b, distance)`` among nodes of one segment in different components.
+
+    ``left``: ``segment, tiles, node, size, root, sketch``. A segment's nodes are dealt to
+    ``tiles`` parts, and every two parts meet in a tile, so a task holds two parts at a time.
+    """
+    part = F.pmod(F.xxhash64("node"), "tiles").cast("int")
+    placed = left.withColumn("part", part).withColumn(
+        "other", F.explode(F.sequence(F.lit(0), F.col("tiles").cast("int") - 1))
+    )
+    tiles = placed.select(
+        "segment",
+        F.least("part", "other").alias("x"),
+        F.greatest("part", "other").alias("y"),
+        (F.col("part") > F.col("other")).alias("second"),
+        "node",
+        "size",
+        "root",
+        "sketch",
+    )
+    stream = tiles.repartition("segment", "x", "y").sortWithinPartitions("segment", "x", "y")
+
+    def run(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        key, sides = None, ([], [])
+
+        def finished() -> list[tuple[int, int, int]]:
+            if key is None:
+                return []
+            return list(_tile_pairs(sides[0], None if key[1] == key[2] else sides[1]))
+
+        def out(found: set[tuple[int, int, int]]) -> pa.RecordBatch:
+            a, b, distance = zip(*found) if found else ((), (), ())
+            columns = [pa.array(c, pa.int64()) for c in (a, b, distance)]
+            return pa.RecordBatch.from_arrays(columns, names=["a", "b", "distance"])
+
+        for batch in batches:
+            found: set[tuple[int, int, int]] = set()
+            for segment, x, y, second, *member in zip(*(c.to_pylist() for c in batch.columns)):
+                if (segment, x, y) != key:
+                    found.update(finished())
+                    key, sides = (segment, x, y), ([], [])
+                sides[second].append(tuple(member))
+            yield out(found)
+        yield out(set(finished()))
+
+    return stream.mapInArrow(run, "a long, b long, distance long").distinct()
 
 
 def _verified(pairs: DataFrame, documents: DataFrame, nodes: DataFrame) -> DataFrame:
@@ -365,7 +468,7 @@ def link_documents(
     )
     frequent = spark.sparkContext.broadcast(_frequent(rows))  # FREQUENT_LISTED bounds it
 
-    own = Window.partitionBy("segment", "part").orderBy("size", "node")
+    own = Window.partitionBy("segment", "part").orderBy(*map(F.expr, ORDER))
     grouped = (
         _memberships(source.filter("doc IS NOT NULL"), frequent)
         .repartition("segment", "part")
@@ -385,34 +488,34 @@ def link_documents(
     del grouped
     release(spark)
 
-    tried = written(_alike(_partners(members), nodes), "partners")
-    best = Window.partitionBy("a").orderBy(F.desc("met"), "b")
-    tried = written(
-        tried.withColumn("_n", F.row_number().over(best)).filter("_n = 1").select("a", "b"), "chosen"
-    )
+    tried = written(_nearest(_alike(_partners(members), nodes)), "partners")
     links = written(_verified(tried, source, nodes), "first-links")
     release(spark)
     component = connected_components(links)
 
-    # Pairs that one segment brings together and that are still apart.
+    # Nodes that one segment brings together and that are still apart.
     placed = members.select("segment", "node", "size").join(component, "node", "left")
     placed = placed.withColumn("root", F.coalesce("root", "node"))
-    apart = placed.groupBy("segment").agg(F.min("root").alias("x"), F.max("root").alias("y"))
-    left = written(placed.join(apart.filter("x <> y").select("segment"), "segment"), "apart")
-    del placed, apart
-    discard(members)
-    other = left.select("segment", *(F.col(c).alias(f"other_{c}") for c in ("node", "size", "root")))
-    rest = (
-        left.join(other, "segment")
-        .filter((F.col("node") < F.col("other_node")) & (F.col("root") != F.col("other_root")))
-        .filter(_near_in_size("size", "other_size"))
-        .select(F.col("node").alias("a"), F.col("other_node").alias("b"))
-        .distinct()
-        .join(tried, ["a", "b"], "left_anti")
-        .join(tried.select(F.col("b").alias("a"), F.col("a").alias("b")), ["a", "b"], "left_anti")
+    apart = placed.groupBy("segment").agg(
+        F.min("root").alias("x"),
+        F.max("root").alias("y"),
+        F.ceil(F.count("*") / GROUP_NODES).alias("tiles"),
     )
-    rest = written(_alike(rest, nodes), "rest-pairs")
-    more = written(_verified(rest, source, nodes), "rest-links")
+    left = placed.join(apart.filter("x <> y").select("segment", "tiles"), "segment")
+    left = left.join(nodes.select("node", "sketch"), "node")
+    rest = written(_apart_pairs(left).join(tried, ["a", "b"], "left_anti"), "apart-pairs")
+    discard(members)
+    near = written(_nearest(rest), "nearest-apart")
+    links = written(links.union(_verified(near, source, nodes)), "second-links")
+    release(spark)
+    component = connected_components(links)
+
+    # All other pairs whose nodes no verified link joins by now.
+    root = component.select(F.col("node").alias("a"), F.col("root").alias("_x"))
+    other = component.select(F.col("node").alias("b"), F.col("root").alias("_y"))
+    rest = rest.join(near, ["a", "b"], "left_anti").join(root, "a", "left").join(other, "b", "left")
+    rest = rest.filter(F.coalesce("_x", "a") != F.coalesce("_y", "b")).select("a", "b")
+    more = written(_verified(written(rest, "rest-pairs"), source, nodes), "rest-links")
     release(spark)
     component = connected_components(links.union(more))
 
