@@ -213,3 +213,28 @@ def test_reuse(spark):
     bad = spark.createDataFrame([("b", "missing")], "id string, problem string")
     got = {r["id"]: r["action"] for r in c.reuse_plan(want, have, bad).collect()}
     assert got == {"a": "reuse", "b": "corrupt", "c": "run"}
+
+
+def test_metrics_keep_their_types(spark, tmp_path):
+    docs = [
+        _doc("run-1", 0.1, {"flag": True, "sampling": "saved_frames", "rate": 2, "mixed": 1, "ID": 7, "config_json": "c"}),
+        _doc("run-2", 0.1, {"flag": False, "sampling": "all", "rate": 2.5, "mixed": "n/a", "Rate": 1}),
+    ]
+    table = c.flatten_records(c.scan_records(spark, _lake(tmp_path, docs)))
+    kinds = dict(table.dtypes)
+    assert (kinds["flag"], kinds["sampling"], kinds["rate"], kinds["mixed"]) == ("boolean", "string", "double", "string")
+    row = table.filter("id = 'run-1'").first()
+    assert (row["flag"], row["sampling"], row["rate"], row["mixed"]) == (True, "saved_frames", 2.0, "1")
+    # Names that differ from taken ones in case only get the prefix too.
+    assert row["metric_ID"] == 7.0 and row["metric_config_json"] == "c"
+    assert len({n.lower() for n in table.columns}) == len(table.columns)
+
+
+def test_catalog_files_of_other_types_are_widened(spark, tmp_path):
+    path = str(tmp_path / "catalog")
+    rows = [("a", 1), ("b", 2)]
+    spark.createDataFrame(rows, "id string, extra long").write.parquet(f"{path}/batch=1")
+    spark.createDataFrame([("c", 2.5)], "id string, extra double").write.parquet(f"{path}/batch=2")
+    spark.createDataFrame([("d", "x", True)], "id string, note string, flag boolean").write.parquet(f"{path}/batch=3")
+    got = {r["id"]: (r["extra"], r["note"], r["flag"]) for r in c.scan_catalog(spark, path).collect()}
+    assert got == {"a": (1.0, None, None), "b": (2.0, None, None), "c": (2.5, None, None), "d": (None, "x", True)}

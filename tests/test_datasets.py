@@ -139,3 +139,11 @@ def test_seeded_sample_ignores_layout(spark):
     a = sorted(r["id"] for r in d.seeded_sample(df, "id", 24, 7).collect())
     b = sorted(r["id"] for r in d.seeded_sample(df.repartition(9), "id", 24, 7).collect())
     assert a == b and len(set(a)) == 24
+
+
+def test_normalization_weighs_frames_by_their_length(spark):
+    rows = [("train", [2.0]), ("train", [4.0, 4.0, 2.0]), ("train", [0.0, 6.0, 3.0])]
+    got = d.training_normalization(spark.createDataFrame(rows, "split string, values array<double>")).first()
+    values = np.array([2.0, 4.0, 4.0, 2.0, 0.0, 6.0, 3.0])
+    assert got["count"] == 7 and got["mean"] == pytest.approx(values.mean())
+    assert got["std"] == pytest.approx(values.std())

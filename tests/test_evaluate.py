@@ -88,3 +88,13 @@ def test_best_checkpoint_takes_the_earliest_tie(spark):
 def test_paired_table(spark):
     df = spark.createDataFrame([(0, "baseline", 2.0), (0, "mean_preserving", 0.5)], "seed int, variant string, rmse double")
     assert e.paired_table(df, ["rmse"]).select(F.col("delta_rmse")).first()[0] == -1.5
+
+
+def test_one_non_finite_prediction_voids_the_series(spark):
+    rows = [("a", 1, True, 4.0), ("a", 2, False, 1.0), ("b", 1, True, 4.0), ("b", 2, True, 16.0)]
+    scores = spark.createDataFrame(rows, "kind string, frame int, finite boolean, error_sq double").selectExpr("*", "4 AS cells")
+    got = {(r["kind"], r["frame"]): r["rmse"] for r in e.per_time_rmse(scores).collect()}
+    assert got == {("a", 1): None, ("a", 2): None, ("b", 1): 1.0, ("b", 2): 2.0}
+    drifts = spark.createDataFrame([("q", 1, 1.0), ("q", 2, float("nan")), ("p", 1, 3.0)], "quantity string, frame int, drift double")
+    table = {(r["quantity"], r["frame"]): r["rms"] for r in e.drift_metrics(drifts, ("quantity", "frame")).collect()}
+    assert table == {("q", 1): None, ("q", 2): None, ("p", 1): 3.0}

@@ -95,3 +95,13 @@ def test_family_key_ignores_the_seed_of_deterministic_runs(spark):
     assert keys["a"] == keys["b"] != keys["c"]
     same = export.trajectory_keys(runs, frames).agg(F.count_distinct("initial_field_sha256")).first()[0]
     assert same == 1
+
+
+def test_an_acquisition_lists_nothing_else(spark, tmp_path):
+    path = str(tmp_path / "acquisition")
+    (tmp_path / "acquisition").mkdir()
+    for name in ("metadata.json", "source.hdf5", "notes.txt"):
+        (tmp_path / "acquisition" / name).write_text("{}")
+    export.write_manifest(spark, path)
+    got = {(r["path"], r["problem"]) for r in export.verify_bundle(spark, path, "acquisition").collect()}
+    assert got == {("notes.txt", "not allowed")}

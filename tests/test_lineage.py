@@ -125,3 +125,15 @@ def test_budget_limits(spark):
 def test_checksums(spark):
     df = spark.createDataFrame([("a", "x"), ("b", "y")], "id string, text string").withColumn("sha256", F.sha2(F.lit("x"), 256))
     assert [r["id"] for r in l.entity_checksums(df).collect()] == ["b"]
+
+
+def test_different_initial_conditions_are_different_nodes(spark):
+    rows = [(f"r{k}", "completed", "burgers1d", "fd", 16, "sine", 1, a, length) for k, (a, length) in enumerate([(1.0, 1.0), (2.0, 1.0), (1.0, 2.0), (1.0, 1.0)])]
+    schema = "id string, status string, equation string, solver string, grid_size long, initial_condition string, seed long, amplitude double, domain_length double"
+    records = spark.createDataFrame(rows, schema).selectExpr(
+        "*", "'periodic' AS boundary", "'s' AS source_sha256", "'{}' AS config_json", "'{\"git\":1}' AS provenance_json",
+        "'{}' AS metrics_json", "'t' AS created_at", "CAST(NULL AS STRING) AS error", "false AS needs_review",
+    )
+    nodes = l.derived_nodes(records, [])
+    assert nodes.filter("type = 'InitialCondition'").count() == 3
+    assert nodes.filter("type = 'Experiment' AND properties LIKE '%git%'").count() == 4

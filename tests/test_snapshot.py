@@ -8,7 +8,7 @@ def _snapshot(spark, problems, count=2):
     bad = spark.createDataFrame(problems, "run_id string, problem string")
     digests = spark.createDataFrame([(i, i + "m", i + "r") for i in "abc"], "id string, manifest_sha256 string, record_sha256 string")
     series = spark.createDataFrame([("a", f, f * 0.5, 1.0 + f) for f in range(3)], "run_id string, frame int, time double, energy double")
-    finals = spark.createDataFrame([("a", "velocity", 2, 1.0, 1, 512, [float(i) for i in range(512)])], "run_id string, field string, frame int, time double, ny int, nx int, values array<double>")
+    finals = spark.createDataFrame([("a", "velocity", 2, 1.0, 1, 512, [float(i) for i in range(512)]), ("a", "pressure", 2, 1.0, 1, 2, [9.0, 9.0])], "run_id string, field string, frame int, time double, ny int, nx int, values array<double>")
     return {r["id"]: r for r in preview.catalog_snapshot(catalog, bad, digests, series, finals, count).collect()}
 
 
@@ -19,6 +19,7 @@ def test_payloads(spark):
     a = json.loads(got["a"]["payload"])
     assert a["record"]["note"] == "<x>" and (a["manifest_sha256"], a["record_sha256"]) == ("am", "ar")
     assert [s["value"] for s in a["energy"]["samples"]] == [1.0, 2.0, 3.0]
+    assert (a["field"]["field"], a["field"]["steady"], a["field"]["source_shape"]) == ("velocity", False, [1, 512])
     assert a["field"]["preview"] == [float(i) for i in range(0, 512, 2)]
 
 

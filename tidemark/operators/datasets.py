@@ -274,9 +274,9 @@ def split_audit(assigned: DataFrame) -> DataFrame:
 def training_normalization(frames: DataFrame) -> DataFrame:
     """Mean and population deviation of the training values, as one row.
 
-    ``frames``: ``split, values`` with equally long arrays. Every frame contributes its own
-    mean and centred square sum, so no cell is exploded; the spread of the frame means is
-    merged by Spark's own moment aggregate.
+    ``frames``: ``split, values``. Every frame contributes its own mean and centred square sum,
+    so no cell is exploded; the spread of the means of equally long frames is merged by Spark's
+    own moment aggregate, and the lengths, of which there are few, by their shares of all values.
     """
     v = F.col("_v")
     train = frames.filter(F.col("split") == "train").select(
@@ -288,10 +288,22 @@ def training_normalization(frames: DataFrame) -> DataFrame:
     parts = train.select(
         F.size(v).alias("n"), mean_of(v).alias("m"), let(mean_of(v), centred).alias("m2")
     )
-    out = parts.agg(
-        F.sum("n").alias("count"),
-        F.avg("m").alias("mean"),
-        F.sqrt(F.sum("m2") / F.sum("n") + F.var_pop("m")).alias("_std"),
+    lengths = parts.groupBy("n").agg(
+        F.sum("n").alias("total"), F.avg("m").alias("mean"), F.sum("m2").alias("m2"), F.var_pop("m").alias("spread")
+    )
+    gathered = lengths.agg(
+        F.sum("total").alias("count"),
+        F.sum("m2").alias("_m2"),
+        F.array_sort(F.collect_list(F.struct("n", "total", "mean", "spread"))).alias("_lengths"),
+    )
+    share = lambda g: g["total"] / F.col("count")
+    summed = lambda term: F.aggregate("_lengths", F.lit(0.0), lambda a, g: a + share(g) * term(g))
+    out = gathered.withColumn("mean", F.when(F.col("count") > 0, summed(lambda g: g["mean"]))).withColumn(
+        "_std",
+        F.sqrt(
+            F.col("_m2") / F.col("count")
+            + summed(lambda g: g["spread"] + F.pow(g["mean"] - F.col("mean"), 2))
+        ),
     )
     return out.select(
         "count",

@@ -10,7 +10,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from tidemark.functions.exprs import all_finite, is_finite, max_abs, mean_of, sum_sq
-from tidemark.functions.ordered import with_dense_neighbors
+from tidemark.functions.ordered import join_groups, with_dense_neighbors
 from tidemark.functions.skew import by_size
 
 # Rows scored per model call and accepted distance from an expected order.
@@ -191,11 +191,23 @@ def field_metrics(scores: DataFrame, by: Sequence[str] = ("kind",)) -> DataFrame
     )
 
 
+def _void_as_a_whole(table: DataFrame, by: Sequence[str], columns: Sequence[str]) -> DataFrame:
+    """NULL the columns of every group in which any saved time was not finite."""
+    whole = table.groupBy(*by).agg(F.bool_and("finite").alias("_whole"))
+    kept = [F.when(F.col("_whole"), F.col(c)).alias(c) for c in columns]
+    rest = [c for c in table.columns if c not in columns]
+    return join_groups(table, whole, by).select(*rest, *kept)
+
+
 def per_time_rmse(scores: DataFrame, by: Sequence[str] = ("kind",)) -> DataFrame:
-    """RMSE per saved time over trajectories and cells."""
-    return scores.groupBy(*by, "frame").agg(
-        F.when(F.bool_and("finite"), F.sqrt(F.sum("error_sq") / F.sum("cells"))).alias("rmse")
+    """RMSE per saved time over trajectories and cells.
+
+    One prediction that is not finite voids the series of its whole group.
+    """
+    table = scores.groupBy(*by, "frame").agg(
+        F.bool_and("finite").alias("finite"), F.sqrt(F.sum("error_sq") / F.sum("cells")).alias("rmse")
     )
+    return _void_as_a_whole(table, by, ["rmse"]).drop("finite")
 
 
 def mean_drifts(predictions: DataFrame, reference: DataFrame) -> DataFrame:
@@ -242,14 +254,20 @@ def mean_drifts(predictions: DataFrame, reference: DataFrame) -> DataFrame:
 
 
 def drift_metrics(drifts: DataFrame, by: Sequence[str] = ("quantity",)) -> DataFrame:
-    """RMS and largest absolute drift; NULL where a drift was not finite."""
+    """RMS and largest absolute drift; NULL where a drift was not finite.
+
+    Per saved time, one such drift voids the series of its whole quantity.
+    """
     # A NaN that came back from Python is NULL inside its array, and so is that frame's mean.
     finite = F.bool_and(F.coalesce(is_finite("drift"), F.lit(False)))
-    return drifts.groupBy(*by).agg(
+    table = drifts.groupBy(*by).agg(
         finite.alias("finite"),
         F.when(finite, F.sqrt(F.avg(F.col("drift") * F.col("drift")))).alias("rms"),
         F.when(finite, F.max(F.abs("drift"))).alias("max_abs"),
     )
+    if "frame" not in by:
+        return table
+    return _void_as_a_whole(table, [c for c in by if c != "frame"], ["rms", "max_abs"])
 
 
 def evaluate(frames: DataFrame, step: Step, *, mean: float = 0.0, std: float = 1.0) -> dict[str, DataFrame]:

@@ -124,8 +124,10 @@ def implied_entries(records: DataFrame, metrics: Sequence[str]) -> DataFrame:
     """``id, kind, link, inward, properties`` of everything the run records imply.
 
     All kinds come out of one scan: every record carries its own small array of entries.
-    ``records``: catalog columns with ``boundary, initial_condition, source_sha256``.
+    ``records``: catalog columns with ``boundary, initial_condition, amplitude, domain_length,
+    source_sha256``; columns that a lake does not have count as NULL.
     """
+    have = lambda c: F.col(c) if c in records.columns else F.lit(None).cast("string")
     failed = F.col("status") == "failed"
     flagged = F.coalesce(F.col("needs_review"), F.lit(False))
     entries = [
@@ -144,6 +146,8 @@ def implied_entries(records: DataFrame, metrics: Sequence[str]) -> DataFrame:
                 grid_size="grid_size",
                 initial_condition="initial_condition",
                 seed="seed",
+                amplitude=have("amplitude"),
+                domain_length=have("domain_length"),
                 generator_source_sha256="source_sha256",
             ),
             F.col("initial_condition").isNotNull(),
@@ -165,6 +169,7 @@ def implied_entries(records: DataFrame, metrics: Sequence[str]) -> DataFrame:
                 experiment_id="id",
                 kind=F.when(failed, "computational_failure").otherwise("sampled_diagnostic_flag"),
                 error="error",
+                metrics=have("metrics_json"),
                 interpretation=F.lit(ANOMALY_NOTE),
             ),
             failed | flagged,
@@ -196,12 +201,15 @@ def derived_nodes(records: DataFrame, metrics: Sequence[str]) -> DataFrame:
     Few distinct values stand behind many runs, so equal entries are combined before the
     shuffle and before their ids are computed.
     """
+    provenance = (
+        F.col("provenance_json") if "provenance_json" in records.columns else F.lit(None).cast("string")
+    )
     runs = records.select(
         "id",
         F.lit("Experiment").alias("type"),
-        canonical(status="status", created_at="created_at", config="config_json").alias(
-            "properties"
-        ),
+        canonical(
+            status="status", created_at="created_at", config="config_json", provenance=provenance
+        ).alias("properties"),
     )
     implied = implied_entries(records, metrics).select("kind", "properties").distinct()
     return runs.unionByName(

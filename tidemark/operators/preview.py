@@ -116,11 +116,22 @@ def catalog_snapshot(
     energy = series_preview(
         series.join(keys, series["run_id"] == F.col("id"), "left_semi")
     ).withColumnRenamed("run_id", "id")
+    # One field per run: the one that its equation is shown by.
+    shown = F.broadcast(
+        chosen.select(
+            F.col("id").alias("run_id"),
+            preview_field_of(F.col("equation")).alias("field"),
+            (F.col("equation") == "darcy2d").alias("steady"),
+        )
+    )
     field = (
-        field_preview(finals.join(keys, finals["run_id"] == F.col("id"), "left_semi"))
+        field_preview(finals.join(shown, ["run_id", "field"]))
+        .withColumn("source_shape", F.array("ny", "nx"))
         .select(
             F.col("run_id").alias("id"),
-            F.struct("field", "frame", "time", "strides", "display_shape", "preview").alias("field"),
+            F.struct(
+                "field", "frame", "time", "steady", "source_shape", "strides", "display_shape", "preview"
+            ).alias("field"),
         )
     )
     payload = F.to_json(

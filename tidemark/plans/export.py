@@ -128,6 +128,10 @@ def write_manifest(spark: SparkSession, path: str) -> None:
     bundle_files(spark, path).write.mode("errorifexists").parquet(f"{path}/manifest")
 
 
+# Bundles that hold their required artifacts and nothing else.
+EXACT_KINDS = ("acquisition",)
+
+
 def verify_bundle(spark: SparkSession, path: str, kind: str) -> DataFrame:
     """Problems of a published dataset, model or acquisition; no rows means it is intact.
 
@@ -140,7 +144,16 @@ def verify_bundle(spark: SparkSession, path: str, kind: str) -> DataFrame:
     # a required artifact may be stored as a folder of part files
     tops = manifest.select("run_id", F.explode(_prefixes()).alias("path")).distinct()
     bundle = spark.range(1).select(name, F.lit(kind).alias("kind"))
-    return problems.unionByName(integrity.required_missing(tops, bundle))
+    problems = problems.unionByName(integrity.required_missing(tops, bundle))
+    if kind not in EXACT_KINDS:
+        return problems
+    # Nothing but the required artifacts, or parts of them, may be listed.
+    required = integrity.REQUIRED_ARTIFACTS[kind]
+    own = F.lit(False)
+    for artifact in required:
+        own = own | (F.col("path") == artifact) | F.col("path").startswith(f"{artifact}/")
+    extra = manifest.filter(~own).select("run_id", "path", F.lit("not allowed").alias("problem"))
+    return problems.unionByName(extra)
 
 
 def _prefixes():

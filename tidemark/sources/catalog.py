@@ -3,7 +3,8 @@
 from __future__ import annotations
 
 import uuid
-from collections.abc import Sequence
+from collections.abc import Mapping, Sequence
+from functools import reduce
 
 from py4j.java_gateway import is_instance_of
 from pyspark import SparkContext
@@ -12,23 +13,61 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from tidemark import schemas
-from tidemark.functions.exprs import SAFE_ID, is_finite, is_safe_id
+from tidemark.functions.exprs import SAFE_ID, is_safe_id
 from tidemark.functions.skew import by_size
 
 # Page limits and SQL nodes that a read-only query may contain.
 MAX_LISTED_RUNS = 200
-MAX_METRIC_NAMES = 2000
-READ_ONLY_NODES = frozenset(
-    """Aggregate CTERelationDef Distinct Except Filter Generate GlobalLimit Intersect Join
-    LateralJoin LocalLimit LocalRelation Offset OneRowRelation Pivot Project Sample Sort
-    SubqueryAlias Union Unpivot UnresolvedHaving UnresolvedHint UnresolvedInlineTable
-    UnresolvedRelation UnresolvedSubqueryColumnAliases UnresolvedTableValuedFunction UnresolvedWith
-    View Window WithCTE WithWindowDefinition""".split()
+READ_ONLY_NODES = (
+    "Aggregate",
+    "CTERelationDef",
+    "Distinct",
+    "Except",
+    "Filter",
+    "Generate",
+    "GlobalLimit",
+    "Intersect",
+    "Join",
+    "LateralJoin",
+    "LocalLimit",
+    "LocalRelation",
+    "Offset",
+    "OneRowRelation",
+    "Pivot",
+    "Project",
+    "Sample",
+    "Sort",
+    "SubqueryAlias",
+    "Union",
+    "Unpivot",
+    "UnresolvedHaving",
+    "UnresolvedHint",
+    "UnresolvedInlineTable",
+    "UnresolvedRelation",
+    "UnresolvedSubqueryColumnAliases",
+    "UnresolvedTableValuedFunction",
+    "UnresolvedWith",
+    "View",
+    "Window",
+    "WithCTE",
+    "WithWindowDefinition",
 )
-TABLE_FUNCTIONS = frozenset("explode inline posexplode range stack".split())
-REFUSED_FUNCTIONS = frozenset("java_method reflect try_reflect read_files".split())
-REFUSED_EXPRESSIONS = frozenset(
-    "ExpressionWithUnresolvedIdentifier FunctionTableSubqueryArgumentExpression".split()
+TABLE_FUNCTIONS = (
+    "explode",
+    "inline",
+    "posexplode",
+    "range",
+    "stack",
+)
+REFUSED_FUNCTIONS = (
+    "java_method",
+    "reflect",
+    "try_reflect",
+    "read_files",
+)
+REFUSED_EXPRESSIONS = (
+    "ExpressionWithUnresolvedIdentifier",
+    "FunctionTableSubqueryArgumentExpression",
 )
 
 
@@ -66,12 +105,48 @@ def union_catalogs(base: DataFrame, *others: DataFrame) -> DataFrame:
     return out
 
 
+def _read_widened(spark: SparkSession, path: str) -> DataFrame:
+    """All files below ``path``, columns united by name and widened where files differ.
+
+    Files that only add columns are one scan. Where a column has other types in other folders,
+    the folders of each schema are one scan and the column is cast to a type that holds all:
+    a number stays a number, anything else becomes text.
+    """
+    try:
+        return spark.read.option("mergeSchema", "true").parquet(path)
+    except Exception as error:
+        if "CANNOT_MERGE" not in str(error):
+            raise
+    files = spark.read.format("binaryFile").option("recursiveFileLookup", "true").load(path)
+    named = files.filter(F.col("path").endswith(".parquet")).select(
+        F.regexp_extract("path", "^(.*)/[^/]*$", 1).alias("folder")
+    )
+    by_schema: dict[str, list[str]] = {}
+    scans: dict[str, T.StructType] = {}
+    reader = spark.read.option("basePath", path)
+    for row in named.distinct().orderBy("folder").collect():  # a folder for each publication
+        schema = reader.parquet(row["folder"]).schema
+        by_schema.setdefault(schema.json(), []).append(row["folder"])
+        scans[schema.json()] = schema
+    kinds: dict[str, set[str]] = {}
+    for schema in scans.values():
+        for field in schema.fields:
+            kinds.setdefault(field.name, set()).add(field.dataType.simpleString())
+    numbers = {"tinyint", "smallint", "int", "bigint", "float", "double"}
+    wide = {c: "double" if k <= numbers else "string" for c, k in kinds.items() if len(k) > 1}
+    parts = []
+    for text, folders in by_schema.items():
+        part = spark.read.option("basePath", path).schema(scans[text]).parquet(*folders)
+        parts.append(part.withColumns({c: F.col(f"`{c}`").cast(k) for c, k in wide.items() if c in part.columns}))
+    return reduce(lambda a, b: a.unionByName(b, allowMissingColumns=True), parts)
+
+
 def scan_catalog(spark: SparkSession, path: str) -> DataFrame:
     """All catalog rows below ``path``; one empty table when nothing was published yet."""
     base = empty_catalog(spark)
     if not path_exists(spark, path):
         return base
-    rows = spark.read.option("mergeSchema", "true").parquet(path)
+    rows = _read_widened(spark, path)
     # The base columns the files lack are added; a scan keeps its pushed filters because
     # nothing but a projection is put above it.
     present = {c: f.dataType for c, f in zip(rows.columns, rows.schema.fields)}
@@ -158,30 +233,59 @@ def read_json(spark: SparkSession, path: str, schema: T.StructType | str) -> Dat
 # -- flattening -------------------------------------------------------------------
 
 
-def metric_names(records: DataFrame) -> list[str]:
-    """Names that occur in any run's metrics, sorted. They become columns, so they are few."""
+def metric_types(records: DataFrame) -> dict[str, str]:
+    """Every metric name in any run with the narrowest type that holds all its values.
+
+    Values are JSON scalars as text: boolean if all are true or false, double if all are
+    numbers, else string. The names become columns, so the plan needs them on the driver.
+    """
+    value = F.col("value")
     rows = (
-        records.select(F.explode(F.map_keys("metrics")).alias("name"))
-        .distinct()
+        records.select(F.explode("metrics").alias("name", "value"))
+        .filter(value.isNotNull())
+        .groupBy("name")
+        .agg(
+            F.bool_and(value.isin("true", "false")).alias("flag"),
+            F.bool_and(value.try_cast("double").isNotNull()).alias("number"),
+        )
         .orderBy("name")
-        .limit(MAX_METRIC_NAMES + 1)
         .collect()
     )
-    if len(rows) > MAX_METRIC_NAMES:
-        raise ValueError(f"More than {MAX_METRIC_NAMES} distinct metric names")
-    return [r["name"] for r in rows]
+    return {r["name"]: "boolean" if r["flag"] else "double" if r["number"] else "string" for r in rows}
+
+
+def _column_names(metrics: Sequence[str]) -> dict[str, str]:
+    """A column for every metric that is none yet, told apart as Spark does, without case."""
+    taken = {
+        c.lower()
+        for c in (
+            *schemas.IDENTITY_COLUMNS,
+            *schemas.CONFIG_COLUMNS,
+            *schemas.METRIC_COLUMNS,
+            *schemas.DOCUMENT_COLUMNS,
+        )
+    }
+    out = {}
+    for name in metrics:
+        column = name
+        while column.lower() in taken:
+            column = f"metric_{column}"
+        taken.add(column.lower())
+        out[name] = column
+    return out
 
 
-def flatten_records(records: DataFrame, names: Sequence[str] | None = None) -> DataFrame:
+def flatten_records(records: DataFrame, types: Mapping[str, str] | None = None) -> DataFrame:
     """One catalog row per run document.
 
-    Fixed metric columns keep their types; every other metric becomes a double column under
-    its own name, or ``metric_<name>`` when that name is taken.
+    Fixed metric columns keep their types; every other metric becomes a column of its own type
+    (``types``, or as :func:`metric_types` finds) under its own name, or ``metric_<name>`` when
+    that name is taken.
     """
-    names = metric_names(records) if names is None else names
-    taken = {*schemas.IDENTITY_COLUMNS, *schemas.CONFIG_COLUMNS}
-    extra = [n for n in names if n not in schemas.METRIC_COLUMNS]
-    types = {f.name: f.dataType for f in schemas.CATALOG.fields}
+    found = metric_types(records) if types is None else types
+    extra = {n: kind for n, kind in found.items() if n not in schemas.METRIC_COLUMNS}
+    columns = _column_names(list(extra))
+    fixed = {f.name: f.dataType for f in schemas.CATALOG.fields}
     metric = F.col("metrics")
     return records.select(
         "id",
@@ -191,12 +295,9 @@ def flatten_records(records: DataFrame, names: Sequence[str] | None = None) -> D
         "created_at",
         "parent_id",
         F.when(F.col("error").isNotNull(), F.to_json("error")).alias("error"),
-        *[F.col(f"config.{c}").cast(types[c]).alias(c) for c in schemas.CONFIG_COLUMNS],
-        *[metric[c].try_cast(types[c]).alias(c) for c in schemas.METRIC_COLUMNS],
-        *[
-            metric[n].try_cast("double").alias(n if n not in taken else f"metric_{n}")
-            for n in extra
-        ],
+        *[F.col(f"config.{c}").cast(fixed[c]).alias(c) for c in schemas.CONFIG_COLUMNS],
+        *[metric[c].try_cast(fixed[c]).alias(c) for c in schemas.METRIC_COLUMNS],
+        *[metric[n].try_cast(kind).alias(columns[n]) for n, kind in extra.items()],
         F.to_json("config").alias("config_json"),
         F.coalesce(F.to_json("provenance"), F.lit("{}")).alias("provenance_json"),
         F.coalesce(F.to_json("metrics"), F.lit("{}")).alias("metrics_json"),
@@ -465,11 +566,3 @@ def published_frames(spark: SparkSession, root: str) -> DataFrame:
 def write_report(report: DataFrame, path: str) -> None:
     """Write a report as JSON, refusing to replace one."""
     report.write.mode("errorifexists").json(path)
-
-
-def finite_metrics(catalog: DataFrame, columns: Sequence[str]) -> DataFrame:
-    """Rows whose given metrics are all finite or absent."""
-    ok = F.lit(True)
-    for c in columns:
-        ok = ok & F.coalesce(is_finite(c), F.lit(True))
-    return catalog.filter(ok)
