@@ -220,11 +220,12 @@ def test_metrics_keep_their_types(spark, tmp_path):
         _doc("run-1", 0.1, {"flag": True, "sampling": "saved_frames", "rate": 2, "mixed": 1, "ID": 7, "config_json": "c"}),
         _doc("run-2", 0.1, {"flag": False, "sampling": "all", "rate": 2.5, "mixed": "n/a", "Rate": 1}),
     ]
+    # "Rate" sorts first and takes the name; Spark does not tell "rate" from it.
     table = c.flatten_records(c.scan_records(spark, _lake(tmp_path, docs)))
     kinds = dict(table.dtypes)
-    assert (kinds["flag"], kinds["sampling"], kinds["rate"], kinds["mixed"]) == ("boolean", "string", "double", "string")
+    assert (kinds["flag"], kinds["sampling"], kinds["metric_rate"], kinds["mixed"]) == ("boolean", "string", "double", "string")
     row = table.filter("id = 'run-1'").first()
-    assert (row["flag"], row["sampling"], row["rate"], row["mixed"]) == (True, "saved_frames", 2.0, "1")
+    assert (row["flag"], row["sampling"], row["metric_rate"], row["mixed"]) == (True, "saved_frames", 2.0, "1")
     # Names that differ from taken ones in case only get the prefix too.
     assert row["metric_ID"] == 7.0 and row["metric_config_json"] == "c"
     assert len({n.lower() for n in table.columns}) == len(table.columns)
@@ -238,3 +239,20 @@ def test_catalog_files_of_other_types_are_widened(spark, tmp_path):
     spark.createDataFrame([("d", "x", True)], "id string, note string, flag boolean").write.parquet(f"{path}/batch=3")
     got = {r["id"]: (r["extra"], r["note"], r["flag"]) for r in c.scan_catalog(spark, path).collect()}
     assert got == {"a": (1.0, None, None), "b": (2.0, None, None), "c": (2.5, None, None), "d": (None, "x", True)}
+
+
+def test_the_first_commit_of_an_id_stays(spark, tmp_path, monkeypatch):
+    root = str(tmp_path / "lake")
+    row = lambda solver: c.union_catalogs(c.empty_catalog(spark), spark.createDataFrame([("run-1", "completed", "burgers1d", solver)], "id string, status string, equation string, solver string"))
+    held = {}
+    real = c.committed_runs
+    monkeypatch.setattr(c, "committed_runs", lambda s, r: held.setdefault("before", real(s, r).limit(0)))
+    # Both attempts start before either commits, with batch names in either order.
+    for names in (("f" * 32, "0" * 32), ("0" * 32, "f" * 32)):
+        target = f"{root}-{names[0][0]}"
+        for name, solver in zip(names, ("first", "second")):
+            monkeypatch.setattr(c.uuid, "uuid4", lambda name=name: type("U", (), {"hex": name}))
+            c.publish_runs(row(solver), None, target)
+        with monkeypatch.context() as restored:
+            restored.setattr(c, "committed_runs", real)
+            assert [r["solver"] for r in c.published_catalog(spark, target).collect()] == ["first"]

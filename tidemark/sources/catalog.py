@@ -7,6 +7,7 @@ from collections.abc import Mapping, Sequence
 from functools import reduce
 
 from py4j.java_gateway import is_instance_of
+from py4j.protocol import Py4JJavaError
 from pyspark import SparkContext
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -15,6 +16,7 @@ from pyspark.sql import types as T
 from tidemark import schemas
 from tidemark.functions.exprs import SAFE_ID, is_safe_id
 from tidemark.functions.skew import by_size
+from tidemark.session import settle
 
 # Page limits and SQL nodes that a read-only query may contain.
 MAX_LISTED_RUNS = 200
@@ -497,11 +499,11 @@ COMMITTED = "id string, batch string"
 
 
 def publish_runs(catalog_rows: DataFrame, frames: DataFrame | None, root: str) -> DataFrame:
-    """Append new runs: field arrays first, catalog rows next, the commit rows last.
+    """Append new runs: field arrays first, catalog rows next, the commit last.
 
-    Every attempt writes its own batch and only the last step names that batch as committed,
-    so an interrupted attempt stays invisible and can simply run again. Ids that are already
-    committed are left out; nothing is overwritten. Returns the committed ids.
+    Every attempt writes its own batch, and only the last step names that batch in the next free
+    version, so an interrupted attempt stays invisible and can simply run again. Ids that are
+    already committed are left out; nothing is overwritten. Returns the committed ids.
     """
     spark = catalog_rows.sparkSession
     batch = uuid.uuid4().hex
@@ -513,6 +515,8 @@ def publish_runs(catalog_rows: DataFrame, frames: DataFrame | None, root: str) -
     if frames is not None:
         bad = array_problems(frames).select(F.col("run_id").alias("id")).distinct()
         new = new.join(bad, "id", "left_anti")
+    new = settle(new)  # frames and catalog rows must see the same runs
+    if frames is not None:
         owners = by_size(new.select(F.col("id").alias("run_id"), "equation"))
         (
             frames.join(owners, "run_id")
@@ -529,20 +533,49 @@ def publish_runs(catalog_rows: DataFrame, frames: DataFrame | None, root: str) -
         .partitionBy("batch", "status")
         .parquet(f"{root}/catalog")
     )
-    written = f"{root}/catalog/batch={batch}"
-    if path_exists(spark, f"{written}/*"):
-        commit = spark.read.parquet(written).select("id", F.lit(batch).alias("batch"))
-        commit.write.mode("append").parquet(f"{root}/committed")
+    if not new.isEmpty():
+        listed = new.select("id", F.lit(batch).alias("batch"))
+        listed.write.mode("append").partitionBy("batch").parquet(f"{root}/committed")
+        _take_version(spark, root, batch)
     return committed_runs(spark, root)
 
 
+def _take_version(spark: SparkSession, root: str, batch: str) -> int:
+    """Name ``batch`` in the next free version file, which is what commits it.
+
+    A version is taken by creating its file, which fails if it exists. Versions are taken one after
+    the other, so a later commit never gets a smaller one.
+    """
+    folder = spark._jvm.org.apache.hadoop.fs.Path(f"{root}/versions")
+    store = folder.getFileSystem(spark._jsc.hadoopConfiguration())
+    store.mkdirs(folder)
+    version = len(store.listStatus(folder))
+    while True:
+        target = spark._jvm.org.apache.hadoop.fs.Path(folder, f"{version:012d}")
+        try:
+            out = store.create(target, False)
+        except Py4JJavaError:
+            if not store.exists(target):
+                raise
+            version += 1
+            continue
+        out.write(bytearray(batch.encode()))
+        out.close()
+        return version
+
+
 def committed_runs(spark: SparkSession, root: str) -> DataFrame:
-    """Committed ids and the batch that holds them; the first of two racing batches wins."""
-    path = f"{root}/committed"
-    if not path_exists(spark, path):
+    """Committed ids and the batch that holds them.
+
+    Of racing batches with one id the one committed first keeps it, for good.
+    """
+    if not path_exists(spark, f"{root}/versions/*"):
         return spark.createDataFrame([], COMMITTED)
-    rows = spark.read.schema(COMMITTED).parquet(path)
-    return rows.groupBy("id").agg(F.min("batch").alias("batch"))
+    versions = spark.read.text(f"{root}/versions", wholetext=True).select(
+        F.col("value").alias("batch"), F.col("_metadata.file_name").alias("version")
+    )
+    rows = spark.read.schema(COMMITTED).parquet(f"{root}/committed").join(versions, "batch")
+    return rows.groupBy("id").agg(F.min_by("batch", "version").alias("batch"))
 
 
 def published_catalog(spark: SparkSession, root: str) -> DataFrame:
