@@ -117,7 +117,8 @@ def test_import_selection_and_budget(spark):
         with pytest.raises(ValueError):
             d.select_tensor(df, samples=bad)
     with pytest.raises(ValueError):
-        d.tensor_budget(chosen, 8, 16_000_001)
+        d.tensor_budget(chosen, 8, 0)
+    assert d.tensor_budget(chosen, 8, 10**15).first()["fits"]
 
 
 def test_selection_filters_reach_the_scan(spark, tmp_path):

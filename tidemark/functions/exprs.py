@@ -114,11 +114,6 @@ def is_uniform_coordinate(values: str | Column, minimum: int) -> Column:
     return (F.size(v) >= minimum) & all_finite(v) & spaced
 
 
-def every_kth(values: str | Column, step: Column) -> Column:
-    """Elements 0, step, 2*step, ... of an array."""
-    return F.filter(col(values), lambda v, i: F.pmod(i, step) == 0)
-
-
 # -- hashes and canonical text ----------------------------------------------------
 
 
@@ -133,15 +128,6 @@ def content_id(text: Column, digits: int = 32, prefix: str = "") -> Column:
     return F.concat(F.lit(prefix), digest) if prefix else digest
 
 
-def array_digest(values: str | Column) -> Column:
-    """SHA-256 of an array's exact float32 or float64 values, in order.
-
-    Doubles are hashed through their shortest exact decimal text, so equal arrays and only
-    equal arrays share a digest.
-    """
-    return F.sha2(F.concat_ws(",", F.transform(col(values), lambda v: v.cast("string"))), 256)
-
-
 # -- text, paths, URLs ------------------------------------------------------------
 
 
@@ -161,18 +147,6 @@ def is_safe_path(value: str | Column) -> Column:
     return F.coalesce(~bad, F.lit(False))
 
 
-def is_safe_prefix(value: str | Column) -> Column:
-    """A non-empty object prefix whose every step is a plain name."""
-    v = col(value)
-    parts = F.split(v, "/")
-    return F.coalesce(
-        is_safe_path(v)
-        & (F.length(v) > 0)
-        & ~F.exists(parts, lambda p: p.isin("", ".", "..")),
-        F.lit(False),
-    )
-
-
 def is_digest(value: str | Column) -> Column:
     return F.coalesce(col(value).rlike(SHA256_HEX), F.lit(False))
 

@@ -9,7 +9,7 @@ from pyspark.sql import functions as F
 from pyspark.sql.types import DoubleType
 
 from tidemark.functions import grids
-from tidemark.functions.exprs import let, max_abs, mean_of, sum_sq, total
+from tidemark.functions.exprs import let, mean_of, sum_sq
 from tidemark.functions.ordered import with_dense_neighbors
 
 # Fixed value: largest accepted dt * rate of the stability screen.
@@ -162,11 +162,3 @@ def long_cells(frames: DataFrame) -> DataFrame:
         F.expr("CAST(at % nx AS INT)").alias("ix"),
         "value",
     )
-
-
-def frame_total(values: str) -> Column:
-    return total(values)
-
-
-def frame_peak(values: str) -> Column:
-    return max_abs(values)

@@ -7,7 +7,7 @@ from collections.abc import Sequence
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from tidemark.functions.exprs import is_digest, is_safe_path, object_key
+from tidemark.functions.exprs import is_safe_path, object_key
 
 # Problem kinds in the order in which they are tested, and the artifacts that
 # each kind of bundle must list.
@@ -172,8 +172,3 @@ def content_key(prefix: str, run_id: Column, manifest_sha256: Column, path: Colu
 
 def marker_key(prefix: str, run_id: Column) -> Column:
     return object_key(prefix, F.lit("experiments"), run_id, F.lit("manifest.json"))
-
-
-def well_formed(manifest: DataFrame) -> DataFrame:
-    """Manifest rows with a safe relative path and a hex digest."""
-    return manifest.filter(is_safe_path("path") & is_digest("sha256"))

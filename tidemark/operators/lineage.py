@@ -396,7 +396,12 @@ def evidence_priority(runs: DataFrame, count: int) -> DataFrame:
 
 
 def select_proposals(
-    candidates: DataFrame, *, max_runs: int = 3, max_total_steps: int = 2000
+    candidates: DataFrame,
+    *,
+    max_runs: int = 3,
+    max_total_steps: int = 2000,
+    most_runs: int = MAX_PROPOSALS,
+    most_steps: int = MAX_PROPOSED_STEPS,
 ) -> dict[str, DataFrame]:
     """Greedy choice under a step budget, in order of evidence priority.
 
@@ -407,8 +412,8 @@ def select_proposals(
     Spark limits each cost before the shuffle. The choice itself is at most ``max_runs``
     top-one steps over that table.
     """
-    if not 1 <= max_runs <= MAX_PROPOSALS or not 1 <= max_total_steps <= MAX_PROPOSED_STEPS:
-        raise ValueError("Budgets require 1..32 runs and 1..100000 total integration steps")
+    if not 1 <= max_runs <= most_runs or not 1 <= max_total_steps <= most_steps:
+        raise ValueError(f"A budget has 1 to {most_runs} runs and 1 to {most_steps} steps in all")
     keyed = candidates.withColumn("_key", F.struct(*priority()))
     usable = keyed.filter(F.col("invalid").isNull() & ~F.col("has_child"))
     nth = F.row_number().over(Window.partitionBy("cost").orderBy("_key"))

@@ -61,13 +61,15 @@ def stride(size: Column, limit: int) -> Column:
     return F.greatest(F.lit(1), F.ceil(size / F.lit(limit)).cast("int"))
 
 
-def field_preview(frames: DataFrame) -> DataFrame:
+def field_preview(
+    frames: DataFrame, cells_1d: int = MAX_CELLS_1D, cells_2d: int = MAX_CELLS_2D
+) -> DataFrame:
     """Every stride-th cell of each row's field, without averaging."""
     one_d = F.col("ny") == 1
-    sx = F.when(one_d, stride(F.col("nx"), MAX_CELLS_1D)).otherwise(
-        stride(F.col("nx"), MAX_CELLS_2D)
+    sx = F.when(one_d, stride(F.col("nx"), cells_1d)).otherwise(
+        stride(F.col("nx"), cells_2d)
     )
-    sy = F.when(one_d, F.lit(1)).otherwise(stride(F.col("ny"), MAX_CELLS_2D))
+    sy = F.when(one_d, F.lit(1)).otherwise(stride(F.col("ny"), cells_2d))
     kept = F.filter(
         "values",
         lambda v, i: (F.pmod(F.pmod(i, F.col("nx")), F.col("_sx")) == 0)
@@ -103,11 +105,12 @@ def catalog_snapshot(
     series: DataFrame,
     finals: DataFrame,
     count: int = 50,
+    max_payload_bytes: int = MAX_PAYLOAD_BYTES,
 ) -> DataFrame:
     """JSON payload of each of the first ``count`` runs.
 
     One corrupt selected run stops the export: every payload row then carries the error and
-    no payload. Payloads over the size limit are flagged the same way.
+    no payload. Payloads over ``max_payload_bytes`` are flagged the same way.
     """
     chosen = first_runs(catalog, count)
     keys = F.broadcast(chosen.select("id"))  # at most 200 ids
@@ -149,7 +152,7 @@ def catalog_snapshot(
         .join(field, "id", "left")
         .select("id", corrupt.alias("_corrupt"), html_safe_json(payload).alias("payload"))
     )
-    too_big = F.octet_length("payload") > MAX_PAYLOAD_BYTES
+    too_big = F.octet_length("payload") > max_payload_bytes
     return rows.select(
         "id",
         F.when(F.col("_corrupt"), "a selected run failed verification")

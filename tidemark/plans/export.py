@@ -128,6 +128,9 @@ def write_manifest(spark: SparkSession, path: str) -> None:
     bundle_files(spark, path).write.mode("errorifexists").parquet(f"{path}/manifest")
 
 
+# Samples that an acquisition takes unless told otherwise.
+MAX_SAMPLES = 64
+
 # Bundles that hold their required artifacts and nothing else.
 EXACT_KINDS = ("acquisition",)
 
@@ -164,15 +167,21 @@ def _prefixes():
 
 
 def acquire_tensor(
-    frames: DataFrame, *, samples: int, sample_seed: int, time_stop: int, provenance: dict[str, str]
+    frames: DataFrame,
+    *,
+    samples: int,
+    sample_seed: int,
+    time_stop: int,
+    provenance: dict[str, str],
+    max_samples: int = MAX_SAMPLES,
 ) -> DataFrame:
     """A seeded subset of an external tensor with its origin on every row.
 
     Rows are drawn without looking at their values; the time prefix keeps whole frames.
     """
-    if not 3 <= samples <= 64 or time_stop < 2:
-        raise ValueError("samples must be in [3, 64] and time_stop at least 2")
+    if not 3 <= samples <= max_samples or time_stop < 2:
+        raise ValueError(f"samples must be in [3, {max_samples}] and time_stop at least 2")
     rows = datasets.seeded_sample(frames.select("sample").distinct(), "sample", samples, sample_seed)
-    picked = sorted(r["sample"] for r in rows.collect())  # at most 64 ids
+    picked = sorted(r["sample"] for r in rows.collect())  # ``samples`` ids
     chosen = datasets.select_tensor(frames, samples=picked, time_stop=time_stop)
     return chosen.withColumns({k: F.lit(v) for k, v in sorted(provenance.items())})

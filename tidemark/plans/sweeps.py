@@ -22,13 +22,14 @@ MAX_STUDY_REPEATS = 7
 STUDY_MODES = ("buffered", "streamed")
 
 
-def expand_sweeps(specs: DataFrame) -> DataFrame:
+def expand_sweeps(specs: DataFrame, max_runs: int = MAX_SWEEP_RUNS) -> DataFrame:
     """Cartesian grids of many specs at once.
 
     ``specs``: ``spec_id, base MAP<STRING,STRING>, parameters MAP<STRING,ARRAY<STRING>>``.
     Parameters override the base, keys run in sorted order with the last key fastest, and
     the grid size is tested before anything is expanded. A combination is decoded from its
-    number by mixed radix, so there is no join and at most ``MAX_SWEEP_RUNS`` rows per spec.
+    number by mixed radix, so there is no join and at most ``max_runs`` rows per spec;
+    :func:`sweep_problems` names the specs that have more.
     """
     sizes = F.transform("keys", lambda k: F.size(F.col("parameters")[k]))
     count = F.aggregate(sizes, F.lit(1.0), lambda acc, n: acc * n)
@@ -38,7 +39,7 @@ def expand_sweeps(specs: DataFrame) -> DataFrame:
             "combinations": count,
         }
     )
-    fits = (F.col("combinations") >= 1) & (F.col("combinations") <= MAX_SWEEP_RUNS)
+    fits = (F.col("combinations") >= 1) & (F.col("combinations") <= max_runs)
     # stride of a key = product of the sizes of the keys after it
     strides = F.transform(
         "keys",
@@ -72,7 +73,7 @@ def expand_sweeps(specs: DataFrame) -> DataFrame:
     )
 
 
-def sweep_problems(specs: DataFrame) -> DataFrame:
+def sweep_problems(specs: DataFrame, max_runs: int = MAX_SWEEP_RUNS) -> DataFrame:
     """Specs that cannot be expanded: an empty value list or too many combinations."""
     lengths = F.transform(F.map_values("parameters"), lambda v: F.coalesce(F.size(v), F.lit(0)))
     count = F.aggregate(lengths, F.lit(1.0), lambda acc, n: acc * n)
@@ -80,7 +81,7 @@ def sweep_problems(specs: DataFrame) -> DataFrame:
         "spec_id",
         reasons(
             (~F.exists(lengths, lambda n: n <= 0), "empty_parameter"),
-            (count <= MAX_SWEEP_RUNS, "too_many_combinations"),
+            (count <= max_runs, "too_many_combinations"),
         ).alias("reasons"),
     ).filter(F.size("reasons") > 0)
 
@@ -89,7 +90,7 @@ def plan_sweeps(specs: DataFrame) -> DataFrame:
     """Valid, distinct configurations of every spec; one invalid member rejects its sweep.
 
     Duplicates after normalisation keep the smallest ordinal. All groups here are one
-    spec's grid, which ``MAX_SWEEP_RUNS`` bounds.
+    spec's grid, which the limit of :func:`expand_sweeps` bounds.
     """
     # One spec becomes up to 10,000 rows: spread the small specs first. Everything after
     # keeps this partitioning, so it is the only shuffle.

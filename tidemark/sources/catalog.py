@@ -340,10 +340,10 @@ def show_run(catalog: DataFrame, run_id: str) -> DataFrame:
     return catalog.filter(F.col("id") == run_id)
 
 
-def first_runs(catalog: DataFrame, count: int = 50) -> DataFrame:
-    """The first ``count`` runs by id (1..200)."""
-    if isinstance(count, bool) or not 1 <= count <= MAX_LISTED_RUNS:
-        raise ValueError(f"count must be an integer in [1, {MAX_LISTED_RUNS}]")
+def first_runs(catalog: DataFrame, count: int = 50, most: int = MAX_LISTED_RUNS) -> DataFrame:
+    """The first ``count`` runs by id, from 1 to ``most``."""
+    if isinstance(count, bool) or not 1 <= count <= most:
+        raise ValueError(f"count must be an integer in [1, {most}]")
     return catalog.orderBy("id").limit(count)
 
 
@@ -432,14 +432,14 @@ def check_select(spark: SparkSession, sql: str, table: str = "experiments") -> N
     try:
         plan = spark._jsparkSession.sessionState().sqlParser().parsePlan(sql)
     except Exception as error:
-        raise RefusedQuery("Only a single read-only SELECT statement is allowed") from error
+        raise RefusedQuery("Expected one SELECT over the catalog and nothing else") from error
     nodes: list = []
     names = {table}
     _walk_plan(plan, nodes, names)
     for node in nodes:
         kind = node.getClass().getSimpleName()
         if kind not in READ_ONLY_NODES:
-            raise RefusedQuery(f"Only a single read-only SELECT statement is allowed: {kind}")
+            raise RefusedQuery(f"Expected one SELECT over the catalog and nothing else, got {kind}")
         if kind == "UnresolvedRelation":
             parts = _seq(node.multipartIdentifier())
             if len(parts) != 1 or parts[0].lower() not in {n.lower() for n in names}:
