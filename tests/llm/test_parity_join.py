@@ -84,3 +84,19 @@ def test_null_ids_repeats_and_clashing_columns(spark):
 def test_shingle_counts():
     for text in _corpus():
         assert len(pj.shingles(text or "")) == len(shingle_set(text))
+
+
+def test_tiles_agree_with_single_pairs():
+    random.seed(8)
+    base = [str(random.random()) for _ in range(90)]
+    members = []
+    for k in range(60):
+        own = list(base[: random.randint(60, 90)])
+        for _ in range(random.randint(0, 3)):
+            own[random.randrange(len(own))] = str(random.random())
+        found = pj.shingles(" ".join(own))
+        members.append((k, len(found), k % 7, pj.compare_sketch(found), {k + 8}))
+    assert set(pj._tile_pairs(members, None)) == set(pj._few_pairs(members, None))
+    left, right = members[:25], members[25:]
+    assert set(pj._tile_pairs(left, right)) == set(pj._few_pairs(left, right))
+    assert len(set(pj._few_pairs(members, None))) > 20

@@ -16,8 +16,10 @@ Candidates: a segment held by many nodes never makes all their pairs. Its nodes
 tied to the one with most frequent segments, which in a family of copies is near its origin, and every
 node keeps the partner that its sketch is nearest to; the verified links among those pairs give
 components. Where one segment's nodes are still in different components, tiles of bounded size hold
-the sketches of two parts of them against each other, and only pairs whose Hamming distance allows a
-link leave the task: first each node's nearest is verified, then all that are still apart.
+the sketches of two parts of them against each other. For some rounds each node sends only its nearest
+partner there in another component to be verified, which joins what belongs together quickly; in the
+end every pair goes whose Hamming distance still allows a link. Segments with the same nodes, as from
+one shared passage, are compared once.
 """
 
 from __future__ import annotations
@@ -50,6 +52,10 @@ FREQUENT_LISTED = 200_000
 # Nodes of one frequent segment that are chained in one group, nodes verified against one text in
 # one group, and nodes on each side of a tile.
 GROUP_NODES = 2_000
+# Tiles of up to so many nodes are compared pair by pair, which is quicker there.
+FEW_NODES = 16
+# Rounds in which every node still apart has its nearest partner verified.
+NEAREST_ROUNDS = 3
 # Partners of a node that are held to their sketches before one is chosen.
 PARTNERS = 3
 
@@ -120,10 +126,14 @@ def compare_sketch(found: np.ndarray) -> bytes:
 
 def differs_at_least(x: bytes, y: bytes) -> int:
     """Hamming distance of two sketches: no more than the sets' different shingles."""
-    a, b = np.frombuffer(x, np.uint64), np.frombuffer(y, np.uint64)
-    width = min(len(a), len(b))
-    folded = [np.bitwise_xor.reduce(part.reshape(-1, width), axis=0) for part in (a, b)]
-    return int(np.bitwise_count(folded[0] ^ folded[1]).sum())
+    if len(x) < len(y):
+        x, y = y, x
+    wide, narrow = int.from_bytes(x, "little"), int.from_bytes(y, "little")
+    bits, have = 8 * len(y), 8 * len(x)
+    while have > bits:
+        have //= 2
+        wide = (wide >> have) ^ (wide & ((1 << have) - 1))
+    return (wide ^ narrow).bit_count()
 
 
 def most_different(size: int) -> int:
@@ -308,10 +318,10 @@ def _alike(pairs: DataFrame, nodes: DataFrame) -> DataFrame:
 
 
 def _nearest(pairs: DataFrame) -> DataFrame:
-    """For every node the pair with its nearest partner."""
+    """``(a, b)``: for every node ``a`` its nearest partner."""
     both = pairs.select("a", "b", "distance").union(pairs.select("b", "a", "distance"))
     nearest = both.groupBy("a").agg(F.min(F.struct("distance", "b")).alias("_p"))
-    return nearest.select(F.least("a", "_p.b").alias("a"), F.greatest("a", "_p.b").alias("b")).distinct()
+    return nearest.select("a", F.col("_p.b").alias("b"))
 
 
 def _words(sketches: list[bytes], width: int) -> np.ndarray:
@@ -320,11 +330,26 @@ def _words(sketches: list[bytes], width: int) -> np.ndarray:
     return np.stack([row[0] if len(row) == 1 else np.bitwise_xor.reduce(row, axis=0) for row in rows])
 
 
+def _few_pairs(left: list[tuple], right: list[tuple] | None) -> Iterator[tuple[int, int, int]]:
+    """Like :func:`_tile_pairs`, one pair after the other."""
+    for at, (node, size, root, sketch, avoid) in enumerate(left):
+        for other, other_size, other_root, other_sketch, other_avoid in (
+            left[at + 1 :] if right is None else right
+        ):
+            if other in avoid or node in other_avoid:
+                continue
+            small, large = (size, other_size) if size < other_size else (other_size, size)
+            if root == other_root or 100 * small < LEAST_PERCENT * large:
+                continue
+            distance = differs_at_least(sketch, other_sketch)
+            if 7 * distance <= size + other_size:
+                yield min(node, other), max(node, other), distance
+
+
 def _tile_pairs(left: list[tuple], right: list[tuple] | None) -> Iterator[tuple[int, int, int]]:
     """``(a, b, distance)`` of pairs of a tile that may link and are in different components.
 
-    Members are ``(node, size, root, sketch)``; without ``right`` the tile is a part against
-    itself. Sets that can link have sketches of one width, or one of twice the other's.
+    Members are ``(node, size, root, sketch, avoid)``, the last the partners it chose in vain; without ``right`` the tile is a part against itself. Sets that can link have sketches of one width, or one of twice the other's.
     """
     by_width: list[dict[int, list[tuple]]] = [{}, {}]
     for side, members in enumerate((left, left if right is None else right)):
@@ -337,7 +362,7 @@ def _tile_pairs(left: list[tuple], right: list[tuple] | None) -> Iterator[tuple[
             narrow = min(width, other)
             x, y = (_words([m[3] for m in side], narrow) for side in (first, second))
             roots, sizes, nodes = (np.array([m[k] for m in second]) for k in (2, 1, 0))
-            for row, (node, size, root, _) in zip(x, first):
+            for row, (node, size, root, _, avoid) in zip(x, first):
                 at = np.flatnonzero(
                     (roots != root)
                     & (nodes != node)
@@ -349,15 +374,27 @@ def _tile_pairs(left: list[tuple], right: list[tuple] | None) -> Iterator[tuple[
                     continue
                 distance = np.bitwise_count(y[at] ^ row).sum(axis=1, dtype=np.int64)
                 for k in np.flatnonzero(7 * distance <= sizes[at] + size):
-                    a, b = sorted((node, int(nodes[at[k]])))
-                    yield a, b, int(distance[k])
+                    other_node = int(nodes[at[k]])
+                    if other_node not in avoid and node not in second[at[k]][4]:
+                        yield min(node, other_node), max(node, other_node), int(distance[k])
 
 
-def _apart_pairs(left: DataFrame) -> DataFrame:
-    """``(a, b, distance)`` among nodes of one segment in different components.
+def _nearest_of(pairs: Iterable[tuple[int, int, int]]) -> set[tuple[int, int, int]]:
+    """For every node of the pairs the one with its nearest partner."""
+    best: dict[int, tuple[int, int, int]] = {}
+    for a, b, distance in pairs:
+        for node in (a, b):
+            if node not in best or (distance, a, b) < best[node]:
+                best[node] = (distance, a, b)
+    return {(a, b, distance) for distance, a, b in best.values()}
 
-    ``left``: ``segment, tiles, node, size, root, sketch``. A segment's nodes are dealt to
-    ``tiles`` parts, and every two parts meet in a tile, so a task holds two parts at a time.
+
+def _apart_pairs(left: DataFrame, nearest: bool) -> DataFrame:
+    """``(segment, a, b, distance)`` among nodes of one segment in different components.
+
+    ``left``: ``segment, tiles, node, size, root, sketch, avoid``. A segment's nodes are dealt to
+    ``tiles`` parts, and every two parts meet in a tile, so a task holds two parts at a time. With
+    ``nearest`` only every node's nearest partner in a tile is returned.
     """
     part = F.pmod(F.xxhash64("node"), "tiles").cast("int")
     placed = left.withColumn("part", part).withColumn(
@@ -372,41 +409,70 @@ def _apart_pairs(left: DataFrame) -> DataFrame:
         "size",
         "root",
         "sketch",
+        "avoid",
     )
     stream = tiles.repartition("segment", "x", "y").sortWithinPartitions("segment", "x", "y")
 
     def run(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        key, sides = None, ([], [])
+        key, sides, rows = None, ([], []), []
 
-        def finished() -> list[tuple[int, int, int]]:
+        def finish() -> Iterator[pa.RecordBatch]:
             if key is None:
-                return []
-            return list(_tile_pairs(sides[0], None if key[1] == key[2] else sides[1]))
-
-        def out(found: set[tuple[int, int, int]]) -> pa.RecordBatch:
-            a, b, distance = zip(*found) if found else ((), (), ())
-            columns = [pa.array(c, pa.int64()) for c in (a, b, distance)]
-            return pa.RecordBatch.from_arrays(columns, names=["a", "b", "distance"])
+                return
+            second = None if key[1] == key[2] else sides[1]
+            compare = _few_pairs if len(sides[0]) + len(sides[1]) <= FEW_NODES else _tile_pairs
+            found = compare(sides[0], second)
+            for a, b, distance in _nearest_of(found) if nearest else found:
+                rows.append((key[0], a, b, distance))
+                if len(rows) >= 10_000:
+                    yield out()
+
+        def out() -> pa.RecordBatch:
+            columns = [pa.array(c, pa.int64()) for c in (zip(*rows) if rows else ((), (), (), ()))]
+            rows.clear()
+            return pa.RecordBatch.from_arrays(columns, names=["segment", "a", "b", "distance"])
 
         for batch in batches:
-            found: set[tuple[int, int, int]] = set()
-            for segment, x, y, second, *member in zip(*(c.to_pylist() for c in batch.columns)):
+            for segment, x, y, second, *member, avoid in zip(*(c.to_pylist() for c in batch.columns)):
                 if (segment, x, y) != key:
-                    found.update(finished())
+                    yield from finish()
                     key, sides = (segment, x, y), ([], [])
-                sides[second].append(tuple(member))
-            yield out(found)
-        yield out(set(finished()))
+                sides[second].append((*member, frozenset(avoid or ())))
+        yield from finish()
+        yield out()
 
-    return stream.mapInArrow(run, "a long, b long, distance long").distinct()
+    return stream.mapInArrow(run, "segment long, a long, b long, distance long")
+
+
+def _rooted(rows: DataFrame, component: DataFrame) -> DataFrame:
+    """``rows`` with the ``root`` of their node's component."""
+    found = rows.join(component, "node", "left")
+    return found.withColumn("root", F.coalesce("root", "node"))
+
+
+def _with_avoided(rows: DataFrame, tried: DataFrame, links: DataFrame) -> DataFrame:
+    """``rows`` with the partners that their node chose in vain."""
+    linked = links.select("u", "v").union(links.select("v", "u")).toDF("a", "b")
+    failed = tried.join(linked, ["a", "b"], "left_anti")
+    # ``a`` chose ``b``, once in each round, so these are few.
+    avoided = failed.groupBy(F.col("a").alias("node")).agg(F.collect_set("b").alias("avoid"))
+    return rows.join(avoided, "node", "left")
 
 
 def _verified(pairs: DataFrame, documents: DataFrame, nodes: DataFrame) -> DataFrame:
-    """The pairs that link, decided on the shingles of the whole texts of their documents.
+    """The pairs that link, either way round, decided on the shingles of their whole texts.
 
     Texts travel to the pairs' ``b``, whose own text comes first there, so a task holds one set and
     streams the others past it; many pairs of one ``b`` are several groups.
     """
+    # Of pairs given both ways round one is verified, at the node that more are verified against.
+    popular = pairs.groupBy("b").agg(F.count("*").alias("_n"))
+    asked = pairs.join(popular, "b").join(popular.select(F.col("b").alias("a"), F.col("_n").alias("_m")), "a", "left")
+    turn = F.coalesce("_m", F.lit(0)) > F.col("_n")
+    pairs = asked.select(
+        F.when(turn, F.col("b")).otherwise(F.col("a")).alias("a"),
+        F.when(turn, F.col("a")).otherwise(F.col("b")).alias("b"),
+    ).distinct()
     crowd = pairs.groupBy("b").agg(F.ceil(F.count("*") / GROUP_NODES).alias("groups"))
     dealt = pairs.join(crowd, "b").withColumn("group", F.pmod(F.xxhash64("a"), "groups").cast("int"))
     head = dealt.select("b", "group", F.col("b").alias("node"), F.lit(False).alias("compared"))
@@ -493,28 +559,37 @@ def link_documents(
     release(spark)
     component = connected_components(links)
 
-    # Nodes that one segment brings together and that are still apart.
-    placed = members.select("segment", "node", "size").join(component, "node", "left")
-    placed = placed.withColumn("root", F.coalesce("root", "node"))
+    # Nodes that one segment brings together and that are still apart; one segment for each set
+    # of nodes, told apart by 128 bits of hash.
+    placed = _rooted(members.select("segment", "node", "size"), component)
     apart = placed.groupBy("segment").agg(
         F.min("root").alias("x"),
         F.max("root").alias("y"),
-        F.ceil(F.count("*") / GROUP_NODES).alias("tiles"),
+        F.count("*").alias("n"),
+        F.bit_xor(F.xxhash64("node")).alias("h"),
+        F.bit_xor(F.xxhash64("node", F.lit(1))).alias("k"),
     )
-    left = placed.join(apart.filter("x <> y").select("segment", "tiles"), "segment")
-    left = left.join(nodes.select("node", "sketch"), "node")
-    rest = written(_apart_pairs(left).join(tried, ["a", "b"], "left_anti"), "apart-pairs")
+    kept = apart.filter("x <> y").groupBy("n", "h", "k").agg(F.min("segment").alias("segment"))
+    kept = kept.select("segment", F.ceil(F.col("n") / GROUP_NODES).alias("tiles"))
+    left = placed.join(kept, "segment").join(nodes.select("node", "sketch"), "node")
+    left = written(left, "apart")
+    del placed, apart, kept
     discard(members)
-    near = written(_nearest(rest), "nearest-apart")
-    links = written(links.union(_verified(near, source, nodes)), "second-links")
-    release(spark)
-    component = connected_components(links)
 
-    # All other pairs whose nodes no verified link joins by now.
-    root = component.select(F.col("node").alias("a"), F.col("root").alias("_x"))
-    other = component.select(F.col("node").alias("b"), F.col("root").alias("_y"))
-    rest = rest.join(near, ["a", "b"], "left_anti").join(root, "a", "left").join(other, "b", "left")
-    rest = rest.filter(F.coalesce("_x", "a") != F.coalesce("_y", "b")).select("a", "b")
+    for _ in range(NEAREST_ROUNDS):
+        picks = written(_apart_pairs(_with_avoided(left, tried, links), True), "picks")
+        if picks.isEmpty():
+            break
+        near = written(_nearest(picks), "nearest")
+        links = written(links.union(_verified(near, source, nodes)), "links")
+        tried = written(tried.union(near).distinct(), "tried")
+        component = connected_components(links)
+        # Where no pair was near enough there is nothing left to find.
+        live = left.drop("root").join(picks.select("segment").distinct(), "segment", "left_semi")
+        left = written(_rooted(live, component), "apart")
+        release(spark)
+
+    rest = _apart_pairs(_with_avoided(left, tried, links), False).select("a", "b").distinct()
     more = written(_verified(written(rest, "rest-pairs"), source, nodes), "rest-links")
     release(spark)
     component = connected_components(links.union(more))
