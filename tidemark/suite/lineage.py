@@ -49,8 +49,6 @@ def records(spark, sf_dir):
         "*",
         F.lit("periodic").alias("boundary"),
         F.sha2("solver", 256).alias("source_sha256"),
-        (F.col("seed") % 3 / 2).cast("double").alias("amplitude"),
-        F.when(F.col("steps") % 2 == 0, 1.0).otherwise(2.0).alias("domain_length"),
         canonical(seed="seed", steps="steps").alias("config_json"),
     )
 
@@ -63,7 +61,7 @@ counts AS (
   UNION ALL SELECT 'Equation', count(DISTINCT equation), count(*), 'solves' FROM rec
   UNION ALL SELECT 'Solver', count(DISTINCT solver), count(*), 'uses' FROM rec
   UNION ALL SELECT 'BoundaryCondition', 1, count(*), 'has_boundary' FROM rec
-  UNION ALL SELECT 'InitialCondition', count(DISTINCT (equation, grid_size, initial_condition, seed, seed % 3, steps % 2, source_sha256)), count(*), 'starts_from' FROM rec
+  UNION ALL SELECT 'InitialCondition', count(DISTINCT (equation, grid_size, initial_condition, seed, amplitude, domain_length, source_sha256)), count(*), 'starts_from' FROM rec
   UNION ALL SELECT 'Dataset', count(*), count(*), 'produces' FROM rec WHERE status = 'completed'
   UNION ALL SELECT 'Metric', count(*), count(*), 'measures' FROM measured WHERE present
   UNION ALL SELECT 'Anomaly', count(*), count(*), 'observed_in' FROM rec WHERE status = 'failed' OR needs_review
