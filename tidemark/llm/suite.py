@@ -165,4 +165,5 @@ def op9_token_shards(spark: SparkSession, sf_dir: str) -> DataFrame:
         read(spark, sf_dir, "documents"), folder, path, public_tokenizers.PATTERN
     )
     stored = token_output.read_shards(spark, folder).select("slot", F.sha2("ids", 256).alias("ids_sha256"))
-    return index.join(stored, "slot")
+    # Spark cannot know how much a reader of few file names returns, and would broadcast it.
+    return index.join(stored.hint("merge"), "slot")
