@@ -96,6 +96,26 @@ def test_mixed_documents_hold_what_was_taken(spark):
         assert r.text == texts[r.doc_id] or set(words(r.text)) <= set(words(texts[r.doc_id]))
 
 
+def test_small_sources_leave_the_runs_of_large_ones(make):
+    small = [(None, 3), ("tiny", 10)]
+    rows = [(i, " ".join(f"{i}-{k}" for k in range(700)), "en", f"s{i % 3}", 0) for i in range(90)]
+    rows += [(len(rows) + j, "x " * n, "en", s, 0) for j, (s, n) in enumerate(small)]
+    docs = make(rows)
+    gaps = taken = 0
+    for r in mixing.mixed_documents(docs).filter("source like 's%'").collect():
+        at = [int(w.split("-")[1]) for w in words(r.text)]
+        taken += len(at)
+        gaps += sum(b != a + 1 for a, b in zip(at, at[1:]))
+    assert taken and gaps <= taken / mixing.BLOCK_WORDS
+    got = Counter()
+    want = {}
+    for r in mixing.mix(docs).collect():
+        source = rows[r.doc_id][3]
+        got[source] += r.taken
+        want[source] = r.target
+    assert all(abs(got[s] - want[s]) <= 1 for s in want)
+
+
 def test_empty_and_wordless_tables(make):
     assert mixing.mix(make([])).count() == 0
     got = mixing.mix(make([None, "", " "])).collect()

@@ -2,15 +2,16 @@
 
 Sizes are words. Every source has a weight and shares the total by it; a target stops at
 ``MOST_REPEATS`` times the source's size and the excess is shared again. A source's documents are
-dealt to shards by a seeded hash; a shard's documents, in seeded order, are one stream of words,
-cut into blocks of equal size. Blocks are then seats: the mix has a number of them, sources get
-them by highest quotients of their targets, and a source's shards by highest quotients of their
-own blocks. That leaves one whole number of blocks for every shard.
-
-Which blocks a shard gives is a systematic draw: block ``k`` of ``n`` is taken
-``floor((k+1)q/n) - floor(kq/n)`` times, counted from a seeded block. Sums of that have a closed
-form, so what a document contributes follows from where it starts and ends in its stream, and
-no table of blocks is ever made.
+dealt to shards by a seeded hash; a shard's documents, in seeded order, are one stream of words.
+Words are then seats: sources get them by highest quotients of their targets, and a source's
+shards by highest quotients of their own words. That leaves one whole number of words for every shard.
+
+A shard gives its whole stream as often as that number holds it and the rest by a systematic draw.
+Counted from a seeded word, the stream is cut into blocks of one size, the same in all sources
+whatever their own sizes; block ``k`` of ``n`` is taken ``floor((k+1)q/n) - floor(kq/n)`` times, and the
+last block taken only as far as words are wanted. Sums of that have a closed form, so what a
+document contributes follows from where it starts and ends in its stream, and no table of blocks
+is ever made.
 """
 
 from __future__ import annotations
@@ -27,9 +28,7 @@ from tidemark.session import settle
 MOST_REPEATS = 3
 WEIGHTS = (1, 2, 3)
 SHARD_WORDS = 200_000
-# Blocks have this many words, fewer if the smallest source would have under LEAST_BLOCKS.
 BLOCK_WORDS = 256
-LEAST_BLOCKS = 200
 SEED = 4
 # Up to this many sources are broadcast; with more, rows are joined to theirs by a shuffle.
 SOURCES_SENT = 100_000
@@ -125,25 +124,35 @@ def source_targets(
     return table.select("_key", "source", "source_size", target.alias("target"))
 
 
-def _takes(blocks: Column) -> Column:
-    """Takes among a shard's first ``blocks`` blocks, counted from its seeded start."""
+def _drawn(place: Column) -> Column:
+    """Words that the draw takes of a shard's first ``place`` words, counted from its seeded start."""
+    block, blocks = F.col("_block"), F.greatest(F.floor(F.col("_words") / F.col("_block")), F.lit(1))
+    picks = F.least(F.ceil(F.col("_extra") / block), blocks)
+    at = F.least(F.floor(place / block), blocks)
 
     def upto(k: Column) -> Column:
-        return F.floor(k * F.col("_quota") / F.col("_blocks"))
+        return F.floor(k * picks / blocks)
 
-    return upto(F.col("_start") + blocks) - upto(F.col("_start"))
+    # What lies behind the whole blocks is taken only after all of them.
+    open_ = F.when(at < blocks, upto(at + 1) - upto(at)).otherwise(
+        (F.col("_extra") > blocks * block).cast("long")
+    )
+    return F.least(upto(at) * block + open_ * (place - at * block), F.col("_extra"))
 
 
 def _words_before(place: Column) -> Column:
     """Words that the mix takes of a shard's stream before word ``place``."""
-    block = _block_of(place)
-    times = _takes(block + 1) - _takes(block)
-    return F.col("_block") * _takes(block) + times * (place - block * F.col("_block"))
+    behind = F.col("_words") - F.col("_start")
+    drawn = F.when(
+        place <= F.col("_start"), _drawn(behind + place) - _drawn(behind)
+    ).otherwise(F.col("_extra") - _drawn(behind) + _drawn(place - F.col("_start")))
+    return F.col("_whole") * place + drawn
 
 
-def _block_of(place: Column) -> Column:
-    """The block that word ``place`` lies in; the last one also holds the remainder."""
-    return F.least(F.floor(place / F.col("_block")), F.col("_blocks") - 1)
+def _times(place: Column) -> Column:
+    """How often the mix takes word ``place`` of a shard's stream."""
+    turned = F.pmod(place - F.col("_start"), F.col("_words"))
+    return (F.col("_whole") + _drawn(turned + 1) - _drawn(turned)).cast("int")
 
 
 def mix(
@@ -155,7 +164,7 @@ def mix(
     weights: Sequence[float] = WEIGHTS,
     most_repeats: int = MOST_REPEATS,
     shard_words: int = SHARD_WORDS,
-    block_words: int | None = None,
+    block_words: int = BLOCK_WORDS,
     seed: int = SEED,
     keep_rows: bool = False,
 ) -> DataFrame:
@@ -163,7 +172,7 @@ def mix(
 
     Returns the id, with ``keep_rows`` the whole input row as ``_row``, ``size``, ``source_size``, ``target`` (the
     source's), ``taken`` (words, repeats counted) and the working columns ``_at`` (where the row
-    starts in its stream), ``_blocks``, ``_block``, ``_quota`` and ``_start``. Null texts have size
+    starts in its stream), ``_words`` (of the stream), ``_block``, ``_whole``, ``_extra`` and ``_start``. Null texts have size
     0 and nothing is taken of them; repeated rows lie behind each other in the stream; a table
     without words has targets 0. Other columns are only read into ``_row``, so their names may
     be those of the result.
@@ -181,9 +190,6 @@ def mix(
     sized = written(wide.drop("_row"), "sizes")
     targets = settle(source_targets(sized, weights=weights, most_repeats=most_repeats))
 
-    if block_words is None:
-        least = targets.filter("source_size > 0").agg(F.min("source_size")).first()[0] or 0
-        block_words = max(1, min(BLOCK_WORDS, least // LEAST_BLOCKS))
     shard_count = F.greatest(F.ceil(F.col("source_size") / shard_words), F.lit(1))
     place = F.xxhash64(F.col(id_col), F.lit(seed))
 
@@ -194,37 +200,26 @@ def mix(
         known = rows.drop("_source").join(few_targets, "_key")
         return known.withColumn("_shard", F.pmod(place, shard_count))
 
-    shards = (
-        dealt(sized).groupBy("_key", "_shard")
-        .agg(F.sum("size").alias("_words"))
-        .withColumn(
-            "_blocks",
-            F.when(F.col("_words") > 0, F.greatest(F.floor(F.col("_words") / block_words), F.lit(1)))
-            .otherwise(0)
-            .cast("long"),
-        )
-    )
-    shards = settle(shards)
-    of_source = (
-        shards.groupBy("_key")
-        .agg(F.sum("_blocks").alias("_all_blocks"))
-        .join(targets, "_key")
-        .withColumn("_worth", F.coalesce(F.try_divide(F.col("target") * F.col("_all_blocks"), F.col("source_size")), F.lit(0.0)))
-        .withColumn("_mix", F.lit(0))
-    )
-    of_source = settle(of_source)
-    every = of_source.agg(F.sum("_worth")).first()[0] or 0.0
+    shards = settle(dealt(sized).groupBy("_key", "_shard").agg(F.sum("size").alias("_words")))
+    every = targets.agg(F.sum("target")).first()[0] or 0.0
     quotas = apportion(
-        of_source.withColumn("_all", F.lit(int(round(every)))), ["_mix"], ["_key"], "_worth", "_all"
-    ).select("_key", F.least("_seats", F.col("_all_blocks") * most_repeats).alias("_of_source"))
-    seats = apportion(shards.join(quotas, "_key"), ["_key"], ["_shard"], "_blocks", "_of_source")
+        targets.withColumn("_mix", F.lit(0)).withColumn("_all", F.lit(int(round(every)))),
+        ["_mix"],
+        ["_key"],
+        "target",
+        "_all",
+    ).select("_key", F.least("_seats", F.col("source_size") * most_repeats).alias("_of_source"))
+    seats = apportion(shards.join(quotas, "_key"), ["_key"], ["_shard"], "_words", "_of_source")
+    quota = F.least("_seats", F.col("_words") * most_repeats)
+    whole = F.coalesce(F.floor(F.try_divide(quota, F.col("_words"))), F.lit(0))
     plan = settle(
         seats.select(
             "_key",
             "_shard",
-            F.greatest("_blocks", F.lit(1)).alias("_blocks"),
-            F.least("_seats", F.col("_blocks") * most_repeats).alias("_quota"),
-            F.pmod(F.xxhash64("_key", "_shard", F.lit(seed)), F.greatest("_blocks", F.lit(1))).alias("_start"),
+            "_words",
+            whole.alias("_whole"),
+            (quota - whole * F.col("_words")).alias("_extra"),
+            F.pmod(F.xxhash64("_key", "_shard", F.lit(seed)), F.greatest("_words", F.lit(1))).alias("_start"),
         )
     )
 
@@ -243,9 +238,10 @@ def mix(
         "target",
         taken.cast("long").alias("taken"),
         "_at",
-        "_blocks",
+        "_words",
         "_block",
-        "_quota",
+        "_whole",
+        "_extra",
         "_start",
     )
 
@@ -261,8 +257,8 @@ def mixed_documents(
 ) -> DataFrame:
     """The mixed corpus, with the columns of ``documents``.
 
-    A row appears as often as its most repeated block is taken; the ``r``-th copy holds the words
-    of the blocks taken ``r`` times or more, with the white space before each. Copies of a text
+    A row appears as often as its most repeated word is taken; the ``r``-th copy holds the words
+    taken ``r`` times or more, with the white space before each. Copies of a text
     that is taken in full are the text itself. Rows without words appear once, since they
     weigh nothing. ``chars_col``, if there, is set to the new length.
     """
@@ -276,20 +272,19 @@ def mixed_documents(
         **options,
     )
     original, chars = F.col("_row").getField(text_col), names.count(chars_col)
-    first, last = _block_of(F.col("_at")), _block_of(F.greatest(F.col("_at") + F.col("size") - 1, F.col("_at")))
-    times = F.transform(F.sequence(first, last), lambda b: _takes(b + 1) - _takes(b))
+    times = F.transform(
+        F.sequence(F.lit(0), F.col("size").cast("int") - 1), lambda k: _times(F.col("_at") + k)
+    )
     words = F.regexp_extract_all(original, F.lit(rf"(?s)[\x20\x09-\x0D]*{WORD}"), F.lit(0))
     copies = (
         mixed.withColumn("_times", F.when(F.col("size") > 0, times).otherwise(F.array(F.lit(1))))
-        .withColumn("_first", first)
-        .withColumn("_copy", F.explode(F.sequence(F.lit(1), F.array_max("_times"))))
         .filter(F.array_max("_times") > 0)
+        .withColumn("_copy", F.explode(F.sequence(F.lit(1), F.array_max("_times"))))
     )
     whole = F.array_min("_times") >= F.col("_copy")
 
     def in_copy(_, k: Column) -> Column:
-        block = _block_of(F.col("_at") + k) - F.col("_first")
-        return F.get("_times", block.cast("int")) >= F.col("_copy")
+        return F.get("_times", k) >= F.col("_copy")
 
     text = F.when(whole, original).otherwise(F.array_join(F.filter(words, in_copy), ""))
     fields = {name: F.col("_row").getField(name) for name in names}
