@@ -85,6 +85,29 @@ def test_matches_plain_model(make, order):
         assert r.score == pytest.approx(score, rel=1e-9, abs=1e-9)
 
 
+@pytest.mark.parametrize("order", [1, 3])
+def test_word_model_matches_plain_model(make, order):
+    rows = list(enumerate([*_texts(), "rare1 rare2 rare3 rare4", "rare4 rare2 rare1 rare3"]))
+    want = reference(rows, order, 0)
+    got = {r.doc_id: r for r in lm.score_documents(make([t for _, t in rows]), order=order).collect()}
+    assert len(got) == len(rows)
+    for i, (held, n_tokens, n_known, total, base, score) in want.items():
+        r = got[i]
+        assert (r.held_out, r.n_tokens, r.n_known, r.train_tokens) == (held, n_tokens, n_known, total)
+        assert r.base_score == pytest.approx(base, rel=1e-9, abs=1e-9)
+        assert r.score == pytest.approx(score, rel=1e-9, abs=1e-9)
+
+
+def test_order_of_rare_words_counts(make):
+    held = [i for i in range(400) if zlib.crc32(str(i).encode()) % 7 == 2][:2]
+    passage = " ".join(f"rare{k}" for k in range(12))
+    texts = ["a b c " * 200 + f"d{i}" for i in range(max(held) + 30)]
+    texts[held[0]], texts[held[1]] = passage, " ".join(reversed(passage.split()))
+    got = {r.doc_id: r for r in lm.score_documents(make([*texts, passage, passage])).collect()}
+    assert got[held[0]].base_score == pytest.approx(got[held[1]].base_score)
+    assert got[held[0]].score > got[held[1]].score + 3
+
+
 def test_held_out_texts_score_above_the_base(make):
     got = [r for r in lm.score_documents(make(_texts())).collect() if r.held_out]
     assert got and sum(r.score for r in got) > sum(r.base_score for r in got)

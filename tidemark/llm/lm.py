@@ -1,20 +1,22 @@
 """Language-model scores from a weighted backoff automaton.
 
-Counting covers all training texts: every word is counted, which also gives the base figures, and
-n-grams are counted over classes, which are the words that make up at least ``CLASS_SHARE`` of all
-tokens, the end of a text, and one class for all other words. Shares bound how many classes and
-n-grams there can be at any input size.
-
-Counts, smoothed by absolute discounting with interpolation, become an automaton. Its states are
-contexts; an arc adds the log-probability of a class and leads to the longest context that then
-holds; where a state has no arc for a class, its failure arc adds the backoff weight and leads to
-the context without its first class. A batch of texts goes through it from left to right, all texts
+Counts, smoothed by absolute discounting with interpolation, make an automaton. Its states are
+contexts; an arc adds the log-probability of a word and leads to the longest context that then
+holds; where a state has no arc for a word, its failure arc adds the backoff weight and leads to the
+context without its first word.
+
+By default n-grams are those of words over all training texts, whatever their counts, so what is
+counted grows with the input. Arcs and failure arcs are tables in shared storage, one for each length,
+and texts meet them by shuffled joins: nothing of them is collected or broadcast. An n-gram that
+only unseen texts hold gets a row with count 0, whose weight follows its failure arcs; so each token
+of a text has one row to look up.
+
+With ``class_share`` the n-grams are over classes instead: the words that make up at least that
+share of all tokens, the end of a text, and one class for all other words. That model is bounded at
+any input size and sent to the tasks; a batch of texts goes through it from left to right, all texts
 one token further in a step. A word without a class of its own then gets its share of the class of
-all others, by its count.
-
-Words in at least ``KNOWN_SHARE`` of all tokens are few, and their counts are sent to the tasks. The
-counts of all other words are joined: each text sends its distinct rare words, and only sums come
-back to it, so no text is shuffled.
+all others, by its count. Words in at least ``known_share`` of all tokens have their counts sent; those
+of all other words are joined, and only sums come back to a text.
 """
 
 from __future__ import annotations
@@ -33,9 +35,8 @@ from tidemark.llm.common import fold, slices, texts, written
 FOLDS = 7
 HELD_OUT_FOLD = 2
 
-ORDER = 2
-# At most 2,000 classes, so at most 4 million pairs; at most 50,000 words with known counts.
-CLASS_SHARE = 5e-4
+ORDER = 3
+# Only for models over classes: at most 50,000 words with known counts.
 KNOWN_SHARE = 2e-5
 
 # Texts are taken through the automaton in runs of so many bytes.
@@ -222,20 +223,151 @@ def _arrays(df: DataFrame, *kinds: type) -> list[np.ndarray]:
     return [found[c].to_numpy(dtype=kind) for c, kind in zip(df.columns, kinds)]
 
 
+def _mixed(z: np.ndarray) -> np.ndarray:
+    """Finalizer of splitmix64."""
+    z = (z ^ (z >> np.uint64(30))) * np.uint64(0xBF58476D1CE4E5B9)
+    z = (z ^ (z >> np.uint64(27))) * np.uint64(0x94D049BB133111EB)
+    return z ^ (z >> np.uint64(31))
+
+
+def _token_grams(rows: list[str], order: int):
+    """The n-gram that ends on each token: key, length and words (last one first); and the lengths of the texts.
+
+    It has ``order`` words, fewer where the text has not as many before; texts begin after an end.
+    """
+    tokens, lengths = _token_batch(rows)
+    owner = np.repeat(np.arange(len(lengths)), lengths)
+    begun = np.insert(tokens, np.cumsum(lengths) - lengths, END)
+    at = np.arange(len(tokens)) + owner + 1
+    within = np.arange(len(tokens)) - np.repeat(np.cumsum(lengths) - lengths, lengths)
+    size = np.minimum(within + 2, order)
+    words, key = [tokens], _mixed(tokens.view(np.uint64))
+    for k in range(1, order):
+        valid = size > k
+        word = np.where(valid, begun[np.maximum(at - k, 0)], 0)
+        longer = _mixed(key * np.uint64(0x9E3779B97F4A7C15) + word.view(np.uint64))
+        key = np.where(valid, longer, key)
+        words.append(word)
+    return key.view(np.int64), size, words, lengths
+
+
+def count_word_grams(source: DataFrame, order: int) -> DataFrame:
+    """``(key, size, w0, w1, .., n)``: the n-grams of all tokens of ``held_out, text`` with their training counts."""
+
+    def run(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in (part for whole in batches for part in slices(whole, 1, RUN_BYTES)):
+            key, size, words, lengths = _token_grams(texts(batch, 1), order)
+            trains = ~batch.column(0).to_numpy(zero_copy_only=False).astype(bool)
+            own, first, group = np.unique(key, return_index=True, return_inverse=True)
+            n = np.bincount(group, weights=np.repeat(trains, lengths), minlength=len(own))
+            columns = [own, size[first].astype(np.int32), *(w[first] for w in words), n.astype(np.int64)]
+            yield pa.RecordBatch.from_arrays([pa.array(c) for c in columns], names=names)
+
+    words = [f"w{k}" for k in range(order)]
+    names = ["key", "size", *words, "n"]
+    schema = "key long, size int, " + ", ".join(f"{w} long" for w in words) + ", n long"
+    counted = source.select("held_out", "text").mapInArrow(run, schema)
+    return counted.groupBy(*names[:-1]).agg(F.sum("n").alias("n"))
+
+
+def word_model(source: DataFrame, order: int) -> tuple[DataFrame, int, int]:
+    """``(key, c, weight)`` of every n-gram of a token, and the numbers of training tokens and words.
+
+    ``c`` is the training count of the n-gram's last word, ``weight`` the log10 chance of it.
+    """
+    raw = written(count_word_grams(source, order), "grams")
+    words = [f"w{k}" for k in range(order)]
+    levels = {order: raw.filter(F.col("size") == order).select(*words, "n")}
+    for k in range(order - 1, 0, -1):
+        longer = levels[k + 1].select(*words[:k], "n")
+        begun = raw.filter(F.col("size") == k).select(*words[:k], "n")
+        shorter = longer.unionByName(begun).groupBy(*words[:k]).agg(F.sum("n").alias("n"))
+        levels[k] = written(shorter, f"grams-{k}")
+    row = levels[1].agg(F.coalesce(F.sum("n"), F.lit(0)), F.count_if(F.col("n") > 0)).first()
+    tokens, kinds = row[0], row[1]
+    # Of no context: add-one over all words, the end and one for all words never seen.
+    chance = (F.col("n") + 1.0) / float(tokens + max(kinds, 1) + 1)
+    arcs = levels[1].select("w0", F.col("n").alias("c"), chance.alias("chance"))
+    found = [_keyed(raw, arcs, 1)]
+    for k in range(2, order + 1):
+        once, twice = levels[k].agg(F.count_if(F.col("n") == 1), F.count_if(F.col("n") == 2)).first()
+        discount = once / (once + 2 * twice) if once and twice else 0.5
+        states = (
+            levels[k].filter("n > 0").groupBy(*words[1:k])
+            .agg(F.sum("n").alias("total"), (F.count("*") * F.lit(discount) / F.sum("n")).alias("backoff"))
+        )
+        above = F.greatest(F.col("n") - discount, F.lit(0.0)) / F.col("total")
+        weight = F.coalesce(above, F.lit(0.0)) + F.coalesce("backoff", F.lit(1.0)) * F.col("chance")
+        joined = levels[k].join(states, words[1:k], "left").join(arcs, words[: k - 1])
+        arcs = written(joined.select(*words[:k], "c", weight.alias("chance")), f"arcs-{k}")
+        found.append(_keyed(raw, arcs, k))
+    model = found[0]
+    for part in found[1:]:
+        model = model.unionByName(part)
+    return model, tokens, kinds
+
+
+def _keyed(raw: DataFrame, arcs: DataFrame, size: int) -> DataFrame:
+    """The arcs of the n-grams of ``size`` words that end on a token, by their keys."""
+    words = [f"w{k}" for k in range(size)]
+    own = raw.filter(F.col("size") == size).select("key", *words)
+    return own.join(arcs, words).select("key", "c", F.log10("chance").alias("weight"))
+
+
+def _score_by_words(source: DataFrame, id_col: str, order: int) -> DataFrame:
+    model, tokens, kinds = word_model(source, order)
+
+    def run(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in (part for whole in batches for part in slices(whole, 1, RUN_BYTES)):
+            key, _, _, lengths = _token_grams(texts(batch, 1), order)
+            row = np.repeat(batch.column(0).to_numpy(), lengths)
+            yield pa.RecordBatch.from_arrays([pa.array(key), pa.array(row)], names=["key", "row"])
+
+    met = source.select("row", "text").mapInArrow(run, "key long, row long")
+    sums = (
+        met.join(model, "key")
+        .groupBy("row")
+        .agg(
+            F.count("*").alias("n_tokens"),
+            F.count_if(F.col("c") > 0).alias("n_known"),
+            F.sum(F.log10(F.col("c") + 1.0)).alias("logs"),
+            F.sum("weight").alias("path"),
+        )
+    )
+    # Rows that repeat id and text share their sums, so each takes one part of them.
+    copies = source.groupBy("row").agg(F.count("*").alias("copies"))
+    log_base = math.log10(tokens + kinds + 1)
+    part = lambda c: (F.col(c) / F.col("copies"))
+    return (
+        source.select("id", "held_out", "row")
+        .join(sums.join(copies, "row"), "row")
+        .select(
+            F.col("id").alias(id_col),
+            "held_out",
+            part("n_tokens").cast("long").alias("n_tokens"),
+            part("n_known").cast("long").alias("n_known"),
+            F.lit(tokens).cast("long").alias("train_tokens"),
+            (part("logs") - part("n_tokens") * log_base).alias("base_score"),
+            part("path").alias("score"),
+        )
+    )
+
+
 def score_documents(
     documents: DataFrame,
     *,
     id_col: str = "doc_id",
     text_col: str = "text",
     order: int = ORDER,
-    class_share: float = CLASS_SHARE,
+    class_share: float | None = None,
     known_share: float = KNOWN_SHARE,
 ) -> DataFrame:
     """``(id, held_out, n_tokens, n_known, train_tokens, base_score, score)`` of every row.
 
     Learns from all rows outside the held-out fold. Null and empty texts are the end token alone.
     Rows without id are in fold 0, so they train. Without training rows every token is unknown and
-    the base score 0, the score that of equal chances. Repeated rows get equal scores; other
+    the base score 0, the score that of equal chances. Without ``class_share``
+    the model is over words, all of them. Repeated rows get equal scores; other
     columns are not read.
     """
     spark = documents.sparkSession
@@ -244,6 +376,8 @@ def score_documents(
     source = documents.select(
         F.col(id_col).alias("id"), held_out, F.xxhash64(id_col, text).alias("row"), text
     )
+    if class_share is None:
+        return _score_by_words(source, id_col, order)
     training = source.filter("NOT held_out").select("text")
 
     words = written(count_words(training), "word-counts")
