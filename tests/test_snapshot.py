@@ -26,3 +26,12 @@ def test_payloads(spark):
 def test_one_corrupt_selected_run_stops_the_export(spark):
     got = _snapshot(spark, [("b", "hash mismatch")])
     assert all(r["payload"] is None and "verification" in r["error"] for r in got.values())
+
+
+def test_registered_snapshot_stops_at_a_corrupt_run(spark):
+    from tidemark.suite import fields
+
+    stopped = fields.catalog_snapshot(spark, "/root/testdata/sf0.001").collect()
+    assert len(stopped) == 50 and all(r["error"] and r["payload"] is None for r in stopped)
+    intact = fields.catalog_snapshot_intact(spark, "/root/testdata/sf0.001").collect()
+    assert intact and all(r["error"] is None and json.loads(r["payload"]) for r in intact)
