@@ -8,7 +8,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tidemark.llm import bpe, line_dedup, lm, mixing, parity_join, quality, rules, token_output, topk, warc
+from tidemark.llm import bpe, lexical, line_dedup, lm, mixing, parity_join, quality, rules, token_output, topk, warc
 from tidemark.llm.common import scratch
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -167,3 +167,36 @@ def op9_token_shards(spark: SparkSession, sf_dir: str) -> DataFrame:
     stored = token_output.read_shards(spark, folder).select("slot", F.sha2("ids", 256).alias("ids_sha256"))
     # Spark cannot know how much a reader of few file names returns, and would broadcast it.
     return index.join(stored.hint("merge"), "slot")
+
+
+LEXICAL_SQL = rf"""
+WITH terms AS (
+  SELECT doc_id, {SQL_LOWER.format("unnest(regexp_extract_all(text, '{t}'))")} AS term FROM documents
+),
+asked AS (
+  SELECT DISTINCT item_id, {SQL_LOWER.format("unnest(regexp_extract_all(text, '{t}'))")} AS term FROM benchmark
+),
+sizes AS (SELECT doc_id, count(*) AS n FROM terms GROUP BY doc_id),
+whole AS (SELECT count(*) AS n_docs, sum(n)::BIGINT AS total FROM sizes),
+held AS (SELECT doc_id, term, count(*) AS tf FROM terms GROUP BY doc_id, term),
+weights AS (
+  SELECT term, floor(1000 * ln((2 * any_value(n_docs) + 2) / (2 * count(*) + 1)))::BIGINT AS w
+  FROM held, whole GROUP BY term
+),
+scored AS (
+  SELECT item_id, doc_id, sum(w * ((1000000000 * tf) // (1000 * tf + 20 * (50 + (50 * n * n_docs) // total))))::BIGINT AS score
+  FROM asked JOIN held USING (term) JOIN weights USING (term) JOIN sizes USING (doc_id), whole
+  GROUP BY item_id, doc_id
+),
+ranked AS (
+  SELECT item_id, row_number() OVER (PARTITION BY item_id ORDER BY score DESC, doc_id)::INTEGER AS rank, doc_id, score
+  FROM scored WHERE score > 0
+)
+SELECT * FROM ranked WHERE rank <= 50
+""".replace("{t}", r"[^\x00-\x2F\x3A-\x40\x5B-\x60\x7B-\x7F]+")
+
+
+@query("op12_lexical_search", LEXICAL_SQL)
+def op12_lexical_search(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The fifty best documents for every benchmark item."""
+    return lexical.search_documents(read(spark, sf_dir, "documents"), read(spark, sf_dir, "benchmark"))
