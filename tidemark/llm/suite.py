@@ -8,7 +8,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tidemark.llm import bpe, lexical, line_dedup, lm, mixing, parity_join, quality, rules, token_output, topk, warc
+from tidemark.llm import bpe, lexical, line_dedup, lm, mixing, parity_join, prefix_trie, quality, rules, substring_dedup, token_output, topk, warc
 from tidemark.llm.common import scratch
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -169,12 +169,14 @@ def op9_token_shards(spark: SparkSession, sf_dir: str) -> DataFrame:
     return index.join(stored.hint("merge"), "slot")
 
 
+SQL_TERM = r"[^\x00-\x2F\x3A-\x40\x5B-\x60\x7B-\x7F]+"
+
 LEXICAL_SQL = rf"""
 WITH terms AS (
-  SELECT doc_id, {SQL_LOWER.format("unnest(regexp_extract_all(text, '{t}'))")} AS term FROM documents
+  SELECT doc_id, {SQL_LOWER.format(f"unnest(regexp_extract_all(text, '{SQL_TERM}'))")} AS term FROM documents
 ),
 asked AS (
-  SELECT DISTINCT item_id, {SQL_LOWER.format("unnest(regexp_extract_all(text, '{t}'))")} AS term FROM benchmark
+  SELECT DISTINCT item_id, {SQL_LOWER.format(f"unnest(regexp_extract_all(text, '{SQL_TERM}'))")} AS term FROM benchmark
 ),
 sizes AS (SELECT doc_id, count(*) AS n FROM terms GROUP BY doc_id),
 whole AS (SELECT count(*) AS n_docs, sum(n)::BIGINT AS total FROM sizes),
@@ -193,10 +195,100 @@ ranked AS (
   FROM scored WHERE score > 0
 )
 SELECT * FROM ranked WHERE rank <= 50
-""".replace("{t}", r"[^\x00-\x2F\x3A-\x40\x5B-\x60\x7B-\x7F]+")
+"""
 
 
 @query("op12_lexical_search", LEXICAL_SQL)
 def op12_lexical_search(spark: SparkSession, sf_dir: str) -> DataFrame:
     """The fifty best documents for every benchmark item."""
     return lexical.search_documents(read(spark, sf_dir, "documents"), read(spark, sf_dir, "benchmark"))
+
+
+TRIE_SQL = """
+WITH t AS (
+  SELECT conv_id, turn, length(coalesce(text, '')) AS chars,
+    left(sha256(length(coalesce(role, '')) || ':' || coalesce(role, '') || coalesce(text, '')), 32) AS id
+  FROM conversations WHERE conv_id IS NOT NULL
+),
+packed AS (
+  SELECT conv_id, list({'id': id, 'chars': chars} ORDER BY turn NULLS FIRST, id) AS turns FROM t GROUP BY conv_id
+),
+headed AS (
+  SELECT conv_id, turns, (xor(list_reduce(
+      list_prepend(4294967295, flatten(list_transform(string_split(conv_id::VARCHAR, ''),
+        lambda c: [ascii(c)::BIGINT, -1, -1, -1, -1, -1, -1, -1, -1]))),
+      lambda a, s: CASE WHEN s >= 0 THEN xor(a, s) WHEN a & 1 = 1 THEN xor(a >> 1, 3988292384) ELSE a >> 1 END
+    ), 4294967295) % 6)::BIGINT AS h
+  FROM packed
+),
+rebuilt AS (
+  SELECT c.conv_id, list_concat(coalesce(b.turns, [])[1:h], c.turns[h + 1:]) AS turns
+  FROM headed c LEFT JOIN packed b ON b.conv_id = c.conv_id - c.conv_id % 100
+),
+passing AS (
+  SELECT conv_id, d, array_to_string(list_transform(turns[1:d], lambda x: x.id), '') AS path,
+    coalesce(turns[d].chars, 0) AS chars, d = len(turns) AS ends
+  FROM (SELECT conv_id, turns, unnest(range(len(turns) + 1)) AS d FROM rebuilt)
+),
+nodes AS (
+  SELECT path, d, any_value(chars) AS chars, min(conv_id) AS conv_id, count(*) AS n_convs,
+    sha256(coalesce(string_agg(conv_id::VARCHAR, ',' ORDER BY conv_id) FILTER (ends), '')) AS ends_sha256
+  FROM passing GROUP BY path, d
+),
+families AS (
+  SELECT p.path, p.conv_id AS parent_conv_id, count(*) AS n_children
+  FROM nodes c JOIN nodes p ON c.d > 0 AND p.path = left(c.path, 32 * (c.d - 1)) GROUP BY p.path, p.conv_id
+),
+below AS (
+  SELECT left(path, 32 * k) AS path, sum((n_children IS NULL)::BIGINT)::BIGINT AS n_leaves,
+    sum((n_convs - 1) * chars)::BIGINT AS saved_tokens
+  FROM (SELECT n.*, n_children, unnest(range(d + 1)) AS k FROM nodes n LEFT JOIN families f USING (path))
+  GROUP BY 1
+)
+SELECT n.conv_id, n.d AS depth, p.conv_id AS parent_conv_id, n.n_convs, coalesce(f.n_children, 0) AS n_children,
+  n_leaves, saved_tokens, n.ends_sha256
+FROM nodes n JOIN below b USING (path) LEFT JOIN families f USING (path)
+LEFT JOIN nodes p ON n.d > 0 AND p.path = left(n.path, 32 * (n.d - 1))
+"""
+
+
+@query("op11_prefix_trie", TRIE_SQL)
+def op11_prefix_trie(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Every prefix of the rebuilt conversations as a node of their trie."""
+    packed = prefix_trie.pack_turns(read(spark, sf_dir, "conversations"))
+    nodes = prefix_trie.prefix_nodes(prefix_trie.rebuild(packed))
+    return nodes.select(
+        "conv_id", "depth", "parent_conv_id", "n_convs", "n_children", "n_leaves", "saved_tokens", "ends_sha256"
+    )
+
+
+SUBSTRING_SQL = r"""
+WITH split AS (
+  SELECT doc_id, regexp_extract_all(coalesce(text, ''), '[^\x20\x09-\x0D]+') AS words FROM documents
+),
+windows AS (
+  SELECT doc_id, i, sha256(array_to_string(words[i:i + 19], ' ')) AS h
+  FROM (SELECT doc_id, words, unnest(range(1, len(words) - 18)) AS i FROM split WHERE len(words) >= 20)
+),
+later AS (
+  SELECT doc_id, i FROM windows QUALIFY row_number() OVER (PARTITION BY h ORDER BY doc_id, i) > 1
+),
+covered AS (
+  SELECT doc_id, list(DISTINCT k) AS gone FROM (SELECT doc_id, unnest(range(i, i + 20)) AS k FROM later) GROUP BY doc_id
+),
+kept AS (
+  SELECT doc_id, i, word FROM (SELECT doc_id, unnest(words) AS word, unnest(range(1, len(words) + 1)) AS i FROM split)
+  ANTI JOIN (SELECT doc_id, unnest(gone) AS i FROM covered) USING (doc_id, i)
+),
+joined AS (SELECT doc_id, string_agg(word, ' ' ORDER BY i) AS text FROM kept GROUP BY doc_id)
+SELECT doc_id, len(words) AS n_words, coalesce(len(gone), 0) AS n_removed,
+  sha256(coalesce(j.text, '')) AS kept_sha256
+FROM split LEFT JOIN covered USING (doc_id) LEFT JOIN joined j USING (doc_id)
+"""
+
+
+@query("op13_substring_dedup", SUBSTRING_SQL)
+def op13_substring_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Words that repeated passages cost every document, and the digest of what stays."""
+    kept = substring_dedup.remove_repeats(read(spark, sf_dir, "documents"))
+    return kept.select("doc_id", "n_words", "n_removed", F.sha2("kept", 256).alias("kept_sha256"))
