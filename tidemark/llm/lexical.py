@@ -44,6 +44,8 @@ SHORT_SHARE = 0.25
 BLOCK = 512
 # One shard in so many is searched first, for the bounds.
 FIRST_SHARDS = 16
+# Tasks that shards are dealt to, at most.
+TASKS = 20_000
 
 
 def terms_of(text: str) -> list[bytes]:
@@ -281,10 +283,11 @@ def search_documents(
             asked.setdefault(item_id, []).append(numbers.setdefault(term.encode(), len(numbers)))
         folder = scratch(spark, "lexical-index")
         shards = written(_index(source, folder, numbers, shard_documents, shard_bytes), "lexical-shards")
-        totals = shards.agg(F.sum("n_documents"), F.sum("total")).first()
+        totals = shards.agg(F.sum("n_documents"), F.sum("total"), F.count("*")).first()
         if not totals[0]:
             continue
         n_documents, total = int(totals[0]), int(totals[1])
+        tasks = min(2 * totals[2], TASKS)
         pairs = shards.select(F.explode(F.arrays_zip("terms", "holding")).alias("x"))
         held = pairs.groupBy(F.col("x.terms").alias("term")).agg(F.sum("x.holding").alias("holding"))
         weights = np.zeros(len(numbers), np.int64)
@@ -292,7 +295,7 @@ def search_documents(
             weights[term] = term_weight(n_documents, holding)
 
         def searched(part: DataFrame, floors: dict, weights=weights, asked=asked, folder=folder,
-                     n_documents=n_documents, total=total) -> DataFrame:
+                     n_documents=n_documents, total=total, tasks=tasks) -> DataFrame:
             def run(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
                 for batch in batches:
                     for file in batch.column(0).to_pylist():
@@ -310,7 +313,8 @@ def search_documents(
                             ))
                         yield from pa.Table.from_batches(out).combine_chunks().to_batches() if out else ()
 
-            return part.select("file").repartition("file").mapInArrow(run, schema)
+            # rows are file names, so Spark cannot see the work behind them
+            return part.select("file").repartition(tasks, "file").mapInArrow(run, schema)
 
         chosen = F.pmod(F.xxhash64("file"), F.lit(FIRST_SHARDS)) == 0
         ranked = written(_best(searched(shards.filter(chosen), {}), k, F.desc("score"), F.asc_nulls_last("doc_id")), "first-hits")
