@@ -203,7 +203,7 @@ def rebuild(packed: DataFrame) -> DataFrame:
     """Conversations that begin with the first turns of their family's first one.
 
     Conversation c takes h = crc32(c) % 6 turns of c - c % 100, all if there are fewer, and then
-    its own turns after its first h.
+    its own turns after its first h. Remainders have the sign of c.
     """
     settled = written(packed, "packed-turns")
     family = F.col("conv_id") - F.col("conv_id") % FAMILY

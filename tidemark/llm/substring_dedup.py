@@ -191,6 +191,8 @@ def _file(batch: str, kind: str) -> str:
 def _probes(batch: Batch, block: int, shards: int) -> Iterator[tuple[int, bytes]]:
     """Distinct rolling hashes of a batch by shard, with bits for blocks and for repetition inside."""
     places, hashes = batch.anchors(batch.hashes()[1], block)
+    if not len(places):
+        return
     starts = np.repeat(batch.starts, batch.sizes)[places]
     is_block = ((places - starts) % block == 0).astype(np.uint64)
     marked = np.sort((hashes << np.uint64(1)) | is_block)
@@ -206,8 +208,8 @@ def _probes(batch: Batch, block: int, shards: int) -> Iterator[tuple[int, bytes]
             yield shard, pack_sorted(codes[a:b])
 
 
-def _batches(documents: DataFrame, folder: str, block: int, shards: int, batch_bytes: int) -> DataFrame:
-    """Write the batch files; one row ``(batch, -1, null)`` for each and one for each shard it probes."""
+def _batches(documents: DataFrame, folder: str, batch_bytes: int) -> DataFrame:
+    """Write the batch files; one row with the name of each."""
 
     def run(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         ids, words, numbers, size = [], [], _Numbers(), 0
@@ -227,12 +229,7 @@ def _batches(documents: DataFrame, folder: str, block: int, shards: int, batch_b
             ids.clear()
             words.clear()
             numbers = _Numbers()
-            rows = [(-1, None), *_probes(batch, block, shards)]
-            columns = [[name] * len(rows), *zip(*rows)]
-            return pa.RecordBatch.from_arrays(
-                [pa.array(c, t) for c, t in zip(columns, (pa.string(), pa.int32(), pa.binary()))],
-                names=["batch", "shard", "codes"],
-            )
+            return pa.RecordBatch.from_arrays([pa.array([name])], names=["batch"])
 
         for arrow in batches:
             for piece in slices(arrow, 1, batch_bytes):
@@ -246,7 +243,20 @@ def _batches(documents: DataFrame, folder: str, block: int, shards: int, batch_b
         if ids:
             yield close()
 
-    return documents.mapInArrow(run, "batch string, shard int, codes binary")
+    return documents.mapInArrow(run, "batch string")
+
+
+def _probed(listed: DataFrame, folder: str, block: int, shards: int) -> DataFrame:
+    """``(batch, shard, codes)``: what every batch sends to the index; see :func:`_probes`."""
+
+    def run(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for arrow in batches:
+            for name in arrow.column(0).to_pylist():
+                for shard, codes in _probes(Batch.load(folder, _file(name, "words")), block, shards):
+                    columns = [pa.array([name]), pa.array([shard], pa.int32()), pa.array([codes], pa.binary())]
+                    yield pa.RecordBatch.from_arrays(columns, names=["batch", "shard", "codes"])
+
+    return listed.mapInArrow(run, "batch string, shard int, codes binary")
 
 
 def _repeated(table: pa.Table) -> pa.Table:
@@ -316,10 +326,15 @@ def _questions(name: str, folder: str, hits: np.ndarray, block: int, shards: int
         | (batch.known[doc] != batch.known[doc[lead]])
         | (inside != inside[lead])
     )
-    out = io.BytesIO()
-    np.savez_compressed(out, starts=starts.astype(np.int64), group=group.astype(np.int32), later=later)
+    out, along = io.BytesIO(), np.argsort(starts)
+    packed = (
+        pack_sorted(starts[along].astype(np.uint64)),
+        pack_planes(group[along].astype(np.int32)),
+        pack_planes(later[along]),
+    )
+    np.savez(out, **{k: np.frombuffer(x, np.uint8) for k, x in zip(("starts", "group", "later"), packed)})
     publish(folder, _file(name, "windows"), out.getvalue())
-    rows = [(name, -1, 0, None, None, None, None, None)]
+    rows = []
     borders = _borders(high[first], 64, shards)
     for shard, (a, b) in enumerate(zip(borders, borders[1:])):
         if b > a:
@@ -332,7 +347,7 @@ def _questions(name: str, folder: str, hits: np.ndarray, block: int, shards: int
 
 
 def _later_elsewhere(table: pa.Table) -> pa.Table:
-    """For every batch, the numbers of its windows of one shard that start earlier in another."""
+    """For every batch that asked a shard, the numbers of its windows that start earlier in another."""
     names, base = table.column("batch").to_pylist(), table.column("number").to_pylist()
     high = [unpack_sorted(x) for x in table.column("high").to_pylist()]
     sizes = [len(x) for x in high]
@@ -350,28 +365,28 @@ def _later_elsewhere(table: pa.Table) -> pa.Table:
     lead = np.repeat(first, np.diff(np.append(first, len(high))))
     late = order[(doc != doc[lead]) | (known != known[lead]) | (start != start[lead])]
     late = late[np.lexsort((number[late], source[late]))]
-    runs = _groups(source[late])
-    parts = np.split(number[late], runs[1:]) if len(runs) else []
+    borders = np.searchsorted(source[late], np.arange(1, len(names)))
+    parts = np.split(number[late].astype(np.uint64), borders)
     return pa.table({
-        "batch": pa.array([names[s] for s in source[late][runs].tolist()], pa.string()),
-        "numbers": pa.array([pack_sorted(x.astype(np.uint64)) for x in parts], pa.binary()),
+        "batch": pa.array(names, pa.string()),
+        "numbers": pa.array([pack_sorted(x) for x in parts], pa.binary()),
     })
 
 
-def _kept(name: str, folder: str, answers: list[bytes | None] | None) -> tuple[list, list, list, list]:
+def _kept(name: str, folder: str, answers: list[bytes]) -> tuple[list, list, list, list]:
     """Id, words, removed words and kept text of every document of a batch.
 
-    ``answers`` is None for a batch without candidate windows.
+    Every shard that a batch asks answers; a batch without candidate windows has no answer.
     """
     batch = Batch.load(folder, _file(name, "words"))
     gone = np.zeros(len(batch.words) + 1, np.int64)
-    if answers is not None:
+    if answers:
         a = np.load(io.BytesIO(_needed(folder, _file(name, "windows"))))
-        starts, group, later = a["starts"], a["group"], a["later"].copy()
-        elsewhere = np.zeros(int(group[-1]) + 1, bool)
+        starts = unpack_sorted(a["starts"].tobytes()).astype(np.int64)
+        group, later = (unpack_planes(a[k].tobytes(), t) for k, t in (("group", np.int32), ("later", np.bool_)))
+        elsewhere = np.zeros(int(group.max()) + 1, bool)
         for answer in answers:
-            if answer is not None:
-                elsewhere[unpack_sorted(answer).astype(np.int64)] = True
+            elsewhere[unpack_sorted(answer).astype(np.int64)] = True
         covered = starts[later | elsewhere[group]]
         np.add.at(gone, covered, 1)
         np.subtract.at(gone, covered + WINDOW, 1)
@@ -409,13 +424,14 @@ def remove_repeats(
     size = source.agg(F.sum(F.octet_length("text"))).first()[0] or 0
     shards = max(1, -(-size // shard_bytes))
     folder = scratch(spark, "repeats")
-    probes = written(_batches(source, folder, block, shards, batch_bytes), "repeat-probes")
-    listed = probes.filter("shard = -1").select("batch")
+    # Settled, because the files have new names whenever they are written. All that follows may be
+    # repeated for a lost executor: it reads these files and answers equal questions equally.
+    listed = written(_batches(source, folder, batch_bytes), "repeat-batches")
     batches = max(1, min(listed.count(), TASKS))
     tasks = min(shards, TASKS)
 
-    asked = probes.filter("shard >= 0").repartition(tasks, "shard")
-    hits = written(asked.groupBy("shard").applyInArrow(_repeated, "batch string, hits binary"), "repeat-hits")
+    probes = _probed(listed.repartition(batches, "batch"), folder, block, shards).repartition(tasks, "shard")
+    hits = written(probes.groupBy("shard").applyInArrow(_repeated, "batch string, hits binary"), "repeat-hits")
 
     def ask(table: pa.Table) -> pa.Table:
         name = table.column("batch")[0].as_py()
@@ -425,17 +441,12 @@ def remove_repeats(
         names = [field.split()[0] for field in QUESTION.split(", ")]
         return pa.table([pa.array(c, t) for c, t in zip(columns, QUESTION_KINDS)], names=names)
 
-    questions = written(
-        hits.repartition(batches, "batch").groupBy("batch").applyInArrow(ask, QUESTION), "repeat-windows"
-    )
-    compared = questions.filter("shard >= 0").repartition(tasks, "shard").groupBy("shard")
+    questions = hits.repartition(batches, "batch").groupBy("batch").applyInArrow(ask, QUESTION)
+    compared = questions.repartition(tasks, "shard").groupBy("shard")
     answers = compared.applyInArrow(_later_elsewhere, "batch string, numbers binary")
-    none = questions.filter("shard = -1").select("batch", F.lit(None).cast("binary").alias("numbers"))
-    answers = answers.unionByName(none)
 
     def finish(own: pa.Table, replies: pa.Table) -> pa.Table:
-        found = replies.column("numbers").to_pylist() if replies.num_rows else None
-        columns = _kept(own.column("batch")[0].as_py(), folder, found)
+        columns = _kept(own.column("batch")[0].as_py(), folder, replies.column("numbers").to_pylist())
         kinds = (pa.int64(), pa.int64(), pa.int64(), pa.string())
         names = [id_col, "n_words", "n_removed", "kept"]
         return pa.table([pa.array(c, t) for c, t in zip(columns, kinds)], names=names)
