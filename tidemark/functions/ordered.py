@@ -7,13 +7,13 @@ one task. Here a key's rows are split into blocks of consecutive positions, wind
 
 from __future__ import annotations
 
-import math
 from collections.abc import Sequence
 
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from tidemark.functions.skew import by_size
+from tidemark.session import settle
 
 BLOCK_WIDTH = 4096
 
@@ -134,95 +134,120 @@ def join_groups(
     return left.join(renamed, same, how).drop(*[f"_k_{k}" for k in keys])
 
 
+# Rank error of the sketches that bracket a median, as one part in so many.
+SKETCH_PARTS = 10_000
+# Points of the grid that narrows a bracket which is still too large.
+GRID = 100
+
+
+def _entries(measures: Sequence[str], bracket: str) -> Column:
+    """``(measure, value, below)`` of every measure that is not above its bracket."""
+    found = []
+    for i, m in enumerate(measures):
+        b = F.col(f"{bracket}{m}")
+        entry = F.struct(
+            F.lit(i).alias("measure"),
+            F.when(F.col(m) >= b["lo"], F.col(m)).alias("value"),  # null: below the bracket
+        )
+        found.append(F.when(F.col(m) <= b["hi"], entry))
+    return F.array_compact(F.array(*found))
+
+
+def _narrowed(narrow: DataFrame, brackets: DataFrame, keys: list[str], measures: Sequence[str]) -> DataFrame:
+    """Brackets of a hundredth of the ranks or so, from a sketch of what is inside the given ones."""
+    grid = [i / GRID for i in range(GRID + 1)]
+    joined = join_groups(narrow, by_size(brackets), keys)
+    aggregates = []
+    for m in measures:
+        b, v = F.col(f"_b_{m}"), F.col(m)
+        inside = (v >= b["lo"]) & (v <= b["hi"])
+        aggregates += [
+            F.count_if(v < b["lo"]).alias(f"_below_{m}"),
+            F.count_if(inside).alias(f"_inside_{m}"),
+            F.percentile_approx(F.when(inside, v), grid, SKETCH_PARTS).alias(f"_grid_{m}"),
+            F.first(b["n"]).alias(f"_n_{m}"),
+        ]
+    sketched = joined.groupBy(*keys).agg(*aggregates)
+    columns = []
+    for m in measures:
+        n, inside, cuts = (F.col(f"_{x}_{m}") for x in ("n", "inside", "grid"))
+        share = lambda rank: (rank - F.col(f"_below_{m}")) / F.nullif(inside, F.lit(0))
+        low = F.floor((share(F.expr(f"(_n_{m} - 1) div 2")) - 2 / SKETCH_PARTS) * GRID)
+        high = F.ceil((share(F.expr(f"_n_{m} div 2 + 1")) + 2 / SKETCH_PARTS) * GRID)
+        first = F.greatest(low, F.lit(0)).cast("int")
+        last = F.least(high, F.lit(GRID)).cast("int")
+        columns.append(
+            F.struct(
+                F.get(cuts, first).alias("lo"),
+                F.get(cuts, last).alias("hi"),
+                n.alias("n"),
+                ((last - first) * inside / GRID).cast("long").alias("size"),
+            ).alias(f"_b_{m}")
+        )
+    return sketched.select(*keys, *columns)
+
+
 def exact_medians(
     df: DataFrame,
     keys: Sequence[str],
     measures: Sequence[str],
     *,
     also: Sequence[Column] = (),
-    buckets: int | None = None,
+    most: int = 1_000_000,
 ) -> DataFrame:
     """Exact medians per group without holding a group in one task.
 
-    A first scan finds every measure's range, a second its histogram, and a third picks up
-    only the values of the one or two histogram buckets that contain the middle ranks. Each
-    scan is combined before the shuffle, so what moves is ranges, histograms and a few
-    buckets, never all values; equal values are counted first, so a value shared by a third
-    of all rows is one row. Returns ``<measure>_median`` per group, NULLs ignored; values
-    have to be finite. ``also`` are further named aggregates, taken in the first scan.
-    ``buckets`` defaults to the square root of the largest group, at most 4096.
+    A first scan takes a quantile sketch of every measure. Its rank error is known, so two of its
+    values bracket the middle ranks, however the values are spread: one far outlier changes nothing.
+    A second scan counts what lies below the bracket and the different values inside; the middle
+    ranks are then exact counts. Both scans are combined before the shuffle, and a value shared
+    by a third of all rows is one row. A bracket of more than ``most`` ranks is narrowed first, by a
+    sketch of its own inside.
+
+    Returns ``<measure>_median`` per group, NULLs ignored; values have to be finite. ``also`` are
+    further named aggregates, taken in the first scan.
     """
     keys = list(keys)
     narrow = df.select(*keys, *[F.col(m).cast("double").alias(m) for m in measures])
-    ranges = by_size(
-        df.groupBy(*keys).agg(
-            *[
-                F.struct(
-                    F.min(F.col(m).cast("double")).alias("lo"),
-                    F.max(F.col(m).cast("double")).alias("hi"),
-                ).alias(f"_r_{m}")
-                for m in measures
-            ],
-            F.count("*").alias("_rows"),
-            *also,
-        )
-    )
-    internal = [f"_r_{m}" for m in measures]
-    kept = [c for c in ranges.columns if c not in (*keys, *internal, "_rows")]
-    if buckets is None:
-        largest = ranges.agg(F.max("_rows")).first()[0] or 0
-        buckets = min(max(math.isqrt(largest), 64), 4096)
-
-    def bucket(m: str) -> Column:
-        lo, hi = F.col(f"_r_{m}.lo"), F.col(f"_r_{m}.hi")
-        scaled = F.floor((F.col(m) - lo) / (hi - lo) * buckets)
-        return F.when(hi == lo, 0).otherwise(F.least(scaled, F.lit(buckets - 1))).cast("int")
-
-    entries = F.array(
-        *[
-            F.struct(
-                F.lit(i).alias("measure"), bucket(m).alias("bucket"), F.col(m).alias("value")
-            )
-            for i, m in enumerate(measures)
-        ]
-    )
-    group = [*keys, "measure"]
-    placed = join_groups(narrow, ranges.drop(*kept, "_rows"), keys).select(
-        *keys, F.inline(entries)
-    )
-    placed = placed.filter(F.col("value").isNotNull())
-    hist = placed.groupBy(*group, "bucket").agg(F.count("*").alias("n"))
-    # Never more than ``buckets`` rows per window.
-    running, whole = Window.partitionBy(*group).orderBy("bucket"), Window.partitionBy(*group)
-    low_rank, high_rank = F.expr("(total - 1) div 2"), F.expr("total div 2")
+    middle = [0.5 - 2 / SKETCH_PARTS, 0.5 + 2 / SKETCH_PARTS]
 
-    def holds(rank: Column, start: str) -> Column:
-        return (F.col(start) <= rank) & (rank < F.col(start) + F.col("n"))
+    def bracket(m: str) -> Column:
+        value = F.col(m).cast("double")
+        cuts = F.percentile_approx(value, middle, SKETCH_PARTS)
+        n = F.count(value)
+        size = (n * (6 / SKETCH_PARTS)).cast("long")
+        return F.struct(
+            F.get(cuts, 0).alias("lo"), F.get(cuts, 1).alias("hi"), n.alias("n"), size.alias("size")
+        ).alias(f"_b_{m}")
 
-    targets = (
-        hist.withColumns(
-            {
-                "before": F.sum("n").over(running) - F.col("n"),
-                "total": F.sum("n").over(whole),
-            }
-        )
-        .filter(holds(low_rank, "before") | holds(high_rank, "before"))
-        .drop("n")
-    )
-    values = join_groups(placed, by_size(targets), [*group, "bucket"])
-    counted = values.groupBy(*group, "bucket", "value", "before", "total").agg(
-        F.count("*").alias("n")
+    ranges = by_size(df.groupBy(*keys).agg(*[bracket(m) for m in measures], *also))
+    internal = [f"_b_{m}" for m in measures]
+    brackets = ranges.select(*keys, *internal)
+    wide = [F.when(F.col(f"{b}.lo") < F.col(f"{b}.hi"), F.col(f"{b}.size")) for b in internal]
+    largest = F.max(F.greatest(*wide, F.lit(0), F.lit(0)))
+    for _ in range(4):  # each divides a bracket by some fifty
+        if (brackets.agg(largest).first()[0] or 0) <= most:
+            break
+        brackets = settle(_narrowed(narrow, brackets, keys, measures))
+    group = [*keys, "measure"]
+    placed = join_groups(narrow, by_size(brackets), keys).select(*keys, F.inline(_entries(measures, "_b_")))
+    counted = placed.groupBy(*group, "value").agg(F.count("*").alias("n"))
+    totals = F.array(*[F.col(f"{b}.n") for b in internal])
+    counted = join_groups(counted, by_size(brackets.select(*keys, totals.alias("totals"))), keys)
+    inner = Window.partitionBy(*group).orderBy(F.asc_nulls_first("value"))
+    start = counted.select(
+        *group,
+        "value",
+        "n",
+        (F.sum("n").over(inner) - F.col("n")).alias("start"),
+        F.get("totals", F.col("measure")).alias("total"),
     )
-    inner = Window.partitionBy(*group, "bucket").orderBy("value")
-    start = counted.withColumn("start", F.col("before") + F.sum("n").over(inner) - F.col("n"))
+    low_rank, high_rank = F.expr("(total - 1) div 2"), F.expr("total div 2")
+    holds = lambda rank: (F.col("start") <= rank) & (rank < F.col("start") + F.col("n"))
     picked = start.groupBy(*group).agg(
-        (
-            (
-                F.max(F.when(holds(low_rank, "start"), F.col("value")))
-                + F.max(F.when(holds(high_rank, "start"), F.col("value")))
-            )
-            / 2
-        ).alias("median")
+        ((F.max(F.when(holds(low_rank), F.col("value"))) + F.max(F.when(holds(high_rank), F.col("value")))) / 2).alias(
+            "median"
+        )
     )
     medians = picked.groupBy(*keys).agg(
         *[
@@ -230,7 +255,7 @@ def exact_medians(
             for i, m in enumerate(measures)
         ]
     )
-    return join_groups(ranges.drop(*internal, "_rows"), medians, keys, "left")
+    return join_groups(ranges.drop(*internal), medians, keys, "left")
 
 
 def carry_forward(

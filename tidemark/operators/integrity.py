@@ -24,6 +24,7 @@ REQUIRED_ARTIFACTS = {
     "dataset": ("metadata.json",),
     "model": ("checkpoint.pt", "report.json"),
     "acquisition": ("metadata.json", "source.hdf5"),
+    "tensor_subset": ("metadata.json", "receipt", "source"),
 }
 
 

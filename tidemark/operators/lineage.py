@@ -7,7 +7,9 @@ from collections.abc import Sequence
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from tidemark.functions.exprs import canonical, reasons
+from tidemark.functions.exprs import canonical, is_safe_id, reasons
+from tidemark.operators.integrity import artifact_problems, manifest_problems
+from tidemark.plans.configs import STEADY, changed_parameters, config_json, config_key, normalize_configs
 from tidemark.session import settle
 
 # Entity and link types of the evidence graph, and texts and limits of the
@@ -104,6 +106,48 @@ def parent_child_metrics(catalog: DataFrame, metrics: Sequence[str]) -> DataFram
     )
 
 
+# -- verified evidence ------------------------------------------------------------
+
+
+class UnverifiedEvidence(ValueError):
+    """Some run record or artifact is not what its manifest says."""
+
+
+def evidence_problems(records: DataFrame, manifests: DataFrame, listed: DataFrame, actual: DataFrame) -> DataFrame:
+    """``(run_id, path, problem)``: everything that keeps a run from being evidence.
+
+    ``manifests``: ``run_id, valid`` for each run; ``listed`` and ``actual``: ``run_id, path,
+    sha256`` of artifacts, the record's own among them. Every record needs a valid manifest with
+    which all its stored artifacts agree, and every manifest a record with its run's id.
+    """
+    run = records.select(F.col("id").alias("run_id"))
+    usable = manifests.filter(F.col("valid")).select("run_id")
+    about = lambda df: df.join(usable, "run_id", "left_semi")
+    alone = lambda df, text: df.select(
+        "run_id", F.lit(None).cast("string").alias("path"), F.lit(text).alias("problem")
+    )
+    return (
+        artifact_problems(about(listed), about(actual))
+        .unionByName(manifest_problems(manifests))
+        .unionByName(alone(run.join(manifests, "run_id", "left_anti"), "no manifest"))
+        .unionByName(alone(manifests.join(run, "run_id", "left_anti"), "no record"))
+        .unionByName(alone(run.filter(~is_safe_id("run_id")), "unsafe id"))
+    )
+
+
+def verified_records(records: DataFrame, problems: DataFrame, strict: bool = False) -> DataFrame:
+    """The records that graph and proposals may start from: those without a problem.
+
+    ``strict`` refuses all evidence as soon as any of it has a problem.
+    """
+    if strict:
+        first = problems.select("run_id", "problem").first()
+        if first is not None:
+            raise UnverifiedEvidence(f"Evidence failed verification: {first['run_id']}: {first['problem']}")
+    bad = problems.select(F.col("run_id").alias("id")).distinct()
+    return records.join(bad, "id", "left_anti")
+
+
 # -- evidence graph ---------------------------------------------------------------
 
 
@@ -368,6 +412,49 @@ def refine(runs: DataFrame) -> DataFrame:
     )
 
 
+def refine_configs(runs: DataFrame) -> DataFrame:
+    """Refined, normalised configurations of runs with a normalised ``config``.
+
+    Adds ``candidate`` and ``candidate_json``, its identity ``config_key``, the reasons for which it
+    is ``invalid`` (comma-separated, else null), ``changes`` (JSON text ``{key: {before, after}}``),
+    ``cost`` in steps and ``rationale``. An invalid candidate has neither key nor changes.
+    """
+    c = F.col("config")
+    steady = c["equation"] == STEADY
+    raw = c.withField(
+        "grid_size", F.when(steady, 2 * (c["grid_size"] - 1) + 1).otherwise(c["grid_size"])
+    )
+    for name, value in (("dt", c["dt"] / 2), ("steps", c["steps"] * 2), ("save_every", c["save_every"] * 2)):
+        raw = raw.withField(name, F.when(~steady, value))
+    as_map = lambda struct: F.from_json(F.to_json(struct), "map<string,string>")
+    staged = runs.withColumn("before_config", c).withColumn("_raw", as_map(raw)).drop("config")
+    # Settled: every column below would repeat the whole normalisation.
+    staged = settle(normalize_configs(staged, "_raw").drop("_raw", "output_bytes"))
+    changed = changed_parameters(as_map(F.col("before_config")), as_map(F.col("config")))
+    number = r"^-?[0-9.]+([eE][+-]?[0-9]+)?$"
+    token = lambda v: F.when(v.rlike(number), v).otherwise(
+        F.coalesce(F.concat(F.lit('"'), v, F.lit('"')), F.lit("null"))
+    )
+    entry = lambda e: F.concat(
+        F.lit('"'), e["key"], F.lit('":{"before":'), token(e["value"]["before"]),
+        F.lit(',"after":'), token(e["value"]["after"]), F.lit("}"),
+    )
+    listed = F.array_join(F.array_sort(F.transform(F.map_entries(changed), entry)), ",")
+    is_steady = F.col("before_config")["equation"] == STEADY
+    valid = F.size("reasons") == 0
+    return staged.select(
+        *[F.col(f"`{name}`") for name in runs.columns if name != "config"],
+        F.col("before_config").alias("config"),
+        F.col("config").alias("candidate"),
+        F.when(valid, config_json("config")).alias("candidate_json"),
+        F.when(valid, config_key("config")).alias("config_key"),
+        F.when(~valid, F.array_join("reasons", ",")).alias("invalid"),
+        F.when(valid, F.concat(F.lit("{"), listed, F.lit("}"))).alias("changes"),
+        F.when(is_steady, 1).otherwise(F.col("before_config")["steps"] * 2).cast("long").alias("cost"),
+        F.when(is_steady, RATIONALE_STEADY).otherwise(RATIONALE_UNSTEADY).alias("rationale"),
+    )
+
+
 def already_refined(candidates: DataFrame, catalog: DataFrame, key: str = "config_key") -> DataFrame:
     """Adds ``has_child``: a run with the same configuration and this parent exists."""
     children = (
@@ -475,7 +562,8 @@ def _skipped(keyed: DataFrame, picked: list, max_runs: int, budget: int) -> Data
 def proposal_entities(proposals: DataFrame) -> DataFrame:
     """Hypothesis and proposal entities for chosen refinements, ready to register.
 
-    ``proposals``: ``id`` (the parent run), ``rationale, cost, changes`` (JSON text).
+    ``proposals``: ``id`` (the parent run), ``rationale, cost`` and, as JSON text, the refined
+    ``config`` and its ``changes``.
     """
     cite = F.struct(F.lit("cites").alias("type"), F.col("id").alias("target"))
     hypothesis = canonical(
@@ -497,11 +585,12 @@ def proposal_entities(proposals: DataFrame) -> DataFrame:
         F.struct(F.lit("tests").alias("type"), F.col("hypothesis_id").alias("target")),
     )
     prop = check_entities(
-        hyp.select("parent_id", "rationale", "cost", "changes", F.col("id").alias("hypothesis_id"))
+        hyp.select("parent_id", "rationale", "cost", "config", "changes", F.col("id").alias("hypothesis_id"))
         .withColumn(
             "properties",
             canonical(
                 parent_id="parent_id",
+                config="config",
                 rationale="rationale",
                 changed_parameters="changes",
                 estimated_steps="cost",
@@ -517,7 +606,11 @@ def proposal_entities(proposals: DataFrame) -> DataFrame:
 
 
 def finding_entities(outcomes: DataFrame) -> DataFrame:
-    """Findings for executed refinements: ``id, status, proposal_id, hypothesis_id``."""
+    """Findings for executed refinements: ``id, status, proposal_id, hypothesis_id``.
+
+    ``metrics_json`` and ``error`` of the outcome are kept where it has them.
+    """
+    have = lambda c: F.col(c) if c in outcomes.columns else F.lit(None).cast("string")
     return check_entities(
         outcomes.select(
             F.lit("Finding").alias("type"),
@@ -526,6 +619,8 @@ def finding_entities(outcomes: DataFrame) -> DataFrame:
                     F.lit("Refinement "), "id", F.lit(" ended as "), "status"
                 ),
                 interpretation=F.lit(FINDING_NOTE),
+                metrics=have("metrics_json"),
+                error=have("error"),
                 proposal_id="proposal_id",
             ).alias("properties"),
             F.array(

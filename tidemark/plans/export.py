@@ -2,13 +2,14 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from tidemark.functions.exprs import canonical
 from tidemark.functions.skew import by_size
 from tidemark.operators import datasets, integrity
 from tidemark.session import settle
+from tidemark.sources import files
 
 MANIFEST_ROW = "path string, sha256 string"
 
@@ -115,13 +116,12 @@ def write_dataset(tables: dict[str, DataFrame], seed: int, path: str) -> None:
 
 
 def bundle_files(spark: SparkSession, path: str) -> DataFrame:
-    """Digest of every data file of a bundle; bytes are read and hashed where they are."""
-    files = spark.read.format("binaryFile").option("recursiveFileLookup", "true").load(path)
+    """Digest of every data file of a bundle; bytes are read and hashed in chunks where they are."""
     root = path.rstrip("/").rsplit("/", 1)[-1]
     inner = F.substring_index("path", f"/{root}/", -1)
-    return files.select(inner.alias("path"), F.sha2("content", 256).alias("sha256")).filter(
-        ~F.col("path").startswith("manifest/") & ~F.col("path").rlike(r"(^|/)[_.]")
-    )
+    named = files.list_files(spark, path).withColumn("_inner", inner)
+    named = named.filter(~F.col("_inner").startswith("manifest/") & ~F.col("_inner").rlike(r"(^|/)[_.]"))
+    return files.file_digests(named).select(F.col("_inner").alias("path"), "sha256")
 
 
 def write_manifest(spark: SparkSession, path: str) -> None:
@@ -132,7 +132,7 @@ def write_manifest(spark: SparkSession, path: str) -> None:
 MAX_SAMPLES = 64
 
 # Bundles that hold their required artifacts and nothing else.
-EXACT_KINDS = ("acquisition",)
+EXACT_KINDS = ("acquisition", "tensor_subset")
 
 
 def verify_bundle(spark: SparkSession, path: str, kind: str) -> DataFrame:
@@ -182,6 +182,7 @@ def acquire_tensor(
     if not 3 <= samples <= max_samples or time_stop < 2:
         raise ValueError(f"samples must be in [3, {max_samples}] and time_stop at least 2")
     rows = datasets.seeded_sample(frames.select("sample").distinct(), "sample", samples, sample_seed)
-    picked = sorted(r["sample"] for r in rows.collect())  # ``samples`` ids
-    chosen = datasets.select_tensor(frames, samples=picked, time_stop=time_stop)
+    place = F.row_number().over(Window.orderBy("sample"))  # over ``samples`` rows
+    drawn = by_size(rows.withColumn("ordinal", (place - 1).cast("long")))
+    chosen = datasets.select_tensor(frames, time_stop=time_stop).drop("ordinal").join(drawn, "sample")
     return chosen.withColumns({k: F.lit(v) for k, v in sorted(provenance.items())})

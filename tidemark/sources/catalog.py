@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import json
 import uuid
 from collections.abc import Mapping, Sequence
 from functools import reduce
@@ -16,7 +17,8 @@ from pyspark.sql import types as T
 from tidemark import schemas
 from tidemark.functions.exprs import SAFE_ID, is_safe_id
 from tidemark.functions.skew import by_size
-from tidemark.session import settle
+from tidemark.session import settle, widen
+from tidemark.sources import files
 
 # Page limits and SQL nodes that a read-only query may contain.
 MAX_LISTED_RUNS = 200
@@ -107,39 +109,64 @@ def union_catalogs(base: DataFrame, *others: DataFrame) -> DataFrame:
     return out
 
 
+INTEGERS = {"tinyint": 1, "smallint": 2, "int": 4, "bigint": 8}
+NUMBERS = {*INTEGERS, "float", "double"}
+
+
+def _common_type(kinds: set[str]) -> str:
+    """The narrowest type that holds all of ``kinds``: integer, double or text."""
+    if kinds <= set(INTEGERS):
+        return max(kinds, key=INTEGERS.__getitem__)
+    return "double" if kinds <= NUMBERS else "string"
+
+
+def catalog_file_schemas(spark: SparkSession, path: str) -> DataFrame:
+    """``(path, schema, error)`` of every Parquet file below ``path``, footers read in tasks."""
+    names = F.col("path").endswith(".parquet")  # hidden files are not listed
+    return files.footer_schemas(widen(files.list_files(spark, path).filter(names)))
+
+
 def _read_widened(spark: SparkSession, path: str) -> DataFrame:
     """All files below ``path``, columns united by name and widened where files differ.
 
-    Files that only add columns are one scan. Where a column has other types in other folders,
-    the folders of each schema are one scan and the column is cast to a type that holds all:
-    a number stays a number, anything else becomes text.
+    Files that only add columns are one scan. Where a column has other types in other files, the
+    footer of every file is read in tasks and reduced to the distinct schemas. The files of each
+    schema, in whatever folders, are one scan, and the column is cast to a type that holds all: an
+    integer to the widest integer, any numbers to double, anything else to text (values that are
+    not scalars as JSON). A file whose footer cannot be read is an error.
     """
     try:
         return spark.read.option("mergeSchema", "true").parquet(path)
     except Exception as error:
         if "CANNOT_MERGE" not in str(error):
             raise
-    files = spark.read.format("binaryFile").option("recursiveFileLookup", "true").load(path)
-    named = files.filter(F.col("path").endswith(".parquet")).select(
-        F.regexp_extract("path", "^(.*)/[^/]*$", 1).alias("folder")
-    )
-    by_schema: dict[str, list[str]] = {}
-    scans: dict[str, T.StructType] = {}
-    reader = spark.read.option("basePath", path)
-    for row in named.distinct().orderBy("folder").collect():  # a folder for each publication
-        schema = reader.parquet(row["folder"]).schema
-        by_schema.setdefault(schema.json(), []).append(row["folder"])
-        scans[schema.json()] = schema
+    found = settle(catalog_file_schemas(spark, path))
+    bad = found.filter(F.col("schema").isNull()).select("path", "error").first()
+    if bad is not None:
+        raise ValueError(f"No Parquet footer in {bad['path']}: {bad['error']}")
+    texts = [r[0] for r in found.select("schema").distinct().orderBy("schema").collect()]
+    scans = {text: T.StructType.fromJson(json.loads(text)) for text in texts}
     kinds: dict[str, set[str]] = {}
     for schema in scans.values():
         for field in schema.fields:
             kinds.setdefault(field.name, set()).add(field.dataType.simpleString())
-    numbers = {"tinyint", "smallint", "int", "bigint", "float", "double"}
-    wide = {c: "double" if k <= numbers else "string" for c, k in kinds.items() if len(k) > 1}
+    wide = {c: _common_type(k) for c, k in kinds.items() if len(k) > 1}
+
+    def widened(field: T.StructField) -> Column:
+        value = F.col(f"`{field.name}`")
+        if field.name not in wide:
+            return value
+        if isinstance(field.dataType, (T.StructType, T.ArrayType, T.MapType)):
+            return F.to_json(value).alias(field.name)
+        return value.cast(wide[field.name]).alias(field.name)
+
     parts = []
-    for text, folders in by_schema.items():
-        part = spark.read.option("basePath", path).schema(scans[text]).parquet(*folders)
-        parts.append(part.withColumns({c: F.col(f"`{c}`").cast(k) for c, k in wide.items() if c in part.columns}))
+    for text, schema in scans.items():
+        # Spark's own file index of a scan is a list of names, too
+        names = [r[0] for r in found.filter(F.col("schema") == text).select("path").collect()]
+        part = spark.read.option("basePath", path).schema(schema).parquet(*names)
+        folders = [F.col(f"`{c}`") for c in part.columns if c not in schema.names]
+        parts.append(part.select(*map(widened, schema.fields), *folders))
     return reduce(lambda a, b: a.unionByName(b, allowMissingColumns=True), parts)
 
 
@@ -168,13 +195,33 @@ def run_of_path(depth: int = 1) -> Column:
     return F.element_at(F.split(F.col("_metadata.file_path"), "/"), -1 - depth)
 
 
-def scan_records(spark: SparkSession, root: str) -> DataFrame:
-    """Run documents of all committed runs; staging directories fail the id pattern."""
+def _record_files(spark: SparkSession, root: str) -> DataFrame | None:
+    """Every run document with the name of its folder; one that is no JSON object has nulls."""
     path = f"{root}/experiments/*/record.json"
     if not path_exists(spark, path):
-        return spark.createDataFrame([], schemas.RECORD)
+        return None
     rows = spark.read.schema(schemas.RECORD).option("multiLine", "true").json(path)
-    return rows.where(run_of_path().rlike(SAFE_ID))
+    return rows.withColumn("_run", run_of_path()).where(F.col("_run").rlike(SAFE_ID))
+
+
+def scan_records(spark: SparkSession, root: str) -> DataFrame:
+    """Run documents of all committed runs; staging directories fail the id pattern.
+
+    Documents that :func:`record_problems` reports are left out.
+    """
+    rows = _record_files(spark, root)
+    if rows is None:
+        return spark.createDataFrame([], schemas.RECORD)
+    return rows.where(F.col("id") == F.col("_run")).drop("_run")
+
+
+def record_problems(spark: SparkSession, root: str) -> DataFrame:
+    """``(run_id, problem)`` of run documents without an id or with that of another run."""
+    rows = _record_files(spark, root)
+    if rows is None:
+        return spark.createDataFrame([], "run_id string, problem string")
+    problem = F.when(F.col("id").isNull(), "malformed record").when(F.col("id") != F.col("_run"), "id of another run")
+    return rows.select(F.col("_run").alias("run_id"), problem.alias("problem")).filter(F.col("problem").isNotNull())
 
 
 def scan_manifests(spark: SparkSession, root: str) -> DataFrame:
@@ -206,25 +253,36 @@ def manifest_rows(manifests: DataFrame) -> DataFrame:
     )
 
 
+def list_artifacts(spark: SparkSession, root: str) -> DataFrame:
+    """``(run_id, path, length, file)`` of the files of committed runs; only metadata is read."""
+    inside = r"/experiments/([^/]+)/(.+)$"
+    listed = files.list_files(spark, f"{root}/experiments")
+    out = listed.select(
+        F.regexp_extract("path", inside, 1).alias("run_id"),
+        F.regexp_extract("path", inside, 2).alias("path"),
+        "length",
+        F.col("path").alias("file"),
+    )
+    return out.where(is_safe_id("run_id") & (F.col("path") != "manifest.json"))
+
+
+def artifact_digests(listed: DataFrame) -> DataFrame:
+    """``(run_id, path, length, sha256, error)`` of listed artifacts.
+
+    Bytes are hashed in chunks where a task reads them, whatever a file's size. An artifact that
+    cannot be read has a null digest, which artifact checks report as ``unreadable``.
+    """
+    named = listed.select("run_id", F.col("path").alias("inner"), "length", F.col("file").alias("path"))
+    return files.file_digests(named).select("run_id", F.col("inner").alias("path"), "length", "sha256", "error")
+
+
 def scan_artifacts(spark: SparkSession, root: str, content: bool = True) -> DataFrame:
     """Files of committed runs with size and, if asked, the digest of their bytes.
 
     Without ``content`` only file metadata is read.
     """
-    files = (
-        spark.read.format("binaryFile")
-        .option("recursiveFileLookup", "true")
-        .load(f"{root}/experiments")
-    )
-    split = F.regexp_extract("path", r"/experiments/([^/]+)/(.+)$", 1)
-    inner = F.regexp_extract("path", r"/experiments/([^/]+)/(.+)$", 2)
-    out = files.select(
-        split.alias("run_id"),
-        inner.alias("path"),
-        "length",
-        *([F.sha2("content", 256).alias("sha256")] if content else []),
-    )
-    return out.where(is_safe_id("run_id") & (F.col("path") != "manifest.json"))
+    listed = list_artifacts(spark, root)
+    return artifact_digests(listed).drop("error") if content else listed.drop("file")
 
 
 def read_json(spark: SparkSession, path: str, schema: T.StructType | str) -> DataFrame:
@@ -599,3 +657,8 @@ def published_frames(spark: SparkSession, root: str) -> DataFrame:
 def write_report(report: DataFrame, path: str) -> None:
     """Write a report as JSON, refusing to replace one."""
     report.write.mode("errorifexists").json(path)
+
+
+def read_report(spark: SparkSession, path: str, schema: T.StructType | str) -> DataFrame:
+    """The rows of a report, one JSON document a line; a damaged line is an error."""
+    return spark.read.schema(schema).option("mode", "FAILFAST").json(path)

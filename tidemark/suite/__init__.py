@@ -12,7 +12,7 @@ Query = Callable[[SparkSession, str], DataFrame]
 QUERIES: dict[str, Query] = {}
 ORACLES: dict[str, str] = {}
 
-MODULES = ("runs", "configs", "fields", "integrity", "datasets", "evaluation", "lineage", "studies", "jobs", "streams")
+MODULES = ("runs", "lake", "configs", "fields", "integrity", "datasets", "evaluation", "lineage", "studies", "jobs", "streams")
 
 
 def query(name: str, sql: str | None = None) -> Callable[[Query], Query]:
