@@ -85,13 +85,32 @@ def test_exact_medians(spark):
     }
     rows = [(g, v) for g, vs in groups.items() for v in vs] + [("even", None)]
     df = spark.createDataFrame(rows, "g string, v double")
-    got = {r["g"]: r["v_median"] for r in ordered.exact_medians(df, ["g"], ["v"], buckets=8).collect()}
+    got = {r["g"]: r["v_median"] for r in ordered.exact_medians(df, ["g"], ["v"]).collect()}
     assert got == {g: statistics.median(vs) for g, vs in groups.items()}
+    # brackets that are too large are narrowed until they are not, or cannot be
+    for most in (0, 3):
+        got = {r["g"]: r["v_median"] for r in ordered.exact_medians(df, ["g"], ["v"], most=most).collect()}
+        assert got == {g: statistics.median(vs) for g, vs in groups.items()}
     more = spark.createDataFrame([(None, 1.0), (None, 3.0), ("x", None)], "g string, v double")
     out = ordered.exact_medians(more, ["g"], ["v"], also=[F.count("*").alias("n")]).collect()
     assert {(r["g"], r["v_median"], r["n"]) for r in out} == {(None, 2.0, 2), ("x", None, 1)}
 
 
+def test_a_far_outlier_leaves_the_bracket_small(spark):
+    values = [float(i % 50_000) for i in range(60_000)] + [1e12, -1e12]
+    df = spark.createDataFrame([(1, v) for v in values], "g int, v double")
+    got = ordered.exact_medians(df, ["g"], ["v"])
+    assert got.first()["v_median"] == statistics.median(values)
+    plan = got._jdf.queryExecution().executedPlan().toString()
+    assert plan.count("Exchange hashpartitioning") <= 4
+    brackets = ordered._entries(["v"], "_b_")
+    middle = [0.5 - 2 / ordered.SKETCH_PARTS, 0.5 + 2 / ordered.SKETCH_PARTS]
+    cut = df.agg(F.percentile_approx("v", middle, ordered.SKETCH_PARTS).alias("c")).first()["c"]
+    held = df.withColumn("_b_v", F.struct(F.lit(cut[0]).alias("lo"), F.lit(cut[1]).alias("hi")))
+    inside = held.select(F.inline(brackets)).filter("value IS NOT NULL").count()
+    assert inside <= 6 * len(values) / ordered.SKETCH_PARTS + 2
+
+
 def test_hashed_rank(spark):
     df = spark.range(2000).withColumn("h", F.sha2(F.col("id").cast("string"), 256))
     got = [(r["h"], r["rank"]) for r in hashed_rank(df, "h").collect()]

@@ -77,3 +77,57 @@ def test_sliding_windows(spark, tmp_path):
     counts = logs.windowed_counts(stream, "t", "2 minutes", "1 hour", "k", slide="1 minute")
     table = streaming.run_to_table(counts, "w", mode="update")
     assert sorted(r["rows"] for r in table.collect()) == [1, 1, 2]
+
+
+def test_a_lease_runs_out_without_an_event(spark, tmp_path):
+    schema = "job_id long, sequence long, kind string, at long, token string, moment timestamp"
+    events, base = str(tmp_path / "events"), str(tmp_path / "out")
+
+    def feed(*rows):
+        df = spark.createDataFrame([(*r, None) for r in rows], schema)
+        df.withColumn("moment", F.timestamp_micros("at")).coalesce(1).write.mode("append").parquet(events)
+        stream = spark.readStream.schema(schema).parquet(events)
+        out = stateful.watched_outcomes(stream, 10_000, "moment")
+        streaming.drain(streaming.write_batches(out, f"{base}/table", f"{base}/checkpoint", partitions=2))
+        table = streaming.read_batches(spark, f"{base}/table").filter("outcome = 'lease_expired'")
+        return sorted((r["job_id"], r["lease_until"], r["claim_count"]) for r in table.collect())
+
+    start = 1_000_000
+    assert feed((1, 1, "submitted", start, None), (1, 2, "claimed", start, "a"), (2, 3, "submitted", start, None)) == []
+    # another job moves the time on: the first lease is over, the renewed one is not
+    assert feed((2, 4, "claimed", start + 9_000, "b"), (2, 5, "renewed", start + 15_000, "b")) == [(1, start + 10_000, 1)]
+    assert feed((3, 6, "submitted", start + 24_000, None)) == [(1, start + 10_000, 1)]
+    # the claim that takes over is counted as an expiry, as without a timer, and has its own lease
+    late = [(1, start + 10_000, 1), (1, start + 36_000, 2), (2, start + 25_000, 1)]
+    assert feed((1, 7, "claimed", start + 26_000, "c"), (3, 8, "submitted", start + 90_000, None)) == late
+    states = stateful.outcome_states(streaming.read_batches(spark, f"{base}/table"))
+    got = {r["job_id"]: (r["status"], r["claim_count"], r["lease_expirations"]) for r in states.collect()}
+    assert got == {1: ("running", 2, 1), 2: ("running", 1, 0), 3: ("queued", 0, 0)}
+
+
+def test_a_batch_reads_no_more_as_the_stream_grows(spark, tmp_path):
+    path, keys = str(tmp_path / "table"), ["k"]
+    write = lambda b, rows: spark.createDataFrame(rows, "k long, v long").write.parquet(f"{path}/batch_id={b}")
+    read = []
+    for b in range(9):
+        write(b, [(b, b), (0, 100 + b)])
+        streaming.compact(spark, path, keys, after=3)
+        table = streaming.latest_table(spark, path, keys)
+        assert {(r["k"], r["v"]) for r in table.collect()} == {(0, 100 + b), *((k, k) for k in range(1, b + 1))}
+        read.append(len({f.rsplit("/", 2)[1] for f in table.inputFiles()}))
+    assert max(read) <= 3  # a snapshot and at most two batches after it
+    # a snapshot that was not completed does not count
+    (tmp_path / "table_snapshots" / "upto=99").mkdir()
+    assert streaming.latest_table(spark, path, keys).count() == 9
+
+
+def test_first_submissions_are_emitted_once(spark, tmp_path):
+    schema = "job_id long, sequence long, at long"
+    path, base = str(tmp_path / "in"), str(tmp_path / "out")
+    for rows in ([(1, 5, 50), (1, 4, 40), (2, 6, 60)], [(1, 7, 70), (3, 9, 90), (3, 8, 80)], [(2, 10, 100)]):
+        _write(spark.createDataFrame(rows, schema), path)
+        stream = spark.readStream.schema(schema).parquet(path)
+        out = stateful.first_submissions(stream)
+        streaming.drain(streaming.write_batches(out, f"{base}/t", f"{base}/c", partitions=2))
+    got = sorted((r["job_id"], r["sequence"]) for r in streaming.read_batches(spark, f"{base}/t").collect())
+    assert got == [(1, 4), (2, 6), (3, 8)]

@@ -105,6 +105,61 @@ def latest(table: DataFrame, keys: Sequence[str]) -> DataFrame:
     return table.groupBy(*keys).agg(newest.alias("_r")).select(*keys, "_r.*")
 
 
+# -- compacted update tables ------------------------------------------------------
+
+# Batches written after a snapshot before another one is due.
+COMPACT_EVERY = 16
+
+
+def _numbers(spark: SparkSession, path: str, name: str) -> list[int]:
+    """Numbers ``n`` of the complete folders ``name=n`` below ``path``, ascending."""
+    jvm = spark._jvm
+    pattern = jvm.org.apache.hadoop.fs.Path(f"{path}/{name}=*/_SUCCESS")
+    found = pattern.getFileSystem(spark._jsc.hadoopConfiguration()).globStatus(pattern) or []
+    return sorted(int(f.getPath().getParent().getName().split("=")[1]) for f in found)
+
+
+def _since(spark: SparkSession, path: str) -> tuple[DataFrame | None, int | None, list[int]]:
+    """The newest snapshot, its last batch, and the batches after it."""
+    snapshots = _numbers(spark, f"{path}_snapshots", "upto")
+    upto = snapshots[-1] if snapshots else None
+    batches = [b for b in _numbers(spark, path, "batch_id") if upto is None or b > upto]
+    snapshot = None if upto is None else spark.read.parquet(f"{path}_snapshots/upto={upto}")
+    return snapshot, upto, batches
+
+
+def latest_table(spark: SparkSession, path: str, keys: Sequence[str]) -> DataFrame:
+    """The newest version of every key of an update-mode table at ``path``.
+
+    Reads the newest snapshot of :func:`compact` and the batches after it, not the whole history.
+    """
+    snapshot, _, batches = _since(spark, path)
+    rows = snapshot
+    if batches:
+        folders = [f"{path}/batch_id={b}" for b in batches]
+        newer = spark.read.option("basePath", path).parquet(*folders)
+        newer = newer.withColumn("batch_id", F.col("batch_id").cast("long"))
+        rows = newer if rows is None else rows.unionByName(newer)
+    if rows is None:
+        raise FileNotFoundError(f"No batch was written to {path}")
+    return latest(rows, keys)
+
+
+def compact(spark: SparkSession, path: str, keys: Sequence[str], *, after: int = COMPACT_EVERY) -> bool:
+    """Write a snapshot of the newest versions once ``after`` batches follow the last one.
+
+    A snapshot is its own folder, named after the last batch in it, and counts from the moment it
+    is complete; batches and earlier snapshots stay for readers that started before. An attempt
+    that was interrupted is repeated under the same name.
+    """
+    _, _, batches = _since(spark, path)
+    if len(batches) < after:
+        return False
+    newest = latest_table(spark, path, keys).withColumn("batch_id", F.lit(batches[-1]).cast("long"))
+    newest.write.mode("overwrite").parquet(f"{path}_snapshots/upto={batches[-1]}")
+    return True
+
+
 def for_each_batch(stream: DataFrame, callback: Callable[[DataFrame, int], None], checkpoint: str) -> StreamingQuery:
     """Call ``callback(rows, batch_id)`` for every micro-batch of saved frames."""
     with state_settings(stream.sparkSession):

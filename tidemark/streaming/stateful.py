@@ -71,6 +71,42 @@ def frame_arrivals(frames: DataFrame) -> DataFrame:
     )
 
 
+SUBMISSIONS = "job_id long, sequence long, at long"
+
+
+class FirstSubmission(StatefulProcessor):
+    """Remembers that a job was submitted; emits its first submission once."""
+
+    def __init__(self, keep_ms: int | None):
+        self.keep_ms = keep_ms
+
+    def init(self, handle: StatefulProcessorHandle) -> None:
+        self.seen = handle.getValueState("seen", "sequence long", self.keep_ms)
+
+    def handleInputRows(self, key, rows, timerValues) -> Iterator[pd.DataFrame]:
+        first = min((row for pdf in rows for row in zip(pdf["at"], pdf["sequence"])), default=None)
+        if first is not None and not self.seen.exists():
+            self.seen.update((int(first[1]),))
+            yield pd.DataFrame({"job_id": [key[0]], "sequence": [first[1]], "at": [first[0]]})
+
+    def close(self) -> None:
+        pass
+
+
+def first_submissions(submitted: DataFrame, keep_ms: int | None = None) -> DataFrame:
+    """The first submission of every job of a stream of ``job_id, sequence, at``.
+
+    A batch looks its own jobs up in the state store, so it reads as much as it brings, however
+    long the stream is. Jobs are remembered for ``keep_ms`` of processing time, or for good.
+    """
+    return submitted.groupBy("job_id").transformWithStateInPandas(
+        statefulProcessor=FirstSubmission(keep_ms),
+        outputStructType=SUBMISSIONS,
+        outputMode="Append",
+        timeMode="None" if keep_ms is None else "ProcessingTime",
+    )
+
+
 class JobLease(StatefulProcessor):
     """Lease and token of one job; emits what became of every event."""
 
@@ -133,6 +169,75 @@ class JobLease(StatefulProcessor):
         pass
 
 
+class LeaseWatch(JobLease):
+    """A job's lease with a timer, so that one that nobody touches again is reported, too."""
+
+    def __init__(self, lease: int, per_ms: int):
+        super().__init__(lease)
+        self.per_ms = per_ms
+
+    def init(self, handle: StatefulProcessorHandle) -> None:
+        super().init(handle)
+        self.handle = handle
+
+    def _due(self) -> int | None:
+        """Milliseconds at which the current lease is over."""
+        if not self.job.exists():
+            return None
+        status, _, until, _ = self.job.get()
+        return -(-int(until) // self.per_ms) if status == "running" and until is not None else None
+
+    def handleInputRows(self, key, rows, timerValues) -> Iterator[pd.DataFrame]:
+        before = self._due()
+        yield from super().handleInputRows(key, rows, timerValues)
+        due = self._due()
+        if due != before:
+            if before is not None:
+                self.handle.deleteTimer(before)
+            if due is not None:
+                self.handle.registerTimer(due)
+
+    def handleExpiredTimer(self, key, timerValues, expiredTimerInfo) -> Iterator[pd.DataFrame]:
+        due = self._due()
+        if due is None or due > expiredTimerInfo.getExpiryTimeInMs():
+            return  # the lease was given back or renewed
+        status, _, until, claims = self.job.get()
+        row = pd.DataFrame(
+            {
+                "job_id": [key[0]],
+                "sequence": pd.array([None], dtype="Int64"),
+                "kind": ["expired"],
+                "outcome": ["lease_expired"],
+                "status": [status],
+                "claim_count": [claims],
+                "lease_until": pd.array([until], dtype="Int64"),
+                "lease_expired": [False],
+            }
+        )
+        yield row
+
+
+def watched_outcomes(events: DataFrame, lease: int, moment: str, *, delay: str = "0 seconds", per_ms: int = 1000) -> DataFrame:
+    """Outcomes as :func:`job_outcomes` gives them, and a row for every lease that ran out.
+
+    ``moment`` is the timestamp of an event; once the stream's time, ``delay`` behind the latest,
+    has passed the end of a running job's lease, a row of kind ``expired`` with outcome
+    ``lease_expired`` and no sequence number follows, without any further event of that job. The job
+    stays running until the next claim takes it over, which is counted as before. Events later
+    than ``delay`` are dropped by Spark. ``per_ms`` is the number of units of ``lease`` in a millisecond.
+    """
+    return (
+        events.withWatermark(moment, delay)
+        .groupBy("job_id")
+        .transformWithStateInPandas(
+            statefulProcessor=LeaseWatch(lease, per_ms),
+            outputStructType=OUTCOMES,
+            outputMode="Append",
+            timeMode="EventTime",
+        )
+    )
+
+
 def job_outcomes(events: DataFrame, lease: int) -> DataFrame:
     """Outcome of every queue event: accepted, duplicate, refused or lost_claim.
 

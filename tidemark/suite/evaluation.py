@@ -3,7 +3,9 @@
 from __future__ import annotations
 
 from pyspark.sql import functions as F
+from pyspark.sql.utils import AnalysisException
 
+from tidemark import streaming
 from tidemark.functions.exprs import total
 from tidemark.operators import evaluate
 from tidemark.sources import driver_tables as dt
@@ -63,6 +65,31 @@ def evaluation_per_time(spark, sf_dir):
     return rounded(decay(spark, sf_dir)["per_time"], 9, "rmse")
 
 
+@query(
+    "stored_predictions",
+    dt.with_views("frames")
+    + EVAL_SQL
+    + """ SELECT kind, run_id, count(*) AS frames, round(sum(list_sum(p)), 6) AS total, true AS refused FROM predicted
+WHERE kind LIKE 'persistence%' GROUP BY kind, run_id""",
+)
+def stored_predictions(spark, sf_dir):
+    """Baseline predictions written once as arrays by kind, refused a second time, and read back."""
+    path = streaming.scratch(spark, "predictions")
+    frames = dt.frames(spark, sf_dir)
+    both = evaluate.persistence_one_step(frames).unionByName(evaluate.persistence_rollout(frames))
+    evaluate.write_predictions(both, path)
+    try:
+        evaluate.write_predictions(both.limit(1), path)
+        refused = False
+    except AnalysisException:
+        refused = True
+    stored = spark.read.parquet(path)
+    sums = F.round(F.sum(total(F.col("values").cast("array<double>"))), 6)
+    return stored.groupBy("kind", "run_id").agg(
+        F.count("*").alias("frames"), sums.alias("total"), F.lit(refused).alias("refused")
+    )
+
+
 DRIFT_SQL = """, drifts AS (SELECT run_id, frame, 'one_step_mean_change' AS quantity, pm - bm AS d FROM scored WHERE kind = 'one_step'
   UNION ALL SELECT run_id, frame, 'rollout_mean_drift', pm - fm FROM scored WHERE kind = 'rollout'
   UNION ALL SELECT run_id, frame, 'reference_mean_drift', rm - fm FROM scored WHERE kind = 'rollout')"""

@@ -44,9 +44,26 @@ def squares(spark, sf_dir):
     return two.filter(F.col("vorticity").isNotNull()).withColumn("nx", F.lit(8))
 
 
-@query("navier_stokes_frame_diagnostics")
+# On a real grid of even size, the derivative of the interpolating Fourier sum is a circular
+# convolution with alternating halves of cotangents.
+@query(
+    "navier_stokes_frame_diagnostics",
+    dt.with_views("frames")
+    + """, flow AS (SELECT run_id, frame, time, vals AS u, lead(vals, 1) OVER w AS v, lead(vals, 2) OVER w AS o
+  FROM frames WINDOW w AS (PARTITION BY run_id ORDER BY frame)),
+kernel AS (SELECT list(CASE WHEN m = 0 THEN 0 ELSE (CASE WHEN m % 2 = 0 THEN 0.5 ELSE -0.5 END) / tan(m * pi() / 8) END ORDER BY m) AS c
+  FROM range(8) t(m))
+SELECT run_id, frame, time, round(list_sum(o) / 64, 9) AS mean_vorticity, round(list_sum(o) / 64 * 2 * pi() * 2 * pi(), 9) AS circulation,
+  round(0.5 * (list_sum(list_transform(u, lambda x: x * x)) + list_sum(list_transform(v, lambda x: x * x))) / 64, 9) AS energy,
+  round(0.5 * list_sum(list_transform(o, lambda x: x * x)) / 64, 9) AS enstrophy,
+  round(list_max(list_transform(range(64), lambda i: abs(list_sum(list_transform(range(8), lambda k:
+    c[(i % 8 - k + 8) % 8 + 1] * u[i // 8 * 8 + k + 1] + c[(i // 8 - k + 8) % 8 + 1] * v[k * 8 + i % 8 + 1]))))), 9) AS max_abs_divergence
+FROM flow, kernel WHERE o IS NOT NULL""",
+)
 def navier_stokes_frame_diagnostics(spark, sf_dir):
-    return fields.navier_stokes_diagnostics(squares(spark, sf_dir), F.lit(2 * math.pi))
+    out = fields.navier_stokes_diagnostics(squares(spark, sf_dir), F.lit(2 * math.pi))
+    measures = ("mean_vorticity", "circulation", "energy", "enstrophy", "max_abs_divergence")
+    return out.select("run_id", "frame", "time", *[F.round(c, 9).alias(c) for c in measures])
 
 
 @query(

@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from tidemark import streaming
+from tidemark.functions import exprs
 from tidemark.operators import fields, studies
 from tidemark.sources import driver_tables as dt
 from tidemark.sources import mirror
@@ -41,6 +42,24 @@ def stream_job_states(spark, sf_dir):
     return stateful.outcome_states(streaming.read_batches(spark, f"{base}/table"))
 
 
+@query(
+    "stream_lease_expirations",
+    dt.with_views("job_events", recursive=True)
+    + job_suite.JOB_SQL
+    + """ SELECT job_id, lease_until, claim_count, status FROM states
+WHERE status = 'running' AND lease_until <= (SELECT max(moment) FROM job_events)""",
+)
+def stream_lease_expirations(spark, sf_dir):
+    """Leases that ran out although their job has no further event."""
+    events = job_suite.job_events(spark, sf_dir)
+    path = streaming.scratch(spark, "job-events")
+    rows = events.withColumn("moment", F.timestamp_micros("at"))
+    rows.repartition("job_id").write.parquet(path)
+    stream = spark.readStream.schema(rows.schema).parquet(path)
+    out = streaming.run_to_table(stateful.watched_outcomes(stream, job_suite.LEASE, "moment"), "leases")
+    return out.filter(F.col("outcome") == "lease_expired").select("job_id", "lease_until", "claim_count", "status")
+
+
 @query(
     "stream_frame_arrivals",
     """WITH f AS (SELECT vec_id // 25 AS run_id, vec_id, 20 + (vec_id // 25) % 8 AS expected FROM embeddings),
@@ -109,6 +128,25 @@ def stream_submissions(spark, sf_dir):
     return streaming.read_batches(spark, table).select("job_id", "sequence")
 
 
+@query(
+    "stream_first_submissions",
+    """SELECT user_id AS job_id, min(event_id) AS sequence FROM events WHERE event_type = 'signup' GROUP BY user_id""",
+)
+def stream_first_submissions(spark, sf_dir):
+    """First submissions over several batches, each of which looks only at its own jobs."""
+    submitted = dt.job_events(spark, sf_dir).filter("kind = 'submitted'").select("job_id", "sequence", "at")
+    path, base = streaming.scratch(spark, "submitted"), streaming.scratch(spark, "first-submissions")
+    top = dt.table(spark, sf_dir, "events").agg(F.max("event_id")).first()[0]
+    for i in range(SLICES):
+        low, high = top * i // SLICES, top * (i + 1) // SLICES
+        lower = F.col("sequence") > low if i else F.lit(True)
+        submitted.filter(lower & (F.col("sequence") <= high)).write.mode("append").parquet(path)
+        stream = spark.readStream.schema(submitted.schema).parquet(path)
+        found = stateful.first_submissions(stream)
+        streaming.drain(streaming.write_batches(found, f"{base}/table", f"{base}/checkpoint"))
+    return streaming.read_batches(spark, f"{base}/table").select("job_id", "sequence")
+
+
 @query(
     "stream_distinct_submissions",
     """SELECT DISTINCT user_id AS job_id FROM events WHERE event_type = 'signup'""",
@@ -169,6 +207,54 @@ def stream_sample_peaks(spark, sf_dir):
     return studies.sample_peaks(logs.follow_samples(stream))
 
 
+@query(
+    "stream_compacted_samples",
+    dt.with_views("samples")
+    + SAMPLE_SQL
+    + """ SELECT trial_id, sample, CAST(aggregate_rss AS BIGINT) AS aggregate_rss, children, errors FROM per""",
+)
+def stream_compacted_samples(spark, sf_dir):
+    """Running sample memory over several batches, read from a snapshot and what follows it."""
+    samples = dt.samples_of(dt.table(spark, sf_dir, "events")).withColumn("_slice", F.col("process_id") % SLICES)
+    path, base = streaming.scratch(spark, "samples"), streaming.scratch(spark, "sample-table")
+    keys = ["trial_id", "sample"]
+    for i in range(SLICES):
+        samples.filter(F.col("_slice") == i).drop("_slice").write.mode("append").parquet(path)
+        stream = spark.readStream.schema(samples.drop("_slice").schema).parquet(path)
+        table = studies.sample_aggregates(stream)
+        streaming.drain(streaming.write_batches(table, f"{base}/table", f"{base}/checkpoint", mode="update"))
+        streaming.compact(spark, f"{base}/table", keys, after=2)
+    out = streaming.latest_table(spark, f"{base}/table", keys)
+    return out.select(
+        *keys,
+        F.col("aggregate_rss").cast("long").alias("aggregate_rss"),
+        F.col("children").cast("long").alias("children"),
+        F.col("errors").cast("long").alias("errors"),
+    )
+
+
+@query(
+    "stream_batch_callbacks",
+    dt.with_views("frames")
+    + """ SELECT run_id, count(*) AS frames, round(sum(list_sum(vals)), 6) AS total FROM frames GROUP BY run_id""",
+)
+def stream_batch_callbacks(spark, sf_dir):
+    """A callback for every micro-batch of saved frames that keeps sums for each run."""
+    source = dt.frames(spark, sf_dir)
+    path, base = streaming.scratch(spark, "saved-frames"), streaming.scratch(spark, "callbacks")
+    for half in (0, 1):
+        source.filter(F.col("frame") % 2 == half).write.mode("append").parquet(path)
+
+        def keep(rows, batch_id):
+            sums = rows.groupBy("run_id").agg(F.count("*").alias("frames"), F.sum(exprs.total("values")).alias("total"))
+            sums.write.mode("overwrite").parquet(f"{base}/sums/batch_id={batch_id}")
+
+        stream = spark.readStream.schema(source.schema).parquet(path)
+        streaming.drain(streaming.for_each_batch(stream, keep, f"{base}/checkpoint"))
+    sums = streaming.read_batches(spark, f"{base}/sums")
+    return sums.groupBy("run_id").agg(F.sum("frames").alias("frames"), F.round(F.sum("total"), 6).alias("total"))
+
+
 @query(
     "stream_window_counts",
     """SELECT event_type, CAST(epoch(date_trunc('hour', ts)) AS BIGINT) AS window_start, count(*) AS rows FROM events GROUP BY 1, 2""",
