@@ -249,13 +249,16 @@ def exact_medians(
             "median"
         )
     )
-    medians = picked.groupBy(*keys).agg(
+    # Every group has one row of plain aggregates, which brings in groups without any value.
+    kept = [c for c in ranges.columns if c not in (*keys, *internal)]
+    rows = picked.unionByName(ranges.drop(*internal), allowMissingColumns=True)
+    return rows.groupBy(*keys).agg(
+        *[F.first(c, ignorenulls=True).alias(c) for c in kept],
         *[
             F.max(F.when(F.col("measure") == i, F.col("median"))).alias(f"{m}_median")
             for i, m in enumerate(measures)
-        ]
+        ],
     )
-    return join_groups(ranges.drop(*internal), medians, keys, "left")
 
 
 def carry_forward(

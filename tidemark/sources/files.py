@@ -17,6 +17,8 @@ from pyspark.sql import types as T
 
 # Bytes of a file that a task holds while it is hashed.
 CHUNK_BYTES = 8 << 20
+# Tasks that list the folders of a path, at most.
+TASKS = 10_000
 SPARK_SCHEMA = b"org.apache.spark.sql.parquet.row.metadata"
 
 
@@ -36,9 +38,41 @@ def filesystem(uri: str):
 
 
 def list_files(spark: SparkSession, path: str) -> DataFrame:
-    """``(path, length)`` of all files below ``path``; only metadata is read."""
-    files = spark.read.format("binaryFile").option("recursiveFileLookup", "true").load(path)
-    return files.select("path", "length")
+    """``(path, length)`` of all files below ``path``, empty ones too; only metadata is read.
+
+    The driver sees the names directly in ``path``; folders are listed in tasks. Names that start
+    with a dot or an underscore are hidden, with all that is below them.
+    """
+    from pyarrow import fs
+
+    path = path.rstrip("/")
+    store, root = filesystem(path)
+    prefix = path.removesuffix(root)
+    tops = store.get_file_info(fs.FileSelector(root))
+    rows = [(x.path, x.size if x.is_file else None) for x in tops if not _hidden(x.base_name)]
+    spread = max(1, min(len(rows), TASKS))
+    named = spark.createDataFrame(rows, "path string, length long").repartition(spread)
+
+    def run(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        store, _ = filesystem(path)
+        for batch in batches:
+            for name, length in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist()):
+                found = [(name, length)]
+                if length is None:
+                    inside = store.get_file_info(fs.FileSelector(name, recursive=True))
+                    found = [(x.path, x.size) for x in inside if x.is_file and not _hidden_below(x.path, name)]
+                columns = [pa.array([prefix + n for n, _ in found], pa.string()), pa.array([k for _, k in found], pa.int64())]
+                yield pa.RecordBatch.from_arrays(columns, names=["path", "length"])
+
+    return named.mapInArrow(run, "path string, length long")
+
+
+def _hidden(name: str) -> bool:
+    return name.startswith((".", "_"))
+
+
+def _hidden_below(path: str, top: str) -> bool:
+    return any(map(_hidden, path[len(top) + 1 :].split("/")))
 
 
 def _reason(error: BaseException) -> str:
@@ -71,7 +105,9 @@ def file_digests(files: DataFrame, chunk_bytes: int = CHUNK_BYTES) -> DataFrame:
             yield pa.RecordBatch.from_arrays(columns, names=[*batch.schema.names, "sha256", "error"])
 
     schema = T.StructType([*files.schema.fields, T.StructField("sha256", T.StringType()), T.StructField("error", T.StringType())])
-    return files.mapInArrow(run, schema)
+    # rows are narrow, but the bytes behind them are not
+    tasks = int(files.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    return files.repartition(tasks, "path").mapInArrow(run, schema)
 
 
 def footer_schemas(files: DataFrame) -> DataFrame:
