@@ -10,7 +10,7 @@ from pyspark.sql import functions as F
 from tidemark.functions.exprs import canonical, is_safe_id, reasons
 from tidemark.operators.integrity import artifact_problems, manifest_problems
 from tidemark.plans.configs import STEADY, changed_parameters, config_json, config_key, normalize_configs
-from tidemark.session import settle
+from tidemark.session import settle, store
 
 # Entity and link types of the evidence graph, and texts and limits of the
 # proposal policy.
@@ -428,8 +428,8 @@ def refine_configs(runs: DataFrame) -> DataFrame:
         raw = raw.withField(name, F.when(~steady, value))
     as_map = lambda struct: F.from_json(F.to_json(struct), "map<string,string>")
     staged = runs.withColumn("before_config", c).withColumn("_raw", as_map(raw)).drop("config")
-    # Settled: every column below would repeat the whole normalisation.
-    staged = settle(normalize_configs(staged, "_raw").drop("_raw", "output_bytes"))
+    # Stored: every column below would repeat the whole normalisation.
+    staged = store(normalize_configs(staged, "_raw").drop("_raw", "output_bytes"))
     changed = changed_parameters(as_map(F.col("before_config")), as_map(F.col("config")))
     number = r"^-?[0-9.]+([eE][+-]?[0-9]+)?$"
     token = lambda v: F.when(v.rlike(number), v).otherwise(
@@ -504,7 +504,7 @@ def select_proposals(
     keyed = candidates.withColumn("_key", F.struct(*priority()))
     usable = keyed.filter(F.col("invalid").isNull() & ~F.col("has_child"))
     nth = F.row_number().over(Window.partitionBy("cost").orderBy("_key"))
-    short = settle(
+    short = store(
         usable.filter(F.col("cost") <= max_total_steps)
         .select("_key", "id", "cost")
         .withColumn("_nth", nth)

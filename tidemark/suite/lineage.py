@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 from tidemark.functions.exprs import canonical
 from tidemark.operators import lineage
 from tidemark.plans import configs
-from tidemark.session import settle, widen
+from tidemark.session import widen
 from tidemark.sources import driver_tables as dt
 from tidemark.suite import query
 
@@ -345,7 +345,7 @@ def configured_runs(spark, sf_dir):
     Every nineteenth steady run has a grid that cannot be refined. Of the earlier refinements half
     have exactly the refined configuration, the others another seed or contrast.
     """
-    runs = dt.runs(spark, sf_dir)
+    runs = widen(dt.runs(spark, sf_dir))
     k = F.col("run_id")
     steady = F.col("equation") == "darcy2d"
     base = runs.select(
@@ -364,19 +364,17 @@ def configured_runs(spark, sf_dir):
         "initial_condition", F.when(k % 12 != 0, 0.25).alias("contrast"),
     )
     every = base.unionByName(tried)
-    moving = ("viscosity", "dt", "steps", "save_every", "seed", "amplitude", "initial_condition")
-    still = ("contrast",)
-    given = F.struct(
+    usual = F.when(F.col("equation") == "burgers1d", "sine").otherwise("taylor_green")
+    start = F.coalesce("initial_condition", usual)
+    moving = {"viscosity": "viscosity", "dt": "dt", "steps": "steps", "save_every": "save_every", "seed": "seed",
+              "amplitude": "amplitude", "initial_condition": start}
+    # Records hold normalised configurations: all keys of their equation and no others.
+    config = F.struct(
         "equation", "grid_size", "domain_length",
-        *[F.when(~steady, F.col(c)).alias(c) for c in moving],
-        *[F.when(steady, F.col(c)).alias(c) for c in still],
-    )
-    raw = every.select(
-        "id", "run_id", "status", "needs_review", "parent_id",
-        F.from_json(F.to_json(given), "map<string,string>").alias("raw"),
+        *[F.when(~steady, F.col(c) if isinstance(c, str) else c).alias(name) for name, c in moving.items()],
+        F.when(steady, F.coalesce("contrast", F.lit(0.5))).alias("contrast"),
     )
-    normal = configs.normalize_configs(raw)
-    return settle(normal.select("id", "run_id", "status", "needs_review", "parent_id", "config"))
+    return every.select("id", "run_id", "status", "needs_review", "parent_id", config.alias("config"))
 
 
 def candidates(spark, sf_dir):
