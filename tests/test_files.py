@@ -104,6 +104,11 @@ def test_refined_configurations(spark):
     assert got["moving"]["changes"] == (
         '{"dt":{"before":0.01,"after":0.005},"save_every":{"before":2,"after":4},"steps":{"before":7,"after":14}}'
     )
+    # as if the refined configurations were normalised themselves
+    raw = [(r["id"], {k: str(v) for k, v in r["candidate"].asDict().items() if v is not None}) for r in got.values() if r["candidate"]]
+    again = configs.normalize_configs(spark.createDataFrame(raw, "id string, raw map<string,string>"))
+    for row in again.select("id", configs.config_key().alias("key"), "reasons").collect():
+        assert row["reasons"] == [] and row["key"] == got[row["id"]]["config_key"]
     # the identity is that of the same configuration written down by hand
     hand = [("x", {"equation": "burgers1d", "dt": "5e-3", "steps": "14", "save_every": "4"})]
     same = configs.normalize_configs(spark.createDataFrame(hand, "id string, raw map<string,string>"))

@@ -9,7 +9,7 @@ from pyspark.sql import functions as F
 
 from tidemark.functions.exprs import canonical, is_safe_id, reasons
 from tidemark.operators.integrity import artifact_problems, manifest_problems
-from tidemark.plans.configs import STEADY, changed_parameters, config_json, config_key, normalize_configs
+from tidemark.plans.configs import STEADY, change_problems, config_json, config_key
 from tidemark.session import settle, store
 
 # Entity and link types of the evidence graph, and texts and limits of the
@@ -421,37 +421,39 @@ def refine_configs(runs: DataFrame) -> DataFrame:
     """
     c = F.col("config")
     steady = c["equation"] == STEADY
-    raw = c.withField(
-        "grid_size", F.when(steady, 2 * (c["grid_size"] - 1) + 1).otherwise(c["grid_size"])
-    )
-    for name, value in (("dt", c["dt"] / 2), ("steps", c["steps"] * 2), ("save_every", c["save_every"] * 2)):
-        raw = raw.withField(name, F.when(~steady, value))
-    as_map = lambda struct: F.from_json(F.to_json(struct), "map<string,string>")
-    staged = runs.withColumn("before_config", c).withColumn("_raw", as_map(raw)).drop("config")
-    # Stored: every column below would repeat the whole normalisation.
-    staged = store(normalize_configs(staged, "_raw").drop("_raw", "output_bytes"))
-    changed = changed_parameters(as_map(F.col("before_config")), as_map(F.col("config")))
-    number = r"^-?[0-9.]+([eE][+-]?[0-9]+)?$"
-    token = lambda v: F.when(v.rlike(number), v).otherwise(
-        F.coalesce(F.concat(F.lit('"'), v, F.lit('"')), F.lit("null"))
-    )
-    entry = lambda e: F.concat(
-        F.lit('"'), e["key"], F.lit('":{"before":'), token(e["value"]["before"]),
-        F.lit(',"after":'), token(e["value"]["after"]), F.lit("}"),
-    )
-    listed = F.array_join(F.array_sort(F.transform(F.map_entries(changed), entry)), ",")
-    is_steady = F.col("before_config")["equation"] == STEADY
-    valid = F.size("reasons") == 0
-    return staged.select(
-        *[F.col(f"`{name}`") for name in runs.columns if name != "config"],
-        F.col("before_config").alias("config"),
-        F.col("config").alias("candidate"),
-        F.when(valid, config_json("config")).alias("candidate_json"),
-        F.when(valid, config_key("config")).alias("config_key"),
-        F.when(~valid, F.array_join("reasons", ",")).alias("invalid"),
-        F.when(valid, F.concat(F.lit("{"), listed, F.lit("}"))).alias("changes"),
-        F.when(is_steady, 1).otherwise(F.col("before_config")["steps"] * 2).cast("long").alias("cost"),
-        F.when(is_steady, RATIONALE_STEADY).otherwise(RATIONALE_UNSTEADY).alias("rationale"),
+    double = lambda name: F.try_multiply(c[name], F.lit(2).cast("long"))
+    finer = {
+        "grid_size": F.when(steady, F.try_subtract(double("grid_size"), F.lit(1))).otherwise(c["grid_size"]),
+        "dt": F.when(~steady, c["dt"] / 2),
+        "steps": F.when(~steady, double("steps")),
+        "save_every": F.when(~steady, double("save_every")),
+    }
+    candidate = c
+    for name, value in finer.items():
+        candidate = candidate.withField(name, value)
+    # Stored, because every column below would repeat how the candidate is made.
+    out = store(runs.withColumn("candidate", candidate))
+    out = out.withColumn("_why", change_problems(F.col("candidate")))
+    after = F.col("candidate")
+    changed = [
+        F.when(
+            ~c[name].eqNullSafe(after[name]),
+            F.concat(
+                F.lit(f'"{name}":{{"before":'), c[name].cast("string"), F.lit(',"after":'), after[name].cast("string"), F.lit("}")
+            ),
+        )
+        for name in sorted(finer)
+    ]
+    valid = F.size("_why") == 0
+    return out.select(
+        *[F.col(f"`{name}`") for name in runs.columns],
+        F.when(valid, after).alias("candidate"),
+        F.when(valid, config_json("candidate")).alias("candidate_json"),
+        F.when(valid, config_key("candidate")).alias("config_key"),
+        F.when(~valid, F.array_join("_why", ",")).alias("invalid"),
+        F.when(valid, F.concat(F.lit("{"), F.concat_ws(",", *changed), F.lit("}"))).alias("changes"),
+        F.when(steady, 1).otherwise(c["steps"] * 2).cast("long").alias("cost"),
+        F.when(steady, RATIONALE_STEADY).otherwise(RATIONALE_UNSTEADY).alias("rationale"),
     )
 
 

@@ -167,6 +167,31 @@ def normalize_configs(df: DataFrame, raw: str = "raw") -> DataFrame:
     )
 
 
+def change_problems(config: Column) -> Column:
+    """Reasons for which a normalised configuration is no longer valid after its resolution changed.
+
+    The rules of :func:`normalize_configs` that look at grid, step, steps and saved steps; everything
+    else of a normalised configuration is valid already. NULL stands for a number that overflowed.
+    """
+    n, length = config["grid_size"], config["domain_length"]
+    steady = config["equation"] == STEADY
+    dt, steps, every = config["dt"], config["steps"], config["save_every"]
+    still = reasons(
+        (n.between(5, MAX_STEADY_GRID), "grid_size"),
+        ((length / F.nullif(n - 1, F.lit(0))).between(1e-140, 1e140), "spacing"),
+    )
+    size = output_bytes(config["equation"], n, frame_count(steps, every))
+    moving = reasons(
+        (n >= 8, "grid_size"),
+        (is_finite(dt) & (dt > 0), "dt"),
+        (steps >= 1, "steps"),
+        (every >= 1, "save_every"),
+        (F.coalesce(is_finite(dt * steps), F.lit(True)), "duration"),
+        (F.coalesce(size <= MAX_OUTPUT_BYTES, F.lit(True)), "output_size"),
+    )
+    return F.when(steady, still).otherwise(moving)
+
+
 def config_json(config: str = "config") -> Column:
     """Sorted-key compact JSON of a normalised configuration; absent keys are left out."""
     return F.to_json(
