@@ -256,3 +256,16 @@ def test_the_first_commit_of_an_id_stays(spark, tmp_path, monkeypatch):
         with monkeypatch.context() as restored:
             restored.setattr(c, "committed_runs", real)
             assert [r["solver"] for r in c.published_catalog(spark, target).collect()] == ["first"]
+
+
+def test_different_rows_of_one_run_are_refused(spark, tmp_path):
+    root = str(tmp_path / "lake")
+    rows = lambda *solvers: c.union_catalogs(
+        c.empty_catalog(spark),
+        spark.createDataFrame([("run-1", "completed", s) for s in solvers], "id string, status string, solver string"),
+    )
+    with pytest.raises(ValueError, match="run-1"):
+        c.publish_runs(rows("a", "b"), None, root)
+    assert c.committed_runs(spark, root).count() == 0
+    c.publish_runs(rows("a", "a"), None, root)
+    assert [r["solver"] for r in c.published_catalog(spark, root).collect()] == ["a"]

@@ -93,3 +93,26 @@ def test_fingerprints_depend_on_values_and_order_only(spark):
     assert of(df) == of(df.repartition(9, "text"))
     swapped = df.withColumn("text", F.when(F.col("frame") == 5, "6").when(F.col("frame") == 6, "5").otherwise(F.col("text")))
     assert of(df) != of(swapped)
+
+
+def test_a_store_takes_paths_and_uris(tmp_path):
+    for root in (str(tmp_path), f"file://{tmp_path}"):
+        store = mirror.FolderStore(root)
+        assert store.read_optional("none") is None
+        store.put_immutable("a/b", b"x")
+        assert store.put_immutable("a/b", b"x") is False and store.read_optional("a/b") == b"x"
+    assert sorted(p.name for p in (tmp_path / "a").iterdir()) == ["b"]
+
+
+def test_a_store_without_links_reads_what_it_wrote(tmp_path):
+    from pyarrow import fs
+
+    store = mirror.FolderStore(str(tmp_path))
+    store.store = fs.SubTreeFileSystem("/", fs.LocalFileSystem())  # of another type
+    store.put_immutable("k", b"1")
+    assert store.put_immutable("k", b"1") is False
+    try:
+        store.put_immutable("k", b"2")
+    except FileExistsError:
+        return
+    raise AssertionError("other bytes were taken")

@@ -28,6 +28,9 @@ SUMMARY = (
     "lease_until",
 )
 
+# What the acknowledgement that finished a job says of its outcome, where events carry it.
+RESULTS = ("result_id", "error", "resumed")
+
 # Width in sequence numbers of the blocks in which acknowledgements are looked up.
 BLOCK = 1 << 16
 
@@ -39,7 +42,8 @@ def job_states(events: DataFrame, lease: int) -> DataFrame:
     within the lease is refused, also if it repeats the token. An acknowledgement takes effect
     within the lease if it presents the token of the claim that holds it; a NULL token never
     does. Events before the first submission change nothing. A job may have any number of
-    events: none is ever brought together.
+    events: none is ever brought together. Where events have ``result_id, error, resumed``, a finished
+    job has those of the acknowledgement that finished it.
     """
     return _summarize(events, accepted_events(events, lease), lease)
 
@@ -116,7 +120,9 @@ def _summarize(events: DataFrame, accepted: DataFrame, lease: int) -> DataFrame:
     ok, kind = F.col("_ok"), F.col("kind")
     ack = kind.isin("renewed", "completed", "failed")
     last = F.when(ok, F.col("sequence"))
+    results = [c for c in RESULTS if c in events.columns]
     out = marked.groupBy("job_id").agg(
+        *[F.max_by(c, last).alias(c) for c in results],
         F.max_by("kind", last).alias("_kind"),
         F.max_by("at", last).alias("_at"),
         F.count_if(ok & (kind == "claimed")).alias("claim_count"),
@@ -140,6 +146,7 @@ def _summarize(events: DataFrame, accepted: DataFrame, lease: int) -> DataFrame:
         "refused_claims",
         F.greatest(F.col("_submitted") - 1, F.lit(0)).cast("long").alias("duplicate_submissions"),
         F.when(~finished, F.col("_at") + lease).alias("lease_until"),
+        *[F.when(finished, F.col(c)).alias(c) for c in results],
     )
 
 

@@ -86,7 +86,7 @@ def summarize_runs(
 
     First and last values, extremes and drifts come from one hash aggregate. Only the energy
     increase needs neighbouring frames; it is located per block of frames and then folded
-    into the same aggregate. A run with a non-finite diagnostic is reported as ``failed``.
+    into the same aggregate. A run with a non-finite diagnostic is flagged for review.
     """
     present = [
         s

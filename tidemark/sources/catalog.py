@@ -561,19 +561,23 @@ def publish_runs(catalog_rows: DataFrame, frames: DataFrame | None, root: str) -
 
     Every attempt writes its own batch, and only the last step names that batch in the next free
     version, so an interrupted attempt stays invisible and can simply run again. Ids that are
-    already committed are left out; nothing is overwritten. Returns the committed ids.
+    already committed are left out; nothing is overwritten. Equal rows of an id count once, different
+    ones are refused. Returns the committed ids.
     """
     spark = catalog_rows.sparkSession
     batch = uuid.uuid4().hex
     new = (
         catalog_rows.filter(is_safe_id("id"))
         .join(committed_runs(spark, root), "id", "left_anti")
-        .dropDuplicates(["id"])
+        .distinct()
     )
     if frames is not None:
         bad = array_problems(frames).select(F.col("run_id").alias("id")).distinct()
         new = new.join(bad, "id", "left_anti")
     new = settle(new)  # frames and catalog rows must see the same runs
+    clash = new.groupBy("id").agg(F.count("*").alias("n")).filter(F.col("n") > 1).first()
+    if clash is not None:
+        raise ValueError(f"Different rows of one run: {clash['id']}")
     if frames is not None:
         owners = by_size(new.select(F.col("id").alias("run_id"), "equation"))
         (

@@ -18,6 +18,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from tidemark.operators.integrity import content_key, marker_key
+from tidemark.sources.files import filesystem
 
 ACTIONS = ("upload", "reuse", "conflict", "extra")
 
@@ -33,33 +34,49 @@ class ObjectStore(Protocol):
 
 
 class FolderStore:
-    """Objects as files below a folder that all executors can reach."""
+    """Objects as files below ``root``, a path or URI that all executors can reach.
+
+    Local folders, which have to be shared mounts on a cluster, get exclusive creation from hard
+    links. Other file systems are written under a temporary name, moved, and read again.
+    """
 
     def __init__(self, root: str):
-        self.root = root
+        self.store, self.root = filesystem(root)
 
     def _path(self, key: str) -> str:
-        return os.path.join(self.root, *key.split("/"))
+        return "/".join([self.root.rstrip("/"), *key.split("/")])
 
     def read_optional(self, key: str) -> bytes | None:
         try:
-            with open(self._path(key), "rb") as source:
+            with self.store.open_input_stream(self._path(key), compression=None) as source:
                 return source.read()
         except FileNotFoundError:
             return None
 
     def put_immutable(self, key: str, data: bytes) -> bool:
         path = self._path(key)
-        os.makedirs(os.path.dirname(path), exist_ok=True)
-        staged = f"{path}.{uuid.uuid4().hex}"
-        with open(staged, "wb") as target:
-            target.write(data)
+        found = self.read_optional(key)
+        if found is None:
+            self.store.create_dir(path.rpartition("/")[0], recursive=True)
+            staged = f"{path}.{uuid.uuid4().hex}"
+            with self.store.open_output_stream(staged, compression=None) as target:
+                target.write(data)
+            if self._take(staged, path):
+                return True
+            found = self.read_optional(key)
+        if found != data:
+            raise FileExistsError(f"Object has different bytes: {key}")
+        return False
+
+    def _take(self, staged: str, path: str) -> bool:
+        """Give the staged file its name; False if another one has it now."""
+        if self.store.type_name != "local":
+            self.store.move(staged, path)
+            return False
         try:
             os.link(staged, path)  # fails if the object exists
             return True
         except FileExistsError:
-            if self.read_optional(key) != data:
-                raise FileExistsError(f"Object has different bytes: {key}") from None
             return False
         finally:
             os.unlink(staged)

@@ -106,6 +106,30 @@ def job_states_hard_tokens(spark, sf_dir):
     return jobs.job_states(hard, LEASE)
 
 
+@query(
+    "job_results",
+    dt.with_views("job_events", recursive=True)
+    + JOB_SQL
+    + """, done AS (SELECT f.job_id, o.sequence, o.kind FROM fold f JOIN fold p ON p.job_id = f.job_id AND p.n = f.n - 1
+    JOIN ordered o ON o.job_id = f.job_id AND o.n = f.n WHERE f.status IN ('completed', 'failed') AND p.status = 'running')
+SELECT s.job_id, s.status, CASE WHEN kind = 'completed' THEN 'run-' || sequence END AS result_id,
+  CASE WHEN kind = 'failed' THEN '{"type":"E' || sequence % 5 || '"}' END AS error, CASE WHEN kind = 'completed' THEN sequence % 4 = 0 END AS resumed
+FROM states s LEFT JOIN done d ON s.job_id = d.job_id""",
+)
+def job_results(spark, sf_dir):
+    """What the acknowledgement that finished a job said; late and stale ones say nothing."""
+    events = job_events(spark, sf_dir)
+    number, kind = F.col("sequence"), F.col("kind")
+    told = events.withColumns(
+        {
+            "result_id": F.when(kind == "completed", F.concat(F.lit("run-"), number)),
+            "error": F.when(kind == "failed", F.concat(F.lit('{"type":"E'), number % 5, F.lit('"}'))),
+            "resumed": F.when(kind == "completed", number % 4 == 0),
+        }
+    )
+    return jobs.job_states(told, LEASE).select("job_id", "status", *jobs.RESULTS)
+
+
 @query(
     "job_state_counts",
     dt.with_views("job_events", recursive=True)
