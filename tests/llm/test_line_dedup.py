@@ -58,3 +58,13 @@ def test_replaced_texts_keep_the_schema(spark):
     assert texts == {0: ("own words", 9), 1: ("", 0), 2: ("", 0), 3: (LONG, len(LONG)), 9: (None, None)}
     assert line_dedup.replace_texts(docs.limit(0)).count() == 0
     assert sha("") == sha(b"")
+
+
+def test_a_lost_shard_is_an_error(tmp_path):
+    import pytest
+
+    line = "a line that is long enough to count"
+    with pytest.raises(FileNotFoundError):
+        line_dedup._drop([line], [1], str(tmp_path), 1, frozenset({0}))
+    # a shard that has no keys has no file either
+    assert line_dedup._drop([line], [1], str(tmp_path), 1, frozenset()) == ([line], [1], [0])

@@ -192,8 +192,12 @@ def _shard_name(shard: int) -> str:
     return f"shard-{shard:06d}.npz"
 
 
-def build_index(lines: DataFrame, folder: str, *, shard_keys: int = SHARD_KEYS) -> int:
-    """Write the index of ``repeated_lines`` below ``folder``; returns the number of shards.
+def build_index(
+    lines: DataFrame, folder: str, *, shard_keys: int = SHARD_KEYS
+) -> tuple[int, frozenset[int]]:
+    """Write the index of ``repeated_lines`` below ``folder``.
+
+    Returns the number of shards and which of them have keys and so a file.
 
     Shards are groups of about ``shard_keys`` keys by hash, so none grows with the corpus. Each
     is written under a temporary name and moved, so a repeated task replaces equal content.
@@ -212,14 +216,13 @@ def build_index(lines: DataFrame, folder: str, *, shard_keys: int = SHARD_KEYS)
 
     dealt = settled.withColumn("shard", F.pmod(F.col("high"), F.lit(shards)).cast("int"))
     built = dealt.groupBy("shard").applyInArrow(build, "shard int, bytes long")
-    built.agg(F.sum("bytes")).collect()
-    return shards
+    return shards, frozenset(row["shard"] for row in built.select("shard").collect())
 
 
 _HELD = Held(HELD_BYTES, Shard.load)
 
 
-def _drop(rows: list[str], ids: list[int | None], folder: str, shards: int):
+def _drop(rows: list[str], ids: list[int | None], folder: str, shards: int, built: frozenset[int]):
     """Kept text, line count and dropped count of every row."""
     where, numbers, high, low = [], [], [], []
     for row, text in enumerate(rows):
@@ -235,9 +238,12 @@ def _drop(rows: list[str], ids: list[int | None], folder: str, shards: int):
     borders = np.flatnonzero(np.diff(shard[order])) + 1
     doomed: dict[int, set[int]] = {}
     for part in np.split(order, borders) if len(order) else []:
-        index = _HELD.get(folder, _shard_name(int(shard[part[0]])))
-        if index is None:  # a shard without keys is not written
+        number = int(shard[part[0]])
+        if number not in built:  # no line of this shard is repeated
             continue
+        index = _HELD.get(folder, _shard_name(number))
+        if index is None:
+            raise FileNotFoundError(f"{folder}/{_shard_name(number)}")
         member, _, keepers = index.probe(high[part], low[part])
         for at, keeper in zip(part[member].tolist(), keepers[member].tolist()):
             own = NO_DOCUMENT if ids[where[at]] is None else ids[where[at]]
@@ -270,14 +276,14 @@ def dedup_lines(
     """
     source = documents.select(F.col(id_col).cast("long").alias(id_col), F.col(text_col).cast("string"))
     folder = scratch(documents.sparkSession, "line-index")
-    shards = build_index(
+    shards, built = build_index(
         repeated_lines(documents, id_col=id_col, text_col=text_col), folder, shard_keys=shard_keys
     )
 
     def run(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             kept, n_lines, n_dropped = _drop(
-                texts(batch, 1), batch.column(0).to_pylist(), folder, shards
+                texts(batch, 1), batch.column(0).to_pylist(), folder, shards, built
             )
             arrays = [pa.array(kept, pa.string()), pa.array(n_lines, pa.int64()), pa.array(n_dropped, pa.int64())]
             yield pa.RecordBatch.from_arrays(
@@ -295,14 +301,14 @@ def replace_texts(
     ``chars_col``, if the table has it, is set to the new length. Null texts stay null.
     """
     folder = scratch(documents.sparkSession, "line-index")
-    shards = build_index(repeated_lines(documents, id_col=id_col, text_col=text_col), folder)
+    shards, built = build_index(repeated_lines(documents, id_col=id_col, text_col=text_col), folder)
     text_at = documents.columns.index(text_col)
     chars_at = documents.columns.index(chars_col) if chars_col in documents.columns else None
 
     def run(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             ids = batch.column(id_col).to_pylist()
-            kept, _, dropped = _drop(texts(batch, text_col), ids, folder, shards)
+            kept, _, dropped = _drop(texts(batch, text_col), ids, folder, shards, built)
             old = batch.column(text_col).to_pylist()
             kept = [new if gone else was for new, gone, was in zip(kept, dropped, old)]
             columns = list(batch.columns)

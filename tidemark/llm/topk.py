@@ -29,6 +29,8 @@ LEAF_VECTORS = 32
 # Blocks that the queries of a shard are cut into, so that several tasks can search it.
 QUERY_BLOCKS = 16
 HELD_BYTES = 192 << 20
+# Tasks that blocks of queries are dealt to, at most.
+TASKS = 20_000
 
 # Sums below this are exact in double precision.
 EXACT = 2.0**53
@@ -187,11 +189,12 @@ def top_k(
         matrix = _matrix(table.column("vector").combine_chunks(), size)
         data = Tree.build(table.column("vec_id").to_numpy(), matrix).dump()
         publish(folder, _tree_name(size, part), data)
-        return pa.table({"bytes": pa.array([len(data)], pa.int64())})
+        return pa.table({"size": pa.array([size], pa.int32()), "part": pa.array([part], pa.int32())})
 
     dealt = usable.join(sizes, "size").withColumn("part", F.pmod(F.xxhash64("vec_id"), "parts").cast("int"))
-    built = dealt.groupBy("size", "part").applyInArrow(build, "bytes long")
-    built.agg(F.sum("bytes")).collect()
+    made = dealt.groupBy("size", "part").applyInArrow(build, "size int, part int")
+    # one pair for each tree; a part that got no vector has none
+    trees = frozenset((row["size"], row["part"]) for row in made.collect())
 
     home = F.pmod(F.xxhash64("vec_id", F.lit(1)), "parts").cast("int")
     queries = usable.filter(F.pmod("vec_id", F.lit(every)) == 0).join(sizes, "size")
@@ -203,9 +206,11 @@ def top_k(
             found: list[list[int]] = [[], [], []]
             lists = batch.column("vector")
             for row, (query_id, size, part, bound) in enumerate(zip(*sides)):
+                if (size, part) not in trees:
+                    continue
                 tree = _HELD.get(folder, _tree_name(size, part))
                 if tree is None:
-                    continue
+                    raise FileNotFoundError(f"{folder}/{_tree_name(size, part)}")
                 query = np.floor(SCALE * np.asarray(lists[row].as_py(), dtype=np.float64))
                 for score, vec_id in tree.search(query, query_id, k, bound):
                     found[0].append(query_id)
@@ -216,10 +221,14 @@ def top_k(
             )
 
     def routed(rows: DataFrame) -> DataFrame:
-        """Queries at their shards, blocks of one shard next to each other."""
+        """Queries at their shards, blocks of one shard next to each other.
+
+        The number of tasks follows the blocks: rows are few, and the search behind them is not seen.
+        """
         block = F.pmod(F.xxhash64("vec_id", F.lit(2)), F.lit(QUERY_BLOCKS))
         placed = rows.select("vec_id", "size", "part", "bound", "vector", block.alias("block"))
-        return placed.repartition("size", "part", "block").sortWithinPartitions("size", "part")
+        tasks = max(1, min(len(trees) * QUERY_BLOCKS, TASKS))
+        return placed.repartition(tasks, "size", "part", "block").sortWithinPartitions("size", "part")
 
     schema = "query_id long, vec_id long, score long"
     none = F.lit(None).cast("long").alias("bound")
