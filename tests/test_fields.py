@@ -139,3 +139,12 @@ def test_refinement_orders(spark):
 def test_reference_subsample(spark):
     df = spark.createDataFrame([([0.0, 9.0, 1.0, 9.0], [0.5, 1.0])], "r array<double>, s array<double>")
     assert df.select(grids.subsample_error("r", "s")).first()[0] == math.sqrt(0.125)
+
+
+def test_sampled_positions_of_any_number(spark):
+    df = spark.createDataFrame([(n, m) for n in (1, 2, 7, 50, 333) for m in (2, 3, 10)], "n long, m int")
+    for n, m in df.collect():
+        row = spark.range(1).select(preview.sample_positions(F.lit(n), m).alias("p")).first()["p"]
+        ids = spark.range(n)
+        hit = [r["id"] for r in ids.filter(preview.is_sampled(F.col("id"), F.lit(n), m)).collect()]
+        assert hit == row and len(row) == min(n, m) and row[0] == 0 and row[-1] == n - 1

@@ -17,35 +17,33 @@ MAX_PAYLOAD_BYTES = 32 * 1024 * 1024
 PREVIEW_FIELDS = {"burgers1d": "velocity", "navier_stokes2d": "vorticity", "darcy2d": "pressure"}
 
 
-def sample_positions(count: Column) -> Column:
-    """At most 201 evenly spaced positions of 0..count-1, both ends kept."""
+def sample_positions(count: Column, most: int = MAX_SAMPLES) -> Column:
+    """At most ``most`` (two or more) evenly spaced positions of 0..count-1, both ends kept."""
     every = F.sequence(F.lit(0).cast("long"), count.cast("long") - 1)
-    steps = F.sequence(F.lit(0), F.lit(MAX_SAMPLES - 1))
+    steps = F.sequence(F.lit(0), F.lit(most - 1))
     spread = F.array_distinct(
-        F.transform(
-            steps, lambda i: F.floor(i * (count - 1) / F.lit(MAX_SAMPLES - 1)).cast("long")
-        )
+        F.transform(steps, lambda i: F.floor(i * (count - 1) / F.lit(most - 1)).cast("long"))
     )
-    return F.when(count <= MAX_SAMPLES, every).otherwise(spread)
+    return F.when(count <= most, every).otherwise(spread)
 
 
-def is_sampled(position: Column, count: Column) -> Column:
+def is_sampled(position: Column, count: Column, most: int = MAX_SAMPLES) -> Column:
     """Whether a position is one of :func:`sample_positions`, decided without a join.
 
-    With 200 steps over n-1 positions, p is hit when some i in 0..200 has
-    floor(i*(n-1)/200) = p; the first candidate is i = ceil(200*p/(n-1)).
+    With m = most-1 steps over n-1 positions, p is hit when some i in 0..m has
+    floor(i*(n-1)/m) = p; the first candidate is i = ceil(m*p/(n-1)).
     """
     last = count - 1
-    i = F.ceil(position * (MAX_SAMPLES - 1) / F.nullif(last, F.lit(0)))
-    hit = F.floor(i * last / F.lit(MAX_SAMPLES - 1)) == position
-    return (count <= MAX_SAMPLES) | F.coalesce(hit, F.lit(True))
+    i = F.ceil(position * (most - 1) / F.nullif(last, F.lit(0)))
+    hit = F.floor(i * last / F.lit(most - 1)) == position
+    return (count <= most) | F.coalesce(hit, F.lit(True))
 
 
-def series_preview(series: DataFrame, value: str = "energy") -> DataFrame:
-    """Sampled ``(time, value)`` of each run's diagnostic series; at most 201 entries per run."""
+def series_preview(series: DataFrame, value: str = "energy", *, most: int = MAX_SAMPLES) -> DataFrame:
+    """Sampled ``(time, value)`` of each run's diagnostic series; at most ``most`` entries per run."""
     counts = by_size(series.groupBy("run_id").agg(F.count("*").alias("source_samples")))
     shown = series.join(counts, "run_id").filter(
-        is_sampled(F.col("frame"), F.col("source_samples"))
+        is_sampled(F.col("frame"), F.col("source_samples"), most)
     )
     entry = F.struct(
         "frame", finite_or_null("time").alias("time"), finite_or_null(value).alias("value")

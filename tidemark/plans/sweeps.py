@@ -193,7 +193,8 @@ def plan_studies(studies: DataFrame, configs: DataFrame) -> DataFrame:
 def order_cases(plans: DataFrame) -> DataFrame:
     """Seeded order of the cases of every accepted study, one row per case.
 
-    A study has at most ``MAX_STUDY_CASES`` cases, so each is ordered inside its own row.
+    A study has at most ``MAX_STUDY_CASES`` cases, so each is ordered inside its own row. The form
+    of ``case_id`` is a fixed value.
     """
     keyed = F.transform(
         study_cases(F.col("workers"), F.col("modes"), F.col("repeats")),
