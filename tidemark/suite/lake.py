@@ -54,12 +54,13 @@ def mixed_schema_catalog(spark, sf_dir):
 
 # -- a lake of run folders ------------------------------------------------------------
 
-RUN = F.concat(F.lit("run-"), F.col("run_id"))
+def _run():
+    return F.concat(F.lit("run-"), F.col("run_id"))
 
 
 def _folder():
     """Every seventh run is still being staged."""
-    return F.when(F.col("run_id") % 7 == 3, F.concat(F.lit(".staging-"), RUN)).otherwise(RUN)
+    return F.when(F.col("run_id") % 7 == 3, F.concat(F.lit(".staging-"), _run())).otherwise(_run())
 
 
 def document_lake(spark: SparkSession, sf_dir: str) -> str:
@@ -71,7 +72,7 @@ def document_lake(spark: SparkSession, sf_dir: str) -> str:
     # a record names its run; some name another one and some are cut off
     document = F.to_json(
         F.struct(
-            F.when(F.col("run_id") % 13 == 6, F.lit("run-x")).otherwise(RUN).alias("id"),
+            F.when(F.col("run_id") % 13 == 6, F.lit("run-x")).otherwise(_run()).alias("id"),
             F.lit("completed").alias("status"),
             F.lit("burgers1d").alias("equation"),
             F.struct((F.col("run_id") % 9).alias("seed"), (F.col("documents") * 8).alias("grid_size")).alias("config"),
