@@ -2,6 +2,7 @@ from pyspark.sql import functions as F
 
 from tidemark import schemas, streaming
 from tidemark.streaming import logs, stateful
+from tidemark.suite import streams
 
 
 def _write(df, path):
@@ -21,6 +22,25 @@ def test_frames_complete_only_when_counts_match(spark, tmp_path):
     assert got == {(1, 1, "nonfinite"), (2, 0, "complete"), (1, 2, "complete"), (1, 3, "excess")}
 
 
+def _several_files(spark, folder):
+    rows = [(v, [float(v)] * 8, v % 3) for v in range(100)]
+    table = spark.createDataFrame(rows, "vec_id long, embedding array<float>, label int")
+    table.repartition(3).write.parquet(str(folder / "embeddings.parquet"))
+    return table
+
+
+def test_a_table_of_several_files_is_streamed_whole(spark, tmp_path):
+    table = _several_files(spark, tmp_path)
+    (tmp_path / "other").mkdir()
+    table.toPandas().to_parquet(tmp_path / "other" / "embeddings.parquet")
+    for folder in (tmp_path, tmp_path / "other"):
+        found = streaming.run_to_table(streaming.stream_table(spark, str(folder), "embeddings"), "whole")
+        assert sorted(r["vec_id"] for r in found.collect()) == list(range(100))
+    arrivals = streams.stream_frame_arrivals(spark, str(tmp_path)).collect()
+    nonfinite = {r["run_id"]: r["nonfinite"] for r in arrivals}
+    assert nonfinite[0] == 1 and nonfinite[2] == 1  # vectors 0 and 59
+
+
 def test_submissions_are_inserted_once(spark, tmp_path):
     schema = "job_id long, sequence long, at long"
     path, table, mark = (str(tmp_path / n) for n in ("in", "out", "mark"))
