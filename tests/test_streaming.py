@@ -41,6 +41,12 @@ def test_a_table_of_several_files_is_streamed_whole(spark, tmp_path):
     assert nonfinite[0] == 1 and nonfinite[2] == 1  # vectors 0 and 59
 
 
+def test_diagnostics_of_a_table_of_several_files(spark, tmp_path):
+    _several_files(spark, tmp_path)
+    frames = streams.stream_frame_diagnostics(spark, str(tmp_path)).collect()
+    assert {r["run_id"] * 25 + r["frame"]: r["energy"] for r in frames} == {v: v * v / 2 for v in range(100)}
+
+
 def test_submissions_are_inserted_once(spark, tmp_path):
     schema = "job_id long, sequence long, at long"
     path, table, mark = (str(tmp_path / n) for n in ("in", "out", "mark"))
