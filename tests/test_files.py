@@ -9,6 +9,7 @@ from tidemark.operators import integrity, lineage
 from tidemark.plans import acquisition, configs
 from tidemark.sources import catalog as c
 from tidemark.sources import files
+from tidemark.suite import lake
 
 
 def test_files_of_several_types_in_one_folder(spark, tmp_path):
@@ -47,6 +48,60 @@ def test_a_file_without_a_footer_is_an_error(spark, tmp_path):
     assert found["schema"] is None and found["error"]
 
 
+def test_many_folders_are_listed_in_few_tasks(spark, tmp_path):
+    for n in range(200):
+        (tmp_path / f"run-{n}" / "fields").mkdir(parents=True)
+        (tmp_path / f"run-{n}" / "fields" / "a").write_bytes(b"x" * n)
+    (tmp_path / "top").write_bytes(b"abc")
+    listed = files.list_files(spark, str(tmp_path))
+    assert listed.rdd.getNumPartitions() <= spark.sparkContext.defaultParallelism
+    got = {r["path"].removeprefix(f"{tmp_path}/"): r["length"] for r in listed.collect()}
+    assert got == {f"run-{n}/fields/a": n for n in range(200)} | {"top": 3}
+
+
+def test_documents_read_in_tasks_equal_those_of_the_json_reader(spark, tmp_path):
+    texts = {
+        "plain": '{"a": 1,\n "b": {"c": "x"}}', "list": '[{"a": 2}, {"a": 3, "b": {}}]', "none": "[]", "cut": '{"a": 4, "b',
+        "wrong": '{"a": "x", "b": {"c": "y"}}', "empty": "", "blank": " \n", "number": "5", "known": '{"a": 6, "z": [1]}',
+    }
+    for name, text in texts.items():
+        (tmp_path / f"{name}.json").write_text(text)
+    schema = "a bigint, b struct<c: string>"
+    rows = lambda df: sorted(df.collect(), key=repr)
+    want = rows(c.read_json(spark, str(tmp_path), schema))
+    assert len(want) > 6
+    assert rows(c.read_documents(files.list_files(spark, str(tmp_path)), schema)) == want
+
+
+def test_documents_and_absent_files(spark, tmp_path):
+    for n in range(20):
+        (tmp_path / f"{n:02}").write_bytes(bytes([n]) * n)
+    listed = files.list_files(spark, str(tmp_path)).withColumn("sized", F.lit(1)).coalesce(1)
+    listed = spark.createDataFrame([*listed.collect(), (f"{tmp_path}/gone", 0, 1)], listed.schema)
+    got = {r["path"].rsplit("/", 1)[1]: (r["content"], r["error"]) for r in files.read_files(listed).collect()}
+    want = {f"{n:02}": (bytearray([n] * n), None) for n in range(20)}
+    assert got == want | {"gone": (None, files.ABSENT)}
+
+
+def test_an_empty_manifest_is_a_problem_of_its_run(spark, tmp_path):
+    for name, text in (("run-1", ""), ("run-2", '{"version": 1, "algorithm": "sha256", "artifacts": {"a": "0"}}'), (".staging-run-3", "")):
+        (tmp_path / "experiments" / name).mkdir(parents=True)
+        (tmp_path / "experiments" / name / "manifest.json").write_text(text)
+    (tmp_path / "experiments" / "run-4").mkdir()
+    found = {r["run_id"]: r["valid"] for r in c.scan_manifests(spark, str(tmp_path)).collect()}
+    assert found == {"run-1": False, "run-2": True}
+
+
+def test_sweep_documents_are_written_by_many_tasks(spark, tmp_path, monkeypatch):
+    parts = spark.range(1, 40).selectExpr("id AS p_partkey", "CAST(id % 50 AS INT) AS p_size")
+    parts.coalesce(1).write.parquet(str(tmp_path / "part.parquet"))
+    seen, write = [], files.write_files
+    monkeypatch.setattr(files, "write_files", lambda rows, root: (seen.append(rows.rdd.getNumPartitions()), write(rows, root))[1])
+    got = {r["seed"]: (r["viscosity"], r["values"], r["last"]) for r in lake.sweep_documents(spark, str(tmp_path)).collect()}
+    assert seen == [spark.sparkContext.defaultParallelism]
+    assert got == {k: (k % 50 / 50.0, 2 + k % 3, float(k + 1 + k % 3)) for k in range(1, 40)}
+
+
 def test_digests_in_chunks_and_unreadable_files(spark, tmp_path):
     data = {"empty": b"", "small": b"abc", "large": bytes(range(256)) * 1000}
     for name, content in data.items():

@@ -190,18 +190,36 @@ def scan_catalog(spark: SparkSession, path: str) -> DataFrame:
     )
 
 
-def run_of_path(depth: int = 1) -> Column:
-    """Directory name ``depth`` levels above the scanned file."""
-    return F.element_at(F.split(F.col("_metadata.file_path"), "/"), -1 - depth)
+def _folder_documents(spark: SparkSession, root: str, name: str) -> DataFrame:
+    """``(_run, content)`` of the file ``name`` of every run folder that has one.
+
+    Folders are named on the driver and the files read in tasks; staging folders fail the id pattern.
+    """
+    tops = files.list_names(spark, f"{root}/experiments").filter(F.col("length").isNull())
+    named = tops.select(F.element_at(F.split("path", "/"), -1).alias("_run"), F.concat("path", F.lit(f"/{name}")).alias("path"))
+    found = files.read_files(named.where(F.col("_run").rlike(SAFE_ID)))
+    return found.where(~F.col("error").eqNullSafe(files.ABSENT)).select("_run", "content")
+
+
+def parse_documents(rows: DataFrame, schema: T.StructType | str) -> DataFrame:
+    """``rows`` with the fields of the JSON text in ``content`` instead of it, as Spark's reader has them.
+
+    A list has a row for each of its documents, one that is no JSON object has nulls, blank
+    content has no row.
+    """
+    kind = T.StructType.fromDDL(schema) if isinstance(schema, str) else schema
+    text = F.col("content").cast("string")
+    found = F.coalesce(F.from_json(text, T.ArrayType(kind)), F.array(F.lit(None).cast(kind)))
+    rest = [c for c in rows.columns if c != "content"]
+    full = rows.where(text.isNull() | (F.length(F.trim(text, F.lit(" \t\r\n"))) > 0))
+    return full.select(*rest, F.explode(found).alias("_document")).select("_document.*", *rest)
 
 
 def _record_files(spark: SparkSession, root: str) -> DataFrame | None:
     """Every run document with the name of its folder; one that is no JSON object has nulls."""
-    path = f"{root}/experiments/*/record.json"
-    if not path_exists(spark, path):
+    if not path_exists(spark, f"{root}/experiments"):
         return None
-    rows = spark.read.schema(schemas.RECORD).option("multiLine", "true").json(path)
-    return rows.withColumn("_run", run_of_path()).where(F.col("_run").rlike(SAFE_ID))
+    return parse_documents(_folder_documents(spark, root, "record.json"), schemas.RECORD)
 
 
 def scan_records(spark: SparkSession, root: str) -> DataFrame:
@@ -226,13 +244,12 @@ def record_problems(spark: SparkSession, root: str) -> DataFrame:
 
 def scan_manifests(spark: SparkSession, root: str) -> DataFrame:
     """``(run_id, valid, artifacts, manifest_sha256)`` per run directory with a manifest."""
-    rows = spark.read.text(f"{root}/experiments/*/manifest.json", wholetext=True)
-    parsed = F.from_json("value", schemas.MANIFEST)
+    rows = _folder_documents(spark, root, "manifest.json")
     out = rows.select(
-        run_of_path().alias("run_id"),
-        parsed.alias("m"),
-        F.sha2("value", 256).alias("manifest_sha256"),
-    ).where(is_safe_id("run_id"))
+        F.col("_run").alias("run_id"),
+        F.from_json(F.col("content").cast("string"), schemas.MANIFEST).alias("m"),
+        F.sha2("content", 256).alias("manifest_sha256"),
+    )
     return out.select(
         "run_id",
         F.coalesce(
@@ -290,6 +307,11 @@ def read_json(spark: SparkSession, path: str, schema: T.StructType | str) -> Dat
     return spark.read.schema(schema).option("multiLine", "true").json(path)
 
 
+def read_documents(listed: DataFrame, schema: T.StructType | str) -> DataFrame:
+    """As :func:`read_json`, of the files at ``path``: any number of small ones, read in tasks."""
+    return parse_documents(files.read_files(listed.select("path")).select("content"), schema)
+
+
 # -- flattening -------------------------------------------------------------------
 
 

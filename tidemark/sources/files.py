@@ -17,8 +17,15 @@ from pyspark.sql import types as T
 
 # Bytes of a file that a task holds while it is hashed.
 CHUNK_BYTES = 8 << 20
-# Tasks that list the folders of a path, at most.
+# Tasks that list the folders of a path, at most, and the folders that one of them lists where
+# there are more than cores: a task costs as much as listing many small folders.
 TASKS = 10_000
+FOLDERS = 64
+# The error of a path without a file.
+ABSENT = "FileNotFoundError"
+# Rows and bytes of content after which a task passes on what it found.
+BATCH_ROWS = 10_000
+BATCH_BYTES = 8 << 20
 SPARK_SCHEMA = b"org.apache.spark.sql.parquet.row.metadata"
 
 
@@ -37,11 +44,10 @@ def filesystem(uri: str):
     return fs.FileSystem.from_uri(uri)
 
 
-def list_files(spark: SparkSession, path: str) -> DataFrame:
-    """``(path, length)`` of all files below ``path``, empty ones too; only metadata is read.
+def list_names(spark: SparkSession, path: str) -> DataFrame:
+    """``(path, length)`` of what is directly in ``path``, spread over tasks; a folder has no length.
 
-    The driver sees the names directly in ``path``; folders are listed in tasks. Names that start
-    with a dot or an underscore are hidden, with all that is below them.
+    The driver sees these names. Those that start with a dot or an underscore are hidden.
     """
     from pyarrow import fs
 
@@ -49,22 +55,41 @@ def list_files(spark: SparkSession, path: str) -> DataFrame:
     store, root = filesystem(path)
     prefix = path.removesuffix(root)
     tops = store.get_file_info(fs.FileSelector(root))
-    rows = [(x.path, x.size if x.is_file else None) for x in tops if not _hidden(x.base_name)]
-    spread = max(1, min(len(rows), TASKS))
-    named = spark.createDataFrame(rows, "path string, length long").repartition(spread)
+    rows = [(prefix + x.path, x.size if x.is_file else None) for x in tops if not _hidden(x.base_name)]
+    spread = max(spark.sparkContext.defaultParallelism, min(len(rows) // FOLDERS, TASKS))
+    named = spark.createDataFrame(rows, "path string, length long")
+    return named.repartition(max(1, min(len(rows), spread)))
+
+
+def list_files(spark: SparkSession, path: str) -> DataFrame:
+    """``(path, length)`` of all files below ``path``, empty ones too; only metadata is read.
+
+    The driver sees the names directly in ``path``; folders are listed in tasks. Names that start
+    with a dot or an underscore are hidden, with all that is below them.
+    """
+    from pyarrow import fs
+
+    def table(found: list[tuple[str, int]]) -> pa.RecordBatch:
+        columns = [pa.array([n for n, _ in found], pa.string()), pa.array([k for _, k in found], pa.int64())]
+        return pa.RecordBatch.from_arrays(columns, names=["path", "length"])
 
     def run(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        store, _ = filesystem(path)
+        found: list[tuple[str, int]] = []
         for batch in batches:
             for name, length in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist()):
-                found = [(name, length)]
                 if length is None:
-                    inside = store.get_file_info(fs.FileSelector(name, recursive=True))
-                    found = [(x.path, x.size) for x in inside if x.is_file and not _hidden_below(x.path, name)]
-                columns = [pa.array([prefix + n for n, _ in found], pa.string()), pa.array([k for _, k in found], pa.int64())]
-                yield pa.RecordBatch.from_arrays(columns, names=["path", "length"])
+                    store, inner = filesystem(name)
+                    prefix = name.removesuffix(inner)
+                    inside = store.get_file_info(fs.FileSelector(inner, recursive=True))
+                    found += [(prefix + x.path, x.size) for x in inside if x.is_file and not _hidden_below(x.path, inner)]
+                else:
+                    found.append((name, length))
+                if len(found) >= BATCH_ROWS:
+                    yield table(found)
+                    found = []
+        yield table(found)
 
-    return named.mapInArrow(run, "path string, length long")
+    return list_names(spark, path).mapInArrow(run, "path string, length long")
 
 
 def _hidden(name: str) -> bool:
@@ -110,6 +135,43 @@ def file_digests(files: DataFrame, chunk_bytes: int = CHUNK_BYTES) -> DataFrame:
     return files.repartition(tasks, "path").mapInArrow(run, schema)
 
 
+def read_files(files: DataFrame) -> DataFrame:
+    """``files`` with the ``content`` of the document at ``path`` and ``error`` where there is none.
+
+    Documents are read whole, so this is for small ones. Spark's own readers open one file for
+    each partition entry and plan them on the driver; here only names travel. One that cannot
+    be read has null content and the kind of error, :data:`ABSENT` where no file is.
+    """
+
+    def run(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        def table(start: int, contents: list, errors: list) -> pa.RecordBatch:
+            own = batch.slice(start, len(contents)).columns
+            columns = [*own, pa.array(contents, pa.binary()), pa.array(errors, pa.string())]
+            return pa.RecordBatch.from_arrays(columns, names=[*batch.schema.names, "content", "error"])
+
+        for batch in batches:
+            start, size, contents, errors = 0, 0, [], []
+            for path in batch.column("path").to_pylist():
+                try:
+                    store, inner = filesystem(path)
+                    with store.open_input_file(inner) as source:
+                        contents.append(source.readall())
+                    errors.append(None)
+                    size += len(contents[-1])
+                except (OSError, pa.ArrowException) as error:
+                    contents.append(None)
+                    errors.append(_reason(error))
+                if size >= BATCH_BYTES:
+                    yield table(start, contents, errors)
+                    start, size, contents, errors = start + len(contents), 0, [], []
+            yield table(start, contents, errors)
+
+    schema = T.StructType([*files.schema.fields, T.StructField("content", T.BinaryType()), T.StructField("error", T.StringType())])
+    # rows are narrow, but opening what they name is not
+    tasks = int(files.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    return files.repartition(tasks, "path").mapInArrow(run, schema)
+
+
 def footer_schemas(files: DataFrame) -> DataFrame:
     """``(path, schema, error)``: the Spark schema, as JSON, of every Parquet file at ``path``.
 
