@@ -14,7 +14,7 @@ from pyspark.sql.utils import AnalysisException
 from tidemark import streaming
 from tidemark.operators import integrity
 from tidemark.plans import acquisition
-from tidemark.session import settle, widen
+from tidemark.session import store, widen
 from tidemark.sources import catalog as sources
 from tidemark.sources import driver_tables as dt
 from tidemark.sources import files
@@ -155,9 +155,9 @@ def lake_manifests(spark, sf_dir):
 
 def lake_problems(spark: SparkSession, root: str, lost: DataFrame | None = None) -> DataFrame:
     """Problems of all runs of a lake; ``lost`` artifacts vanish after they were listed."""
-    manifests = settle(sources.scan_manifests(spark, root))
+    manifests = store(sources.scan_manifests(spark, root))
     usable = manifests.filter("valid").select("run_id")
-    listed = settle(sources.list_artifacts(spark, root).join(usable, "run_id", "left_semi"))
+    listed = store(sources.list_artifacts(spark, root).join(usable, "run_id", "left_semi"))
     if lost is not None:
         files.remove_files(listed.join(lost, ["run_id", "path"], "left_semi").select(F.col("file").alias("path")))
     actual = sources.artifact_digests(listed)
