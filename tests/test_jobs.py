@@ -131,3 +131,21 @@ def test_stream_equals_batch_and_resumes(spark, tmp_path):
     want = jobs.job_states(events, 9).select(*cols)
     assert sorted(map(tuple, got.select(*cols).collect())) == sorted(map(tuple, want.collect()))
     assert streaming.read_batches(spark, table).count() == len(rows)
+
+
+def test_many_jobs_share_a_group_and_keep_their_own_state(spark, tmp_path, monkeypatch):
+    monkeypatch.setattr(stateful, "BUCKETS", 4)
+    rows = [(job, 1000 * half + 10 * job + n, kind, at, token) for half in (0, 1) for job in range(60) for n, (kind, at, token) in enumerate(
+        [("claimed", 1, "x"), ("submitted", 2, None), ("claimed", 3, "a"), ("renewed", 5 + job % 3, "a"), ("claimed", 6, "b")]
+        if half == 0 else [("renewed", 10 + job % 7, "a"), ("claimed", 30, None), ("completed", 31, "a" if job % 2 else None)]
+    )]
+    events = spark.createDataFrame(rows, EVENTS)
+    path, table, mark = (str(tmp_path / n) for n in ("events", "table", "mark"))
+    for half in (0, 1):
+        events.filter(f"sequence DIV 1000 = {half}").repartition(3).write.mode("append").parquet(path)
+        query = streaming.write_batches(stateful.job_outcomes(spark.readStream.schema(EVENTS).parquet(path), 9), table, mark)
+        streaming.drain(query)
+        assert query.lastProgress.stateOperators[0].numRowsUpdated == 60  # a state for each job, not for each group
+    got = stateful.outcome_states(streaming.read_batches(spark, table)).select(*jobs.SUMMARY)
+    want = jobs.job_states(events, 9).select(*jobs.SUMMARY)
+    assert sorted(map(repr, got.collect())) == sorted(map(repr, want.collect()))

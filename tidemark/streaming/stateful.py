@@ -3,7 +3,9 @@
 from __future__ import annotations
 
 import sys
-from collections.abc import Iterator
+from collections.abc import Iterable, Iterator
+from itertools import groupby
+from operator import itemgetter
 
 import pandas as pd
 from pyspark import cloudpickle
@@ -107,6 +109,57 @@ def first_submissions(submitted: DataFrame, keep_ms: int | None = None) -> DataF
     )
 
 
+# Groups that jobs are dealt to, fixed for the life of a stream.
+BUCKETS = 1024
+LEASE_STATE = "status string, token string, lease_until long, claim_count long"
+FREE = (None, None, None, 0)
+
+
+def _follow_lease(job_id: int, state: tuple, events: Iterable[tuple], lease: int, out: list[tuple]) -> tuple:
+    """State of a job after ``events``; what became of each is added to ``out``."""
+    status, token, until, claims = state
+    for sequence, kind, at, presented in events:
+        live = status == "running" and until > at
+        expired = False
+        if kind == "submitted":
+            outcome = "duplicate" if status else "accepted"
+            status = status or "queued"
+        elif kind == "claimed":
+            if status == "queued" or (status == "running" and not live):
+                expired = status == "running"
+                status, token, until = "running", presented, int(at) + lease
+                claims += 1
+                outcome = "accepted"
+            else:
+                outcome = "refused"
+        elif live and isinstance(presented, str) and token == presented:
+            outcome = "accepted"
+            if kind == "renewed":
+                until = int(at) + lease
+            else:
+                status, token, until = kind, None, None
+        else:
+            outcome = "lost_claim"
+        out.append((job_id, sequence, kind, outcome, status, claims, until, expired))
+    return status, token, until, claims
+
+
+def _outcomes(out: list[tuple]) -> pd.DataFrame:
+    names = ("job_id", "sequence", "kind", "outcome", "status", "claim_count", "lease_until", "lease_expired")
+    table = dict(zip(names, map(list, zip(*out))))
+    table["lease_until"] = pd.array(table["lease_until"], dtype="Int64")
+    return pd.DataFrame(table)
+
+
+def _in_order(rows: Iterator[pd.DataFrame]) -> pd.DataFrame:
+    # A micro-batch is bounded by the source's trigger limit.
+    return pd.concat(list(rows)).sort_values(["job_id", "sequence"], kind="stable")
+
+
+def _events(batch: pd.DataFrame) -> Iterator[tuple]:
+    return zip(*[batch[c].tolist() for c in ("sequence", "kind", "at", "token")])
+
+
 class JobLease(StatefulProcessor):
     """Lease and token of one job; emits what became of every event."""
 
@@ -114,56 +167,33 @@ class JobLease(StatefulProcessor):
         self.lease = lease
 
     def init(self, handle: StatefulProcessorHandle) -> None:
-        self.job = handle.getValueState(
-            "job", "status string, token string, lease_until long, claim_count long"
-        )
+        self.job = handle.getValueState("job", LEASE_STATE)
 
     def handleInputRows(self, key, rows, timerValues) -> Iterator[pd.DataFrame]:
-        status, token, until, claims = self.job.get() if self.job.exists() else (None, None, None, 0)
-        # A micro-batch is bounded by the source's trigger limit.
-        batch = pd.concat(list(rows)).sort_values("sequence")
         out = []
-        for sequence, kind, at, presented in zip(
-            batch["sequence"], batch["kind"], batch["at"], batch["token"]
-        ):
-            live = status == "running" and until > at
-            expired = False
-            if kind == "submitted":
-                outcome = "duplicate" if status else "accepted"
-                status = status or "queued"
-            elif kind == "claimed":
-                if status == "queued" or (status == "running" and not live):
-                    expired = status == "running"
-                    status, token, until = "running", presented, int(at) + self.lease
-                    claims += 1
-                    outcome = "accepted"
-                else:
-                    outcome = "refused"
-            elif live and isinstance(presented, str) and token == presented:
-                outcome = "accepted"
-                if kind == "renewed":
-                    until = int(at) + self.lease
-                else:
-                    status, token, until = kind, None, None
-            else:
-                outcome = "lost_claim"
-            out.append((key[0], sequence, kind, outcome, status, claims, until, expired))
-        self.job.update((status, token, until, claims))
-        table = pd.DataFrame(
-            out,
-            columns=[
-                "job_id",
-                "sequence",
-                "kind",
-                "outcome",
-                "status",
-                "claim_count",
-                "lease_until",
-                "lease_expired",
-            ],
-        )
-        table["lease_until"] = table["lease_until"].astype("Int64")
-        yield table
+        self.job.update(_follow_lease(key[0], self.job.get() or FREE, _events(_in_order(rows)), self.lease, out))
+        yield _outcomes(out)
+
+    def close(self) -> None:
+        pass
+
+
+class JobLeases(StatefulProcessor):
+    """Leases and tokens of the jobs of one bucket, each with a state of its own."""
+
+    def __init__(self, lease: int):
+        self.lease = lease
+
+    def init(self, handle: StatefulProcessorHandle) -> None:
+        self.jobs = handle.getMapState("jobs", "job_id long", LEASE_STATE)
+
+    def handleInputRows(self, key, rows, timerValues) -> Iterator[pd.DataFrame]:
+        batch = _in_order(rows)
+        out = []
+        for job_id, events in groupby(zip(batch["job_id"].tolist(), _events(batch)), key=itemgetter(0)):
+            state = self.jobs.getValue((job_id,)) or FREE
+            self.jobs.updateValue((job_id,), _follow_lease(job_id, state, map(itemgetter(1), events), self.lease, out))
+        yield _outcomes(out)
 
     def close(self) -> None:
         pass
@@ -242,10 +272,14 @@ def job_outcomes(events: DataFrame, lease: int) -> DataFrame:
     """Outcome of every queue event: accepted, duplicate, refused or lost_claim.
 
     Late or stale acknowledgements are reported as ``lost_claim``, never dropped. Events of a
-    job must arrive in sequence order from one micro-batch to the next.
+    job must arrive in sequence order from one micro-batch to the next. Jobs are dealt to
+    ``BUCKETS`` groups: what a group costs is paid for many jobs at once, and a batch still
+    looks up the states of its own jobs only.
     """
-    return events.groupBy("job_id").transformWithStateInPandas(
-        statefulProcessor=JobLease(lease),
+    columns = [F.col(c) for c in ("job_id", "sequence", "kind", "at", "token")]
+    dealt = events.select(F.pmod(F.xxhash64("job_id"), F.lit(BUCKETS)).alias("bucket"), *columns)
+    return dealt.groupBy("bucket").transformWithStateInPandas(
+        statefulProcessor=JobLeases(lease),
         outputStructType=OUTCOMES,
         outputMode="Append",
         timeMode="None",

@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 from tidemark import streaming
 from tidemark.functions import exprs
 from tidemark.operators import fields, studies
+from tidemark.session import store
 from tidemark.sources import driver_tables as dt
 from tidemark.sources import mirror
 from tidemark.streaming import logs, stateful
@@ -25,7 +26,7 @@ SLICES = 3
 )
 def stream_job_states(spark, sf_dir):
     """Job leases followed over several micro-batches of the event table."""
-    events = job_suite.job_events(spark, sf_dir)
+    events = store(job_suite.job_events(spark, sf_dir))  # every slice reads it
     path = streaming.scratch(spark, "job-events")
     base = streaming.scratch(spark, "job-outcomes")
     top = dt.table(spark, sf_dir, "events").agg(F.max("event_id")).first()[0]
