@@ -47,6 +47,15 @@ def test_diagnostics_of_a_table_of_several_files(spark, tmp_path):
     assert {r["run_id"] * 25 + r["frame"]: r["energy"] for r in frames} == {v: v * v / 2 for v in range(100)}
 
 
+def test_diagnostics_of_empty_vectors_are_null(spark, tmp_path):
+    rows = [(0, [2.0] * 64, 1), (1, [], 1), (2, None, 1)]
+    table = spark.createDataFrame(rows, "vec_id long, embedding array<float>, label int")
+    table.write.parquet(str(tmp_path / "embeddings.parquet"))
+    frames = streams.stream_frame_diagnostics(spark, str(tmp_path)).collect()
+    got = {r["frame"]: (r["mean_velocity"], r["energy"]) for r in frames}
+    assert got == {0: (2.0, 2.0), 1: (None, None), 2: (None, None)}
+
+
 def test_submissions_are_inserted_once(spark, tmp_path):
     schema = "job_id long, sequence long, at long"
     path, table, mark = (str(tmp_path / n) for n in ("in", "out", "mark"))

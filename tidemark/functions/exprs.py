@@ -66,7 +66,8 @@ def total(values: str | Column) -> Column:
 
 
 def mean_of(values: str | Column) -> Column:
-    return total(values) / F.size(col(values))
+    """The mean; null for no values."""
+    return F.try_divide(total(values), F.size(col(values)))
 
 
 def max_abs(values: str | Column) -> Column:

@@ -112,16 +112,16 @@ def plate_forcing(n: Column, length: Column, contrast: Column) -> Column:
 
 
 def half_mean_square(*components: str | Column) -> Column:
-    """0.5 * mean(sum of squared components)."""
+    """0.5 * mean(sum of squared components); null for an empty grid."""
     first, *rest = components
     out = sum_sq(first)
     for c in rest:
         out = out + sum_sq(c)
-    return 0.5 * out / F.size(col(first))
+    return F.try_divide(0.5 * out, F.size(col(first)))
 
 
 def rms(values: str | Column) -> Column:
-    return F.sqrt(sum_sq(values) / F.size(col(values)))
+    return F.sqrt(F.try_divide(sum_sq(values), F.size(col(values))))
 
 
 def mean_preserving_update(state: str | Column, increment: str | Column) -> Column:
