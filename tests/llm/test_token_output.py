@@ -6,6 +6,7 @@ import numpy as np
 import public_tokenizers
 import pytest
 import tiktoken
+from pyspark import cloudpickle
 
 from tidemark.llm import common, token_output
 
@@ -59,6 +60,37 @@ def test_shards_match_brute_force(make):
         assert hashlib.sha256(data).hexdigest() == file["sha256"]
 
 
+def test_every_text_is_encoded_once(make, monkeypatch, tmp_path):
+    encode = token_output._streams
+
+    def noted(batch, *args):
+        with open(tmp_path / "encoded", "a") as log:
+            log.writelines(f"{i}\n" for i in batch.column(0).to_pylist())
+        return encode(batch, *args)
+
+    monkeypatch.setattr(token_output, "_streams", noted)
+    # By value, so that workers run the function above.
+    cloudpickle.register_pickle_by_value(token_output)
+    try:
+        docs = common.written(make(TEXTS).repartition(3), "docs")
+        folder = common.scratch(docs.sparkSession, "tokens")
+        token_output.write_shards(docs, folder, PATH, PATTERN, sequence_tokens=16, shard_sequences=50).count()
+    finally:
+        cloudpickle.unregister_pickle_by_value(token_output)
+    seen = sorted(map(int, (tmp_path / "encoded").read_text().split()))
+    assert seen == sorted(r.doc_id for r in docs.collect())
+
+
+def test_the_name_of_the_separator_is_plain_text(make, spark):
+    text = "<|separator|> a<|separator|>"
+    ranks = {base64.b64decode(a): int(b) for a, b in map(bytes.split, open(PATH, "rb"))}
+    codec = tiktoken.Encoding("t", pat_str=PATTERN, mergeable_ranks=ranks, special_tokens={})
+    folder = common.scratch(spark, "tokens")
+    token_output.write_shards(make([text]), folder, PATH, PATTERN, sequence_tokens=64).count()
+    ids = np.frombuffer(token_output.read_shards(spark, folder).collect()[0].ids, "<u2")
+    assert ids.tolist()[: len(codec.encode_ordinary(text))] == codec.encode_ordinary(text)
+
+
 def test_empty_table(make, spark):
     folder = common.scratch(spark, "tokens")
     assert token_output.write_shards(make([]), folder, PATH, PATTERN).count() == 0

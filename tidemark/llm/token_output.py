@@ -7,9 +7,10 @@ so slots are a permutation without gaps and anyone with the key can compute eith
 ranges of slots, and a shard file is its sequences one after the other in a fixed stride: training
 reads files from front to back and resumes at any slot by seeking.
 
-The first pass counts the tokens of every partition of the scan; with the counts before it, each
-partition knows its place in the stream, and the second pass encodes again, cuts and sends every
-piece of a sequence straight to its shard. Tokens are moved once, and never sorted by one task.
+The first pass encodes every text once and keeps the ids compressed, in runs that know their place
+in their partition of the scan; with the tokens of the partitions before it, each run knows its place
+in the stream, and the second pass cuts the kept ids and sends every piece of a sequence straight to
+its shard. Tokens are moved once, and never sorted by one task.
 Files are written under temporary names and appear in the manifest only when all are complete.
 """
 
@@ -26,11 +27,12 @@ import numpy as np
 import pandas as pd
 import pyarrow as pa
 import tiktoken
+import zstandard
 from pyspark import TaskContext
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tidemark.llm.common import fetch, filesystem, move_files, publish, slices, texts, written
+from tidemark.llm.common import discard, fetch, filesystem, move_files, publish, slices, texts, written
 
 SEQUENCE_TOKENS = 1024
 SHARD_SEQUENCES = 8192
@@ -39,6 +41,9 @@ KEY = 9
 SEPARATOR = 50256  # free in the 50k vocabularies
 MANIFEST = "manifest.json"
 RUN_BYTES = 4 << 20
+# How hard ids are compressed: whole runs, which are kept for the second pass, and pieces of sequences.
+KEPT_LEVEL = 5
+PIECE_LEVEL = 1
 
 
 class Permutation:
@@ -91,41 +96,61 @@ class Permutation:
 def _encoding(path: str, pattern: str) -> tiktoken.Encoding:
     with open(path, "rb") as lines:
         ranks = {base64.b64decode(t): int(r) for t, r in map(bytes.split, lines)}
-    return tiktoken.Encoding("ranks", pat_str=pattern, mergeable_ranks=ranks, special_tokens={})
+    # One special token, which no text is searched for: without any tiktoken tries each position.
+    special = {"<|separator|>": max(ranks.values()) + 1}
+    return tiktoken.Encoding("ranks", pat_str=pattern, mergeable_ranks=ranks, special_tokens=special)
 
 
 def _streams(batch: pa.RecordBatch, text: int, path: str, pattern: str, separator: int):
     """The token ids of every text of a batch, closed by the separator."""
-    encode = _encoding(path, pattern).encode_ordinary
+    encode = _encoding(path, pattern).encode_to_numpy
     for value in texts(batch, text):
-        ids = encode(value)
-        ids.append(separator)
-        yield np.array(ids, dtype=np.uint16)
+        ids = encode(value, disallowed_special=())
+        closed = np.empty(len(ids) + 1, dtype=np.uint16)
+        closed[:-1], closed[-1] = ids, separator
+        yield closed
 
 
-def _counts(source: DataFrame, path: str, pattern: str, separator: int) -> dict[int, tuple[int, int]]:
-    """Tokens and a check over the ids, for each partition of the scan."""
+@lru_cache(maxsize=4)
+def _compressor(level: int) -> zstandard.ZstdCompressor:
+    # Matches of two ids count: repeated words are short.
+    how = zstandard.ZstdCompressionParameters.from_level(level, min_match=4, write_content_size=True)
+    return zstandard.ZstdCompressor(compression_params=how)
 
-    def run(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        total, check = 0, 0
-        for batch in batches:
-            for ids in _streams(batch, 1, path, pattern, separator):
-                total += len(ids)
-            check = _check(check, batch)
-        part = TaskContext.get().partitionId()
-        row = [pa.array([part], pa.int32()), pa.array([total], pa.int64()), pa.array([check], pa.int64())]
-        yield pa.RecordBatch.from_arrays(row, names=["part", "tokens", "check"])
 
-    rows = source.mapInArrow(run, "part int, tokens long, check long").collect()  # one a partition
-    return {row["part"]: (row["tokens"], row["check"]) for row in rows}
+def _packed(ids: np.ndarray, level: int) -> bytes:
+    return _compressor(level).compress(ids.astype("<u2").tobytes())
 
 
-def _check(before: int, batch: pa.RecordBatch) -> int:
-    """Grows over the ids and text lengths of a partition in their order."""
-    digest = hashlib.blake2b(before.to_bytes(8, "little"), digest_size=7)
-    digest.update(repr(batch.column(0).to_pylist()).encode())
-    digest.update(repr(list(map(len, texts(batch, 1)))).encode())
-    return int.from_bytes(digest.digest(), "little")
+def _unpacked(data: bytes) -> bytes:
+    return zstandard.ZstdDecompressor().decompress(data)
+
+
+def _encoded(source: DataFrame, path: str, pattern: str, separator: int) -> DataFrame:
+    """``(part, place, tokens, docs, sizes, ids)``: the ids of runs of texts, each run with its place in
+    its partition of the scan."""
+
+    def run(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        part, place = TaskContext.get().partitionId(), 0
+        for batch in (piece for whole in batches for piece in slices(whole, 1, RUN_BYTES)):
+            own = list(_streams(batch, 1, path, pattern, separator))
+            stream = np.concatenate(own)
+            yield pa.RecordBatch.from_arrays(
+                [
+                    pa.array([part], pa.int32()),
+                    pa.array([place], pa.int64()),
+                    pa.array([len(stream)], pa.int64()),
+                    pa.array([batch.column(0).to_pylist()], pa.list_(pa.int64())),
+                    pa.array([list(map(len, own))], pa.list_(pa.int64())),
+                    pa.array([_packed(stream, KEPT_LEVEL)], pa.binary()),
+                ],
+                names=["part", "place", "tokens", "docs", "sizes", "ids"],
+            )
+            place += len(stream)
+
+    return source.mapInArrow(
+        run, "part int, place long, tokens long, docs array<long>, sizes array<long>, ids binary"
+    )
 
 
 _PIECES = "shard int, slot long, at int, ids binary, docs array<long>"
@@ -147,42 +172,39 @@ def write_shards(
 ) -> DataFrame:
     """Write the shards below ``folder`` and return ``(slot, sequence, shard, n_tokens, doc_ids)``.
 
-    ``documents`` must come from files or be written before: both passes scan it, and the second
-    fails if a partition is not what the first one saw. Null and empty texts are a separator alone;
+    ``documents`` is scanned once, in the order in which Spark gives it. Null and empty texts are a separator alone;
     the last sequence is filled up with separators, which ``n_tokens`` does not count; an empty
     table gives no shard. Ids may repeat or be null. Other columns are not read. Ids are
     little-endian unsigned 16-bit integers, so the vocabulary and separator must be below 65,536.
     """
     source = documents.select(F.col(id_col).cast("long"), F.col(text_col).cast("string"))
-    counts = _counts(source, path, pattern, separator)
+    kept = written(_encoded(source, path, pattern, separator), "token-ids")
+    counts = kept.groupBy("part").agg(F.sum("tokens").alias("tokens")).collect()  # one a partition
     starts, total = {}, 0
-    for part in sorted(counts):
-        starts[part] = (total, counts[part][1])
-        total += counts[part][0]
+    for part, tokens in sorted(map(tuple, counts)):
+        starts[part] = total
+        total += tokens
     n = -(-total // sequence_tokens)
     order = Permutation(n, key)
     shards = -(-n // shard_sequences)
     length = sequence_tokens
 
     def cut(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        place, wanted = starts[TaskContext.get().partitionId()]
-        check, done = 0, 0
-        for whole in batches:
-            check = _check(check, whole)
-            for batch in slices(whole, 1, RUN_BYTES):
-                doc_ids = batch.column(0).to_pylist()
-                own = list(_streams(batch, 1, path, pattern, separator))
-                ends = place + np.cumsum(list(map(len, own)))
-                stream = np.concatenate(own)
-                first, last = place // length, (place + len(stream) - 1) // length
+        for batch in batches:
+            for row in range(batch.num_rows):
+                part, place, tokens, doc_ids, sizes, ids = (c[row].as_py() for c in batch.columns)
+                place += starts[part]
+                stream = np.frombuffer(_unpacked(ids), dtype="<u2")
+                ends = place + np.cumsum(sizes)
+                first, last = place // length, (place + tokens - 1) // length
                 borders = np.maximum(np.arange(first, last + 2) * length, place)
-                borders[-1] = place + len(stream)
+                borders[-1] = place + tokens
                 # The texts that reach into each piece.
                 begin = np.searchsorted(ends, borders[:-1], side="right")
                 end = np.searchsorted(ends, borders[1:] - 1, side="right")
                 numbers = np.arange(first, last + 1)
                 slots = order.slots(numbers)
-                pieces = [stream[a - place : b - place].tobytes() for a, b in zip(borders, borders[1:])]
+                pieces = [_packed(stream[a - place : b - place], PIECE_LEVEL) for a, b in zip(borders, borders[1:])]
                 docs = [doc_ids[a : b + 1] for a, b in zip(begin, end)]
                 yield pa.RecordBatch.from_arrays(
                     [
@@ -194,17 +216,14 @@ def write_shards(
                     ],
                     names=["shard", "slot", "at", "ids", "docs"],
                 )
-                place += len(stream)
-                done += 1
-        if check != wanted and done:
-            raise RuntimeError("The scan gave other rows than before; write the table first")
 
     def assemble(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         """Sequences in the order of slots, each put together from its pieces."""
         writer, held = None, None
         for batch in batches:
             rows = []
-            for shard, slot, _, ids, docs in zip(*(c.to_pylist() for c in batch.columns)):
+            for shard, slot, _, packed, docs in zip(*(c.to_pylist() for c in batch.columns)):
+                ids = _unpacked(packed)
                 if held is not None and held["slot"] == slot:
                     held["ids"].append(ids)
                     held["docs"] += docs[held["docs"][-1:] == docs[:1] :]
@@ -220,9 +239,10 @@ def write_shards(
         if held is not None:
             yield pa.RecordBatch.from_pylist([writer.add(held), *writer.close()], schema=_ROWS)
 
-    pieces = source.mapInArrow(cut, _PIECES)
+    pieces = kept.mapInArrow(cut, _PIECES)
     sorted_ = pieces.repartitionById(max(1, shards), F.col("shard")).sortWithinPartitions("slot", "at")
     rows = written(sorted_.mapInArrow(assemble, f"slot long, n_tokens int, doc_ids array<long>, {_FILES}"), "shards")
+    discard(kept)
     files = rows.filter("slot IS NULL")
     move_files(files, folder)
     listed = files.select("shard", "first_slot", "sequences", "bytes", "sha256", "name").orderBy("shard").toPandas()
