@@ -1,6 +1,9 @@
 import random
+from types import SimpleNamespace
 
 import numpy as np
+import pyarrow as pa
+import pyarrow.compute as pc
 import pytest
 
 from tidemark.llm import parity_join as pj
@@ -42,6 +45,41 @@ def test_split_groups_and_frequent_segments(make, monkeypatch, group):
     assert _result(pj.link_documents(make(texts))) == components(list(enumerate(texts)))
 
 
+class _Batches:
+    """Stands for a table whose batches are given to the mapped function here."""
+
+    def __init__(self, texts):
+        ids = pa.array(range(len(texts)), pa.int64())
+        self.batch = pa.RecordBatch.from_arrays([ids, pa.array(texts, pa.string())], names=["doc", "text"])
+
+    def mapInArrow(self, run, schema):
+        return list(run([self.batch]))
+
+
+def test_batches_are_bounded_by_bytes_and_lose_nothing(monkeypatch):
+    docs = _Batches(_corpus(5))
+    none = pj.Frequent(np.empty(0, np.uint64), np.empty(0, np.int64))
+    members = lambda: pj._memberships(docs, SimpleNamespace(value=none))
+    signed = lambda: [b.slice(0).filter(pc.is_valid(b["doc"])) for b in pj.signatures(docs)]
+    whole = pa.Table.from_batches(members()), pa.Table.from_batches(signed())
+    monkeypatch.setattr(pj, "RUN_BYTES", 2_000)
+    monkeypatch.setattr(pj, "COUNTED_SEGMENTS", 500)
+    found = members(), signed()
+    assert max(b.num_rows for b in found[0]) < whole[0].num_rows / 4
+    assert max(b.num_rows for b in found[1]) < whole[1].num_rows / 2
+    assert [pa.Table.from_batches(part) for part in found] == list(whole)
+
+
+def test_often_counts_like_unique():
+    rng = np.random.default_rng(4)
+    for size in (1, 3, 4, 5, 6, 400):
+        parts = [rng.integers(0, 40, size).astype(np.uint64) for _ in range(2)] + [np.empty(0, np.uint64)]
+        names, seen = np.unique(np.concatenate(parts), return_counts=True)
+        often = seen >= pj.FREQUENT_IN_BATCH
+        got = pj._often(parts)
+        assert got[0].tolist() == names[often].tolist() and got[1].tolist() == seen[often].tolist() and parts == []
+
+
 def test_sketches_never_exceed_the_difference():
     random.seed(2)
     for _ in range(60):

@@ -33,7 +33,7 @@ import xxhash
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from tidemark.llm.common import discard, release, texts, written
+from tidemark.llm.common import discard, release, slices, texts, written
 from tidemark.operators.components import connected_components
 
 # Fixed by the contract.
@@ -49,6 +49,9 @@ LEAST_SEGMENTS = 4096
 FREQUENT_IN_BATCH = 5
 FREQUENT = 8
 FREQUENT_LISTED = 200_000
+# Texts are taken in runs of so many bytes, and segments counted in runs of about so many.
+RUN_BYTES = 4 << 20
+COUNTED_SEGMENTS = 8 << 20
 # Nodes of one frequent segment that are chained in one group, nodes verified against one text in
 # one group, and nodes on each side of a tile.
 GROUP_NODES = 2_000
@@ -171,42 +174,60 @@ def needed_segments(found: np.ndarray, band: int, frequent: Frequent):
     return names[order], seen[order], int((seen > 0).sum())
 
 
+def _often(fresh: list[np.ndarray]) -> tuple[np.ndarray, np.ndarray]:
+    """The segments that ``fresh``, which is emptied, holds ``FREQUENT_IN_BATCH`` times or more, and how often."""
+    names = np.concatenate(fresh)
+    fresh.clear()
+    names.sort()
+    more = FREQUENT_IN_BATCH - 1
+    often = np.unique(names[more:][names[more:] == names[: max(0, len(names) - more)]])
+    return often, np.searchsorted(names, often, "right") - np.searchsorted(names, often)
+
+
 def signatures(documents: DataFrame) -> DataFrame:
     """Two kinds of rows from one pass over ``(doc, text)``: documents ``(doc, node, size, sketch)``
     and segments frequent in a batch of rows ``(segment, seen)``."""
     names_out = ["doc", "node", "size", "sketch", "segment", "seen"]
 
+    def counted(fresh: list[np.ndarray]) -> pa.RecordBatch:
+        names, seen = _often(fresh)
+        none = pa.nulls(len(names), pa.int64())
+        blank = pa.nulls(len(names), pa.binary())
+        own = [pa.array(names.view(np.int64)), pa.array(seen.astype(np.int64))]
+        return pa.RecordBatch.from_arrays([none, none, none, blank, *own], names=names_out)
+
     def run(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            nodes, sizes, sketches, fresh, known = [], [], [], [], set()
-            for text in texts(batch, 1):
-                found = shingles(text)
-                sizes.append(len(found))
-                sketches.append(compare_sketch(found) if len(found) else None)
-                nodes.append(node_of(found) if len(found) else None)
-                if len(found) and nodes[-1] not in known:
-                    known.add(nodes[-1])
-                    fresh += [segments(found, band) for band in bands(len(found))]
-            none = [None] * batch.num_rows
-            yield pa.RecordBatch.from_arrays(
-                [
-                    batch.column(0),
-                    pa.array(nodes, pa.int64()),
-                    pa.array(sizes, pa.int64()),
-                    pa.array(sketches, pa.binary()),
-                    pa.array(none, pa.int64()),
-                    pa.array(none, pa.int64()),
-                ],
-                names=names_out,
-            )
+        for whole in batches:
+            fresh, known, held = [], set(), 0
+            for batch in slices(whole, 1, RUN_BYTES):
+                nodes, sizes, sketches = [], [], []
+                for text in texts(batch, 1):
+                    found = shingles(text)
+                    sizes.append(len(found))
+                    sketches.append(compare_sketch(found) if len(found) else None)
+                    nodes.append(node_of(found) if len(found) else None)
+                    if len(found) and nodes[-1] not in known:
+                        known.add(nodes[-1])
+                        own = [segments(found, band) for band in bands(len(found))]
+                        fresh += own
+                        held += sum(map(len, own))
+                    if held >= COUNTED_SEGMENTS:
+                        yield counted(fresh)
+                        held = 0
+                none = pa.nulls(batch.num_rows, pa.int64())
+                yield pa.RecordBatch.from_arrays(
+                    [
+                        batch.column(0),
+                        pa.array(nodes, pa.int64()),
+                        pa.array(sizes, pa.int64()),
+                        pa.array(sketches, pa.binary()),
+                        none,
+                        none,
+                    ],
+                    names=names_out,
+                )
             if fresh:
-                names, seen = np.unique(np.concatenate(fresh), return_counts=True)
-                often = seen >= FREQUENT_IN_BATCH
-                names, seen = names[often].view(np.int64), seen[often]
-                none = pa.nulls(len(names), pa.int64())
-                blank = pa.nulls(len(names), pa.binary())
-                counted = [pa.array(names), pa.array(seen.astype(np.int64))]
-                yield pa.RecordBatch.from_arrays([none, none, none, blank, *counted], names=names_out)
+                yield counted(fresh)
 
     return documents.mapInArrow(
         run, "doc long, node long, size long, sketch binary, segment long, seen long"
@@ -236,35 +257,39 @@ def _memberships(documents: DataFrame, frequent) -> DataFrame:
     ``part`` splits the nodes of very frequent segments, marked ``split``, into groups.
     """
 
+    def members(batch: pa.RecordBatch, known: set[int], listed: Frequent) -> Iterator[pa.RecordBatch]:
+        names, groups, nodes, sizes, common = [], [], [], [], []
+        for text in texts(batch, 1):
+            found = shingles(text)
+            if not len(found) or (node := node_of(found)) in known:
+                continue
+            known.add(node)
+            for band in bands(len(found)):
+                own, seen, frequent_ones = needed_segments(found, band, listed)
+                common.append(np.full(len(own), frequent_ones, dtype=np.int32))
+                names.append(own)
+                groups.append(seen // GROUP_NODES + 1)
+                nodes.append(np.full(len(own), node))
+                sizes.append(np.full(len(own), len(found), dtype=np.int32))
+        if names:
+            group, node = np.concatenate(groups), np.concatenate(nodes).astype(np.int64)
+            yield pa.RecordBatch.from_arrays(
+                [
+                    pa.array(np.concatenate(names).view(np.int64)),
+                    pa.array(group > 1),
+                    pa.array((node % group).astype(np.int32)),
+                    pa.array(node),
+                    pa.array(np.concatenate(sizes)),
+                    pa.array(np.concatenate(common)),
+                ],
+                names=["segment", "split", "part", "node", "size", "common"],
+            )
+
     def run(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        listed = frequent.value
-        for batch in batches:
-            names, groups, nodes, sizes, common, known = [], [], [], [], [], set()
-            for text in texts(batch, 1):
-                found = shingles(text)
-                if not len(found) or (node := node_of(found)) in known:
-                    continue
-                known.add(node)
-                for band in bands(len(found)):
-                    own, seen, frequent_ones = needed_segments(found, band, listed)
-                    common.append(np.full(len(own), frequent_ones))
-                    names.append(own)
-                    groups.append(seen // GROUP_NODES + 1)
-                    nodes.append(np.full(len(own), node))
-                    sizes.append(np.full(len(own), len(found)))
-            if names:
-                group, node = np.concatenate(groups), np.concatenate(nodes).astype(np.int64)
-                yield pa.RecordBatch.from_arrays(
-                    [
-                        pa.array(np.concatenate(names).view(np.int64)),
-                        pa.array(group > 1),
-                        pa.array((node % group).astype(np.int32)),
-                        pa.array(node),
-                        pa.array(np.concatenate(sizes).astype(np.int32)),
-                        pa.array(np.concatenate(common).astype(np.int32)),
-                    ],
-                    names=["segment", "split", "part", "node", "size", "common"],
-                )
+        for whole in batches:
+            known: set[int] = set()
+            for batch in slices(whole, 1, RUN_BYTES):
+                yield from members(batch, known, frequent.value)
 
     return documents.mapInArrow(
         run, "segment long, split boolean, part int, node long, size int, common int"
@@ -487,7 +512,7 @@ def _verified(pairs: DataFrame, documents: DataFrame, nodes: DataFrame) -> DataF
 
     def run(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         key, held = None, None
-        for batch in batches:
+        for batch in (piece for whole in batches for piece in slices(whole, 4, RUN_BYTES)):
             links: list[tuple[int, int]] = []
             for b, group, compared, node, text in zip(*(c.to_pylist() for c in batch.columns)):
                 found = shingles(text or "")
