@@ -4,6 +4,7 @@ import zlib
 from collections import Counter
 
 import numpy as np
+import pyarrow as pa
 import pytest
 
 from tidemark.llm import lm
@@ -98,6 +99,71 @@ def test_word_model_matches_plain_model(make, order):
         assert r.score == pytest.approx(score, rel=1e-9, abs=1e-9)
 
 
+@pytest.mark.parametrize("order", [2, 4])
+def test_small_batches_shards_and_runs_change_nothing(make, monkeypatch, order):
+    rows = list(enumerate([*_texts(), *_texts()[:40]]))
+    want = reference(rows, order, 0)
+    monkeypatch.setattr(lm, "RUN_BYTES", 2_000)
+    monkeypatch.setattr(lm, "SHARD_TOKENS", 3_000)
+    monkeypatch.setattr(lm, "RUN_TOKENS", 7)
+    documents = make([t for _, t in rows]).coalesce(2)
+    got = {r.doc_id: r for r in lm.score_documents(documents, order=order).collect()}
+    assert len(got) == len(rows)
+    for i, (held, n_tokens, n_known, total, base, score) in want.items():
+        r = got[i]
+        assert (r.held_out, r.n_tokens, r.n_known, r.train_tokens) == (held, n_tokens, n_known, total)
+        assert r.base_score == pytest.approx(base, rel=1e-9, abs=1e-9)
+        assert r.score == pytest.approx(score, rel=1e-9, abs=1e-9)
+
+
+class _Packed:
+    """Runs the mapped function of a table here, on batches of texts."""
+
+    schema = {"id": type("_", (), {"dataType": type("_", (), {"simpleString": staticmethod(lambda: "bigint")})})}
+
+    def __init__(self, texts):
+        rows = pa.array(range(len(texts))), pa.array([k % 3 == 0 for k in range(len(texts))]), pa.array(texts)
+        self.batches = pa.Table.from_arrays(list(rows), names=["id", "held_out", "text"]).to_batches(10)
+
+    def select(self, *names):
+        return self
+
+    def mapInArrow(self, run, schema):
+        return [row for out in run(self.batches) for row in out.to_pylist()]
+
+
+def test_counts_of_shards_are_those_of_all_texts_and_smaller_than_rows(monkeypatch):
+    random.seed(5)
+    held = [" ".join(random.choices([f"w{k}" for k in range(60)], k=random.randint(0, 90))) for _ in range(300)]
+    monkeypatch.setattr(lm, "RUN_BYTES", 8_000)
+    packed = lm.pack_texts(_Packed(held))
+    assert len(packed) > 5 and [i for row in packed for i in row["ids"]] == list(range(300))
+    grams, shards, sent = Counter(), 3, {}
+    for row in packed:
+        batch = lm.Batch(row, 3)
+        sent[row["batch"]] = list(lm._packed(batch, row["batch"], 2, shards, np.zeros(len(batch.levels[2].hash), np.int64)))
+    for k, text in enumerate(held):
+        if k % 3:
+            seq = [END, *words(text), END]
+            grams.update(tuple(seq[i : i + n]) for n in (2, 3) for i in range(len(seq) - n + 1))
+    got = [row for s in range(shards) for row in lm._counted_shard([r for own in sent.values() for r in own if r["shard"] == s], 2)]
+    owned = 0
+    for row in packed:
+        batch = lm.Batch(row, 3)
+        mine = [r for r in got if r["batch"] == row["batch"]]
+        counts = lm.Counts(batch, 2, mine, shards)
+        owned += lm._placed(mine, "owned", "contexts", batch.layout(2, shards)[0]).sum()
+        tokens = lambda at: [END if w == lm.END else names[w] for w in batch.words[batch.stream[at]]]
+        names = {int(lm.word_hashes(w)[0]): w for w in (f"w{k}" for k in range(60))}
+        for level, found in ((2, counts.total), (3, counts.counts)):
+            for at in np.flatnonzero(batch.levels[level].at >= 0)[::7]:
+                gram = tuple(tokens(slice(at - level + 1, at + 1)))
+                assert found[batch.levels[level].at[at]] == grams[gram]
+    assert owned == sum(len(g) == 2 for g in grams)
+    size = sum(len(v) for own in sent.values() for r in own for v in r.values() if isinstance(v, bytes))
+    assert size < 12 * sum(r["n_tokens"] for r in packed)  # 36 bytes each as rows
+
+
 def test_order_of_rare_words_counts(make):
     held = [i for i in range(400) if zlib.crc32(str(i).encode()) % 7 == 2][:2]
     passage = " ".join(f"rare{k}" for k in range(12))

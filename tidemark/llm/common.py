@@ -178,3 +178,34 @@ def slices(batch: pa.RecordBatch, column: int | str, limit: int) -> Iterator[pa.
     starts = np.flatnonzero(np.concatenate([[True], run[1:] != run[:-1]])) if len(run) else []
     for a, b in zip(starts, [*starts[1:], batch.num_rows]):
         yield batch.slice(a, b - a)
+
+
+def runs(batches: Iterable[pa.RecordBatch], column: int | str, limit: int) -> Iterator[pa.RecordBatch]:
+    """All rows of a task in runs of about ``limit`` bytes of text, one row at least."""
+    held, size = [], 0
+
+    def whole() -> pa.RecordBatch:
+        return pa.Table.from_batches(held).combine_chunks().to_batches()[0]
+
+    for piece in (part for batch in batches if batch.num_rows for part in slices(batch, column, limit)):
+        more = pc.sum(pc.binary_length(piece.column(column))).as_py() or 0
+        if held and size + more > limit:
+            yield whole()
+            held, size = [], 0
+        held.append(piece)
+        size += more
+    if held:
+        yield whole()
+
+
+def squeezed(values: np.ndarray) -> bytes:
+    """Numbers compressed byte by byte place, so that small ones and sorted ones take little."""
+    planes = np.ascontiguousarray(values.view(np.uint8).reshape(len(values), values.itemsize).T)
+    return pa.compress(planes.tobytes(), codec="zstd", asbytes=True)
+
+
+def spread(data: bytes, length: int, kind) -> np.ndarray:
+    """The ``length`` numbers of type ``kind`` that :func:`squeezed` took."""
+    width = np.dtype(kind).itemsize
+    planes = np.frombuffer(pa.decompress(data, length * width, codec="zstd", asbytes=True), np.uint8)
+    return np.ascontiguousarray(planes.reshape(width, length).T).view(kind).reshape(length)

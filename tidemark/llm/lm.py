@@ -21,8 +21,11 @@ of all other words are joined, and only sums come back to a text.
 
 from __future__ import annotations
 
+import functools
 import math
+import uuid
 from collections.abc import Iterable, Iterator
+from typing import NamedTuple
 
 import numpy as np
 import pyarrow as pa
@@ -30,7 +33,7 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from tidemark.llm.common import fold, slices, texts, written
+from tidemark.llm.common import fold, release, runs, slices, spread, squeezed, texts, written
 
 FOLDS = 7
 HELD_OUT_FOLD = 2
@@ -41,6 +44,11 @@ KNOWN_SHARE = 2e-5
 
 # Texts are taken through the automaton in runs of so many bytes.
 RUN_BYTES = 6 << 20
+# N-grams are counted in shards of about so many tokens, words after a context told apart by so many bits.
+SHARD_TOKENS = 2 << 20
+WORD_BITS = np.uint64((1 << 40) - 1)
+# Long texts are read in runs of so many tokens.
+RUN_TOKENS = 256
 
 # The token that ends a text; no word is empty.
 END = int(np.array(xxhash.xxh3_64_intdigest(b""), dtype=np.uint64).view(np.int64))
@@ -230,126 +238,359 @@ def _mixed(z: np.ndarray) -> np.ndarray:
     return z ^ (z >> np.uint64(31))
 
 
-def _token_grams(rows: list[str], order: int):
-    """The n-gram that ends on each token: key, length and words (last one first); and the lengths of the texts.
+class Level(NamedTuple):
+    """The n-grams of one length in a batch of texts, numbered by the ``code`` of their first words' number and last word.
 
-    It has ``order`` words, fewer where the text has not as many before; texts begin after an end.
+    ``at`` has the number of the n-gram that ends on each word, texts beginning after an end, and -1
+    where the text has too few words before; ``n`` counts those of training texts.
     """
-    tokens, lengths = _token_batch(rows)
-    owner = np.repeat(np.arange(len(lengths)), lengths)
-    begun = np.insert(tokens, np.cumsum(lengths) - lengths, END)
-    at = np.arange(len(tokens)) + owner + 1
-    within = np.arange(len(tokens)) - np.repeat(np.cumsum(lengths) - lengths, lengths)
-    size = np.minimum(within + 2, order)
-    words, key = [tokens], _mixed(tokens.view(np.uint64))
-    for k in range(1, order):
-        valid = size > k
-        word = np.where(valid, begun[np.maximum(at - k, 0)], 0)
-        longer = _mixed(key * np.uint64(0x9E3779B97F4A7C15) + word.view(np.uint64))
-        key = np.where(valid, longer, key)
-        words.append(word)
-    return key.view(np.int64), size, words, lengths
-
-
-def count_word_grams(source: DataFrame, order: int) -> DataFrame:
-    """``(key, size, w0, w1, .., n)``: the n-grams of all tokens of ``held_out, text`` with their training counts."""
 
-    def run(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in (part for whole in batches for part in slices(whole, 1, RUN_BYTES)):
-            key, size, words, lengths = _token_grams(texts(batch, 1), order)
-            trains = ~batch.column(0).to_numpy(zero_copy_only=False).astype(bool)
-            own, first, group = np.unique(key, return_index=True, return_inverse=True)
-            n = np.bincount(group, weights=np.repeat(trains, lengths), minlength=len(own))
-            columns = [own, size[first].astype(np.int32), *(w[first] for w in words), n.astype(np.int64)]
-            yield pa.RecordBatch.from_arrays([pa.array(c) for c in columns], names=names)
-
-    words = [f"w{k}" for k in range(order)]
-    names = ["key", "size", *words, "n"]
-    schema = "key long, size int, " + ", ".join(f"{w} long" for w in words) + ", n long"
-    counted = source.select("held_out", "text").mapInArrow(run, schema)
-    return counted.groupBy(*names[:-1]).agg(F.sum("n").alias("n"))
+    at: np.ndarray
+    prefix: np.ndarray
+    word: np.ndarray
+    suffix: np.ndarray
+    hash: np.ndarray
+    n: np.ndarray
 
 
-def word_model(source: DataFrame, order: int) -> tuple[DataFrame, int, int]:
-    """``(key, c, weight)`` of every n-gram of a token, and the numbers of training tokens and words.
+def pack_texts(source: DataFrame) -> DataFrame:
+    """``(batch, ids, held_out, lengths, words, tokens, n_tokens, n_train)``: texts of about ``RUN_BYTES`` in a row.
 
-    ``c`` is the training count of the n-gram's last word, ``weight`` the log10 chance of it.
+    ``words`` has the hashes of the different words, frequent ones first and each as its difference to the
+    one before, which takes little space; ``tokens`` has all texts as places in it.
     """
-    raw = written(count_word_grams(source, order), "grams")
-    words = [f"w{k}" for k in range(order)]
-    levels = {order: raw.filter(F.col("size") == order).select(*words, "n")}
-    for k in range(order - 1, 0, -1):
-        longer = levels[k + 1].select(*words[:k], "n")
-        begun = raw.filter(F.col("size") == k).select(*words[:k], "n")
-        shorter = longer.unionByName(begun).groupBy(*words[:k]).agg(F.sum("n").alias("n"))
-        levels[k] = written(shorter, f"grams-{k}")
-    row = levels[1].agg(F.coalesce(F.sum("n"), F.lit(0)), F.count_if(F.col("n") > 0)).first()
-    tokens, kinds = row[0], row[1]
-    # Of no context: add-one over all words, the end and one for all words never seen.
-    chance = (F.col("n") + 1.0) / float(tokens + max(kinds, 1) + 1)
-    arcs = levels[1].select("w0", F.col("n").alias("c"), chance.alias("chance"))
-    found = [_keyed(raw, arcs, 1)]
-    for k in range(2, order + 1):
-        once, twice = levels[k].agg(F.count_if(F.col("n") == 1), F.count_if(F.col("n") == 2)).first()
-        discount = once / (once + 2 * twice) if once and twice else 0.5
-        states = (
-            levels[k].filter("n > 0").groupBy(*words[1:k])
-            .agg(F.sum("n").alias("total"), (F.count("*") * F.lit(discount) / F.sum("n")).alias("backoff"))
-        )
-        above = F.greatest(F.col("n") - discount, F.lit(0.0)) / F.col("total")
-        weight = F.coalesce(above, F.lit(0.0)) + F.coalesce("backoff", F.lit(1.0)) * F.col("chance")
-        joined = levels[k].join(states, words[1:k], "left").join(arcs, words[: k - 1])
-        arcs = written(joined.select(*words[:k], "c", weight.alias("chance")), f"arcs-{k}")
-        found.append(_keyed(raw, arcs, k))
-    model = found[0]
-    for part in found[1:]:
-        model = model.unionByName(part)
-    return model, tokens, kinds
 
+    def run(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in runs(batches, 2, RUN_BYTES):
+            tokens, lengths = _token_batch(texts(batch, 2))
+            words, place, count = np.unique(tokens, return_inverse=True, return_counts=True)
+            order = np.lexsort((words, -count))
+            rank = np.empty_like(order)
+            rank[order] = np.arange(len(order))
+            held = batch.column(1).to_numpy(zero_copy_only=False).astype(bool)
+            whole = lambda column: pa.ListArray.from_arrays([0, batch.num_rows], column)
+            binary = [squeezed(x) for x in (lengths, np.diff(words[order], prepend=0), rank[place])]
+            numbers = [uuid.uuid4().int >> 65, len(words), len(tokens), int(lengths[~held].sum())]
+            yield pa.RecordBatch.from_arrays(
+                [whole(batch.column(0)), whole(batch.column(1)), *(pa.array([x]) for x in [*binary, *numbers])],
+                names=["ids", "held_out", "lengths", "words", "tokens", "batch", "n_words", "n_tokens", "n_train"],
+            )
 
-def _keyed(raw: DataFrame, arcs: DataFrame, size: int) -> DataFrame:
-    """The arcs of the n-grams of ``size`` words that end on a token, by their keys."""
-    words = [f"w{k}" for k in range(size)]
-    own = raw.filter(F.col("size") == size).select("key", *words)
-    return own.join(arcs, words).select("key", "c", F.log10("chance").alias("weight"))
+    kind = source.schema["id"].dataType.simpleString()
+    return source.select("id", "held_out", "text").mapInArrow(
+        run,
+        f"ids array<{kind}>, held_out array<boolean>, lengths binary, words binary, tokens binary, "
+        "batch long, n_words long, n_tokens long, n_train long",
+    )
 
 
-def _score_by_words(source: DataFrame, id_col: str, order: int) -> DataFrame:
-    model, tokens, kinds = word_model(source, order)
+class Batch:
+    """The texts of one row of :func:`pack_texts` and their n-grams up to ``order`` words."""
+
+    def __init__(self, row: dict, order: int):
+        self.words = np.cumsum(spread(row["words"], row["n_words"], np.int64))
+        self.held = np.array(row["held_out"], dtype=bool)
+        self.lengths = spread(row["lengths"], len(self.held), np.int64)
+        tokens = spread(row["tokens"], row["n_tokens"], np.int64)
+        end = np.flatnonzero(self.words == END)[0]
+        self.stream = np.insert(tokens, np.cumsum(self.lengths) - self.lengths, end)
+        self.starts = np.cumsum(self.lengths + 1) - self.lengths - 1
+        self.within = np.arange(len(self.stream)) - np.repeat(self.starts, self.lengths + 1)
+        trains = np.repeat(~self.held, self.lengths + 1)
+        base, none = len(self.words), np.zeros(len(self.words), np.int64)
+        counted = np.bincount(self.stream[trains & (self.within > 0)], minlength=base)
+        named = _mixed(self.words.view(np.uint64))
+        self.levels = [None, Level(self.stream, none, np.arange(base), none, named, counted)]
+        for k in range(2, order + 1):
+            below, last = self.levels[-1], np.flatnonzero(self.within >= k - 1)
+            codes, first, number = np.unique(
+                below.at[last - 1] * base + self.stream[last], return_index=True, return_inverse=True
+            )
+            at = np.full(len(self.stream), -1)
+            at[last] = number
+            prefix, word = np.divmod(codes, base)
+            chained = _mixed(below.hash[prefix] * np.uint64(0x9E3779B97F4A7C15) + named[word])
+            n = np.bincount(number[trains[last]], minlength=len(codes))
+            self.levels.append(Level(at, prefix, word, below.at[last[first]], chained, n))
+
+    def layout(self, level: int, shards: int):
+        """The n-grams of ``level`` by hash, those one word longer in the order of their first words,
+        how many each has, and where the shards begin among either."""
+        hashes = self.levels[level].hash
+        order = np.argsort(hashes, kind="stable")
+        rank = np.empty_like(order)
+        rank[order] = np.arange(len(order))
+        prefix = self.levels[level + 1].prefix if 1 < level < len(self.levels) - 1 else np.empty(0, np.int64)
+        longer = np.argsort(rank[prefix], kind="stable")
+        sizes = np.bincount(prefix, minlength=len(order))[order]
+        shard = ((hashes[order] >> np.uint64(32)) * np.uint64(shards)) >> np.uint64(32)
+        cuts = np.searchsorted(shard, np.arange(shards + 1))
+        return order, longer, sizes, cuts, np.concatenate([[0], np.cumsum(sizes)])[cuts]
+
+
+PACKED = "batch long, shard int, contexts long, arcs long, hashes binary, n binary, kinds binary, sizes binary, words binary, m binary"
+
+
+def _packed(batch: Batch, number: int, level: int, shards: int, kinds: np.ndarray) -> Iterator[dict]:
+    """The n-grams of ``level`` and those one word longer, a row for each shard of their hashes."""
+    order, longer, sizes, cuts, ends = batch.layout(level, shards)
+    own = batch.levels[level]
+    hashes, n, kinds = own.hash[order], own.n[order], kinds[order]
+    words = m = np.empty(0, np.int64)
+    if level > 1:
+        arcs = batch.levels[level + 1]
+        words, m = batch.levels[1].hash[arcs.word[longer]] & WORD_BITS, arcs.n[longer]
+    for shard in np.flatnonzero(np.diff(cuts)):
+        a, b, c, d = cuts[shard], cuts[shard + 1], ends[shard], ends[shard + 1]
+        yield {
+            "batch": number,
+            "shard": int(shard),
+            "contexts": int(b - a),
+            "arcs": int(d - c),
+            "hashes": squeezed(np.diff(hashes[a:b], prepend=np.uint64(0))),
+            **{name: squeezed(x[a:b]) for name, x in (("n", n), ("kinds", kinds), ("sizes", sizes))},
+            "words": squeezed(words[c:d]),
+            "m": squeezed(m[c:d]),
+        }
+
+
+COUNTED = (
+    "batch long, level int, shard int, contexts long, arcs long, totals binary, kinds binary, owned binary, counts binary, "
+    "seen long, once long, twice long, arcs_once long, arcs_twice long"
+)
+
+
+def _counted_shard(rows: list[dict], level: int) -> Iterator[dict]:
+    """For every batch of a shard the counts over all batches.
+
+    ``totals`` and ``kinds`` say how often an n-gram was in training and how many words followed it,
+    ``counts`` the n-grams one word longer; ``owned`` marks an n-gram of training in one batch.
+    """
+    whole = lambda name, size, kind: np.concatenate([spread(r[name], r[size], kind) for r in rows])
+    hashes = np.concatenate([np.cumsum(spread(r["hashes"], r["contexts"], np.uint64)) for r in rows])
+    n, kinds, sizes = (whole(name, "contexts", np.int64) for name in ("n", "kinds", "sizes"))
+    words, m = whole("words", "arcs", np.uint64), whole("m", "arcs", np.int64)
+    names, own = np.unique(hashes, return_inverse=True)
+    total = _sums(own, n, len(names))
+    trained = np.flatnonzero(n)
+    owned = np.zeros(len(n), np.int64)
+    owned[trained[np.unique(own[trained], return_index=True)[1]]] = 1
+    context = np.repeat(own, sizes)
+    order = np.lexsort((words, context))
+    c, w = context[order], words[order]
+    new = np.ones(len(order), bool)
+    new[1:] = (c[1:] != c[:-1]) | (w[1:] != w[:-1])
+    arc = np.empty_like(order)
+    arc[order] = np.cumsum(new) - 1
+    count = _sums(arc, m, int(new.sum()))
+    kind = _sums(own, kinds, len(names)) + np.bincount(c[new][count > 0], minlength=len(names))
+    facts = [(total > 0).sum(), *((x == k).sum() for x in (total, count) for k in (1, 2))]
+    a = d = 0
+    for row in rows:
+        b, e = a + row["contexts"], d + row["arcs"]
+        yield {
+            **{name: row[name] for name in ("batch", "shard", "contexts", "arcs")},
+            "level": level,
+            "totals": squeezed(total[own[a:b]]),
+            "kinds": squeezed(kind[own[a:b]]),
+            "owned": squeezed(owned[a:b]),
+            "counts": squeezed(count[arc[d:e]]),
+            **dict(zip(("seen", "once", "twice", "arcs_once", "arcs_twice"), map(int, facts))),
+        }
+        a, d, facts = b, e, [0] * 5
+
+
+def _sums(groups: np.ndarray, values: np.ndarray, size: int) -> np.ndarray:
+    return np.bincount(groups, weights=values, minlength=size).astype(np.int64)
+
+
+def _counted_level(packed: DataFrame, level: int) -> DataFrame:
+    """The rows of :func:`_packed` with the counts over all batches."""
+    names = [part.split()[0] for part in COUNTED.split(", ")]
+
+    def count(shard: pa.Table) -> pa.Table:
+        columns = [c.to_pylist() for c in shard.columns]
+        rows = [dict(zip(shard.column_names, row)) for row in zip(*columns)]
+        rows.sort(key=lambda row: row["batch"])
+        return pa.Table.from_pylist(list(_counted_shard(rows, level)), schema=_arrow(COUNTED)).select(names)
+
+    return packed.groupBy("shard").applyInArrow(count, COUNTED)
+
+
+def _facts(counts: DataFrame) -> dict[str, int]:
+    """How many n-grams were in training at all, once and twice, and how many one word longer once and twice."""
+    names = ("seen", "once", "twice", "arcs_once", "arcs_twice")
+    return counts.agg(*(F.coalesce(F.sum(c), F.lit(0)).alias(c) for c in names)).first().asDict()
+
+
+def _arrow(schema: str) -> pa.Schema:
+    kinds = {"long": pa.int64(), "int": pa.int32(), "binary": pa.binary()}
+    return pa.schema([(name, kinds[kind]) for name, kind in (part.split() for part in schema.split(", "))])
+
+
+class Counts:
+    """Of one batch and level: how often each n-gram was in training, by how many words it was followed,
+    and how often those one word longer were in training."""
+
+    def __init__(self, batch: Batch, level: int, rows: list[dict], shards: int):
+        order, longer, *_ = batch.layout(level, shards)
+        rows = [r for r in rows if r["level"] == level]
+        self.total = _placed(rows, "totals", "contexts", order)
+        self.kinds = _placed(rows, "kinds", "contexts", order)
+        self.counts = _placed(rows, "counts", "arcs", longer)
+
+
+def _placed(rows: list[dict], name: str, size: str, at: np.ndarray) -> np.ndarray:
+    """The numbers that all shards sent for the n-grams of a batch, which are ``at`` in their order."""
+    values = np.empty(len(at), np.int64)
+    parts = [spread(r[name], r[size], np.int64) for r in sorted(rows, key=lambda r: r["shard"])]
+    values[at] = np.concatenate(parts)
+    return values
+
+
+class WordAutomaton:
+    """The states, arcs and failure arcs that the texts of one batch can meet.
+
+    State 0 is the empty context, and those of each length follow it in the order of their numbers.
+    """
 
-    def run(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in (part for whole in batches for part in slices(whole, 1, RUN_BYTES)):
-            key, _, _, lengths = _token_grams(texts(batch, 1), order)
-            row = np.repeat(batch.column(0).to_numpy(), lengths)
-            yield pa.RecordBatch.from_arrays([pa.array(key), pa.array(row)], names=["key", "row"])
+    def __init__(self, batch: Batch, counts: dict[int, Counts], chances: float, discounts: dict[int, float], order: int):
+        self.batch, self.order, self.base = batch, order, len(batch.words)
+        levels = batch.levels
+        first = np.cumsum([0, 1, *(len(level.hash) for level in levels[1:order])])  # of the states of a length
+        holds, self.failure, self.backoff = [np.ones(1, bool)], [np.zeros(1, np.int64)], [np.zeros(1)]
+        keys, weights, targets = [], [], []
+        for k in range(1, order + 1):
+            level = levels[k]
+            if k == 1:
+                count, chance, shorter = counts[1].total, (counts[1].total + 1.0) / chances, None
+                real = np.ones(len(count), bool)
+            else:
+                count = counts[k - 1].counts if k > 2 else counts[2].total
+                real = count > 0
+                total, kinds = counts[k - 1].total[level.prefix], counts[k - 1].kinds[level.prefix]
+                above = np.maximum(count - discounts[k], 0.0) / np.maximum(total, 1)
+                chance = above + discounts[k] * kinds / np.maximum(total, 1) * shorter[level.suffix]
+            keys.append(((first[k - 1] + level.prefix) * self.base + level.word)[real])
+            weights.append(np.log10(chance[real]))
+            if k < order:
+                own = count > 0
+                kinds, total = counts[k].kinds, np.maximum(counts[k].total, 1)
+                with np.errstate(divide="ignore"):  # what no word follows is no state that a text is left in
+                    back = np.log10(discounts[k + 1] * kinds / total)
+                holds.append(own)
+                self.failure.append(first[k - 1] + level.suffix if k > 1 else np.zeros(len(count), np.int64))
+                self.backoff.append(np.where(own & (kinds > 0), back, 0.0))
+                target = first[k] + np.arange(len(count))
+            else:
+                target = first[k - 1] + level.suffix if k > 1 else np.zeros(len(count), np.int64)
+            targets.append(target[real])
+            shorter = chance
+        holds, self.failure, self.backoff = map(np.concatenate, (holds, self.failure, self.backoff))
+        self.key, self.weight, self.target = map(np.concatenate, (keys, weights, targets))
+        while not holds[self.target].all():  # an arc leads to the longest context that holds
+            self.target = np.where(holds[self.target], self.target, self.failure[self.target])
+
+    def score(self) -> np.ndarray:
+        """Summed log10 weights of every text, read from left to right.
+
+        Texts are read side by side, long ones in runs that begin with the last words before them,
+        which is all that a state can hold.
+        """
+        batch = self.batch
+        runs_of = -(-batch.lengths // RUN_TOKENS)
+        text = np.repeat(np.arange(len(runs_of)), runs_of)
+        nth = np.arange(len(text)) - np.repeat(np.cumsum(runs_of) - runs_of, runs_of)
+        begin = batch.starts[text] + 1 + nth * RUN_TOKENS
+        stop = np.minimum(begin + RUN_TOKENS, batch.starts[text] + 1 + batch.lengths[text])
+        at = np.maximum(begin - max(self.order - 1, 1), batch.starts[text])
+        total, state, reading = np.zeros(len(text)), np.zeros(len(text), np.int64), np.arange(len(text))
+        while len(reading):
+            word, counted = batch.stream[at[reading]], at[reading] >= begin[reading]
+            moving = np.arange(len(reading))
+            while len(moving):
+                runs_ = reading[moving]
+                key = state[runs_] * self.base + word[moving]
+                found = np.minimum(np.searchsorted(self.key, key), len(self.key) - 1)
+                met = self.key[found] == key
+                add = np.where(met, self.weight[found], self.backoff[state[runs_]])
+                total[runs_] += np.where(counted[moving], add, 0.0)
+                state[runs_] = np.where(met, self.target[found], self.failure[state[runs_]])
+                moving = moving[~met]
+            at[reading] += 1
+            reading = reading[at[reading] < stop[reading]]
+        return np.bincount(text, weights=total, minlength=len(runs_of))
 
-    met = source.select("row", "text").mapInArrow(run, "key long, row long")
-    sums = (
-        met.join(model, "key")
-        .groupBy("row")
-        .agg(
-            F.count("*").alias("n_tokens"),
-            F.count_if(F.col("c") > 0).alias("n_known"),
-            F.sum(F.log10(F.col("c") + 1.0)).alias("logs"),
-            F.sum("weight").alias("path"),
-        )
-    )
-    # Rows that repeat id and text share their sums, so each takes one part of them.
-    copies = source.groupBy("row").agg(F.count("*").alias("copies"))
+
+def _score_by_words(source: DataFrame, id_col: str, order: int) -> DataFrame:
+    """Every text read by the automaton over all words.
+
+    Batches of texts send their different n-grams to shards of them, where they are counted, and get
+    back the counts of just those; from these a batch builds the part of the automaton it can meet.
+    """
+    packed = written(pack_texts(source), "packed-texts")
+    row = packed.agg(F.sum("n_tokens"), F.sum("n_train")).first()
+    shards, tokens = -(-(row[0] or 1) // SHARD_TOKENS), row[1] or 0
+    reach = max(order, 3)
+    counted, facts = [], {}
+    for level in range(2, reach):
+
+        def send(batches: Iterable[pa.RecordBatch], level: int = level) -> Iterator[pa.RecordBatch]:
+            for table in batches:
+                for piece in range(table.num_rows):
+                    one = table.slice(piece, 1).to_pylist()[0]
+                    batch = Batch(one, level + 1)
+                    none = np.zeros(len(batch.levels[level].hash), np.int64)
+                    for out in _packed(batch, one["batch"], level, shards, none):
+                        yield pa.RecordBatch.from_pylist([out], schema=_arrow(PACKED))
+
+        counted.append(written(_counted_level(packed.mapInArrow(send, PACKED), level), f"counts-{level}"))
+        facts[level] = _facts(counted[-1])
+        release(source.sparkSession)
+
+    def send_words(key, texts_: pa.Table, counts: pa.Table) -> pa.Table:
+        one = texts_.to_pylist()[0]
+        batch = Batch(one, 2)
+        owned = _placed(counts.to_pylist(), "owned", "contexts", batch.layout(2, shards)[0])
+        kinds = _sums(batch.levels[2].prefix, owned, len(batch.words))
+        return pa.Table.from_pylist(list(_packed(batch, one["batch"], 1, shards, kinds)), schema=_arrow(PACKED))
+
+    by_batch = packed.groupBy("batch")
+    owners = counted[0].select("batch", "shard", "contexts", "owned")
+    words = by_batch.cogroup(owners.groupBy("batch")).applyInArrow(send_words, PACKED)
+    counted.append(written(_counted_level(words, 1), "counts-1"))
+    del words
+    facts[1] = _facts(counted[-1])
+    release(source.sparkSession)
+
+    counts = functools.reduce(DataFrame.unionByName, counted).drop("owned")
+    kinds, discounts = facts[1]["seen"], {}
+    for k in range(2, order + 1):
+        fact, prefix = (facts[k], "") if k in facts else (facts[k - 1], "arcs_")
+        once, twice = fact[f"{prefix}once"], fact[f"{prefix}twice"]
+        discounts[k] = once / (once + 2 * twice) if once and twice else 0.5
     log_base = math.log10(tokens + kinds + 1)
-    part = lambda c: (F.col(c) / F.col("copies"))
-    return (
-        source.select("id", "held_out", "row")
-        .join(sums.join(copies, "row"), "row")
-        .select(
-            F.col("id").alias(id_col),
-            "held_out",
-            part("n_tokens").cast("long").alias("n_tokens"),
-            part("n_known").cast("long").alias("n_known"),
-            F.lit(tokens).cast("long").alias("train_tokens"),
-            (part("logs") - part("n_tokens") * log_base).alias("base_score"),
-            part("path").alias("score"),
-        )
+    out = ["ids", "held_out", "n_tokens", "n_known", "train_tokens", "base_score", "score"]
+
+    def score(key, texts_: pa.Table, counts_: pa.Table) -> pa.Table:
+        one = texts_.to_pylist()[0]
+        batch, rows = Batch(one, reach), counts_.to_pylist()
+        found = {level: Counts(batch, level, rows, shards) for level in range(1, reach)}
+        machine = WordAutomaton(batch, found, tokens + max(kinds, 1) + 1.0, discounts, order)
+        count, token = found[1].total[batch.stream], batch.within > 0
+        text = np.repeat(np.arange(len(batch.lengths)), batch.lengths + 1)[token]
+        summed = lambda x: np.bincount(text, weights=x[token], minlength=len(batch.lengths))
+        ids = texts_.column("ids").combine_chunks().flatten()
+        base_score = summed(np.log10(count + 1.0)) - batch.lengths * log_base
+        known, train = summed(count > 0).astype(np.int64), np.full(len(ids), tokens, np.int64)
+        columns = [batch.held, batch.lengths, known, train, base_score, machine.score()]
+        return pa.Table.from_arrays([ids, *map(pa.array, columns)], names=[id_col, *out[1:]])
+
+    kind = source.schema["id"].dataType.simpleString()
+    return by_batch.cogroup(counts.groupBy("batch")).applyInArrow(
+        score,
+        f"`{id_col}` {kind}, held_out boolean, n_tokens long, n_known long, train_tokens long, "
+        "base_score double, score double",
     )
 
 
