@@ -70,6 +70,36 @@ def test_batches_are_bounded_by_bytes_and_lose_nothing(monkeypatch):
     assert [pa.Table.from_batches(part) for part in found] == list(whole)
 
 
+def test_packed_members_are_those_of_plain_rows_in_less_space(monkeypatch):
+    monkeypatch.setattr(pj, "GROUP_NODES", 3)
+    monkeypatch.setattr(pj, "RUN_BYTES", 3_000)
+    texts = _corpus(6)
+    names = np.concatenate([pj.segments(pj.shingles(t or ""), b) for t in texts if pj.shingles(t or "").size for b in (1, 2)])
+    often = pj.Frequent(*np.unique(names, return_counts=True))
+    docs, listed, shards = _Batches(texts), SimpleNamespace(value=often), 3
+    rows = {tuple(r.values()) for b in pj._memberships(docs, listed) for r in b.to_pylist()}
+    packed = pj._memberships(docs, listed, shards)
+    got = []
+    for shard in range(shards):
+        own = pa.Table.from_pylist([r for b in packed for r in b.to_pylist() if r["shard"] == shard])
+        got += pj._met(own).to_pylist()
+    groups = {}
+    for segment, split, part, node, size, common in rows:
+        groups.setdefault((segment, part), []).append((-common, size, node, split))
+    want = set()
+    for (segment, part), nodes in groups.items():
+        nodes.sort()
+        for k, (common, size, node, split) in enumerate(nodes):
+            before, before_size = (nodes[k - 1][2], nodes[k - 1][1]) if k else (None, None)
+            if len(nodes) > 1 or split:
+                want.add((segment, split, part, node, size, -common, before, before_size, nodes[0][2], nodes[0][1]))
+    assert {tuple(r.values()) for r in got} == want and len(got) == len(want)
+    assert any(r["split"] for r in got) and len({r["part"] for r in got}) > 1
+    one = pj._memberships(_Batches([" ".join(map(str, range(2_000)))] * 2), SimpleNamespace(value=often), 1)
+    plain = pj._memberships(_Batches([" ".join(map(str, range(2_000)))] * 2), SimpleNamespace(value=often))
+    assert sum(b.nbytes for b in one) < sum(b.nbytes for b in plain) / 3
+
+
 def test_often_counts_like_unique():
     rng = np.random.default_rng(4)
     for size in (1, 3, 4, 5, 6, 400):

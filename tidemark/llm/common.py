@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import gc
+import time
 import uuid
 from collections import OrderedDict
 from collections.abc import Callable, Iterable, Iterator, Sequence
@@ -20,6 +21,8 @@ from tidemark.session import checkpoint_dir, settle
 WORD = r"[^\x20\x09-\x0D]+"
 SPACE = " \t\n\x0b\x0c\r"
 
+RELEASE_SECONDS = 0.5
+
 
 def scratch(spark: SparkSession, name: str) -> str:
     """A new folder below the shared checkpoint folder; it goes when the driver's JVM ends."""
@@ -53,8 +56,12 @@ def discard(df: DataFrame) -> None:
 
 
 def release(spark: SparkSession) -> None:
-    """Let the driver find plans that nobody holds, so that their shuffle files are removed."""
+    """Let the driver find plans that nobody holds, so that their shuffle files are removed.
+
+    Listeners hold a query a moment longer than it runs, and a collection that comes too early finds nothing.
+    """
     gc.collect()
+    time.sleep(RELEASE_SECONDS)
     spark.sparkContext._jvm.System.gc()
 
 

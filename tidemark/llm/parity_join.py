@@ -33,7 +33,7 @@ import xxhash
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from tidemark.llm.common import discard, release, slices, texts, written
+from tidemark.llm.common import discard, release, slices, spread, squeezed, texts, written
 from tidemark.operators.components import connected_components
 
 # Fixed by the contract.
@@ -52,6 +52,8 @@ FREQUENT_LISTED = 200_000
 # Texts are taken in runs of so many bytes, and segments counted in runs of about so many.
 RUN_BYTES = 4 << 20
 COUNTED_SEGMENTS = 8 << 20
+# Nodes are met under their segments in shards of segments, one for so many shingles of all sets.
+SHARD_SHINGLES = 1 << 20
 # Nodes of one frequent segment that are chained in one group, nodes verified against one text in
 # one group, and nodes on each side of a tile.
 GROUP_NODES = 2_000
@@ -250,11 +252,12 @@ def _frequent(rows: DataFrame) -> Frequent:
     )
 
 
-def _memberships(documents: DataFrame, frequent) -> DataFrame:
+def _memberships(documents: DataFrame, frequent, shards: int | None = None) -> DataFrame:
     """``(segment, split, part, node, size, common)``: every node under each segment it joins on,
     with the number of its frequent segments.
 
-    ``part`` splits the nodes of very frequent segments, marked ``split``, into groups.
+    ``part`` splits the nodes of very frequent segments, marked ``split``, into groups. With ``shards``
+    the rows of each are packed into one for every run of texts, which :func:`_met` takes.
     """
 
     def members(batch: pa.RecordBatch, known: set[int], listed: Frequent) -> Iterator[pa.RecordBatch]:
@@ -289,11 +292,109 @@ def _memberships(documents: DataFrame, frequent) -> DataFrame:
         for whole in batches:
             known: set[int] = set()
             for batch in slices(whole, 1, RUN_BYTES):
-                yield from members(batch, known, frequent.value)
+                for found in members(batch, known, frequent.value):
+                    yield found if shards is None else _pack(found, shards)
 
-    return documents.mapInArrow(
-        run, "segment long, split boolean, part int, node long, size int, common int"
-    )
+    plain = "segment long, split boolean, part int, node long, size int, common int"
+    return documents.mapInArrow(run, plain if shards is None else PACKED)
+
+
+PACKED = "shard int, n int, segments binary, groups binary, places binary, n_nodes int, nodes binary, sizes binary, common binary"
+
+
+def _pack(members: pa.RecordBatch, shards: int) -> pa.RecordBatch:
+    """Rows of :func:`_memberships`, one for each shard: segments sorted, nodes listed once.
+
+    A group is the number of a segment's part, doubled, with the last bit set where it is split.
+    """
+    segment, split, part, node, size, common = (c.to_numpy(zero_copy_only=False) for c in members.columns)
+    segment, part = segment.view(np.uint64), part.astype(np.int64)
+    shard = (((segment >> np.uint64(32)) * np.uint64(shards)) >> np.uint64(32)).astype(np.int64)
+    shard = (shard + part) % shards
+    # The rows of a set in one band follow each other; it counts its frequent segments in each band.
+    owner = np.cumsum(np.diff(node, prepend=node[:1]).astype(bool) | np.diff(common, prepend=common[:1]).astype(bool))
+    order = np.lexsort((segment, shard))
+    cuts = np.searchsorted(shard[order], np.arange(shards + 1))
+    columns: list[list] = [[] for _ in range(9)]
+    for number in np.flatnonzero(np.diff(cuts)):
+        at = order[cuts[number] : cuts[number + 1]]
+        _, first, place = np.unique(owner[at], return_index=True, return_inverse=True)
+        own = at[first]
+        values = [
+            int(number),
+            len(at),
+            squeezed(np.diff(segment[at], prepend=np.uint64(0))),
+            squeezed(2 * part[at] + split[at]),
+            squeezed(place.astype(np.int64)),
+            len(own),
+            squeezed(node[own]),
+            squeezed(size[own]),
+            squeezed(common[own]),
+        ]
+        for column, value in zip(columns, values):
+            column.append(value)
+    kinds = {"int": pa.int32(), "binary": pa.binary()}
+    names, types = zip(*(part.split() for part in PACKED.split(", ")))
+    return pa.RecordBatch.from_arrays([pa.array(c, kinds[t]) for c, t in zip(columns, types)], names=list(names))
+
+
+MET = (
+    "segment long, split boolean, part int, node long, size int, common int, "
+    "before long, before_size int, least long, least_size int"
+)
+
+
+def _met(packed: pa.Table) -> pa.Table:
+    """The members of a shard's segments that meet others there, each with the one before it and the
+    first of its part, in ``ORDER``; a split segment's members may also meet those of other parts."""
+    rows = packed.to_pylist()
+    parts = []
+    for row in rows:
+        place = spread(row["places"], row["n"], np.int64)
+        listed = [spread(row[c], row["n_nodes"], k)[place] for c, k in zip(("nodes", "sizes", "common"), (np.int64, np.int32, np.int32))]
+        segment = np.cumsum(spread(row["segments"], row["n"], np.uint64))
+        parts.append([segment, spread(row["groups"], row["n"], np.int64), *listed])
+    segment, group, node, size, common = map(np.concatenate, zip(*parts))
+    del rows, parts
+    order = np.argsort(segment)
+    ranked = segment[order]
+    twice = np.zeros(len(order), bool)
+    same = ranked[1:] == ranked[:-1]
+    twice[1:] |= same
+    twice[:-1] |= same
+    kept = order[twice | (group[order] & 1 > 0)]
+    segment, group, node, size, common = (x[kept] for x in (segment, group, node, size, common))
+    order = np.lexsort((node, size, -common, group, segment))
+    segment, group, node, size, common = (x[order] for x in (segment, group, node, size, common))
+
+    def repeats(*keys: np.ndarray) -> np.ndarray:
+        out = np.zeros(len(segment), bool)
+        out[1:] = np.logical_and.reduce([k[1:] == k[:-1] for k in keys])
+        return out
+
+    single = ~repeats(segment, group, node)
+    segment, group, node, size, common = (x[single] for x in (segment, group, node, size, common))
+    first = ~repeats(segment, group)
+    starts = np.flatnonzero(first)
+    count = np.diff(np.append(starts, len(segment)))
+    least = np.repeat(starts, count)
+    stays = (np.repeat(count, count) > 1) | (group & 1 > 0)
+    before = np.maximum(np.arange(len(segment)) - 1, 0)
+    columns = [
+        segment.view(np.int64),
+        group & 1 > 0,
+        (group >> 1).astype(np.int32),
+        node,
+        size,
+        common,
+        pa.array(node[before], mask=first),
+        pa.array(size[before], mask=first),
+        node[least],
+        size[least],
+    ]
+    names = [part.split()[0] for part in MET.split(", ")]
+    table = pa.Table.from_arrays([c if isinstance(c, pa.Array) else pa.array(c) for c in columns], names=names)
+    return table.filter(pa.array(stays))
 
 
 # Nodes with many frequent segments come first under a segment.
@@ -559,24 +660,12 @@ def link_documents(
     )
     frequent = spark.sparkContext.broadcast(_frequent(rows))  # FREQUENT_LISTED bounds it
 
-    own = Window.partitionBy("segment", "part").orderBy(*map(F.expr, ORDER))
-    grouped = (
-        _memberships(source.filter("doc IS NOT NULL"), frequent)
-        .repartition("segment", "part")
-        .dropDuplicates(["segment", "part", "node"])
-        .select(
-            "*",
-            F.lag("node").over(own).alias("before"),
-            F.lag("size").over(own).alias("before_size"),
-            F.first("node").over(own).alias("least"),
-            F.first("size").over(own).alias("least_size"),
-            F.lead("node").over(own).alias("after"),
-        )
-    )
+    shingled = nodes.agg(F.coalesce(F.sum("size"), F.lit(1))).first()[0]
+    packed = _memberships(source.filter("doc IS NOT NULL"), frequent, -(-shingled // SHARD_SHINGLES))
     # A node alone under a segment meets nobody there, unless the segment has other parts.
-    members = grouped.filter("before IS NOT NULL OR after IS NOT NULL OR split").drop("after")
+    members = packed.groupBy("shard").applyInArrow(_met, MET)
     members = written(members, "members")
-    del grouped
+    del packed
     release(spark)
 
     tried = written(_nearest(_alike(_partners(members), nodes)), "partners")
@@ -611,8 +700,10 @@ def link_documents(
         component = connected_components(links)
         # Where no pair was near enough there is nothing left to find.
         live = left.drop("root").join(picks.select("segment").distinct(), "segment", "left_semi")
-        left = written(_rooted(live, component), "apart")
-        release(spark)
+        done, left = [left, picks], written(_rooted(live, component), "apart")
+        del live
+        for table in done:
+            discard(table)
 
     rest = _apart_pairs(_with_avoided(left, tried, links), False).select("a", "b").distinct()
     more = written(_verified(written(rest, "rest-pairs"), source, nodes), "rest-links")
