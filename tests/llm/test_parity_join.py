@@ -168,3 +168,77 @@ def test_tiles_agree_with_single_pairs():
     left, right = members[:25], members[25:]
     assert set(pj._tile_pairs(left, right)) == set(pj._few_pairs(left, right))
     assert len(set(pj._few_pairs(members, None))) > 20
+
+
+def test_segments_of_one_passage_compare_their_nodes_once(make, monkeypatch):
+    random.seed(12)
+    word = lambda: "".join(random.choices("abcdefgh", k=5))
+    passage = [word() for _ in range(120)]
+    texts = [" ".join([word() for _ in range(30 + k)] + passage[k % 7 :]) for k in range(24)]
+    left, compared = [], pj._apart_pairs
+    monkeypatch.setattr(pj, "_apart_pairs", lambda rows, nearest: left.append(rows.count()) or compared(rows, nearest))
+    assert _result(pj.link_documents(make(texts))) == components(list(enumerate(texts)))
+    # Each text meets the others under some dozens of segments.
+    assert left and left[0] <= 10 * len(texts)
+
+
+def test_families_hold_every_pair_that_is_apart(spark):
+    random.seed(13)
+    groups = {k: random.sample(range(30), random.randint(2, 12)) for k in range(60)}
+    groups[60] = [1, 2, 3]
+    members = spark.createDataFrame([(s, n, 10) for s, own in groups.items() for n in own], "segment long, node long, size int")
+    roots = {n: 1 if n < 4 else n for n in range(30)}
+    component = spark.createDataFrame(list(roots.items()), "node long, root long")
+    rows = pj._families(members, component).collect()
+    held = {}
+    for r in rows:
+        assert r.root == roots[r.node] and r.size == 10 and r.tiles == 1
+        held.setdefault(r.segment, set()).add(r.node)
+    assert sum(map(len, held.values())) == len(rows) < sum(map(len, groups.values()))
+    for own in groups.values():
+        if len({roots[n] for n in own}) > 1:
+            assert any(set(own) <= family for family in held.values())
+
+
+def test_nodes_without_a_near_partner_leave(spark):
+    left = spark.createDataFrame([(7, n, n) for n in range(4)] + [(8, 0, 0)], "segment long, node long, root long")
+    picks = spark.createDataFrame([(7, 0, 2, 5)], "segment long, a long, b long, distance long")
+    assert sorted(map(tuple, pj._live(left, picks).collect())) == [(7, 0), (7, 2)]
+
+
+@pytest.mark.parametrize("ids", [0, 1_000])
+def test_verified_with_few_and_many_texts(spark, monkeypatch, ids):
+    monkeypatch.setattr(pj, "BROADCAST_IDS", ids)
+    base = [f"w{k}" for k in range(60)]
+    texts = [" ".join(base), " ".join(base[:-2]), " ".join(base[30:]), " ".join(base[1:])]
+    docs = spark.createDataFrame(list(enumerate(texts)), "doc long, text string")
+    names = [pj.node_of(pj.shingles(t)) for t in texts]
+    nodes = spark.createDataFrame(list(zip(names, range(4))), "node long, doc long")
+    pairs = spark.createDataFrame([(names[0], names[1]), (names[2], names[0]), (names[1], names[3])], "a long, b long")
+    found = {frozenset((names.index(r.u), names.index(r.v))) for r in pj._verified(pairs, docs, nodes).collect()}
+    assert found == {frozenset((0, 1)), frozenset((1, 3))}
+
+
+def test_frequent_segments_are_counted_over_the_batches_of_a_task(monkeypatch):
+    passage = " ".join(f"p{k}" for k in range(40))
+    docs = _Batches([f"{k} {passage}" for k in range(12)])
+    docs.mapInArrow = lambda run, schema: list(run([docs.batch.slice(k, 3) for k in range(0, 12, 3)]))
+    counted = [b["seen"].drop_null().to_pylist() for b in pj.signatures(docs)]
+    assert 12 in sum(counted, [])
+    # A text of more segments than are held at once is counted in pieces.
+    monkeypatch.setattr(pj, "COUNTED_SEGMENTS", 7)
+    rows = [r for b in pj.signatures(docs) for r in b.to_pylist()]
+    assert sorted(r["doc"] for r in rows if r["doc"] is not None) == list(range(12))
+
+
+def test_order_of_segments_is_by_times_seen_then_name():
+    rng = np.random.default_rng(5)
+    found = pj.shingles(" ".join(map(str, range(900))))
+    for listed in (0, 20, 600, 900):
+        names = pj.segments(found, 3)
+        often = pj.Frequent(np.sort(names)[:listed], rng.integers(8, 30, min(listed, len(names))))
+        own, seen, common = pj.needed_segments(found, 3, often)
+        counts = dict(zip(often.names.tolist(), often.counts.tolist()))
+        want = sorted((counts.get(n, 0), n) for n in names.tolist())[: len(own)]
+        assert sorted(zip(seen.tolist(), own.tolist())) == want and common == min(listed, len(names))
+        assert len(own) == len(found) // 3 + 1

@@ -49,6 +49,7 @@ LEAST_SEGMENTS = 4096
 FREQUENT_IN_BATCH = 5
 FREQUENT = 8
 FREQUENT_LISTED = 200_000
+MARK_BITS = 21
 # Texts are taken in runs of so many bytes, and segments counted in runs of about so many.
 RUN_BYTES = 4 << 20
 COUNTED_SEGMENTS = 8 << 20
@@ -60,7 +61,9 @@ GROUP_NODES = 2_000
 # Tiles of up to so many nodes are compared pair by pair, which is quicker there.
 FEW_NODES = 16
 # Rounds in which every node still apart has its nearest partner verified.
-NEAREST_ROUNDS = 3
+NEAREST_ROUNDS = 2
+# Ids of texts to verify, 8 bytes each, that are sent to all tasks.
+BROADCAST_IDS = 1_000_000
 # Partners of a node that are held to their sketches before one is chosen.
 PARTNERS = 3
 
@@ -76,6 +79,13 @@ def _mixed(z: np.ndarray) -> np.ndarray:
     return z ^ (z >> np.uint64(31))
 
 
+def _first_of_runs(values: np.ndarray) -> np.ndarray:
+    """Which of sorted values differ from the one before."""
+    first = np.ones(len(values), dtype=bool)
+    np.not_equal(values[1:], values[:-1], out=first[1:])
+    return first
+
+
 def shingles(text: str) -> np.ndarray:
     """Sorted distinct 64-bit hashes of the shingles; a short text is one shingle of its own."""
     words = text.encode().lower().split()  # bytes: A-Z only, and the six ASCII spaces
@@ -87,7 +97,9 @@ def shingles(text: str) -> np.ndarray:
     total = np.zeros(last, dtype=np.uint64)
     for k in range(SHINGLE_WORDS):
         total += hashed[k : k + last] * _FACTORS[k]
-    return np.unique(_mixed(total))
+    found = _mixed(total)
+    found.sort()
+    return found[_first_of_runs(found)]
 
 
 def node_of(found: np.ndarray) -> int:
@@ -107,16 +119,13 @@ def bands(size: int) -> list[int]:
 def segments(found: np.ndarray, band: int) -> np.ndarray:
     """Names of the segments of a set's parity sketch that are not empty."""
     count = max(LEAST_SEGMENTS, 2 * BAND ** (band + 1))
-    place = _mixed(found + np.uint64(band + 1))
-    segment = (place >> np.uint64(6)) % np.uint64(count)
-    bit = _mixed(place ^ np.uint64(0x8EBC6AF09C88C6E3))
-    order = np.argsort(segment, kind="stable")
-    segment, bit = segment[order], bit[order]
-    starts = np.flatnonzero(np.concatenate([[True], segment[1:] != segment[:-1]]))
-    parity = np.bitwise_xor.reduceat(bit, starts)
-    held = parity != 0
-    name = segment[starts][held] * np.uint64(0xC2B2AE3D27D4EB4F) + np.uint64(band + 1)
-    return _mixed(_mixed(parity[held] + name) ^ name)
+    # The hashes are sorted, and their upper bits name segments in that order.
+    segment = ((found >> np.uint64(32)) * np.uint64(count)) >> np.uint64(32)
+    starts = np.flatnonzero(_first_of_runs(segment))
+    parity = np.bitwise_xor.reduceat(found, starts)
+    parity = parity[parity != 0]
+    name = (parity ^ (parity >> np.uint64(29))) * np.uint64(0xBF58476D1CE4E5B9 + 2 * band)
+    return name ^ (name >> np.uint64(32))
 
 
 def compare_sketch(found: np.ndarray) -> bytes:
@@ -125,7 +134,7 @@ def compare_sketch(found: np.ndarray) -> bytes:
     Its width is a power of two, and a wider one folds onto a narrower one by XOR of its parts.
     """
     width = max(64, 1 << (2 * len(found) - 1).bit_length())
-    place = (_mixed(found ^ np.uint64(0xA0761D6478BD642F)) % np.uint64(width)).astype(np.int64)
+    place = (found & np.uint64(width - 1)).view(np.int64)
     return np.packbits(np.bincount(place, minlength=width).astype(np.uint8) & 1).tobytes()
 
 
@@ -152,12 +161,18 @@ class Frequent:
     def __init__(self, names: np.ndarray, counts: np.ndarray):
         order = np.argsort(names)
         self.names, self.counts = names[order], counts[order]
+        # Most segments are not listed, which their upper bits tell.
+        self.marked = np.zeros(1 << MARK_BITS, dtype=bool)
+        self.marked[names >> np.uint64(64 - MARK_BITS)] = True
 
     def seen(self, names: np.ndarray) -> np.ndarray:
-        if not len(self.names):
-            return np.zeros(len(names), dtype=np.int64)
-        at = np.minimum(np.searchsorted(self.names, names), len(self.names) - 1)
-        return np.where(self.names[at] == names, self.counts[at], 0)
+        seen = np.zeros(len(names), dtype=np.int64)
+        maybe = np.flatnonzero(self.marked[names >> np.uint64(64 - MARK_BITS)])
+        if len(maybe):
+            asked = names[maybe]
+            at = np.minimum(np.searchsorted(self.names, asked), len(self.names) - 1)
+            seen[maybe] = np.where(self.names[at] == asked, self.counts[at], 0)
+        return seen
 
 
 def needed_segments(found: np.ndarray, band: int, frequent: Frequent):
@@ -172,13 +187,17 @@ def needed_segments(found: np.ndarray, band: int, frequent: Frequent):
     if len(names) < need:
         spare = _mixed(np.array([band + 1], dtype=np.uint64))
         return np.concatenate([names, spare]), np.concatenate([seen, [0]]), int((seen > 0).sum())
+    rare = names[seen == 0]
+    if len(rare) >= need:  # no need to sort the others
+        least = np.partition(rare, need - 1)[:need]
+        return least, np.zeros(need, dtype=np.int64), len(names) - len(rare)
     order = np.lexsort((names, seen))[:need]
     return names[order], seen[order], int((seen > 0).sum())
 
 
 def _often(fresh: list[np.ndarray]) -> tuple[np.ndarray, np.ndarray]:
     """The segments that ``fresh``, which is emptied, holds ``FREQUENT_IN_BATCH`` times or more, and how often."""
-    names = np.concatenate(fresh)
+    names = fresh[0] if len(fresh) == 1 else np.concatenate(fresh)
     fresh.clear()
     names.sort()
     more = FREQUENT_IN_BATCH - 1
@@ -199,8 +218,10 @@ def signatures(documents: DataFrame) -> DataFrame:
         return pa.RecordBatch.from_arrays([none, none, none, blank, *own], names=names_out)
 
     def run(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        # One block that is sorted in place, filled over all batches of the task.
+        fresh, held = np.empty(COUNTED_SEGMENTS, dtype=np.uint64), 0
         for whole in batches:
-            fresh, known, held = [], set(), 0
+            known: set[int] = set()
             for batch in slices(whole, 1, RUN_BYTES):
                 nodes, sizes, sketches = [], [], []
                 for text in texts(batch, 1):
@@ -210,12 +231,14 @@ def signatures(documents: DataFrame) -> DataFrame:
                     nodes.append(node_of(found) if len(found) else None)
                     if len(found) and nodes[-1] not in known:
                         known.add(nodes[-1])
-                        own = [segments(found, band) for band in bands(len(found))]
-                        fresh += own
-                        held += sum(map(len, own))
-                    if held >= COUNTED_SEGMENTS:
-                        yield counted(fresh)
-                        held = 0
+                        for own in (segments(found, band) for band in bands(len(found))):
+                            while len(own):
+                                fits = own[: len(fresh) - held]
+                                fresh[held : held + len(fits)] = fits
+                                own, held = own[len(fits) :], held + len(fits)
+                                if held == len(fresh):
+                                    yield counted([fresh])
+                                    held = 0
                 none = pa.nulls(batch.num_rows, pa.int64())
                 yield pa.RecordBatch.from_arrays(
                     [
@@ -228,8 +251,8 @@ def signatures(documents: DataFrame) -> DataFrame:
                     ],
                     names=names_out,
                 )
-            if fresh:
-                yield counted(fresh)
+        if held:
+            yield counted([fresh[:held]])
 
     return documents.mapInArrow(
         run, "doc long, node long, size long, sketch binary, segment long, seen long"
@@ -576,6 +599,40 @@ def _rooted(rows: DataFrame, component: DataFrame) -> DataFrame:
     return found.withColumn("root", F.coalesce("root", "node"))
 
 
+def _families(members: DataFrame, component: DataFrame) -> DataFrame:
+    """``(segment, tiles, node, size, root)``: the nodes that one segment brings together and that are
+    still in different components.
+
+    A text has many segments, and those of one passage hold nearly the same nodes, so each would
+    compare the same pairs again. Segments whose nodes have one least hash, as sets share it the
+    likelier the more they have in common, and that are of like size are one family with the nodes of
+    all. ``segment`` names the family; no pair of a segment is lost in it.
+    """
+    placed = _rooted(members.select("segment", "node", "size"), component)
+    apart = placed.groupBy("segment").agg(
+        F.min("root").alias("x"),
+        F.max("root").alias("y"),
+        F.count("*").alias("n"),
+        F.min(F.xxhash64("node", F.lit(2))).alias("least"),
+        F.bit_xor(F.xxhash64("node")).alias("h"),
+        F.bit_xor(F.xxhash64("node", F.lit(1))).alias("k"),
+    )
+    # One segment for each set of nodes, told apart by 128 bits of hash.
+    kept = apart.filter("x <> y").groupBy("n", "h", "k", "least").agg(F.min("segment").alias("segment"))
+    family = F.xxhash64("least", F.floor(F.log2("n"))).alias("family")
+    named = placed.join(kept.select("segment", family), "segment")
+    named = named.select(F.col("family").alias("segment"), "node", "size", "root").distinct()
+    tiles = F.ceil(F.count("*").over(Window.partitionBy("segment")) / GROUP_NODES)
+    return named.withColumn("tiles", tiles)
+
+
+def _live(left: DataFrame, picks: DataFrame) -> DataFrame:
+    """The rows of ``left`` whose node had a near partner, without ``root``. A pair that may link in
+    a later round might have linked in this one, so both its nodes are in ``picks``."""
+    picked = picks.select("segment", F.explode(F.array("a", "b")).alias("node")).distinct()
+    return left.drop("root").join(picked, ["segment", "node"], "left_semi")
+
+
 def _with_avoided(rows: DataFrame, tried: DataFrame, links: DataFrame) -> DataFrame:
     """``rows`` with the partners that their node chose in vain."""
     linked = links.select("u", "v").union(links.select("v", "u")).toDF("a", "b")
@@ -603,7 +660,11 @@ def _verified(pairs: DataFrame, documents: DataFrame, nodes: DataFrame) -> DataF
     dealt = pairs.join(crowd, "b").withColumn("group", F.pmod(F.xxhash64("a"), "groups").cast("int"))
     head = dealt.select("b", "group", F.col("b").alias("node"), F.lit(False).alias("compared"))
     roles = head.distinct().union(dealt.select("b", "group", "a", F.lit(True)))
-    wanted = roles.join(nodes.select("node", "doc"), "node")
+    wanted = written(roles.join(nodes.select("node", "doc"), "node"), "wanted")
+    asked = wanted.select("doc").distinct()
+    if asked.count() <= BROADCAST_IDS:
+        # Few: the other texts need not travel. Many: the join below deals out all.
+        documents = documents.join(F.broadcast(asked), "doc", "left_semi")
     stream = (
         documents.join(wanted, "doc")
         .select("b", "group", "compared", "node", "text")
@@ -673,21 +734,7 @@ def link_documents(
     release(spark)
     component = connected_components(links)
 
-    # Nodes that one segment brings together and that are still apart; one segment for each set
-    # of nodes, told apart by 128 bits of hash.
-    placed = _rooted(members.select("segment", "node", "size"), component)
-    apart = placed.groupBy("segment").agg(
-        F.min("root").alias("x"),
-        F.max("root").alias("y"),
-        F.count("*").alias("n"),
-        F.bit_xor(F.xxhash64("node")).alias("h"),
-        F.bit_xor(F.xxhash64("node", F.lit(1))).alias("k"),
-    )
-    kept = apart.filter("x <> y").groupBy("n", "h", "k").agg(F.min("segment").alias("segment"))
-    kept = kept.select("segment", F.ceil(F.col("n") / GROUP_NODES).alias("tiles"))
-    left = placed.join(kept, "segment").join(nodes.select("node", "sketch"), "node")
-    left = written(left, "apart")
-    del placed, apart, kept
+    left = written(_families(members, component).join(nodes.select("node", "sketch"), "node"), "apart")
     discard(members)
 
     for _ in range(NEAREST_ROUNDS):
@@ -698,17 +745,15 @@ def link_documents(
         links = written(links.union(_verified(near, source, nodes)), "links")
         tried = written(tried.union(near).distinct(), "tried")
         component = connected_components(links)
-        # Where no pair was near enough there is nothing left to find.
-        live = left.drop("root").join(picks.select("segment").distinct(), "segment", "left_semi")
-        done, left = [left, picks], written(_rooted(live, component), "apart")
-        del live
+        done, left = [left, picks], written(_rooted(_live(left, picks), component), "apart")
         for table in done:
             discard(table)
-
-    rest = _apart_pairs(_with_avoided(left, tried, links), False).select("a", "b").distinct()
-    more = written(_verified(written(rest, "rest-pairs"), source, nodes), "rest-links")
-    release(spark)
-    component = connected_components(links.union(more))
+    else:
+        rest = _apart_pairs(_with_avoided(left, tried, links), False).select("a", "b").distinct()
+        more = written(_verified(written(rest, "rest-pairs"), source, nodes), "rest-links")
+        release(spark)
+        if not more.isEmpty():
+            component = connected_components(links.union(more))
 
     rooted = nodes.join(component, "node")
     names = rooted.groupBy("root").agg(F.min("doc").alias("component_id"))
