@@ -6,6 +6,7 @@ import pyarrow as pa
 import pyarrow.compute as pc
 import pytest
 
+from tidemark.llm import common
 from tidemark.llm import parity_join as pj
 
 from .brute import components, shingle_set
@@ -242,3 +243,12 @@ def test_order_of_segments_is_by_times_seen_then_name():
         want = sorted((counts.get(n, 0), n) for n in names.tolist())[: len(own)]
         assert sorted(zip(seen.tolist(), own.tolist())) == want and common == min(listed, len(names))
         assert len(own) == len(found) // 3 + 1
+
+
+def test_workers_give_memory_back_at_the_end_of_a_task(monkeypatch):
+    given = []
+    monkeypatch.setattr(common, "give_back", lambda: given.append(1))
+    docs = _Batches(_corpus(7))
+    assert len(pj.signatures(docs)) and len(given) == 1
+    none = pj.Frequent(np.empty(0, np.uint64), np.empty(0, np.int64))
+    assert len(pj._memberships(docs, SimpleNamespace(value=none), 2)) and len(given) == 2

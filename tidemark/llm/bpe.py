@@ -23,7 +23,7 @@ import regex
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from tidemark.llm.common import texts
+from tidemark.llm.common import lean, texts
 
 # Matches up to this many bytes are merged in lockstep and remembered, so many in a generation.
 LOCKSTEP_BYTES = 64
@@ -318,5 +318,5 @@ def round_trip(
     kind = documents.schema[id_col].dataType.simpleString()
     source = documents.select(id_col, F.col(text_col).cast("string"))
     return source.mapInArrow(
-        run, f"`{id_col}` {kind}, n_tokens long, ids_sha256 string, decoded_sha256 string"
+        lean(run), f"`{id_col}` {kind}, n_tokens long, ids_sha256 string, decoded_sha256 string"
     )

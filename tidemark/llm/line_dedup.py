@@ -23,7 +23,7 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from tidemark.llm.common import SPACE, Held, publish, scratch, texts, written
+from tidemark.llm.common import SPACE, Held, lean, publish, scratch, texts, written
 
 LEAST_CHARS = 20
 LEAST_DOCUMENTS = 3
@@ -180,7 +180,7 @@ def repeated_lines(
 
     source = documents.select(F.col(id_col).cast("long"), F.col(text_col).cast("string"))
     return (
-        source.mapInArrow(run, "doc long, high long, low long")
+        source.mapInArrow(lean(run), "doc long, high long, low long")
         .distinct()
         .groupBy("high", "low")
         .agg(F.count("*").alias("n_documents"), F.max("doc").alias("keeper"))
@@ -290,7 +290,7 @@ def dedup_lines(
                 [batch.column(0), *arrays], names=[id_col, "kept", "n_lines", "n_dropped"]
             )
 
-    return source.mapInArrow(run, f"`{id_col}` long, kept string, n_lines long, n_dropped long")
+    return source.mapInArrow(lean(run), f"`{id_col}` long, kept string, n_lines long, n_dropped long")
 
 
 def replace_texts(
@@ -319,4 +319,4 @@ def replace_texts(
                 columns[chars_at] = pa.array(counts, columns[chars_at].type)
             yield pa.RecordBatch.from_arrays(columns, schema=batch.schema)
 
-    return documents.mapInArrow(run, documents.schema)
+    return documents.mapInArrow(lean(run), documents.schema)

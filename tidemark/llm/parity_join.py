@@ -33,7 +33,7 @@ import xxhash
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from tidemark.llm.common import discard, release, slices, spread, squeezed, texts, written
+from tidemark.llm.common import discard, give_back, lean, release, slices, spread, squeezed, texts, written
 from tidemark.operators.components import connected_components
 
 # Fixed by the contract.
@@ -255,7 +255,7 @@ def signatures(documents: DataFrame) -> DataFrame:
             yield counted([fresh[:held]])
 
     return documents.mapInArrow(
-        run, "doc long, node long, size long, sketch binary, segment long, seen long"
+        lean(run), "doc long, node long, size long, sketch binary, segment long, seen long"
     )
 
 
@@ -319,7 +319,7 @@ def _memberships(documents: DataFrame, frequent, shards: int | None = None) -> D
                     yield found if shards is None else _pack(found, shards)
 
     plain = "segment long, split boolean, part int, node long, size int, common int"
-    return documents.mapInArrow(run, plain if shards is None else PACKED)
+    return documents.mapInArrow(lean(run), plain if shards is None else PACKED)
 
 
 PACKED = "shard int, n int, segments binary, groups binary, places binary, n_nodes int, nodes binary, sizes binary, common binary"
@@ -420,6 +420,12 @@ def _met(packed: pa.Table) -> pa.Table:
     return table.filter(pa.array(stays))
 
 
+def _met_lean(packed: pa.Table) -> pa.Table:
+    table = _met(packed)
+    give_back()
+    return table
+
+
 # Nodes with many frequent segments come first under a segment.
 ORDER = ("-common", "size", "node")
 
@@ -590,7 +596,7 @@ def _apart_pairs(left: DataFrame, nearest: bool) -> DataFrame:
         yield from finish()
         yield out()
 
-    return stream.mapInArrow(run, "segment long, a long, b long, distance long")
+    return stream.mapInArrow(lean(run), "segment long, a long, b long, distance long")
 
 
 def _rooted(rows: DataFrame, component: DataFrame) -> DataFrame:
@@ -692,7 +698,7 @@ def _verified(pairs: DataFrame, documents: DataFrame, nodes: DataFrame) -> DataF
                 [pa.array(u, pa.int64()), pa.array(v, pa.int64())], names=["u", "v"]
             )
 
-    return stream.mapInArrow(run, "u long, v long").distinct()
+    return stream.mapInArrow(lean(run), "u long, v long").distinct()
 
 
 def link_documents(
@@ -724,7 +730,7 @@ def link_documents(
     shingled = nodes.agg(F.coalesce(F.sum("size"), F.lit(1))).first()[0]
     packed = _memberships(source.filter("doc IS NOT NULL"), frequent, -(-shingled // SHARD_SHINGLES))
     # A node alone under a segment meets nobody there, unless the segment has other parts.
-    members = packed.groupBy("shard").applyInArrow(_met, MET)
+    members = packed.groupBy("shard").applyInArrow(_met_lean, MET)
     members = written(members, "members")
     del packed
     release(spark)

@@ -18,7 +18,7 @@ import regex
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from tidemark.llm.common import SPACE, texts
+from tidemark.llm.common import SPACE, lean, texts
 
 # Fixed by the contract of the base figures.
 SYMBOLS = "#*$%&|<>"
@@ -220,4 +220,4 @@ def keep_documents(
             verdicts = [_kept(measure(text), ordered) for text in texts(batch, text_col)]
             yield batch.filter(pa.array(verdicts, pa.bool_()))
 
-    return documents.mapInArrow(run, documents.schema)
+    return documents.mapInArrow(lean(run), documents.schema)
